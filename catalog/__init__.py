@@ -1,5 +1,5 @@
 """Queries over the test tables, each beside its SQL twin."""
 
-from catalog import sequence
+from catalog import comparisons, labelling, scoring, sequence, splitting, tabular
 
-MODULES = [sequence]
+REGISTRIES = [m.REGISTRY for m in (sequence, labelling, splitting, scoring, tabular, comparisons)]

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from catalog.registry import Registry
 from catalog.tables import (CLUMPS_SQL, FLOWS_SQL, IDLE_US, PACKETS_SQL, TIMEOUT_US, event_packets, load,
                             micros)
 from packetloom.functions import endpoints, scaling
@@ -12,16 +13,8 @@ from packetloom.operators import windows as W
 from packetloom.operators.stats import flow_statistics
 from packetloom.schema import CLUMP, FLOW
 
-QUERIES, ORACLE = {}, {}
-
-
-def query(sql=None):
-    def add(fn):
-        QUERIES[fn.__name__] = fn
-        if sql:
-            ORACLE[fn.__name__] = sql
-        return fn
-    return add
+REGISTRY = Registry()
+query = REGISTRY.query
 
 
 def flow_packets(spark, sf):

@@ -131,6 +131,11 @@ def first_n(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], n:
     return kept.withColumnRenamed("_rank", rank) if rank else kept.drop("_rank")
 
 
+def one_row(df: DataFrame) -> Column:
+    """A one-row table as a struct value, for use in expressions of another table."""
+    return df.select(F.struct("*")).scalar()
+
+
 def seeded_hash(seed: int, *columns: Column | str) -> Column:
     """A 32-digit hex hash other engines can repeat: md5 of ``seed|col|col``."""
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *columns))
