@@ -11,6 +11,7 @@ from packetloom.operators import models as M
 from packetloom.operators import splits as S
 from packetloom.operators import tabular as T
 from packetloom.operators import windows as W
+from packetloom.operators.ordered import materialize
 from packetloom.operators.stats import FEATURES, flow_statistics
 from packetloom.sources import tabular as R
 
@@ -84,7 +85,7 @@ def flow_table(spark, sf):
     target = (F.col("FlowBytesSent") > F.col("FlowBytesReceived")).cast("int")
     flows = flows.select(F.concat_ws("_", "key", "flow_no").alias("sample_id"), target.alias("target"), *FEATURES)
     flows = flows.drop("FlowSentRate", "FlowReceivedRate").na.fill(0.0)
-    return S.split_stratified(flows.persist(), "target", "sample_id")
+    return materialize(S.split_stratified(materialize(flows), "target", "sample_id"))
 
 
 SMALL = {"random_forest": {"numTrees": 20, "maxDepth": 8}, "decision_tree": {"maxDepth": 8},
@@ -94,7 +95,7 @@ NAMES = [f for f in FEATURES if f not in ("FlowSentRate", "FlowReceivedRate")]
 
 @query()
 def tabular_models(spark, sf):
-    parts = S.split_nested(flow_table(spark, sf).drop("split"), "target", "sample_id")
+    parts = materialize(S.split_nested(flow_table(spark, sf).drop("split"), "target", "sample_id"))
     part = lambda name: parts.filter(F.col("split") == name)
     return M.compare_models(part("train"), part("test"), NAMES, val=part("val"), settings=SMALL)
 
@@ -123,18 +124,18 @@ def window_samples(spark, sf):
 
 @query()
 def window_classifier(spark, sf):
-    rows = window_samples(spark, sf).persist()
+    rows = materialize(window_samples(spark, sf))
     model = M.fit_windows(rows.filter("user % 5 < 4"), 3, max_iter=30)
     return M.score_windows(model, rows.filter("user % 5 = 4")).select("sample_id", "label", "prediction", "score")
 
 
 @query()
 def field_ablation(spark, sf):
-    rows = window_samples(spark, sf).persist()
+    rows = materialize(window_samples(spark, sf))
     return M.field_ablation(rows.filter("user % 5 < 4"), rows.filter("user % 5 = 4"), 3, kind="logistic", max_iter=20)
 
 
 @query()
 def training_history(spark, sf):
-    model = M.fit_windows(window_samples(spark, sf), 3, kind="logistic", max_iter=20)
+    model = M.fit_windows(materialize(window_samples(spark, sf)), 3, kind="logistic", max_iter=20)
     return M.training_history(spark, model)

@@ -6,7 +6,6 @@ import math
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,11 +74,19 @@ def platt_fit(df: DataFrame, label: str = "label", score: str = "score", max_ite
         counts.unpersist()
 
 
+def logistic_fit(train: DataFrame, label: str = "label", score: str = "score"):
+    """A one-variable logistic regression of the label on the score."""
+    rows = VectorAssembler(inputCols=[score], outputCol="_x").transform(
+        train.withColumn(label, F.col(label).cast("double")))
+    return LogisticRegression(featuresCol="_x", labelCol=label, regParam=0.0, predictionCol="_lp",
+                              probabilityCol="_prob", rawPredictionCol="_raw").fit(rows)
+
+
+def logistic_apply(model, df: DataFrame, score: str = "score") -> DataFrame:
+    """Add ``calibrated``; the fitted curve is two numbers, so this is a plain expression."""
+    return df.withColumn("calibrated", platt_apply(
+        F.col(score), float(model.coefficients[0]), float(model.intercept)))
+
+
 def logistic_calibrate(train: DataFrame, df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
-    """Calibrate ``df`` by a one-variable logistic regression fitted on ``train``."""
-    assemble = VectorAssembler(inputCols=[score], outputCol="_x")
-    model = LogisticRegression(featuresCol="_x", labelCol=label, regParam=0.0, predictionCol="_lp",
-                               probabilityCol="_prob", rawPredictionCol="_raw")
-    rows = assemble.transform(train.withColumn(label, F.col(label).cast("double")))
-    scored = model.fit(rows).transform(assemble.transform(df))
-    return scored.withColumn("calibrated", vector_to_array("_prob")[1]).drop("_x", "_lp", "_prob", "_raw")
+    return logistic_apply(logistic_fit(train, label, score), df, score)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from packetloom.functions.names import FEATURE_GROUPS, feature_group
 from packetloom.functions.scaling import PADDING
-from packetloom.operators.calibrate import logistic_calibrate
+from packetloom.operators.calibrate import logistic_apply, logistic_fit
 from packetloom.operators.metrics import (apply_threshold, averaged_metrics, binary_metrics, confusion,
                                           ranking_metrics, select_threshold)
 from packetloom.operators.tabular import vector_stages
@@ -61,6 +61,14 @@ def score_rows(model, df: DataFrame) -> DataFrame:
     return out.withColumns({"score": score, "prediction": F.col("prediction").cast("int")}).drop(*extra)
 
 
+def settle(metrics: DataFrame) -> DataFrame:
+    """A table of a few metric rows with its plan replaced by its values."""
+    rows = metrics.limit(10_001).collect()
+    if len(rows) > 10_000:
+        raise ValueError("too many metric rows to settle")
+    return metrics.sparkSession.createDataFrame(rows, metrics.schema)
+
+
 def evaluate(scored: DataFrame, label: str = "target", by: list[str] = ()) -> DataFrame:
     """All metrics of scored rows in one row per group."""
     keys = list(by) or ["_all"]
@@ -74,10 +82,9 @@ def evaluate(scored: DataFrame, label: str = "target", by: list[str] = ()) -> Da
 def calibrated_rows(val: DataFrame, test: DataFrame, label: str = "target", target_fpr: float = 0.001,
                     tie: str = "lower") -> tuple[DataFrame, DataFrame]:
     """Scores calibrated on validation, the threshold chosen there, and test predictions under it."""
-    on_val = logistic_calibrate(val, val, label)
-    threshold = select_threshold(on_val, [], label, "calibrated", target_fpr, tie)
-    on_test = logistic_calibrate(val, test, label)
-    return threshold, apply_threshold(on_test, threshold, score="calibrated")
+    fitted = logistic_fit(val, label)
+    threshold = settle(select_threshold(logistic_apply(fitted, val), [], label, "calibrated", target_fpr, tie))
+    return threshold, apply_threshold(logistic_apply(fitted, test), threshold, score="calibrated")
 
 
 def compare_models(train: DataFrame, test: DataFrame, names: list[str], models: list[str] = MODELS,
@@ -87,16 +94,19 @@ def compare_models(train: DataFrame, test: DataFrame, names: list[str], models:
     rows = []
     for model in models:
         fitted = fit_tabular(train, names, model, label, seed, **(settings or {}).get(model, {}))
-        scored = score_rows(fitted, test)
+        scored = score_rows(fitted, test).select(label, "prediction", "score").persist()
         row = evaluate(scored, label).withColumn("model", F.lit(model))
         if val is not None:
-            threshold, tuned = calibrated_rows(score_rows(fitted, val), scored, label, target_fpr)
-            after = binary_metrics(confusion(tuned, [], label)).select(F.struct(
-                F.col("fpr").alias("calibrated_test_fpr"), F.col("recall").alias("calibrated_recall"))).scalar()
-            macro = averaged_metrics(tuned, [], label).select("f1_macro").scalar()
-            row = row.withColumns({"selected_threshold": threshold.select("threshold").scalar(),
-                                   "calibrated_macro_f1": macro, "_after": after}).select("*", "_after.*").drop("_after")
-        rows.append(row)
+            on_val = score_rows(fitted, val).select(label, "prediction", "score")
+            threshold, tuned = calibrated_rows(on_val, scored, label, target_fpr)
+            after = evaluate(tuned.select(label, "prediction", F.col("calibrated").alias("score")), label)
+            row = row.join(F.broadcast(settle(threshold).select(
+                F.lit(model).alias("model"), F.col("threshold").alias("selected_threshold"))), "model")
+            row = row.join(F.broadcast(settle(after).select(
+                F.lit(model).alias("model"), F.col("f1_macro").alias("calibrated_macro_f1"),
+                F.col("fpr").alias("calibrated_test_fpr"), F.col("recall").alias("calibrated_recall"))), "model")
+        rows.append(settle(row))
+        scored.unpersist()
     return reduce(DataFrame.unionByName, rows)
 
 
@@ -120,7 +130,8 @@ def group_ablation(train: DataFrame, test: DataFrame, names: list[str], model: s
 
     def run(kept: list[str], removed: str) -> DataFrame:
         fitted = fit_tabular(train, kept, model, label, seed, **settings)
-        return evaluate(score_rows(fitted, test), label).withColumns(
+        scored = score_rows(fitted, test).select(label, "prediction", "score")
+        return settle(evaluate(scored, label)).withColumns(
             {"removed_group": F.lit(removed), "features_left": F.lit(len(kept))})
 
     rows = [run(names, "none")]
@@ -181,5 +192,6 @@ def field_ablation(train: DataFrame, test: DataFrame, length: int, label: str =
     rows = []
     for i, name in [(None, "none"), *enumerate(VECTOR_FIELDS)]:
         fitted = fit_windows(train, length, label=label, drop_field=i, **options)
-        rows.append(evaluate(score_windows(fitted, test, i), label).withColumn("removed_field", F.lit(name)))
+        scored = score_windows(fitted, test, i).select(label, "prediction", "score")
+        rows.append(settle(evaluate(scored, label)).withColumn("removed_field", F.lit(name)))
     return reduce(DataFrame.unionByName, rows)

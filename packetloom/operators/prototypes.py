@@ -28,8 +28,8 @@ def fit_centroids(train: DataFrame, label: str, features: Sequence[str] = SEGMEN
     listed = listed.select(F.when(F.col("_n") > MAX_CLASSES, many.cast(listed.schema["classes"].dataType))
                            .otherwise(F.col("classes")).alias("classes"))
     spread = rows.agg(F.array(*[F.stddev_pop(f) for f in features]).alias("s"))
-    scales = F.transform(one_row(spread)["s"], lambda s: F.when(s > 1e-6, s).otherwise(F.lit(1.0)))
-    return listed.withColumn("scales", scales)
+    scales = F.transform("_s", lambda s: F.when(s > 1e-6, s).otherwise(F.lit(1.0)))
+    return listed.withColumn("_s", one_row(spread)["s"]).withColumn("scales", scales).drop("_s")
 
 
 def predict_centroids(df: DataFrame, model: DataFrame, features: Sequence[str] = SEGMENT_FEATURES,
