@@ -88,8 +88,8 @@ def flow_table(spark, sf):
     return materialize(S.split_stratified(materialize(flows), "target", "sample_id"))
 
 
-SMALL = {"random_forest": {"numTrees": 20, "maxDepth": 8}, "decision_tree": {"maxDepth": 8},
-         "linear_svm": {"maxIter": 30}, "hist_gradient_boosting": {"maxIter": 10}}
+SMALL = {"random_forest": {"numTrees": 10, "maxDepth": 5}, "decision_tree": {"maxDepth": 5},
+         "linear_svm": {"maxIter": 10}, "hist_gradient_boosting": {"maxIter": 5, "maxDepth": 3}}
 NAMES = [f for f in FEATURES if f not in ("FlowSentRate", "FlowReceivedRate")]
 
 

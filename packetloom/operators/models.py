@@ -154,8 +154,11 @@ def flat_windows(samples: DataFrame, drop_field: int | None = None) -> DataFrame
     step = F.zip_with("features", "mask", lambda f, m: F.transform(
         f, lambda x, i: F.when((m == 0) | (i == (-1 if drop_field is None else drop_field)), F.lit(0.0)).otherwise(x)))
     out = samples.withColumn("_steps", step)
-    means = [F.aggregate("_steps", F.lit(0.0), lambda a, s, i=i: a + s[i]) / F.greatest(real, F.lit(1.0))
-             for i in range(fields)]
+
+    def mean_of(i: int):
+        return F.aggregate("_steps", F.lit(0.0), lambda a, s: a + s[i]) / F.greatest(real, F.lit(1.0))
+
+    means = [mean_of(i) for i in range(fields)]
     return out.withColumn("features", array_to_vector(F.concat(F.flatten("_steps"), F.array(*means)))).drop("_steps")
 
 
