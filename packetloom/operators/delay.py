@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,14 +93,16 @@ def delay_benchmark(rows: DataFrame, by: list[str], rows_per_piece: int = ROWS_P
     seconds, the other two in milliseconds; throughput is rows per second of inference.
     """
     rows = rows.withColumn("e2e_s", F.col("collection_s") + F.col("prep_s") + F.col("infer_s"))
+    cells = [F.struct(F.lit(c).alias("component"), F.col(f"{c}_s").alias("_seconds")) for c in COMPONENTS]
+    stats = summary_columns(rows.select(*by, F.inline(F.array(*cells))), "_seconds", [*by, "component"],
+                            rows_per_piece=rows_per_piece)
     wide = []
     for name in COMPONENTS:
         unit = "seconds" if name in ("collection", "e2e") else "ms"
-        stats = summary_columns(rows, f"{name}_s", by, rows_per_piece=rows_per_piece)
-        fields = ["mean", "median", "p50", "p95", "p99", "min", "max", "std"]
-        wide.append(stats.select(*by, *[F.col(f"{f}_{unit}").alias(f"{name}_{f}_{unit}") for f in fields]))
-    out = reduce(lambda left, right: left.join(right, by), wide)
-    return throughput(rows, by).join(out, by).withColumn("batch_size", F.lit(1))
+        wide += [F.max(F.when(F.col("component") == name, F.col(f"{stat}_{unit}"))).alias(f"{name}_{stat}_{unit}")
+                 for stat in ("mean", "median", "p50", "p95", "p99", "min", "max", "std")]
+    flat = stats.groupBy(*by).agg(*wide)
+    return throughput(rows, by).join(flat, by).withColumn("batch_size", F.lit(1))
 
 
 def throughput(rows: DataFrame, by: list[str], seconds: str = "infer_s") -> DataFrame:

@@ -127,8 +127,8 @@ def cap_captures(packets: DataFrame, max_packets: int | None = None, max_bytes:
     return cut.select(*columns)
 
 
-def cap_flow_packets(flow_packets: DataFrame, max_packets: int | None = None,
-                     max_bytes: int | None = None) -> DataFrame:
+def cap_flow_packets(flow_packets: DataFrame, max_packets: int | None = None, max_bytes: int | None = None,
+                     rows_per_piece: int = ROWS_PER_PIECE) -> DataFrame:
     """Packets a flow keeps under its caps, in capture order.
 
     A packet is refused when the flow is full, or when its own length would pass the byte cap; a
@@ -139,12 +139,12 @@ def cap_flow_packets(flow_packets: DataFrame, max_packets: int | None = None,
     if max_bytes is None:
         if max_packets is None:
             return flow_packets
-        return first_n(flow_packets, FLOW, ["packet_no"], max_packets)
+        return first_n(flow_packets, FLOW, ["packet_no"], max_packets, rows_per_piece=rows_per_piece)
     most = F.when(F.col("length") > 0, F.floor(F.lit(max_bytes) / F.col("length"))).otherwise(
         F.lit(max_packets if max_packets is not None else 2**62))
     if max_packets is not None:
         most = F.least(most, F.lit(max_packets))
-    candidates = first_n(flow_packets, FLOW + ["length"], ["packet_no"], most)
+    candidates = first_n(flow_packets, FLOW + ["length"], ["packet_no"], most, rows_per_piece=rows_per_piece)
     ordered = candidates.repartition(*FLOW).sortWithinPartitions(*FLOW, "packet_no")
     return ordered.mapInPandas(_greedy_fill(max_packets, max_bytes), ordered.schema)
 

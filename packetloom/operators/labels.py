@@ -37,7 +37,7 @@ def flow_class() -> Column:
 
 def cap_flows_per_capture(flows: DataFrame, n: int, order: list[str]) -> DataFrame:
     """At most n flows per capture, first in ``order``."""
-    return first_n(flows, ["source_id"], order, n)
+    return first_n(flows, ["source_id"], order, n, few_groups=True)
 
 
 def cap_flows_per_class(flows: DataFrame, n: int, order: list[str], task: str = "both") -> DataFrame:
@@ -52,7 +52,7 @@ def cap_flows_per_class(flows: DataFrame, n: int, order: list[str], task: str =
     rows = flows.withColumn("_quota", quota)
     if task == "l2":
         rows = rows.filter(F.col("_quota") != "non_doh")
-    return first_n(rows, ["_quota"], order, n).drop("_quota")
+    return first_n(rows, ["_quota"], order, n, few_groups=True).drop("_quota")
 
 
 def drop_flows_without_clumps(flows: DataFrame, clumps: DataFrame, keys: list[str]) -> DataFrame:
@@ -61,7 +61,7 @@ def drop_flows_without_clumps(flows: DataFrame, clumps: DataFrame, keys: list[st
 
 
 def cap_windows_per_class(samples: DataFrame, n: int, order: list[str]) -> DataFrame:
-    return first_n(samples, ["label"], order, n)
+    return first_n(samples, ["label"], order, n, few_groups=True)
 
 
 def cap_overflow(samples: DataFrame, kept: DataFrame) -> DataFrame:

@@ -115,8 +115,8 @@ def select_threshold(df: DataFrame, by: Sequence[str] = (), label: str = "label"
     Candidates are the scores, 0.5, 1.0, just above the largest score, and 0.0 with ``tie="higher"``.
     Among candidates within the cap: most recall, then (``higher``) least false positives and the
     higher threshold, or (``lower``) the lower threshold.  If none is within it: least false positives,
-    most recall, same tie rule.  A group without negatives gets 0.5 and ``feasible``; an empty input
-    gives no row (``with_empty_default`` fills it).
+    most recall, same tie rule.  A group without negatives gets 0.5 and ``feasible``; with no groups an
+    empty input gives 0.5 and not ``feasible``.
     """
     if tie not in ("higher", "lower"):
         raise ValueError("tie must be 'higher' or 'lower'")
@@ -124,7 +124,7 @@ def select_threshold(df: DataFrame, by: Sequence[str] = (), label: str = "label"
     counts = score_counts(df, by, label, score)
     marks = [F.lit(0.5), F.lit(1.0), F.max("score") + 1e-6] + ([F.lit(0.0)] if tie == "higher" else [])
     fixed = (counts.groupBy(*by).agg(F.array_distinct(F.array(*marks)).alias("_m"))
-             .select(*by, F.explode("_m").alias("score"), F.lit(0).cast("long").alias("pos"),
+             .select(*by, F.explode(F.array_compact("_m")).alias("score"), F.lit(0).cast("long").alias("pos"),
                      F.lit(0).cast("long").alias("neg")))
     merged = counts.unionByName(fixed).groupBy(*by, "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     ranked = _cumulative(merged, by, descending=True)
@@ -140,20 +140,15 @@ def select_threshold(df: DataFrame, by: Sequence[str] = (), label: str = "label"
     pick = F.struct("_tau", "_fpr")
     best = keyed.groupBy(*by).agg(
         F.max_by(F.when(F.col("_ok"), pick), F.when(F.col("_ok"), F.col("_good"))).alias("_a"),
-        F.max_by(pick, F.col("_least")).alias("_b"), F.max(n_neg).alias("_n"))
+        F.max_by(pick, F.col("_least")).alias("_b"), F.max(n_neg).alias("_n"),
+        F.max(n_pos + n_neg).alias("_rows"))
     chosen = F.coalesce("_a", "_b")
     none = F.col("_n") == 0
     return best.select(
         *by, F.when(none, F.lit(0.5)).otherwise(chosen["_tau"]).alias("threshold"),
         F.when(none, F.lit(0.0)).otherwise(chosen["_fpr"]).alias("fpr"),
-        F.when(none, F.lit(True)).otherwise(F.col("_a").isNotNull()).alias("feasible"))
-
-
-def with_empty_default(thresholds: DataFrame) -> DataFrame:
-    """The ungrouped threshold table, or (0.5, 0, not feasible) when it came from no rows."""
-    best = thresholds.agg(F.max(F.struct("threshold", "fpr", "feasible")).alias("t"))
-    empty = F.struct(F.lit(0.5).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(False).alias("feasible"))
-    return best.select(F.coalesce("t", empty).alias("t")).select("t.*")
+        F.when(F.col("_rows") == 0, F.lit(False)).when(none, F.lit(True))
+        .otherwise(F.col("_a").isNotNull()).alias("feasible"))
 
 
 def apply_threshold(df: DataFrame, thresholds: DataFrame, by: Sequence[str] = (), score: str = "score") -> DataFrame:

@@ -5,7 +5,7 @@ the wrong one for a group that holds a large share of the table, so the helpers
 
 ``by_heat``      plain windows for ordinary groups, a second form for the few busy ones.
 ``running``      running aggregates over (group, bucket) pieces plus one carry row per piece.
-``first_n``      the first n rows of each group, pruned on salted pieces first.
+``first_n``      the first n rows of each group, pruned on hashed pieces first.
 ``hash_cut``     an exact pseudo-random sample of k rows per class, without shuffling the rows.
 """
 
@@ -114,21 +114,28 @@ def running(df: DataFrame, by: Sequence[str], bucket: str, order: Sequence[str],
 
 
 def first_n(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], n: int | Column,
-            rank: str | None = None, salts: int = 64) -> DataFrame:
+            few_groups: bool = False, rows_per_piece: int = ROWS_PER_PIECE) -> DataFrame:
     """The first ``n`` rows of every group.
 
-    The rank is taken inside ``salts`` pieces of the group first, so no task sees a whole group: the
-    last step gets at most ``salts * n`` rows of it.  ``n`` may be a column that is constant per group.
+    Ordinary groups are ranked in one task.  Busy ones, and all groups with ``few_groups`` (classes, say),
+    are ranked in ever fewer hashed pieces, each of which passes on at most ``n`` rows, so no task sees a
+    whole group.  ``n`` may be a column that is constant per group.
     """
     keys = [F.col(o) if isinstance(o, str) else o for o in order]
     limit = n if isinstance(n, Column) else F.lit(n)
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(salts)))
-    piece = Window.partitionBy(*by, "_salt").orderBy(*keys)
-    kept = salted.withColumn("_rank", F.row_number().over(piece)).filter(F.col("_rank") <= limit)
-    group = Window.partitionBy(*by).orderBy(*keys)
-    kept = kept.withColumn("_rank", F.row_number().over(group)).filter(F.col("_rank") <= limit)
-    kept = kept.drop("_salt")
-    return kept.withColumnRenamed("_rank", rank) if rank else kept.drop("_rank")
+
+    def keep(rows: DataFrame, *extra: str) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy(*by, *extra).orderBy(*keys))
+        return rows.withColumn("_rank", rank).filter(F.col("_rank") <= limit).drop("_rank")
+
+    def in_pieces(rows: DataFrame) -> DataFrame:
+        for pieces in (4096, 64):
+            rows = keep(rows.withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(pieces))), "_salt")
+        return keep(rows.drop("_salt"))
+
+    if few_groups:
+        return in_pieces(df)
+    return by_heat(df, by, keep, in_pieces, rows_per_piece)
 
 
 def one_row(df: DataFrame) -> Column:

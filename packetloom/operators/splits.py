@@ -158,7 +158,7 @@ def _repair_moves(table: DataFrame, label: str, session: str, classes: list, see
     missing = [pair for pair, n in count.items() if n == 0]
     if not missing:
         return {}
-    firsts = first_n(table, [label], [seeded_hash(seed, F.col(session).cast("string"))], 4 * len(classes) + 8)
+    firsts = first_n(table, [label], [seeded_hash(seed, F.col(session).cast("string"))], 4 * len(classes) + 8, few_groups=True)
     names = F.broadcast(firsts.select(session).distinct())
     pool = (table.join(names, session).groupBy(session, "split")
             .agg(F.collect_set(label).alias("holds")).orderBy(session).collect())

@@ -87,7 +87,7 @@ def window_run(samples: DataFrame, length: int, protocol: str, kind: str = "perc
     on_val, on_test = (models.score_windows(model, part(p)).select("label", "score") for p in ("val", "test"))
     slope, intercept = K.platt_fit(on_val)
     curve = lambda df: df.withColumn("score", K.platt_apply(F.col("score"), slope, intercept))
-    threshold = models.settle(M.with_empty_default(M.select_threshold(curve(on_val), target_fpr=target_fpr)))
+    threshold = models.settle(M.select_threshold(curve(on_val), target_fpr=target_fpr))
     tau = threshold.first()
     tested = M.apply_threshold(curve(on_test), threshold).select("label", "prediction", "score")
     return models.settle(models.evaluate(tested, "label")).withColumns({

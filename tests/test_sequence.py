@@ -143,8 +143,9 @@ def test_flow_caps_match_a_plain_loop(spark, max_packets, max_bytes):
         if (max_packets is None or n < max_packets) and (max_bytes is None or b + r.length <= max_bytes):
             state[r.key, r.flow_no] = (n + 1, b + r.length)
             want.append((r.key, r.flow_no, r.packet_no))
-    kept = L.cap_flow_packets(got, max_packets, max_bytes)
-    assert sorted((r.key, r.flow_no, r.packet_no) for r in kept.collect()) == sorted(want)
+    for per_piece in (10**6, 20):
+        kept = L.cap_flow_packets(got, max_packets, max_bytes, per_piece)
+        assert sorted((r.key, r.flow_no, r.packet_no) for r in kept.collect()) == sorted(want)
     flows = L.summarise_flows(got, kept)
     assert flows.filter("truncated").count() > 0
     assert flows.agg(F.sum("packet_count")).first()[0] == len(want)
