@@ -69,7 +69,7 @@ class FlowProcessor(StatefulProcessor):
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         if later:
-            self.handle.registerTimer(max(p[0] for p in later) // 1000 + 1)
+            self.handle.registerTimer(min(p[0] for p in later) // 1000 + 1)
         if flow and flow["pkt_count"]:
             self.handle.registerTimer((flow["last_us"] + self.idle_us) // 1000 + 1)
 
