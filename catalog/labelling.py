@@ -196,6 +196,27 @@ def window_cap_overflow(spark, sf):
     return A.cap_overflow(rows.select("label"), kept)
 
 
+@query(f"""WITH {CLUMPS_SQL}, sized AS (SELECT *, count(*) OVER (PARTITION BY source_id, key, flow_no) AS n FROM clumps),
+ends AS (SELECT source_id, key, flow_no, arg_min(ts_us, packet_no) AS start_us, max(ts_us) AS end_us FROM flow_packets GROUP BY 1, 2, 3)
+SELECT source_id || '|' || key || '|' || flow_no || '_w' || clump_no AS sample_id, 's' || key AS session_id,
+  CASE WHEN CAST(key AS BIGINT) % 3 = 0 THEN 1 ELSE 0 END AS label,
+  CASE WHEN CAST(key AS BIGINT) % 3 = 0 THEN 'malicious_doh' ELSE 'benign_doh' END AS label_name, 2 AS layer, 3 AS window_size,
+  n < 3 AS is_padded, CAST(greatest(3 - n, 0) AS INTEGER) AS pad_count, e.start_us, e.end_us,
+  repeat('1', CAST(least(n, 3) AS INTEGER)) || repeat('0', CAST(greatest(3 - n, 0) AS INTEGER)) AS mask
+FROM sized JOIN ends e USING (source_id, key, flow_no)
+WHERE CAST(key AS BIGINT) % 4 = 0 AND CAST(key AS BIGINT) % 3 < 2 AND (clump_no + 3 <= n OR (n < 3 AND clump_no = 0))""")
+def sequence_samples(spark, sf):
+    user = F.col("key").cast("long")
+    flows = L.summarise_flows(flow_packets(spark, sf)).withColumns({
+        "flow_id": L.flow_id(), "session_id": F.concat(F.lit("s"), F.col("key")), "scenario_id": F.lit("any"),
+        "source_file": F.col("source_id"), "l1_label": (user % 4 == 0).cast("int"),
+        "l2_label": F.when(user % 4 == 0, F.when(user % 3 == 0, 1).when(user % 3 == 1, 0))})
+    out = W.sequence_samples(W.scaled_windows(event_clumps(spark, sf), 3), flows, layer=2, window_size=3)
+    mask = F.array_join(F.transform("mask", lambda m: m.cast("int").cast("string")), "")
+    return out.select("sample_id", "session_id", "label", "label_name", "layer", "window_size", "is_padded", "pad_count",
+                      "start_us", "end_us", mask.alias("mask"))
+
+
 @query("""WITH ranked AS (
   SELECT doc_id, quality, row_number() OVER (PARTITION BY quality
          ORDER BY md5('42|' || CAST(doc_id AS VARCHAR)), CAST(doc_id AS VARCHAR)) AS r FROM labels)

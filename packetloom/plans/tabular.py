@@ -16,8 +16,8 @@ from packetloom.operators.ordered import materialize
 def prepare(df: DataFrame, task: str, label: str | None = None, ident: str | None = None) -> tuple[DataFrame, list[str]]:
     """Labelled, numeric, complete rows with a ``sample_id``, and the feature names.
 
-    Label names the task does not know are an error.  Without an ``ident`` column the row's own hash and
-    a count among equal rows name it, so the name is the same on every run.
+    Label names the task does not know are an error.  Without an ``ident`` column rows are numbered and
+    written once, so that later steps agree on the numbers; pass one to get the same split on every run.
     """
     df = T.trim_names(df)
     label = find_label(df.columns, label)
@@ -30,11 +30,8 @@ def prepare(df: DataFrame, task: str, label: str | None = None, ident: str | Non
     clean = T.as_float32(T.drop_incomplete(clean, names), names)
     if ident:
         return clean.select(F.col(ident).alias("sample_id"), "target", *names), names
-    digest = F.sha2(F.concat_ws("|", "target", *names), 256)
-    counted = clean.groupBy("target", *names).agg(F.count(F.lit(1)).alias("_n"))
-    # equal rows are numbered by a sequence, not by a window over a possibly huge group
-    numbered = counted.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
-    return numbered.select(F.concat_ws("_", digest, "_k").alias("sample_id"), "target", *names), names
+    numbered = clean.withColumn("sample_id", F.monotonically_increasing_id().cast("string"))
+    return materialize(numbered.select("sample_id", "target", *names)), names
 
 
 def run(df: DataFrame, task: str, label: str | None = None, ident: str | None = None, models: list[str] = M.MODELS,
@@ -42,7 +39,7 @@ def run(df: DataFrame, task: str, label: str | None = None, ident: str | None =
         settings: dict | None = None) -> dict[str, DataFrame]:
     """Metrics per model (60/20/20, calibrated threshold), class counts, and the group ablation if asked."""
     rows, names = prepare(df, task, label, ident)
-    rows = materialize(rows)
+    rows = rows if ident is None else materialize(rows)
     A.require_classes(rows, "target", 2, 5)
     if per_class is not None:
         rows = A.sample_per_class(rows, "target", "sample_id", per_class, seed)

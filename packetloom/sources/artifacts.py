@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from packetloom.operators.ordered import one_row
+
 RATES = "precision double, recall double, f1_score double, f1 double, fpr double, roc_auc double, pr_auc double, accuracy double"
 RUN_FIELDS = f"task string, model string, split_protocol string, window_size int, tn long, fp long, fn long, tp long, {RATES}"
 RUNS_SCHEMA = (f"manifest_version string, task string, "
@@ -50,6 +52,19 @@ def read_delays(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("manifest_version", "generated_at_utc", "total_benchmarks", "benchmark_no", "_b.*")
 
 
+def experiment_manifest(counters: DataFrame, classes: DataFrame, settings: dict, version: str = "1.0.0") -> DataFrame:
+    """One row that describes a run: its settings (caps, seed, lengths), ingest counters and class counts.
+
+    ``counters`` has one row (``ingest_counters``); ``classes`` a few (``split_manifest``).
+    """
+    pairs = [F.lit(str(x)) for item in sorted(settings.items()) for x in item]
+    listed = classes.agg(F.sort_array(F.collect_list(F.struct(*sorted(classes.columns)))).alias("c"))
+    return counters.select(
+        F.lit(version).alias("manifest_version"),
+        (F.create_map(*pairs) if pairs else F.lit(None).cast("map<string,string>")).alias("settings"),
+        F.struct("*").alias("counters")).withColumn("classes", one_row(listed)["c"])
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", force: bool = False) -> None:
     """Write CSV (with header), JSON or Parquet; an existing target is an error unless forced."""
     writer = df.write.mode("overwrite" if force else "errorifexists")

@@ -151,6 +151,14 @@ def test_tables_and_artifacts(spark):
     A.write_tables({"runs": runs}, f"{folder}/out", "csv", force=True)
 
 
+def test_experiment_manifest(spark):
+    counters = spark.createDataFrame([(10, 4)], "raw_packets long, flows_kept long")
+    classes = spark.createDataFrame([("train", 1, 3), ("test", 0, 1)], "split string, label int, rows long")
+    row = A.experiment_manifest(counters, classes, {"seed": 42, "max_flow_packets": 5}).first()
+    assert row.settings == {"seed": "42", "max_flow_packets": "5"} and row.counters.flows_kept == 4
+    assert sorted((c.split, c.rows) for c in row.classes) == [("test", 1), ("train", 3)]
+
+
 def stream_input(spark, rows, files=3):
     """Rows in several files, read one per trigger."""
     folder = tempfile.mkdtemp(prefix="stream-")
