@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from packetloom.llm import exact_dedup, mixing
+from packetloom.llm import bpe, exact_dedup, mixing
 from packetloom.llm.tables import documents
 
 QUERIES, ORACLE = {}, {}
 
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+PATTERN = public_tokenizers.PATTERN
+
 
 def query(sql: str | None = None):
     def add(fn):
@@ -62,6 +67,13 @@ def op1_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(documents(spark, sf)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query()
+def op6_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    encoded = bpe.encode(documents(spark, sf), RANKS, PATTERN)
+    return bpe.decode(encoded, RANKS, PATTERN).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 @query(r"""
 WITH t AS (
   SELECT doc_id, length(coalesce(text, '')) AS n,
