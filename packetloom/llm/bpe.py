@@ -12,6 +12,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -129,7 +130,7 @@ def _coder(shared, pattern: str) -> Coder:
 
 def _slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows of about BATCH_BYTES, so that what is made of them stays small."""
-    sizes = np.cumsum([len(v) if v is not None else 0 for v in batch.column(column)]) if batch.num_rows else []
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
     start = 0
     while start < batch.num_rows:
         floor = sizes[start - 1] if start else 0
