@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm import bpe, exact_dedup, mixing
+from packetloom.llm import bpe, exact_dedup, jaccard_join, mixing
 from packetloom.llm.tables import documents
 
 QUERIES, ORACLE = {}, {}
@@ -85,3 +85,8 @@ FROM t
 WINDOW best AS (PARTITION BY norm ORDER BY n DESC, doc_id)""")
 def op7_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup.equal_texts(documents(spark, sf))
+
+
+@query()
+def op8_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard_join.similar_documents(documents(spark, sf))
