@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm import bpe, exact_dedup, jaccard_join, mixing
+from packetloom.llm import bpe, exact_dedup, jaccard_join, mixing, quality, secrets
 from packetloom.llm.tables import documents
 
 QUERIES, ORACLE = {}, {}
@@ -90,3 +90,25 @@ def op7_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def op8_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard_join.similar_documents(documents(spark, sf))
+
+
+@query()
+def op5_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    docs, ledger = documents(spark, sf), secrets.new_ledger(spark)
+    secrets.scan(docs, ledger)
+    base = [r.name for r in secrets.BASE]
+    marks = F.transform("spans", lambda s: F.concat_ws(
+        ":", F.substring_index(s["rule"], "@", 1), s["start"], s["end"]))
+    own = F.transform(F.filter("spans", lambda s: s["rule"].isin(base)), lambda s: F.concat_ws(
+        ":", F.substring_index(s["rule"], "@", 1), s["start"], s["end"]))
+
+    def count(rule):
+        return F.size(F.filter("spans", lambda s: s["rule"] == rule.name)).cast("long").alias(f"n_{rule.kind}")
+    return secrets.findings(docs, ledger).select(
+        "doc_id", *[count(r) for r in secrets.BASE], F.sha2(F.array_join(own, ","), 256).alias("base_sha256"),
+        F.array_join(marks, ",").alias("spans"))
+
+
+@query()
+def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.score(documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"))
