@@ -1,5 +1,7 @@
-"""The corpus queries as the driver's contract names them."""
+"""The corpus queries and the pipeline as the driver's contract names them."""
 
-from packetloom.llm.queries import ORACLE, QUERIES
+import corpus_pipeline
+from packetloom.llm import queries
 
-__all__ = ["ORACLE", "QUERIES"]
+QUERIES = {**queries.QUERIES, "pipeline": corpus_pipeline.run}
+ORACLE = {**queries.ORACLE, **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})}
