@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm import bpe, exact_dedup, jaccard_join, mixing, quality, secrets
+from packetloom.llm import bpe, exact_dedup, fingerprints, jaccard_join, mixing, quality, secrets
 from packetloom.llm.tables import documents
 
 QUERIES, ORACLE = {}, {}
@@ -112,3 +112,8 @@ def op5_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality.score(documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"))
+
+
+@query()
+def op2_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return fingerprints.compare(documents(spark, sf))
