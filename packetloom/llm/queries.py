@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm import bpe, exact_dedup, fingerprints, jaccard_join, mixing, quality, secrets
+from packetloom.llm import bpe, exact_dedup, fingerprints, jaccard_join, mixing, pii, quality, secrets
 from packetloom.llm.tables import documents
 
 QUERIES, ORACLE = {}, {}
@@ -117,3 +117,15 @@ def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def op2_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return fingerprints.compare(documents(spark, sf))
+
+
+@query()
+def op9_pii(spark: SparkSession, sf: str) -> DataFrame:
+    def marks(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return pii.spans(documents(spark, sf)).select(
+        "doc_id", *[count(k) for k in pii.KINDS], F.sha2(marks("base"), 256).alias("base_sha256"),
+        marks("all_spans").alias("spans"))
