@@ -90,12 +90,11 @@ def _sizes(docs: DataFrame, words: int) -> DataFrame:
 def _packed(docs: DataFrame, words: int, n_ranges: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sets = [shingles(t, words) for t in batch["text"]]
-            if not any(map(len, sets)):
-                continue
-            own = np.repeat(batch["doc_id"].to_numpy(np.int64), [len(s) for s in sets])
-            keys = np.concatenate(sets)
-            yield shared_keys.pack(keys, own, np.zeros(len(keys), np.uint32), n_ranges, int(own[0]))
+            ids, texts = batch["doc_id"].to_numpy(np.int64), batch["text"].tolist()
+            for part in shared_keys.slices(texts):
+                sets = [shingles(t, words) for t in texts[part]]
+                own = np.repeat(ids[part], [len(s) for s in sets])
+                yield shared_keys.pack(np.concatenate(sets), own, np.zeros(len(own), np.uint32), n_ranges)
     return docs.select("doc_id", "text").filter("doc_id IS NOT NULL").mapInPandas(run, shared_keys.PACKED)
 
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm import bpe, exact_dedup, fingerprints, jaccard_join, mixing, pii, quality, secrets
+from packetloom.llm import bpe, exact_dedup, fingerprints, jaccard_join, language_model, mixing, pii, quality, secrets, suffix_dedup
 from packetloom.llm.tables import documents
 
 QUERIES, ORACLE = {}, {}
@@ -129,3 +129,14 @@ def op9_pii(spark: SparkSession, sf: str) -> DataFrame:
     return pii.spans(documents(spark, sf)).select(
         "doc_id", *[count(k) for k in pii.KINDS], F.sha2(marks("base"), 256).alias("base_sha256"),
         marks("all_spans").alias("spans"))
+
+
+@query()
+def op4_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix_dedup.without_repeats(documents(spark, sf)).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query()
+def op3_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
+    return language_model.score(documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"))

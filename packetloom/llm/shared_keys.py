@@ -1,25 +1,56 @@
 """Finding keys that occur in more than one document, without a row per key.
 
-A worker packs the keys of many documents into one row per key range.  A range is sorted in one go; its rows say, for
-each document, which of its keys another document has too.  Keys that recur inside one batch are known to be shared
-at once and travel a single time, so a key held by very many documents weighs one entry per batch.
+A worker packs the keys of some megabytes of text into one row per key range, in document order so that documents and
+places shrink to small differences.  One task sorts one range at a time; its rows say which entries, per document,
+have a key that another document has too.  Keys that recur inside one batch are known to be shared at once and travel
+a single time, so a key held by very many documents weighs one entry per batch.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 
-PACKED = "range int, keys binary, docs binary, places binary, found binary"
+PACKED = "range int, keys binary, docs binary, counts binary, places binary, known binary, found binary"
+COLUMNS = ["range", "keys", "docs", "counts", "places", "known", "found"]
+
+ENTRY = np.dtype([("doc", "<i8"), ("place", "<u4")])
+
+# Text that a worker packs at a time.
+BATCH_CHARS = 4 << 20
 
 
 def ranges_for(units: int, per_range: int) -> int:
-    """Number of key ranges for about ``per_range`` keys in each."""
+    """Number of key ranges for about ``per_range`` units of input in each."""
     return max(12, -(-units // per_range))
 
 
-ENTRY = np.dtype([("doc", "<i8"), ("place", "<u4")])
-KNOWN = -(1 << 62)  # stands for the document of a key already known to be shared
+def slices(texts: list, most: int = BATCH_CHARS) -> Iterator[slice]:
+    """Runs of texts of about ``most`` characters."""
+    start = size = 0
+    for i, text in enumerate(texts):
+        size += len(text or "")
+        if size >= most:
+            yield slice(start, i + 1)
+            start, size = i + 1, 0
+    if start < len(texts):
+        yield slice(start, len(texts))
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Little-endian integers, all first bytes before all second ones: the high bytes then compress to nothing."""
+    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+
+
+def _from_planes(raw: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(raw, np.uint8).reshape(size, -1).T.copy().view(kind).ravel()
+
+
+def _steps(values: np.ndarray) -> np.ndarray:
+    return np.diff(values, prepend=values.dtype.type(0))
 
 
 def _groups(keys: np.ndarray, docs: np.ndarray):
@@ -30,48 +61,92 @@ def _groups(keys: np.ndarray, docs: np.ndarray):
     return starts, sizes, several
 
 
-def _entries(docs: np.ndarray, places: np.ndarray) -> np.ndarray:
+def entries(docs: np.ndarray, places: np.ndarray) -> np.ndarray:
     out = np.empty(len(docs), ENTRY)
     out["doc"], out["place"] = docs, places
     return out
 
 
-def pack(keys: np.ndarray, docs: np.ndarray, places: np.ndarray, n_ranges: int, salt: int) -> pd.DataFrame:
-    """Rows of PACKED from parallel arrays (uint64, int64, uint32).
+def pack(keys: np.ndarray, docs: np.ndarray, places: np.ndarray, n_ranges: int, width: int = 8,
+         collapse: bool = True) -> pd.DataFrame:
+    """Rows of PACKED from parallel arrays (uint64, int64, uint32) in the order of documents and places.
 
-    ``found`` holds (document, place) entries already known to be shared; they travel in a row of their own with a
-    negative range.
+    ``width`` low bytes of a key are sent beside its range: 8 keep it whole, 4 do for a filter that may pass a few
+    keys too many.  With ``collapse``, ``found`` holds the entries already known to be shared, in a row of its own
+    with a negative range; without, every entry travels.
     """
-    rows = []
-    if len(keys):
+    if not len(keys):
+        return pd.DataFrame(columns=COLUMNS)
+    rows: dict[int, dict] = {}
+    known = np.zeros(len(keys), bool)
+    if collapse:
         order = np.argsort(keys)
-        keys, docs, places = keys[order], docs[order], places[order]
-        starts, sizes, several = _groups(keys, docs)
-        known = np.repeat(several, sizes)
-        sent = ~known
-        sent[starts[several]] = True
-        sent_docs = np.where(known, KNOWN, docs)[sent]
-        sent_keys, sent_places = keys[sent], places[sent]
-        which = ((sent_keys >> np.uint64(32)) * np.uint64(n_ranges) >> np.uint64(32)).astype(np.int64)
-        cuts = np.searchsorted(which, np.arange(n_ranges + 1))
-        for r in np.flatnonzero(np.diff(cuts)):
-            part = slice(cuts[r], cuts[r + 1])
-            rows.append((int(r), sent_keys[part].tobytes(), sent_docs[part].tobytes(), sent_places[part].tobytes(), b""))
-        if known.any():
-            rows.append((-1 - salt % 1_000_003, b"", b"", b"", _entries(docs[known], places[known]).tobytes()))
-    return pd.DataFrame(rows, columns=["range", "keys", "docs", "places", "found"])
-
-
-def shared_entries(rows: pd.DataFrame) -> np.ndarray:
-    """The (doc, place) entries, out of all rows of one range, whose key another document has too."""
+        starts, sizes, several = _groups(keys[order], docs[order])
+        known[order] = np.repeat(several, sizes)
+        once = order[starts[several]]
+        for r, own in _dealt(keys, once, n_ranges):
+            rows.setdefault(r, _row(r))["known"] = _low_bytes(keys[own], width)
+        if len(once):
+            rows[-1] = _row(-1 - int(keys[once[0]] >> np.uint64(34))) | {
+                "found": entries(docs[known], places[known]).tobytes()}
+    for r, own in _dealt(keys, np.flatnonzero(~known), n_ranges):
+        heads = np.flatnonzero(np.r_[True, docs[own][1:] != docs[own][:-1]])
+        rows.setdefault(r, _row(r)).update({
+            "keys": _low_bytes(keys[own], width), "docs": _planes(_steps(docs[own][heads])),
+            "counts": _planes(np.diff(np.r_[heads, len(own)]).astype(np.uint32)),
+            "places": _planes(_steps(places[own]))})
+    return pd.DataFrame(list(rows.values()), columns=COLUMNS)
+
+
+def _row(name: int) -> dict:
+    return dict.fromkeys(COLUMNS, b"") | {"range": name}
+
+
+def _low_bytes(keys: np.ndarray, width: int) -> bytes:
+    return keys.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _dealt(keys: np.ndarray, picked: np.ndarray, n_ranges: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The picked entries of each key range, in their order."""
+    which = ((keys[picked] >> np.uint64(32)) * np.uint64(n_ranges) >> np.uint64(32)).astype(np.int32)
+    order = np.argsort(which, kind="stable")
+    cuts = np.searchsorted(which[order], np.arange(n_ranges + 1))
+    for r in np.flatnonzero(np.diff(cuts)):
+        yield int(r), picked[order[cuts[r]:cuts[r + 1]]]
+
+
+def _keys_of(raw: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(raw) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
+    return out.view("<u8").ravel()
+
+
+def unpack(rows: pd.DataFrame, width: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, documents and places of all rows of one range, and the keys known to be shared."""
+    keys = _keys_of(b"".join(rows["keys"]), width)
+    docs, places = np.empty(len(keys), np.int64), np.empty(len(keys), np.uint32)
+    at = 0
+    for row in rows.itertuples(index=False):
+        if row.docs:
+            own = np.repeat(np.cumsum(_from_planes(row.docs, "<i8")), _from_planes(row.counts, "<u4"))
+            docs[at:at + len(own)] = own
+            places[at:at + len(own)] = np.cumsum(_from_planes(row.places, "<u4"), dtype=np.uint32)
+            at += len(own)
+    return keys, docs, places, _keys_of(b"".join(rows["known"]), width)
+
+
+def shared_entries(rows: pd.DataFrame, width: int = 8) -> np.ndarray:
+    """The entries, out of all rows of one range, whose key another document has too."""
     found = np.frombuffer(b"".join(rows["found"]), dtype=ENTRY)
-    keys = np.frombuffer(b"".join(rows["keys"]), dtype="<u8")
+    keys, docs, places, known = unpack(rows, width)
     if not len(keys):
         return found
-    docs = np.frombuffer(b"".join(rows["docs"]), dtype="<i8")
-    places = np.frombuffer(b"".join(rows["places"]), dtype="<u4")
     order = np.argsort(keys)
-    keys, docs, places = keys[order], docs[order], places[order]
-    _, sizes, several = _groups(keys, docs)
-    hit = np.repeat(several, sizes) & (docs != KNOWN)
-    return np.concatenate([found, _entries(docs[hit], places[hit])])
+    ordered, docs, places = keys[order], docs[order], places[order]
+    starts, sizes, several = _groups(ordered, docs)
+    if len(known):
+        known = np.sort(known)
+        at = np.minimum(np.searchsorted(known, ordered[starts]), len(known) - 1)
+        several |= known[at] == ordered[starts]
+    hit = np.repeat(several, sizes)
+    return np.concatenate([found, entries(docs[hit], places[hit])])
