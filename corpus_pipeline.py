@@ -36,11 +36,15 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Add the number of tokens, the digest of the ids and whether they decode to the text."""
-    encoded = bpe.encode(docs, RANKS, PATTERN, keep=tuple(docs.columns))
+    """Add the number of tokens, the digest of the ids and whether they decode to the text.
+
+    A column that has one of the new names gives way.
+    """
+    kept = tuple(c for c in docs.columns if c not in ("n_tokens", "ids", "decoded", "ids_sha256", "round_trip"))
+    encoded = bpe.encode(docs, RANKS, PATTERN, keep=kept)
     decoded = bpe.decode(encoded, RANKS, PATTERN)
     same = F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    return decoded.select(*docs.columns, "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), same.alias("round_trip"))
+    return decoded.select(*kept, "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), same.alias("round_trip"))
 
 
 STAGES = [("quality", judge), ("exact_dedup", drop_exact), ("jaccard_join", drop_near), ("mix", mix),

@@ -95,8 +95,14 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it; doc_id must be unique and not null."""
-    copies = mix(docs, **options).filter("copies > 0").select(F.col("doc_id").alias("_mix_id"), "copies")
-    return (docs.join(copies, docs["doc_id"] == copies["_mix_id"])
-            .withColumn("_copy", F.explode(F.expr("sequence(1L, copies)")))
-            .select(*[docs[c] for c in docs.columns]))
+    """The rows of ``docs``, each as often as the mix takes it.
+
+    Rows that agree in doc_id (null included), source and size are taken alike: as often as any of them is.
+    """
+    taken = mix(docs, **options).groupBy("doc_id", "source", "size").agg(F.max("copies").alias("_copies")).filter(
+        "_copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"),
+                              F.col("size").alias("_size"), "_copies")
+    marked = docs.select("*", n_words(text_or_empty()).alias("_own_size"))
+    return (marked.join(taken, marked["doc_id"].eqNullSafe(taken["_id"]) & (marked["_own_size"] == taken["_size"])
+                        & marked["source"].eqNullSafe(taken["_source"]))
+            .withColumn("_copy", F.explode(F.expr("sequence(1L, _copies)"))).select(*[marked[c] for c in docs.columns]))

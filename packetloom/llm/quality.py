@@ -137,9 +137,11 @@ def votes(terms: np.ndarray, model: dict) -> np.ndarray:
     return np.where(pull.sum(1) > 1e-9, np.clip(score, 0, 1), model["mean"])
 
 
-def score(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",), prefix: str = "") -> DataFrame:
     """The ``keep`` columns of each row with held_out, score (0 to 1, higher: better) and predicted (0 or 1).
 
+    ``prefix`` goes before the new names.
+
     Rows whose crc32 of doc_id is a multiple of FOLDS are never learned from.  Only the text is scored: a null text
     is empty, and texts without words get the mean label of the voters; so do all texts if no label can be used
     (0.5 then).  Null or other labels are passed over, a document labelled twice counts twice.  Repeated rows get
@@ -160,10 +162,12 @@ def score(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",
     rows = (docs.select(*[docs[c].alias(n) for c, n in zip(keep, names)], docs["text"].alias("_text"))
             .mapInArrow(run, ", ".join([*fields, "score double"])))
     doc_id = F.col(names[keep.index("doc_id")])
-    return rows.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], (fold(doc_id) == 0).alias("held_out"),
-                       "score", (F.col("score") >= ACCEPTED).cast("int").alias("predicted"))
+    return rows.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], (fold(doc_id) == 0).alias(f"{prefix}held_out"),
+                       F.col("score").alias(f"{prefix}score"),
+                       (F.col("score") >= ACCEPTED).cast("int").alias(f"{prefix}predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier accepts, with all their columns."""
-    return score(docs, labels, keep=tuple(docs.columns)).filter("predicted = 1").select(*docs.columns)
+    judged = score(docs, labels, keep=("doc_id", *[c for c in docs.columns if c != "doc_id"]), prefix="_judged_")
+    return judged.filter("_judged_predicted = 1").select(*docs.columns)

@@ -49,3 +49,9 @@ def prefix_sums(df: DataFrame, by: Sequence[str], order: Sequence[Column], sums:
     return (ranged.select("*", keys[0]).join(carry, ["_by", "_range"])
             .withColumns({k: F.sum(v).over(within) + F.col(f"_before_{k}") for k, v in sums.items()})
             .drop("_by", "_range", *[f"_before_{k}" for k in sums]))
+
+
+def one_of_each(rows: DataFrame, source: DataFrame, key: Sequence[str]) -> DataFrame:
+    """``rows`` (some of ``source``) with one row for each ``key``; rows are only dealt out again if any key repeats."""
+    repeated = source.select(*key).groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    return rows if repeated.isEmpty() else rows.dropDuplicates(list(key))
