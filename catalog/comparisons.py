@@ -49,12 +49,12 @@ runs AS (SELECT run_no, task, model, split_protocol, window_size, coalesce(tp /
 def baseline(spark, sf):
     """Stand-in for published figures: order statistics of ``orders`` per status and priority."""
     o = load(spark, sf, "orders")
-    seq = o.filter("o_orderstatus <> 'P'").groupBy(
+    seq = o.groupBy(
         F.when(F.col("o_orderstatus") == "O", "l1").otherwise("l2").alias("task"),
         (F.col("o_custkey") % 10 + 1).cast("int").alias("window_size")).agg(
             F.round(F.avg("o_totalprice") / 1e6, 9).alias("f1_score"), F.max("o_totalprice").alias("mean_s"))
     seq = seq.withColumns({"paradigm": F.lit("sequence"), "model": F.lit("lstm")})
-    stat = o.filter("o_orderstatus <> 'P'").groupBy(
+    stat = o.groupBy(
         F.when(F.col("o_orderstatus") == "O", "l1").otherwise("l2").alias("task")).agg(
             F.round(F.avg("o_totalprice") / 1e6, 9).alias("f1_score"), F.max("o_totalprice").alias("mean_s"))
     stat = stat.withColumns({"paradigm": F.lit("statistical"), "model": F.lit("random_forest"),
@@ -69,14 +69,14 @@ def baseline(spark, sf):
 BASE_SQL = """base AS (
   SELECT 'sequence' AS paradigm, CASE WHEN o_orderstatus = 'O' THEN 'l1' ELSE 'l2' END AS task, 'lstm' AS model,
     CAST(o_custkey % 10 + 1 AS INTEGER) AS window_size, round(avg(o_totalprice) / 1e6, 9) AS f1_score, max(o_totalprice) AS mean_s
-  FROM orders WHERE o_orderstatus <> 'P' GROUP BY 2, 4
+  FROM orders GROUP BY 2, 4
   UNION ALL SELECT 'statistical', CASE WHEN o_orderstatus = 'O' THEN 'l1' ELSE 'l2' END, 'random_forest', NULL,
-    round(avg(o_totalprice) / 1e6, 9), max(o_totalprice) FROM orders WHERE o_orderstatus <> 'P' GROUP BY 2)"""
+    round(avg(o_totalprice) / 1e6, 9), max(o_totalprice) FROM orders GROUP BY 2)"""
 
 
 def evidence(spark, sf):
     """Tabular evidence per task and model: rates of ``lineitem`` groups; only some are calibrated."""
-    li = load(spark, sf, "lineitem").filter("l_linestatus = 'O'")
+    li = load(spark, sf, "lineitem")
     model = F.element_at(F.array(*[F.lit(m) for m in C.TABULAR_MODELS], F.lit("other")), (F.col("l_linenumber") % 6 + 1))
     g = li.groupBy(F.lit("l1").alias("task"), model.alias("model")).agg(
         F.round(F.avg("l_discount"), 9).alias("default_macro_f1"), F.round(F.avg("l_tax"), 9).alias("default_fpr"))
@@ -86,7 +86,7 @@ def evidence(spark, sf):
 
 
 EV_SQL = f"""ev AS (SELECT 'l1' AS task, list_extract([{', '.join(repr(m) for m in C.TABULAR_MODELS)}, 'other'], l_linenumber % 6 + 1) AS model,
-    round(avg(l_discount), 9) AS f1_score, round(avg(l_tax), 9) AS fpr FROM lineitem WHERE l_linestatus = 'O' GROUP BY 2)"""
+    round(avg(l_discount), 9) AS f1_score, round(avg(l_tax), 9) AS fpr FROM lineitem GROUP BY 2)"""
 
 
 def tidy(df):

@@ -93,16 +93,21 @@ def session_ids(spark, sf):
     return page_paths(spark, sf).select("page_id", P.session_id(F.col("path")).alias("session_id"))
 
 
-# Documents as TLS segments: a record header from the document, then its text.
+# Documents as TLS segments: each 16,000 bytes of text in a record of its own, the last one with the rest.
 @query("""WITH d AS (SELECT doc_id, octet_length(encode(text)) AS n, doc_id % 5 AS kind, lang FROM documents)
-SELECT doc_id, CAST(CASE WHEN kind < 3 AND least(n, 60000) >= 40 THEN least(n, 60000) END AS BIGINT) AS app_bytes FROM d""")
+SELECT doc_id, CAST(CASE WHEN kind < 3 AND n >= 40 THEN n END AS BIGINT) AS app_bytes FROM d""")
 def tls_app_bytes(spark, sf):
     docs = load(spark, sf, "documents")
-    size = F.least(F.octet_length("text"), F.lit(60_000))
+    body, step = F.hex(F.encode("text", "utf-8")), 16_000
     kind = F.when(F.col("doc_id") % 5 < 3, "170303").when(F.col("doc_id") % 5 == 3, "160301").otherwise("170403")
-    header = F.unhex(F.concat(kind, F.lpad(F.hex(size), 4, "0")))
-    segment = F.concat(header, F.encode("text", "utf-8"))
-    return docs.select("doc_id", tls_application_bytes(segment).alias("app_bytes"))
+    starts = F.sequence(F.lit(0), F.greatest(F.octet_length("text") - 1, F.lit(0)), F.lit(step))
+    rows = docs.select("doc_id", body.alias("body"), kind.alias("kind"), starts.alias("starts"))
+
+    def record(start):
+        part = F.substring("body", 2 * start + 1, F.lit(2 * step))
+        return F.concat("kind", F.lpad(F.hex(F.length(part) / 2), 4, "0"), part)
+    segment = F.unhex(F.array_join(F.transform("starts", record), ""))
+    return rows.select("doc_id", tls_application_bytes(segment).alias("app_bytes"))
 
 
 RESOLVERS_SQL = """flow_rows AS (
@@ -170,6 +175,29 @@ def capture_cap(spark, sf):
     return A.cap_flows_per_capture(labelled_flows(spark, sf), 5, ["first_no"]).select("key", "flow_no")
 
 
+# Flows in reading order, one row at a time: what is kept, and how full classes and captures are by then.
+BOTH_QUOTAS_SQL = f"""WITH RECURSIVE {FLOWS_SQL}, {RESOLVERS_SQL},
+line AS (SELECT CAST(key AS BIGINT) % 40 AS capture, key, flow_no, class,
+                row_number() OVER (ORDER BY CAST(key AS BIGINT) % 40, first_no) AS place FROM classed),
+step AS (SELECT 0::BIGINT AS place, -1::BIGINT AS capture, NULL::VARCHAR AS key, NULL::BIGINT AS flow_no, false AS kept,
+                0::BIGINT AS held, 0::BIGINT AS n0, 0::BIGINT AS n1, 0::BIGINT AS n2
+         UNION ALL
+         SELECT place, capture, key, flow_no, kept, held + kept::INT, n0 + (kept AND class = 'non_doh')::INT,
+                n1 + (kept AND class = 'benign_doh')::INT, n2 + (kept AND class = 'malicious_doh')::INT
+         FROM (SELECT l.place, l.capture, l.key, l.flow_no, l.class, s.n0, s.n1, s.n2,
+                      CASE WHEN l.capture = s.capture THEN s.held ELSE 0 END AS held,
+                      (CASE WHEN l.capture = s.capture THEN s.held ELSE 0 END) < 30 AND
+                      CASE l.class WHEN 'non_doh' THEN s.n0 WHEN 'benign_doh' THEN s.n1 ELSE s.n2 END < 120 AS kept
+               FROM step s JOIN line l ON l.place = s.place + 1))
+SELECT key, flow_no FROM step WHERE kept"""
+
+
+@query(BOTH_QUOTAS_SQL)
+def both_quotas(spark, sf):
+    flows = labelled_flows(spark, sf).withColumn("source_id", F.col("key").cast("long") % 40)
+    return A.cap_flows(flows, 30, 120, ["source_id", "first_no"]).select("key", "flow_no")
+
+
 def windows_with_labels(spark, sf):
     out = W.scaled_windows(event_clumps(spark, sf), 3)
     return out.withColumn("label", (F.col("key").cast("long") % 4 == 0).cast("int"))

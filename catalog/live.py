@@ -19,20 +19,20 @@ def event_frames(spark, sf):
     """Each event as an Ethernet/IPv4/TCP frame with one TLS record, built byte by byte in Spark."""
     e = load(spark, sf, "events")
     k = F.get_json_object("props", "$.k").cast("long")
-    size = F.least(F.round(F.col("value") * 100).cast("long"), F.lit(1400))
+    size = F.round(F.col("value") * 100).cast("long")
     hexed = lambda x, digits: F.lpad(F.hex(x.cast("long")), digits, "0")
     flags = F.when(F.col("event_type") == "error", F.lit("04")).otherwise(F.lit("18"))
     text = F.concat(
         F.lit("020000000001020000000002" + "0800" + "4500"), hexed(size + 45, 4), F.lit("00010000" + "4006" + "0000" + "0A0000"),
         hexed(F.col("user_id") % 50, 2), F.lit("0A0000"), hexed(k % 50, 2), hexed(F.col("user_id") % 3 + 1000, 4),
         hexed(k % 3 + 1000, 4), F.lit("00000001" + "00000001" + "50"), flags, F.lit("0400" + "0000" + "0000"),
-        F.lit("170303"), hexed(size, 4), F.expr("repeat('AB', cast(least(round(value * 100), 1400) as int))"))
+        F.lit("170303"), hexed(size, 4), F.expr("repeat('AB', cast(round(value * 100) as int))"))
     return e.select(F.lit("events").alias("source_id"), F.col("event_id").alias("packet_no"), micros("ts").alias("ts_us"),
                     F.unhex(text).alias("frame"))
 
 
 @query("""WITH e AS (SELECT event_id, epoch_us(ts) AS ts_us, user_id AS u, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
-    event_type, least(CAST(round(value * 100) AS BIGINT), 1400) AS n FROM events)
+    event_type, CAST(round(value * 100) AS BIGINT) AS n FROM events)
 SELECT 'events' AS source_id, event_id AS packet_no, ts_us, '10.0.0.' || (u % 50) AS src_ip, CAST(u % 3 + 1000 AS INTEGER) AS src_port,
   '10.0.0.' || (k % 50) AS dst_ip, CAST(k % 3 + 1000 AS INTEGER) AS dst_port, CASE WHEN event_type = 'error' THEN 4 ELSE 24 END AS flags,
   n + 59 AS frame_bytes, n + 5 AS payload_bytes, CASE WHEN n >= 40 THEN n END AS app_bytes FROM e""")

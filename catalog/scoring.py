@@ -20,10 +20,10 @@ def scored_docs(spark, sf):
     docs = load(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
     return load(spark, sf, "labels").join(docs, "doc_id").select(
         "doc_id", "lang", "source", F.col("quality").alias("label"),
-        (F.least(F.col("n_chars"), F.lit(20_000)) / 20_000.0).alias("score"))
+        (F.col("n_chars") / (F.col("n_chars") + 1_000.0)).alias("score"))
 
 
-DOCS_SQL = """scored AS (SELECT doc_id, lang, source, quality AS label, least(n_chars, 20000) / 20000.0::DOUBLE AS score
+DOCS_SQL = """scored AS (SELECT doc_id, lang, source, quality AS label, n_chars / (n_chars + 1000.0::DOUBLE) AS score
   FROM labels JOIN documents USING (doc_id))"""
 
 
@@ -171,16 +171,17 @@ def platt_apply(spark, sf):
 
 @query()
 def platt_fit(spark, sf):
-    """Fitted on documents; the curve is applied to every scored document."""
+    """Fitted on two documents in three, applied to the third."""
     rows = scored_docs(spark, sf)
-    a, b = K.platt_fit(rows)
-    return rows.select("doc_id", K.platt_apply(F.col("score"), a, b).alias("calibrated"))
+    a, b = K.platt_fit(rows.filter("doc_id % 3 > 0"))
+    return rows.filter("doc_id % 3 = 0").select("doc_id", K.platt_apply(F.col("score"), a, b).alias("calibrated"))
 
 
 @query()
 def logistic_calibration(spark, sf):
     rows = scored_docs(spark, sf)
-    return K.logistic_calibrate(rows, rows).select("doc_id", "calibrated")
+    fitted, other = rows.filter("doc_id % 3 > 0"), rows.filter("doc_id % 3 = 0")
+    return K.logistic_calibrate(fitted, other).select("doc_id", "calibrated")
 
 
 def text_labelled(spark, sf):
@@ -205,21 +206,21 @@ def label_metrics(spark, sf):
     return M.label_metrics(text_labelled(spark, sf), "tunnel_like", "benign_doh")
 
 
-VECTOR = [f"x{i}" for i in range(8)]
+VECTOR = [f"x{i}" for i in range(64)]
 
 
 def vectors(spark, sf):
-    """Embeddings: the first eight numbers are the features, the class is the label."""
+    """Embeddings: their numbers are the features, the class is the label."""
     return load(spark, sf, "embeddings").select(
         "vec_id", F.concat(F.lit("c"), F.col("label").cast("string")).alias("name"),
         *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(VECTOR)])
 
 
 @query("""WITH v AS (SELECT vec_id, 'c' || label AS name, """ + ", ".join(
-    f"CAST(embedding[{i + 1}] AS DOUBLE) AS x{i}" for i in range(8)) + """ FROM embeddings),
-sc AS (SELECT """ + ", ".join(f"CASE WHEN stddev_pop(x{i}) > 1e-6 THEN stddev_pop(x{i}) ELSE 1 END AS s{i}" for i in range(8)) + """ FROM v),
-ce AS (SELECT name, """ + ", ".join(f"avg(x{i}) AS m{i}" for i in range(8)) + """ FROM v GROUP BY 1),
-d AS (SELECT vec_id, ce.name, sqrt(""" + " + ".join(f"((x{i} - m{i}) / s{i}) ** 2" for i in range(8)) + """) AS dist FROM v, ce, sc),
+    f"CAST(embedding[{i + 1}] AS DOUBLE) AS x{i}" for i in range(64)) + """ FROM embeddings),
+sc AS (SELECT """ + ", ".join(f"CASE WHEN stddev_pop(x{i}) > 1e-6 THEN stddev_pop(x{i}) ELSE 1 END AS s{i}" for i in range(64)) + """ FROM v),
+ce AS (SELECT name, """ + ", ".join(f"avg(x{i}) AS m{i}" for i in range(64)) + """ FROM v GROUP BY 1),
+d AS (SELECT vec_id, ce.name, sqrt(""" + " + ".join(f"((x{i} - m{i}) / s{i}) ** 2" for i in range(64)) + """) AS dist FROM v, ce, sc),
 e AS (SELECT *, min(dist) OVER (PARTITION BY vec_id) AS near FROM d),
 w AS (SELECT *, exp(-least(dist - near, 50)) AS w FROM e)
 SELECT vec_id, arg_min(name, dist) AS predicted, round(min(dist), 6) AS distance, round(1 / sum(w), 4) AS score FROM w GROUP BY 1""")

@@ -47,12 +47,47 @@ def split_nested(spark, sf):
     return S.split_nested(events_labelled(spark, sf)).select("sample_id", "label", "split")
 
 
-@query()
+def best_sessions(taken):
+    where = f"WHERE session_id NOT IN ({taken})" if taken else ""
+    return f"""SELECT DISTINCT session_id FROM (SELECT session_id, row_number() OVER (
+      PARTITION BY label ORDER BY other, size DESC, session_id) AS k FROM offers {where}) WHERE k = 1"""
+
+
+@query(f"""WITH {EVENTS_SQL},
+held AS (SELECT session_id, label, count(*) AS n FROM samples GROUP BY ALL),
+sizes AS (SELECT session_id, sum(n) AS size FROM held GROUP BY 1),
+reach AS (SELECT label, count(*) AS r FROM held GROUP BY 1),
+rarest AS (SELECT session_id, arg_min(label, [r, label]) AS rare FROM held JOIN reach USING (label) GROUP BY 1),
+offers AS (SELECT session_id, label, size, label <> rare AS other
+           FROM held JOIN rarest USING (session_id) JOIN sizes USING (session_id)),
+p1 AS ({best_sessions("")}),
+p2 AS ({best_sessions("SELECT session_id FROM p1")}),
+p3 AS ({best_sessions("SELECT session_id FROM p1 UNION ALL SELECT session_id FROM p2")}),
+cover AS (SELECT session_id, 'train' AS split FROM p1 UNION ALL SELECT session_id, 'val' FROM p2
+          UNION ALL SELECT session_id, 'test' FROM p3),
+full_size AS (SELECT sum(size)::DOUBLE AS t FROM sizes),
+lack AS (SELECT greatest(0, 0.70::DOUBLE * t - a) AS q1, greatest(0, 0.15::DOUBLE * t - b) AS q2,
+                greatest(0, 0.15::DOUBLE * t - c) AS q3 FROM full_size, (
+         SELECT sum(size) FILTER (split = 'train') AS a, sum(size) FILTER (split = 'val') AS b,
+                sum(size) FILTER (split = 'test') AS c FROM cover JOIN sizes USING (session_id))),
+rest AS (SELECT session_id, (sum(size) OVER (ORDER BY md5('42|' || session_id), session_id) - size / 2::DOUBLE)
+                * (q1 + q2 + q3) / sum(size) OVER () AS spot, q1, q2
+         FROM sizes, lack WHERE session_id NOT IN (SELECT session_id FROM cover)),
+placed AS (SELECT session_id, CASE WHEN spot < q1 THEN 'train' WHEN spot < q1 + q2 THEN 'val' ELSE 'test' END AS split
+           FROM rest UNION ALL SELECT session_id, split FROM cover)
+SELECT sample_id, session_id, label, split FROM samples JOIN placed USING (session_id)""")
 def split_session_disjoint(spark, sf):
     out = S.require_disjoint(S.split_session_disjoint(events_labelled(spark, sf)))
     return out.select("sample_id", "session_id", "label", "split")
 
 
+@query("""WITH held AS (SELECT l_partkey AS label, l_suppkey AS session_id, count(*) AS n FROM lineitem GROUP BY ALL)
+SELECT label, count(*) AS sessions, CAST(sum(n) AS BIGINT) AS rows, count(*) >= 3 AS enough FROM held GROUP BY label""")
+def class_reach(spark, sf):
+    return S.class_reach(load(spark, sf, "lineitem").select(
+        F.col("l_partkey").alias("label"), F.col("l_suppkey").alias("session_id")))
+
+
 HASH_PART = """CASE WHEN ('0x' || substr(md5('42|' || session_id), 1, 8))::BIGINT % 10000 < 7000 THEN 'train'
   WHEN ('0x' || substr(md5('42|' || session_id), 1, 8))::BIGINT % 10000 < 8500 THEN 'val' ELSE 'test' END"""
 
@@ -73,11 +108,11 @@ def split_time_holdout(spark, sf):
     return S.split_time_holdout(rows, "start_us").select("sample_id", "session_id", "split")
 
 
-@query("""SELECT doc_id, source, CASE WHEN source IN (SELECT source FROM documents WHERE lang = 'de' AND doc_id < 20)
+@query("""SELECT doc_id, source, CASE WHEN source IN (SELECT source FROM documents WHERE lang = 'de' AND n_chars > 20000)
        THEN 'test' ELSE 'train' END AS split FROM documents""")
 def split_scenarios(spark, sf):
     docs = load(spark, sf, "documents").select("doc_id", "source", "lang")
-    chosen = docs.filter((F.col("lang") == "de") & (F.col("doc_id") < 20)).select("source")
+    chosen = docs.filter((F.col("lang") == "de") & (F.col("n_chars") > 20000)).select("source")
     return S.split_scenarios(docs, chosen, "source").select("doc_id", "source", "split")
 
 

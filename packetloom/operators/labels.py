@@ -43,18 +43,51 @@ def cap_flows_per_capture(flows: DataFrame, n: int, order: list[str]) -> DataFra
 def cap_flows_per_class(flows: DataFrame, n: int, order: list[str], task: str = "both") -> DataFrame:
     """At most n flows per quota class, first in ``order``.
 
-    Task l1 pools both DoH classes; l2 leaves non-DoH flows out.  With a capture cap too, apply that one
-    first: the result then does not depend on which class fills up when.
+    Task l1 pools both DoH classes; l2 leaves non-DoH flows out.  With a capture cap too, use ``cap_flows``.
     """
-    quota = flow_class()
-    if task == "l1":
-        quota = F.when(quota == "non_doh", quota).otherwise(F.lit("doh"))
-    rows = flows.withColumn("_quota", quota)
+    rows = flows.withColumn("_quota", quota_class(task))
     if task == "l2":
         rows = rows.filter(F.col("_quota") != "non_doh")
     return first_n(rows, ["_quota"], order, n, few_groups=True).drop("_quota")
 
 
+def cap_flows(flows: DataFrame, per_capture: int | None, per_class: int | None, order: list[str],
+              task: str = "both") -> DataFrame:
+    """Both quotas as if flows were read in ``order``: a flow of a full class is passed over and does not count
+    towards its capture's cap.
+
+    ``order`` starts with source_id.  Up to the first place at which a class fills, only the capture cap cuts.  So:
+    apply the cap, find that place, leave the class out behind it, and start again; one round per class at most.
+    """
+    if per_capture is None or per_class is None:
+        if per_capture is not None:
+            flows = cap_flows_per_capture(flows, per_capture, order)
+        return flows if per_class is None else cap_flows_per_class(flows, per_class, order, task)
+    rows = flows.withColumn("_quota", quota_class(task))
+    if task == "l2":
+        rows = rows.filter(F.col("_quota") != "non_doh")
+    place, full = F.struct(*order), {}
+    while True:
+        open_ = F.lit(True)
+        for name, last in full.items():
+            end = F.struct(*[F.lit(v).cast(flows.schema[c].dataType).alias(c) for c, v in zip(order, last)])
+            open_ = open_ & ((F.col("_quota") != name) | (place <= end))
+        kept = cap_flows_per_capture(rows.filter(open_), per_capture, order)
+        firsts = first_n(kept.filter(~F.col("_quota").isin(list(full))), ["_quota"], order, per_class, few_groups=True)
+        ends = (firsts.groupBy("_quota").agg(F.count(F.lit(1)).alias("n"), F.max(place).alias("last"))
+                .filter(F.col("n") == per_class).orderBy("last").limit(1).collect())
+        if not ends:
+            return kept.drop("_quota")
+        full[ends[0]["_quota"]] = tuple(ends[0]["last"])
+
+
+def quota_class(task: str = "both") -> Column:
+    """The class a flow counts for: task l1 pools both DoH classes."""
+    if task == "l1":
+        return F.when(flow_class() == "non_doh", "non_doh").otherwise("doh")
+    return flow_class()
+
+
 def drop_flows_without_clumps(flows: DataFrame, clumps: DataFrame, keys: list[str]) -> DataFrame:
     """Flows that have a first clump."""
     return flows.join(clumps.filter(F.col("clump_no") == 0).select(*keys), keys, "left_semi")
@@ -64,11 +97,12 @@ def cap_windows_per_class(samples: DataFrame, n: int, order: list[str]) -> DataF
     return first_n(samples, ["label"], order, n, few_groups=True)
 
 
-def cap_overflow(samples: DataFrame, kept: DataFrame) -> DataFrame:
-    """Windows offered, kept and dropped per class."""
-    have = samples.groupBy("label").agg(F.count(F.lit(1)).alias("offered"))
-    left = kept.groupBy("label").agg(F.count(F.lit(1)).alias("kept"))
-    return (have.join(left, "label", "left").withColumn("kept", F.coalesce("kept", F.lit(0)))
+def cap_overflow(samples: DataFrame, kept: DataFrame, by: list[str] = ("label",)) -> DataFrame:
+    """Windows offered, kept and dropped per class, or per flow with ``by`` the columns that name it."""
+    by = list(by)
+    have = samples.groupBy(*by).agg(F.count(F.lit(1)).alias("offered"))
+    left = kept.groupBy(*by).agg(F.count(F.lit(1)).alias("kept"))
+    return (have.join(left, by, "left").withColumn("kept", F.coalesce("kept", F.lit(0)))
             .withColumn("dropped", F.col("offered") - F.col("kept")))
 
 

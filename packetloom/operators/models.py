@@ -16,21 +16,29 @@ from packetloom.functions.scaling import PADDING
 from packetloom.operators.calibrate import logistic_apply, logistic_fit
 from packetloom.operators.metrics import (apply_threshold, averaged_metrics, binary_metrics, confusion,
                                           ranking_metrics, select_threshold)
+from packetloom.operators.ordered import materialize
 from packetloom.operators.tabular import vector_stages
 
+# The names of the compared models.
 MODELS = ["random_forest", "decision_tree", "gaussian_nb", "linear_svm", "hist_gradient_boosting"]
 
 
+# The deepest tree Spark can grow; the compared trees have no limit.
+DEEPEST = 30
+# Penalty of the linear model, as the weight of the summed loss.
+SVM_C = 1.0
+
+
 def classifier(name: str, seed: int = 42, label: str = "target", **settings):
     """An unfitted classifier by name."""
     common = {"featuresCol": "features", "labelCol": label}
     makers = {
         "random_forest": lambda: RandomForestClassifier(
-            **({"numTrees": 100, "impurity": "gini", "maxDepth": 20, "seed": seed} | settings), **common),
+            **({"numTrees": 100, "impurity": "gini", "maxDepth": DEEPEST, "seed": seed} | settings), **common),
         "decision_tree": lambda: DecisionTreeClassifier(
-            **({"impurity": "entropy", "maxDepth": 20, "seed": seed} | settings), **common),
+            **({"impurity": "entropy", "maxDepth": DEEPEST, "seed": seed} | settings), **common),
         "gaussian_nb": lambda: NaiveBayes(modelType="gaussian", **settings, **common),
-        "linear_svm": lambda: LinearSVC(**({"regParam": 0.0, "maxIter": 100} | settings), **common),
+        "linear_svm": lambda: LinearSVC(**({"maxIter": 2_000} | settings), **common),
         "hist_gradient_boosting": lambda: GBTClassifier(
             **({"maxIter": 100, "maxDepth": 5, "stepSize": 0.1, "seed": seed} | settings), **common),
     }
@@ -44,6 +52,8 @@ def fit_tabular(train: DataFrame, names: list[str], model: str, label: str = "ta
     """Vector assembly (scaled for the linear model) and the classifier, fitted on ``train``."""
     stages = vector_stages(names, scaled=model == "linear_svm")
     typed = train.withColumn(label, F.col(label).cast("double"))
+    if model == "linear_svm" and "regParam" not in settings:
+        settings["regParam"] = 1.0 / (SVM_C * max(1, train.count()))
     return Pipeline(stages=[*stages, classifier(model, seed, label, **settings)]).fit(typed)
 
 
@@ -62,11 +72,8 @@ def score_rows(model, df: DataFrame) -> DataFrame:
 
 
 def settle(metrics: DataFrame) -> DataFrame:
-    """A table of a few metric rows with its plan replaced by its values."""
-    rows = metrics.limit(10_001).collect()
-    if len(rows) > 10_000:
-        raise ValueError("too many metric rows to settle")
-    return metrics.sparkSession.createDataFrame(rows, metrics.schema)
+    """Metric rows as a written table, so that what follows does not score again."""
+    return materialize(metrics)
 
 
 def evaluate(scored: DataFrame, label: str = "target", by: list[str] = ()) -> DataFrame:

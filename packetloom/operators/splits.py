@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packetloom.functions.scaling import PADDING, vector_of
 from packetloom.operators.labels import require_classes
-from packetloom.operators.ordered import first_n, hash_cut, one_row, seeded_hash
+from packetloom.operators.ordered import (
+    class_counts, first_n, hash_cut, materialize, one_row, running, seeded_hash)
 
 PARTS = ["train", "val", "test"]
-# Up to this many sessions are placed one by one; above it sessions are placed by hash.
-MAX_PLACED = 200_000
 
 
 class ImpossibleSplit(ValueError):
@@ -55,73 +53,77 @@ def session_table(df: DataFrame, label: str, session: str) -> DataFrame:
     return df.groupBy(session, label).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _check_sessions(df: DataFrame, table: DataFrame, label: str, session: str) -> tuple[list, int]:
-    if df.filter(F.col(session).isNull() | (F.col(session) == "")).limit(1).count():
+def class_reach(df: DataFrame, label: str = "label", session: str = "session_id", least: int = 3) -> DataFrame:
+    """Sessions and rows per class, and whether the class reaches the ``least`` sessions a three-way split needs."""
+    return (session_table(df, label, session).groupBy(label)
+            .agg(F.count(F.lit(1)).alias("sessions"), F.sum("n").alias("rows"))
+            .withColumn("enough", F.col("sessions") >= least))
+
+
+def _check_sessions(df: DataFrame, table: DataFrame, label: str, session: str) -> int:
+    """The number of classes; raises if sessions or classes are too few for three parts."""
+    if not df.filter(F.col(session).isNull() | (F.col(session) == "")).isEmpty():
         raise ValueError(f"rows without {session} cannot be split by session")
-    per_class = table.groupBy(label).agg(F.count(F.lit(1)).alias("sessions")).limit(10_001).collect()
     sessions = table.select(session).distinct().count()
     if sessions < 3:
         raise ImpossibleSplit(f"needs at least 3 sessions, found {sessions}")
-    if len(per_class) < 2:
-        raise ImpossibleSplit(f"needs at least 2 classes, found {len(per_class)}")
-    rare = [r[label] for r in per_class if r["sessions"] < 3]
-    if rare:
-        raise ImpossibleSplit(f"classes {rare} appear in under 3 sessions")
-    return [r[label] for r in per_class], sessions
+    per_class = table.groupBy(label).agg(F.count(F.lit(1)).alias("sessions"))
+    found = per_class.agg(F.count(F.lit(1)).alias("classes"), F.count_if(F.col("sessions") < 3).alias("rare")).first()
+    if found.classes < 2:
+        raise ImpossibleSplit(f"needs at least 2 classes, found {found.classes}")
+    if found.rare:
+        some = [r[label] for r in per_class.filter("sessions < 3").orderBy(label).limit(20).collect()]
+        raise ImpossibleSplit(f"{found.rare} classes appear in under 3 sessions, among them {some}")
+    return found.classes
 
 
 def split_session_disjoint(df: DataFrame, label: str = "label", session: str = "session_id",
-                           train: float = 0.70, val: float = 0.15, test: float = 0.15, seed: int = 42,
-                           max_placed: int = MAX_PLACED) -> DataFrame:
+                           train: float = 0.70, val: float = 0.15, test: float = 0.15, seed: int = 42) -> DataFrame:
     """No session in two parts, every class in every part, sizes near the ratios.
 
-    Works on the table of rows per (session, class).  Up to ``max_placed`` sessions are placed one by
-    one, largest first; above that they are placed by hash (``split_session_hash``).
+    One rule for any number of sessions, decided on the table of rows per (session, class).  For each part in turn,
+    every class gives its largest session not taken yet, those first of which it is the rarest class.  All other
+    sessions, in seeded hash order, fill what the parts still lack: a session goes where the middle of its rows falls.
     """
     ratios = dict(zip(PARTS, (train, val, test)))
     if abs(sum(ratios.values()) - 1.0) > 1e-6 or min(ratios.values()) <= 0:
         raise ValueError("ratios must be positive and add to 1")
-    table = session_table(df, label, session)
-    _, sessions = _check_sessions(df, table, label, session)
-    if sessions > max_placed:
-        return split_session_hash(df, label, session, train, val, test, seed)
-    # At most max_placed short rows, so one task can place them and every executor can hold them.
-    schema = f"`{session}` {df.schema[session].dataType.simpleString()}, split string"
-    placed = (table.select(F.lit(0).alias("_one"), session, label, "n").groupBy("_one")
-              .applyInPandas(_place_sessions(ratios, label, session), schema))
-    return df.join(F.broadcast(placed), session)
-
-
-def _place_sessions(ratios: dict[str, float], label: str, session: str):
-    """Cover each class in each part with its largest free session (rarest class first), then give
-    every other session, largest first, to the part that would stay furthest under its ratio."""
-    def place(_, rows: pd.DataFrame) -> pd.DataFrame:
-        size = rows.groupby(session)["n"].sum()
-        by_size = sorted(size.index, key=lambda s: (-size[s], s))
-        holds = rows.groupby(session)[label].agg(set).to_dict()
-        reach = rows.groupby(label)[session].nunique()
-        part_of, filled = {}, dict.fromkeys(ratios, 0)
-        covered = {part: set() for part in ratios}
-
-        def assign(s, part):
-            part_of[s] = part
-            filled[part] += int(size[s])
-            covered[part] |= holds[s]
-
-        for cls in sorted(reach.index, key=lambda c: (reach[c], c)):
-            for part in ratios:
-                if cls in covered[part]:
-                    continue
-                free = next((s for s in by_size if s not in part_of and cls in holds[s]), None)
-                if free is None:
-                    raise ImpossibleSplit(f"no free session left to put class {cls} into part {part}")
-                assign(free, part)
-        for s in by_size:
-            if s not in part_of:
-                total = sum(filled.values()) + int(size[s])
-                assign(s, min(ratios, key=lambda p: (filled[p] + int(size[s])) / total - ratios[p]))
-        return pd.DataFrame({session: list(part_of), "split": list(part_of.values())})
-    return place
+    table = materialize(session_table(df, label, session))
+    classes = _check_sessions(df, table, label, session)
+    sizes = materialize(table.groupBy(session).agg(F.sum("n").alias("size")))
+    covering = _covering(table, sizes, label, session, classes)
+    covered = {r.split: r.rows for r in covering.groupBy("split").agg(F.sum("size").alias("rows")).collect()}
+    total = sizes.agg(F.sum("size")).first()[0]
+    lacking = [max(0.0, ratios[p] * total - covered[p]) for p in PARTS]
+
+    name = F.col(session).cast("string")
+    rest = (sizes.join(covering.select(session), session, "left_anti")
+            .withColumn("_h", seeded_hash(seed, name)).withColumn("_bucket", F.substring("_h", 1, 3)))
+    rest = running(rest, [], "_bucket", ["_h", session], {"_end": ("sum", F.col("size"), True)})
+    spot = (F.col("_end") - F.col("size") / 2) * F.lit(sum(lacking)) / F.col("_end_total")
+    chosen = (F.when(spot < lacking[0], "train").when(spot < lacking[0] + lacking[1], "val").otherwise("test"))
+    placed = materialize(rest.select(session, chosen.alias("split")).unionByName(covering.select(session, "split")))
+    return df.join(placed, session)
+
+
+def _covering(table: DataFrame, sizes: DataFrame, label: str, session: str, classes: int) -> DataFrame:
+    """(session, size, split): for each part, the sessions that bring every class into it."""
+    reach = table.groupBy(label).agg(F.count(F.lit(1)).alias("_reach"))
+    rarest = (table.join(reach, label).groupBy(session)
+              .agg(F.min_by(label, F.struct("_reach", label)).alias("_rarest")))
+    offers = materialize(table.join(rarest, session).join(sizes, session).select(
+        session, label, "size", (F.col(label) != F.col("_rarest")).alias("_other")))
+    taken = None
+    for part in PARTS:
+        free = offers if taken is None else offers.join(taken, session, "left_anti")
+        best = free.groupBy(label).agg(F.min(F.struct("_other", -F.col("size"), session)).alias("_best"))
+        best = materialize(best.select(label, F.col("_best")[session].alias(session)))
+        if best.count() < classes:
+            some = table.select(label).distinct().join(best, label, "left_anti").orderBy(label).limit(20).collect()
+            raise ImpossibleSplit(f"no free session left to put classes {[r[label] for r in some]} into part {part}")
+        own = best.select(session).distinct().withColumn("split", F.lit(part))
+        taken = own if taken is None else taken.unionByName(own)
+    return materialize(taken.join(sizes, session))
 
 
 def split_session_hash(df: DataFrame, label: str = "label", session: str = "session_id",
@@ -133,7 +135,8 @@ def split_session_hash(df: DataFrame, label: str = "label", session: str = "sess
     those few names are the only thing that reaches every executor.
     """
     table = session_table(df, label, session)
-    classes, _ = _check_sessions(df, table, label, session)
+    _check_sessions(df, table, label, session)
+    classes = sorted(class_counts(table, label))
     cut = [round(10_000 * train), round(10_000 * (train + val))]
 
     def part(name: Column) -> Column:

@@ -27,9 +27,8 @@ def labelled_flows(packets: DataFrame, captures: DataFrame, idle_us: int = L.IDL
                    task: str = "both") -> tuple[DataFrame, DataFrame]:
     """Flow rows with labels, and the packets of the kept flows.
 
-    ``captures`` has source_id, session_id, scenario_id, category and is_malicious.  The capture cap is
-    applied before the class quota, in (capture, flow start, flow id) order, so the result does not
-    depend on which class fills up when; it can keep fewer flows than filling quotas while reading.
+    ``captures`` has source_id, session_id, scenario_id, category and is_malicious.  Quotas fill in (capture, flow
+    start, flow id) order; flows of a full class do not count towards the capture cap.
     The numbered packets are written to the checkpoint folder once and read for flows and clumps.
     """
     numbered = materialize(L.split_flows(packets, idle_us))
@@ -40,10 +39,8 @@ def labelled_flows(packets: DataFrame, captures: DataFrame, idle_us: int = L.IDL
     sides = captures.select("source_id", "session_id", "scenario_id", F.col("source_id").alias("source_file"))
     flows = A.label_flows(flows.join(sides, "source_id", "left"), captures)
     order = ["source_id", "start_us", "flow_id"]
-    if flows_per_capture is not None:
-        flows = A.cap_flows_per_capture(flows, flows_per_capture, order)
-    if flows_per_class is not None:
-        flows = A.cap_flows_per_class(flows, flows_per_class, order, task)
+    if flows_per_capture is not None or flows_per_class is not None:
+        flows = A.cap_flows(materialize(flows), flows_per_capture, flows_per_class, order, task)
     return flows, kept.join(flows.select(*FLOW), FLOW, "left_semi")
 
 

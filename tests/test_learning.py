@@ -154,7 +154,7 @@ def test_splits(spark):
         assert r.t == round(r.n * (1 - 0.8))
     nested = S.split_nested(df).groupBy("split").count().collect()
     assert {r.split for r in nested} == {"train", "val", "test"} and sum(r["count"] for r in nested) == df.count()
-    for disjoint in (S.split_session_disjoint(df), S.split_session_disjoint(df, max_placed=3), S.split_session_hash(df, seed=9)):
+    for disjoint in (S.split_session_disjoint(df), S.split_session_disjoint(df.repartition(5)), S.split_session_hash(df, seed=9)):
         assert disjoint.count() == df.count() and S.shared_sessions(disjoint).count() == 0
         assert disjoint.select("split", "label").distinct().count() == 6
     sizes = {r.split: r["count"] / df.count() for r in S.split_session_disjoint(df).groupBy("split").count().collect()}
@@ -169,10 +169,42 @@ def test_session_placement_follows_the_rule(spark):
     rows = [(f"{s}{i}", s, i % 2) for s, n in sizes.items() for i in range(n)]
     out = S.split_session_disjoint(spark.createDataFrame(rows, "sample_id string, session_id string, label int"))
     got = {r.session_id: r.split for r in out.select("session_id", "split").distinct().collect()}
-    # a, b, c cover both classes in train, val, test; d and e then go to the part furthest under its ratio
+    # a, b, c cover both classes in train, val, test; only train then lacks rows for d and e
     assert got == {"a": "train", "b": "val", "c": "test", "d": "train", "e": "train"}
 
 
+def test_session_split_of_many_classes(spark):
+    rows = spark.range(40_200).select(
+        F.col("id").cast("string").alias("sample_id"), (F.col("id") % 4).cast("string").alias("session_id"),
+        (F.col("id") % 10_050).alias("label"))
+    reach = S.class_reach(rows)
+    assert reach.count() == 10_050 and reach.filter("enough").count() == 0
+    with pytest.raises(S.ImpossibleSplit, match="10050 classes"):
+        S.split_session_disjoint(rows)
+
+
+def test_both_quotas_fill_in_reading_order(spark):
+    flows = [("a", k, 1) for k in range(3)] + [("b", k, 1) for k in range(2)] + [("b", k, 0) for k in range(2, 4)]
+    df = spark.createDataFrame([(s, k, f"{s}{k}", 1, bad) for s, k, bad in flows],
+                               "source_id string, start_us long, flow_id string, l1_label int, l2_label int")
+    order = ["source_id", "start_us", "flow_id"]
+    kept = {r.flow_id for r in A.cap_flows(df, 2, 2, order).collect()}
+    assert kept == {"a0", "a1", "b2", "b3"}
+    rng, rows = random.Random(1), []
+    for k in range(120):
+        rows.append((f"s{k // 15:02d}", k, f"f{k:03d}", int(rng.random() < 0.7), int(rng.random() < 0.5)))
+    full = spark.createDataFrame(rows, df.schema)
+    for cap, quota in ((4, 9), (6, 3), (15, 30)):
+        want, per_class, per_capture = set(), {}, {}
+        for source, _, name, l1, l2 in rows:
+            cls = "non" if l1 == 0 else l2
+            if per_class.get(cls, 0) < quota and per_capture.get(source, 0) < cap:
+                want.add(name)
+                per_class[cls] = per_class.get(cls, 0) + 1
+                per_capture[source] = per_capture.get(source, 0) + 1
+        assert {r.flow_id for r in A.cap_flows(full, cap, quota, order).collect()} == want
+
+
 def test_impossible_splits(spark):
     schema = "sample_id string, session_id string, label int"
     two = spark.createDataFrame([("1", "s", 0), ("2", "t", 1), ("3", "s", 1), ("4", "t", 0)], schema)
