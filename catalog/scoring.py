@@ -9,6 +9,7 @@ from packetloom.operators import calibrate as K
 from packetloom.operators import metrics as M
 from packetloom.operators import prototypes as P
 from packetloom.operators import windows as W
+from packetloom.operators.ordered import materialize
 from packetloom.schema import FLOW
 
 REGISTRY = Registry()
@@ -238,10 +239,10 @@ def flow_truth():
 
 def two_stages(spark, sf):
     """Both stages fitted on three users in five and applied to the others' first windows."""
-    clumps = event_clumps(spark, sf)
+    clumps = materialize(event_clumps(spark, sf))
     scored = []
     for length, stage in ((6, 1), (3, 2)):
-        rows = W.segment_features(clumps, length).withColumn("truth", flow_truth())
+        rows = materialize(W.segment_features(clumps, length)).withColumn("truth", flow_truth())
         if stage == 1:
             rows = rows.withColumn("truth1", F.when(F.col("truth") == "non_doh", "non_doh").otherwise("doh"))
             train, label = rows, "truth1"

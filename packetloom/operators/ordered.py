@@ -162,12 +162,14 @@ def class_counts(df: DataFrame, label: str) -> dict:
     return {row[label]: row["count"] for row in rows}
 
 
-def hash_cut(df: DataFrame, label: str, ident: str, seed: int, take: dict, flag: str) -> DataFrame:
+def hash_cut(df: DataFrame, label: str, ident: str, seed: int, take: dict, flag: str,
+             decide_on: DataFrame | None = None) -> DataFrame:
     """Mark ``take[class]`` rows of each class, the lowest by (seeded hash, ident), in column ``flag``.
 
     Three passes, none of which shuffles rows: counts per (class, hash prefix) find the prefix where
     the cut falls, the rows of that prefix give the exact cut value, and the last pass compares.
-    ``ident`` must be unique.  Classes are bounded by MAX_CLASSES, so the cuts are broadcast.
+    ``ident`` must be unique.  Classes are bounded by MAX_CLASSES, so the cuts are broadcast.  ``decide_on`` is a
+    narrow table of the same (label, ident) rows for the first two passes, so that ``df`` is read once.
     """
     spark = df.sparkSession
     field = df.schema[label]
@@ -175,7 +177,7 @@ def hash_cut(df: DataFrame, label: str, ident: str, seed: int, take: dict, flag:
         [(name, int(k)) for name, k in take.items()],
         f"`{label}` {field.dataType.simpleString()}, _take long")
     hashed = seeded_hash(seed, F.col(ident).cast("string"))
-    keyed = df.select(label, F.col(ident).cast("string").alias("_id"), hashed.alias("_h"),
+    keyed = (df if decide_on is None else decide_on).select(label, F.col(ident).cast("string").alias("_id"), hashed.alias("_h"),
                       F.substring(hashed, 1, _PREFIX).alias("_p"))
     counts = keyed.groupBy(label, "_p").agg(F.count(F.lit(1)).alias("_n"))
     ordered = Window.partitionBy(label).orderBy("_p")

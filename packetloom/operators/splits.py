@@ -28,24 +28,34 @@ def split_stratified(df: DataFrame, label: str = "label", ident: str = "sample_i
     if not 0.0 < train < 1.0:
         raise ValueError("train must be between 0 and 1")
     drawn = df if unit is None else df.select(unit, label).distinct()
+    marked = hash_cut(drawn, label, unit or ident, seed, _train_counts(drawn, label, train), "_train")
+    marked = marked.withColumn("split", F.when(F.col("_train"), "train").otherwise("test")).drop("_train")
+    return marked if unit is None else df.join(marked, [unit, label])
+
+
+def _train_counts(df: DataFrame, label: str, train: float) -> dict:
+    """Rows of each class in the train part."""
     try:
-        counts = require_classes(drawn, label, 2, 2)
+        counts = require_classes(df, label, 2, 2)
     except ValueError as problem:
         raise ImpossibleSplit(str(problem)) from problem
-    take = {name: n - min(n - 1, max(1, round(n * (1.0 - train)))) for name, n in counts.items()}
-    marked = hash_cut(drawn, label, unit or ident, seed, take, "_train")
-    marked = marked.withColumn("split", F.when(F.col("_train"), "train").otherwise("test")).drop("_train")
-    return marked if unit is None else df.join(marked, [unit, label])
+    return {name: n - min(n - 1, max(1, round(n * (1.0 - train)))) for name, n in counts.items()}
 
 
 def split_nested(df: DataFrame, label: str = "label", ident: str = "sample_id", seed: int = 42,
                  test: float = 0.2, val_of_rest: float = 0.25) -> DataFrame:
-    """60/20/20: an outer stratified test part, then validation drawn from the rest."""
-    outer = split_stratified(df, label, ident, 1.0 - test, seed)
-    inner = split_stratified(outer.filter("split = 'train'").drop("split"), label, ident, 1.0 - val_of_rest,
-                             seed + 1)
-    inner = inner.withColumn("split", F.when(F.col("split") == "test", "val").otherwise("train"))
-    return outer.filter("split = 'test'").unionByName(inner)
+    """60/20/20: an outer stratified test part, then validation drawn from the rest.
+
+    Both cuts are found on a written table of ids and labels; ``df`` is read once more, to be marked.
+    """
+    ids = materialize(df.select(ident, label))
+    outer = _train_counts(ids, label, 1.0 - test)
+    rest = materialize(hash_cut(ids, label, ident, seed, outer, "_rest").filter("_rest").drop("_rest"))
+    inner = _train_counts(rest, label, 1.0 - val_of_rest)
+    marked = hash_cut(df, label, ident, seed, outer, "_rest", ids)
+    marked = hash_cut(marked, label, ident, seed + 1, inner, "_fit", rest)
+    part = F.when(~F.col("_rest"), "test").when(F.col("_fit"), "train").otherwise("val")
+    return marked.withColumn("split", part).drop("_rest", "_fit")
 
 
 def session_table(df: DataFrame, label: str, session: str) -> DataFrame:
