@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,8 +79,18 @@ def write_tables(tables: dict[str, DataFrame], folder: str, fmt: str = "parquet"
     if not force:
         spark = next(iter(tables.values())).sparkSession
         for name in tables:
-            path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
-            if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            if _exists(spark, f"{folder}/{name}"):
                 raise FileExistsError(f"{folder}/{name} exists; pass force=True to replace it")
     for name, df in tables.items():
         write_table(df, f"{folder}/{name}", fmt, force)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether Spark's readers find anything at the path."""
+    try:
+        spark.read.format("binaryFile").load(path)
+    except AnalysisException as problem:
+        if "PATH_NOT_FOUND" in str(problem):
+            return False
+        raise
+    return True
