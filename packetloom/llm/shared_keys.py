@@ -28,10 +28,10 @@ def ranges_for(units: int, per_range: int) -> int:
 
 
 def slices(texts: list, most: int = BATCH_CHARS) -> Iterator[slice]:
-    """Runs of texts of about ``most`` characters."""
+    """Runs of texts, or of their sizes, of about ``most`` characters."""
     start = size = 0
     for i, text in enumerate(texts):
-        size += len(text or "")
+        size += text if isinstance(text, int) else len(text or "")
         if size >= most:
             yield slice(start, i + 1)
             start, size = i + 1, 0
@@ -39,12 +39,12 @@ def slices(texts: list, most: int = BATCH_CHARS) -> Iterator[slice]:
         yield slice(start, len(texts))
 
 
-def _planes(values: np.ndarray) -> bytes:
+def planes(values: np.ndarray) -> bytes:
     """Little-endian integers, all first bytes before all second ones: the high bytes then compress to nothing."""
     return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
 
 
-def _from_planes(raw: bytes, kind: str) -> np.ndarray:
+def from_planes(raw: bytes, kind: str) -> np.ndarray:
     size = np.dtype(kind).itemsize
     return np.frombuffer(raw, np.uint8).reshape(size, -1).T.copy().view(kind).ravel()
 
@@ -92,9 +92,9 @@ def pack(keys: np.ndarray, docs: np.ndarray, places: np.ndarray, n_ranges: int,
     for r, own in _dealt(keys, np.flatnonzero(~known), n_ranges):
         heads = np.flatnonzero(np.r_[True, docs[own][1:] != docs[own][:-1]])
         rows.setdefault(r, _row(r)).update({
-            "keys": _low_bytes(keys[own], width), "docs": _planes(_steps(docs[own][heads])),
-            "counts": _planes(np.diff(np.r_[heads, len(own)]).astype(np.uint32)),
-            "places": _planes(_steps(places[own]))})
+            "keys": _low_bytes(keys[own], width), "docs": planes(_steps(docs[own][heads])),
+            "counts": planes(np.diff(np.r_[heads, len(own)]).astype(np.uint32)),
+            "places": planes(_steps(places[own]))})
     return pd.DataFrame(list(rows.values()), columns=COLUMNS)
 
 
@@ -128,9 +128,9 @@ def unpack(rows: pd.DataFrame, width: int = 8) -> tuple[np.ndarray, np.ndarray,
     at = 0
     for row in rows.itertuples(index=False):
         if row.docs:
-            own = np.repeat(np.cumsum(_from_planes(row.docs, "<i8")), _from_planes(row.counts, "<u4"))
+            own = np.repeat(np.cumsum(from_planes(row.docs, "<i8")), from_planes(row.counts, "<u4"))
             docs[at:at + len(own)] = own
-            places[at:at + len(own)] = np.cumsum(_from_planes(row.places, "<u4"), dtype=np.uint32)
+            places[at:at + len(own)] = np.cumsum(from_planes(row.places, "<u4"), dtype=np.uint32)
             at += len(own)
     return keys, docs, places, _keys_of(b"".join(rows["known"]), width)
 

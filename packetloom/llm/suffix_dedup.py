@@ -7,14 +7,17 @@ that any two positions have a shift below PERIOD that takes both to cover positi
    as long as every tie of LENGTH bytes must leave (LENGTH - PERIOD + 1).  Ranges of names are sorted one at a time.
 2. Two suffixes can tie for LENGTH bytes only if a cover position within PERIOD of both carries a name that another
    document has too; all other suffixes drop out.
-3. The suffixes left are dealt into buckets by the name of their first LENGTH bytes, and each bucket is sorted by
-   itself.  In a run of equal suffixes, those of all but the smallest doc_id are removed.
+3. The suffixes left are dealt into buckets by the smallest name inside their first LENGTH bytes.  Neighbouring
+   suffixes mostly share it, so they travel as one stretch of text; equal stretches of a group travel once, for
+   their smallest doc_id.  Each bucket is sorted by itself, and in a run of equal suffixes those of all but the
+   smallest doc_id are removed.
 
 Order beyond LENGTH bytes is never needed, so names take the place of ranks and no task holds more than one bucket.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +37,8 @@ NAMED = LENGTH - PERIOD + 1
 BYTES_PER_RANGE = 12_000_000
 BYTES_PER_GROUP = 16_000_000
 
+LONGEST = 240  # suffixes in one stretch; their number is sent as a byte
+
 LAST = (1 << 63) - 1  # stands for a null doc_id
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -53,7 +58,7 @@ def names(raw: bytes, at: np.ndarray, length: int) -> np.ndarray:
 
 def _joined(texts: list) -> tuple[bytes, np.ndarray, np.ndarray]:
     """All bytes, and start and size of each text."""
-    raw = [(t or "").encode() for t in texts]
+    raw = [t if isinstance(t, bytes) else (t or "").encode() for t in texts]
     sizes = np.array([len(r) for r in raw], np.int64)
     return b"".join(raw) + bytes(8), np.cumsum(sizes) - sizes, sizes
 
@@ -123,49 +128,135 @@ def _per_document(found: pd.DataFrame) -> dict[int, np.ndarray]:
     return {int(i): part["place"] for i, part in zip(ids, np.split(all_, first[1:]))}
 
 
+def stretches(raw: bytes, at: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of neighbouring suffixes whose first LENGTH bytes have the same smallest name: first, count, that name.
+
+    ``at`` are positions in ``raw``, in order; a run stays inside one document.
+    """
+    inner = names(raw, np.arange(len(raw) - 7 - (NAMED - 8)), NAMED)
+    least = inner[at]
+    for step in range(1, LENGTH - NAMED + 1):
+        np.minimum(least, inner[at + step], out=least)
+    new = np.r_[True, (at[1:] != at[:-1] + 1) | (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])]
+    since = np.arange(len(at)) - np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
+    first = np.flatnonzero(new | (since % LONGEST == 0))  # repeated text keeps its name for long
+    return first, np.diff(np.r_[first, len(at)]), least[first]
+
+
+STRETCHES = "range int, docs binary, places binary, counts binary, texts binary, g int, runs binary"
+RUN = np.dtype([("doc", "<i8"), ("place", "<u4"), ("count", "<u4")])
+
+
+def _runs(docs: np.ndarray, places: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    out = np.empty(len(docs), RUN)
+    out["doc"], out["place"], out["count"] = docs, places, counts
+    return out
+
+
 def _suffixes(rows: DataFrame, shared: DataFrame, n_ranges: int) -> DataFrame:
-    """Packed names of the suffixes left, from first rows of equal texts only."""
+    """Stretches of the suffixes left, from first rows of equal texts only.
+
+    A row holds those of one bucket, or, with ``g``, runs of suffixes already known to start earlier as well.
+    """
     def run(texts: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        columns = ["range", "docs", "places", "counts", "texts", "g", "runs"]
         places = _per_document(found)
-        texts = texts[texts["first"] & texts["doc"].isin(places)]
-        raw, starts, sizes = _joined(texts["text"].tolist())
-        ids = texts["doc"].to_numpy(np.int64)
-        own = [candidate_starts(places[int(i)][places[int(i)] < n], n) for i, n in zip(ids, sizes)]
-        doc = np.repeat(np.arange(len(ids)), [len(o) for o in own])
-        place = np.concatenate(own) if own else np.zeros(0, np.int64)
-        if not len(doc):
-            return pd.DataFrame(columns=shared_keys.COLUMNS)
-        return shared_keys.pack(names(raw, starts[doc] + place, LENGTH), ids[doc], place.astype(np.uint32), n_ranges,
-                                collapse=False)
-    return (rows.select("g", "doc", "first", "text").groupBy("g").cogroup(shared.groupBy("g"))
-            .applyInPandas(run, shared_keys.PACKED))
+        group = texts["g"].iloc[0] if len(texts) else 0
+        texts = texts[texts["first"] & texts["doc"].isin(places)].sort_values("doc", kind="stable")
+        out = []
+        for part in shared_keys.slices(texts["size"].tolist()):
+            held = texts.iloc[part]
+            raw, starts, sizes = _joined([zlib.decompress(t) for t in held["packed"]])
+            ids = held["doc"].to_numpy(np.int64)
+            own = [candidate_starts(places[int(i)][places[int(i)] < n], n) for i, n in zip(ids, sizes)]
+            doc = np.repeat(np.arange(len(ids)), [len(o) for o in own])
+            if not len(doc):
+                continue
+            place = np.concatenate(own)
+            first, count, name = stretches(raw, starts[doc] + place, doc)
+            doc, place = ids[doc[first]], place[first]
+            begin = starts[np.searchsorted(ids, doc, side="left")] + place if len(set(ids)) == len(ids) else None
+            if begin is None:  # versions of one doc_id: find each stretch by its row
+                begin = (starts[np.repeat(np.arange(len(ids)), [len(o) for o in own])] + np.concatenate(own))[first]
+            pieces = [raw[p:p + c + LENGTH - 1] for p, c in zip(begin.tolist(), count.tolist())]
+            seen: dict[bytes, int] = {}
+            for piece, d in zip(pieces, doc.tolist()):  # documents ascend, so the first is the smallest
+                seen.setdefault(piece, d)
+            later = np.fromiter((seen[p] < d for p, d in zip(pieces, doc.tolist())), bool, len(pieces))
+            if later.any():
+                out.append((-1 - int(ids[0]) % 1_000_003, b"", b"", b"", b"", group,
+                            _runs(doc[later], place[later], count[later]).tobytes()))
+            stay = np.flatnonzero(~later)
+            which = ((name[stay] * _MIX[1] >> np.uint64(32)) * np.uint64(n_ranges) >> np.uint64(32)).astype(np.int64)
+            order = np.argsort(which, kind="stable")
+            cuts = np.searchsorted(which[order], np.arange(n_ranges + 1))
+            for r in np.flatnonzero(np.diff(cuts)):
+                mine = stay[order[cuts[r]:cuts[r + 1]]]
+                out.append((int(r), shared_keys.planes(np.diff(doc[mine], prepend=0)),
+                            shared_keys.planes(place[mine].astype(np.uint32)),
+                            count[mine].astype(np.uint8).tobytes(), b"".join([pieces[i] for i in mine]), -1, b""))
+        return pd.DataFrame(out, columns=columns)
+    return (rows.select("g", "doc", "first", "size", "packed").groupBy("g").cogroup(shared.groupBy("g"))
+            .applyInPandas(run, STRETCHES))
 
 
 def _later_starts(packed: DataFrame, n_groups: int) -> DataFrame:
-    """Of each bucket's equal suffixes, those whose document is not the smallest."""
+    """Of each bucket's equal suffixes, those whose document is not the smallest, as runs by group of documents."""
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        keys, docs, places, _ = shared_keys.unpack(rows)
-        if not len(keys):
-            return pd.DataFrame({"g": pd.Series(dtype=np.int32), "found": []})
-        order = np.argsort(keys)
-        keys, docs, places = keys[order], docs[order], places[order]
-        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        least = np.repeat(np.minimum.reduceat(docs, starts), np.diff(np.r_[starts, len(keys)]))
-        later = docs > least
-        return _by_group(shared_keys.entries(docs[later], places[later]), n_groups)
-    return packed.groupBy("range").applyInPandas(run, "g int, found binary")
-
-
-def cut(raw: bytes, starts: np.ndarray) -> tuple[bytes, int]:
-    """What is left of ``raw`` without the LENGTH bytes from each start, and the number of runs removed."""
+        known = rows[rows["g"] >= 0]
+        out = [known[["g", "runs"]]]
+        rows = rows[rows["g"] < 0]
+        if len(rows):
+            docs = np.concatenate([np.cumsum(shared_keys.from_planes(x, "<i8")) for x in rows["docs"]])
+            places = np.concatenate([shared_keys.from_planes(x, "<u4") for x in rows["places"]]).astype(np.int64)
+            counts = np.frombuffer(b"".join(rows["counts"]), np.uint8).astype(np.int64)
+            raw = b"".join(rows["texts"]) + bytes(8)
+            sizes = counts + LENGTH - 1
+            of = np.repeat(np.arange(len(counts)), counts)
+            inside = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
+            keys = names(raw, np.repeat(np.cumsum(sizes) - sizes, counts) + inside, LENGTH)
+            order = np.argsort(keys)
+            ordered, owners = keys[order], docs[of[order]]
+            starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+            least = np.repeat(np.minimum.reduceat(owners, starts), np.diff(np.r_[starts, len(ordered)]))
+            later = np.zeros(len(of), bool)
+            later[order] = owners > least
+            at = np.flatnonzero(later)
+            if len(at):
+                heads = np.flatnonzero(np.r_[True, (at[1:] != at[:-1] + 1) | (of[at[1:]] != of[at[:-1]])])
+                lengths, at = np.diff(np.r_[heads, len(at)]), at[heads]
+                found = _runs(docs[of[at]], places[of[at]] + inside[at], lengths)
+                group = group_of(found["doc"], n_groups)
+                order = np.lexsort((found["place"], found["doc"], group))
+                found, cuts = found[order], np.searchsorted(group[order], np.arange(n_groups + 1))
+                held = np.flatnonzero(np.diff(cuts))
+                out.append(pd.DataFrame({"g": held.astype(np.int32),
+                                         "runs": [found[cuts[g]:cuts[g + 1]].tobytes() for g in held]}))
+        return pd.concat(out)
+    return packed.groupBy("range").applyInPandas(run, "g int, runs binary")
+
+
+def cut(raw: bytes, places: np.ndarray, counts: np.ndarray) -> tuple[bytes, int]:
+    """What is left of ``raw`` without the LENGTH bytes of each of ``counts`` starts from each place; runs removed."""
     mark = np.zeros(len(raw) + 1, np.int32)
-    np.add.at(mark, starts, 1)
-    np.add.at(mark, starts + LENGTH, -1)
+    np.add.at(mark, places, 1)
+    np.add.at(mark, places + counts + LENGTH - 1, -1)
     gone = np.cumsum(mark)[:-1] > 0
     runs = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
     return np.frombuffer(raw, np.uint8)[~gone].tobytes(), runs
 
 
+def _packed_texts(texts: DataFrame, n_groups: int) -> DataFrame:
+    """Texts compressed and with their group: what the two later steps deal out."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            raw = [t.encode() for t in batch["text"]]
+            batch["size"], batch["packed"] = [len(r) for r in raw], [zlib.compress(r, 1) for r in raw]
+            yield batch[["g", "doc", "no_id", "version", "size", "packed"]]
+    return (texts.withColumn("g", _group_column(n_groups)).withColumn("version", F.xxhash64(F.sha2("text", 256)))
+            .mapInPandas(run, "g int, doc long, no_id boolean, version long, size int, packed binary"))
+
+
 def without_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (binary: the bytes left) of every row of ``docs``.
 
@@ -186,20 +277,22 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     copies = texts.select("doc", content.alias("content")).join(equal, "content").filter("doc > least")
     copies = materialize(copies.select("doc", F.xxhash64("content").alias("version")).distinct())
     shared = materialize(_shared_places(_cover_names(texts, n_ranges), n_groups))
-    rows = texts.withColumn("g", _group_column(n_groups)).withColumn("version", F.xxhash64(content))
-    rows = rows.join(copies.withColumn("copy", F.lit(True)), ["doc", "version"], "left")
-    rows = rows.select("g", "doc", "no_id", F.col("copy").isNull().alias("first"), "text")
+    rows = _packed_texts(texts, n_groups).join(copies.withColumn("copy", F.lit(True)), ["doc", "version"], "left")
+    rows = rows.select("g", "doc", "no_id", F.col("copy").isNull().alias("first"), "size", "packed")
     later = materialize(_later_starts(_suffixes(rows, shared, n_ranges), n_groups))
 
     def run(texts: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        starts = _per_document(found)
+        all_ = np.frombuffer(b"".join(found["runs"]), RUN)
+        all_ = all_[np.argsort(all_["doc"], kind="stable")]
         out = []
-        for doc, no_id, first, text in zip(texts["doc"], texts["no_id"], texts["first"], texts["text"]):
-            raw = text.encode()
-            own = starts.get(int(doc), np.zeros(0, np.uint32)).astype(np.int64)
+        for doc, no_id, first, packed in zip(texts["doc"], texts["no_id"], texts["first"], texts["packed"]):
+            raw = zlib.decompress(packed)
+            own = all_[np.searchsorted(all_["doc"], doc):np.searchsorted(all_["doc"], doc, side="right")]
+            places, counts = own["place"].astype(np.int64), own["count"].astype(np.int64)
             if not first:
-                own = np.arange(max(0, len(raw) - LENGTH + 1))
-            kept, runs = cut(raw, own[own + LENGTH <= len(raw)])
+                places, counts = np.zeros(1, np.int64), np.array([len(raw) - LENGTH + 1])
+            fits = (counts > 0) & (places + counts + LENGTH - 1 <= len(raw))
+            kept, runs = cut(raw, places[fits], counts[fits])
             out.append((doc, no_id, len(raw), len(raw) - len(kept), runs, kept))
         return pd.DataFrame(out, columns=["doc", "no_id", "n_bytes", "n_removed", "n_spans", "kept"])
     done = rows.groupBy("g").cogroup(later.groupBy("g")).applyInPandas(
