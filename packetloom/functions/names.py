@@ -36,6 +36,7 @@ L2_NAMES = {
 LABEL_WORDS = ["label", "class", "target", "scenario", "category", "tunnel", "traffic", "doh", "activity",
                "type"]
 
+# Names of the feature groups.
 FEATURE_GROUPS = ["flow_volume", "packet_length", "packet_timing", "response_timing"]
 
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Names of tasks, fields, models, splits and statistics in the files that are checked.
 TASKS = ["l1", "l2"]
 SEQUENCE_TASKS = ["l1", "l2", "both", "layer1_doh_vs_nondoh", "layer2_benign_vs_malicious"]
 EVIDENCE_METRICS = ["default_macro_f1", "f1_macro", "default_positive_f1", "f1_positive_class", "accuracy",

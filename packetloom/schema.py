@@ -2,19 +2,19 @@
 
 from pyspark.sql import types as T
 
-# One row per accepted packet.  ``key`` is the two-way endpoint key inside a capture, ``packet_no``
-# the capture order (unique per source), ``sender`` the sending endpoint.
+# One row per frame of a capture: ``packet_no`` is the capture order (unique per source).  Endpoints, flags and byte
+# counts are null for frames that are not TCP over IPv4; ``app_bytes`` also where a payload holds no TLS data.
 PACKETS = T.StructType([
     T.StructField("source_id", T.StringType(), False),
     T.StructField("packet_no", T.LongType(), False),
     T.StructField("ts_us", T.LongType(), False),
-    T.StructField("src_ip", T.StringType(), False),
-    T.StructField("src_port", T.IntegerType(), False),
-    T.StructField("dst_ip", T.StringType(), False),
-    T.StructField("dst_port", T.IntegerType(), False),
-    T.StructField("flags", T.IntegerType(), False),
-    T.StructField("frame_bytes", T.LongType(), False),
-    T.StructField("payload_bytes", T.LongType(), False),
+    T.StructField("src_ip", T.StringType(), True),
+    T.StructField("src_port", T.IntegerType(), True),
+    T.StructField("dst_ip", T.StringType(), True),
+    T.StructField("dst_port", T.IntegerType(), True),
+    T.StructField("flags", T.IntegerType(), True),
+    T.StructField("frame_bytes", T.LongType(), True),
+    T.StructField("payload_bytes", T.LongType(), True),
     T.StructField("app_bytes", T.LongType(), True),
 ])
 
