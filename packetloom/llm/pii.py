@@ -135,8 +135,7 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, disclosing: float = DISC
     joint = materialize(joint.join(entity_rows, ["kind", "value"]))
     words = docs.select(F.explode(F.array_distinct(
         F.regexp_extract_all(F.lower(text_or_empty()), F.lit(TERM), F.lit(0)))).alias("term"))
-    terms = (words.join(joint.select("term").distinct(), "term", "left_semi").groupBy("term")
-             .agg(F.count(F.lit(1)).alias("n_term")))
+    terms = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     information = F.log(F.lit(float(max(n_docs, 1)))) - F.log("n_entity")
     mutual = information + F.log("n_both") - F.log("n_term")
     share = F.when(information > 0, mutual / information).otherwise(0.0)
@@ -167,10 +166,13 @@ def _located(docs: DataFrame, **options) -> DataFrame:
                  "start", F.lit(len(KINDS)).alias("place"), "end", "kind")).alias("added")))
     base = F.transform("spans", lambda s: F.struct(s["start"], s["place"], s["end"], s["kind"]))
     apart = F.filter("added", lambda t: ~F.exists("spans", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-    return (found.join(added, "content", "left")
-            .select("doc_id", "content", base.alias("base"),
-                    F.array_sort(F.concat(base, F.coalesce(apart, F.array().cast(
-                        "array<struct<start:int,place:int,end:int,kind:string>>")))).alias("all_spans")))
+    none = F.array().cast("array<struct<start:int,place:int,end:int,kind:string>>")
+    marked = found.filter("content IS NOT NULL").join(added, "content", "left").select(
+        "doc_id", "content", base.alias("base"),
+        F.array_sort(F.concat(base, F.coalesce(apart, none))).alias("all_spans"))
+    # Most rows have no entity; they take no part in the join, where their null keys would meet in one task.
+    return marked.unionByName(found.filter("content IS NULL").select(
+        "doc_id", "content", none.alias("base"), none.alias("all_spans")))
 
 
 def sanitise(docs: DataFrame, **options) -> DataFrame:
