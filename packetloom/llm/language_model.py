@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.tables import WORD, text_or_empty
+from packetloom.llm.tables import WORD, text_or_empty, with_membership
 
 # Entries of the vocabulary: the most frequent words, one for all others and one for the start of a text.  Every pair
 # of entries has a cell of its own, so the size of the models (32 MB) is fixed; what is counted is the whole corpus.
@@ -64,10 +64,8 @@ def _sparse(model: int, kind: int, counts: np.ndarray) -> Iterator[tuple]:
 
 def _counts(docs: DataFrame, labels: DataFrame, words) -> np.ndarray:
     """Counts of all cells, then of all words, for target (row 0) and background (row 1)."""
-    wanted = (labels.filter("quality = 1").select(F.col("doc_id").alias("_id")).distinct()
-              .withColumn("target", F.lit(True)))
-    rows = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("_id"), "left").select(
-        "text", F.coalesce("target", F.lit(False)).alias("target"))
+    rows = with_membership(docs.select("doc_id", "text"), "doc_id",
+                           labels.filter("quality = 1").select("doc_id"), "target").select("text", "target")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = _by_bytes(words.value)

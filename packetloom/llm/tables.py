@@ -55,3 +55,26 @@ def one_of_each(rows: DataFrame, source: DataFrame, key: Sequence[str]) -> DataF
     """``rows`` (some of ``source``) with one row for each ``key``; rows are only dealt out again if any key repeats."""
     repeated = source.select(*key).groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     return rows if repeated.isEmpty() else rows.dropDuplicates(list(key))
+
+
+def with_membership(rows: DataFrame, key: str, ids: DataFrame, name: str) -> DataFrame:
+    """``rows`` with the boolean ``name``: whether the integer ``key`` (false for null) is among the one column of ``ids``.
+
+    Where ids lie close, they are packed into bitmaps of 32,768 ids each, so that the list is some bits an id and
+    mostly small enough for Spark to broadcast; where they are scattered, bitmaps would be larger than the list and
+    the list itself is joined.
+    """
+    ids = ids.select(F.col(ids.columns[0]).cast("long").alias("_id")).filter("_id IS NOT NULL")
+    bits = materialize(ids.groupBy(F.bitmap_bucket_number("_id").alias("_bucket"))
+                       .agg(F.bitmap_construct_agg(F.bitmap_bit_position("_id")).alias("_bits"),
+                            F.count(F.lit(1)).alias("_n")))
+    held = bits.agg(F.count(F.lit(1)).alias("buckets"), F.sum("_n").alias("ids")).first()
+    if (held.ids or 0) < 256 * held.buckets:
+        listed = ids.distinct().withColumn(name, F.lit(True))
+        return rows.join(listed, rows[key] == listed["_id"], "left").drop("_id").withColumn(
+            name, F.coalesce(name, F.lit(False)))
+    place = F.bitmap_bit_position(F.col(key)).cast("int")
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), place % 8 + 1)
+    return (rows.join(bits.drop("_n"), F.bitmap_bucket_number(F.col(key)) == F.col("_bucket"), "left")
+            .withColumn(name, F.coalesce(byte.bitwiseAND(bit) > 0, F.lit(False))).drop("_bucket", "_bits"))

@@ -16,6 +16,7 @@ import corpus_pipeline  # noqa: E402
 from packetloom.llm import (  # noqa: E402
     bpe, exact_dedup, fingerprints, graph, jaccard_join, language_model, mixing, pii, quality, queries, secrets,
     shared_keys, suffix_dedup)
+from packetloom.llm.tables import with_membership  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 # Extra columns whose names the operators use inside.
@@ -394,3 +395,12 @@ def test_pipeline_stages(spark, tmp_path, coder):
     nothing = frame(spark, [], clashing=True)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, nothing, str(tmp_path)).count() == 0, name
+
+
+@pytest.mark.parametrize("step", [1, 10_007_003])
+def test_membership_of_close_and_scattered_ids(spark, step):
+    wanted = {k for k in range(-500, 1500) if k % 3 == 0}
+    ids = spark.createDataFrame([(k * step,) for k in wanted] + [(None,), (0,)], "doc_id long")
+    rows = spark.createDataFrame([(k * step,) for k in range(-600, 1700)] + [(None,)], "doc_id long")
+    got = {r.doc_id: r.held for r in with_membership(rows, "doc_id", ids, "held").collect()}
+    assert got == {**{k * step: k in wanted for k in range(-600, 1700)}, None: False}
