@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from packetloom.llm.tables import materialize
 
 
-def _mark(edges: DataFrame):
-    row = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-    return row.n, row.s
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every larger node a has one edge, to a node b that is nobody's larger node."""
+    counts = edges.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("a").alias("nodes")).first()
+    if counts.n != counts.nodes:
+        return False
+    inner = edges.select(F.col("b").alias("a")).distinct()
+    return edges.join(inner, "a", "left_semi").isEmpty()
 
 
 def _pull(pairs: DataFrame, keep_larger: bool) -> DataFrame:
@@ -33,15 +37,11 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
                         .filter("a <> b").distinct())
-    mark = _mark(edges)
-    while mark[0]:
+    while not _are_stars(edges):
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
             edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        large = materialize(_pull(both, keep_larger=True))
+        large = _pull(both, keep_larger=True)
         edges = materialize(_pull(large.select(F.col("a").alias("u"), F.col("b").alias("v")), keep_larger=False))
-        before, mark = mark, _mark(edges)
-        if before == mark:
-            break
     roots = edges.select(F.col("b").alias("node")).distinct()
     return (edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
             .unionByName(roots.select("node", F.col("node").alias("component"))))

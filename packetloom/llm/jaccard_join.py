@@ -3,8 +3,8 @@
 1. Every document becomes its set of hashed 5-word shingles.  Sorting shingle ranges tells how many of a document's
    shingles another document has too; below the threshold share, the document has no partner and drops out.
 2. Documents of equal sets are one class; from here on a class is its smallest document.
-3. Two similar sets share one of their smallest shingles (prefix filter in hash order).  Linking each such shingle's
-   documents to the smallest of them gives blocks that no link leaves.
+3. Two similar sets share one of their first shingles in any fixed order (prefix filter), here rare ones before common
+   ones.  Linking each such shingle's documents to the smallest of them gives blocks that no link leaves.
 4. Inside a block, DivideSkip: each set asks the inverted lists of the sets before it; short lists are merged by a
    heap, long ones probed by binary search, and candidates that can reach the overlap are compared exactly.
 5. A large block is searched in pieces, each beside the block's most typical sets; whatever is then outside the
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from packetloom.llm import shared_keys
 from packetloom.llm.graph import components
-from packetloom.llm.tables import materialize
+from packetloom.llm.tables import materialize, one_of_each
 
 WORDS = 5
 THRESHOLD = 75  # percent
@@ -38,8 +38,16 @@ PIECE = 192
 TYPICAL = 4
 
 # Characters of text for one key range (about a shingle per 6 of them), and words a worker remembers.
-CHARS_PER_RANGE = 24_000_000
-REMEMBERED = 500_000
+CHARS_PER_RANGE = 12_000_000
+REMEMBERED = 250_000
+
+# Bytes of a shingle sent beside its range when counting shared ones: a chance match can only keep a document in.
+KEY_BYTES = 4
+FILTER_BITS = 1 << 25
+
+# Shingles that occur OFTEN in a batch count as common; at most MOST_COMMON of them, 4 MB, are broadcast.
+OFTEN = 4
+MOST_COMMON = 1 << 18
 
 _UPPER, _LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 _FOLD = bytes.maketrans(_UPPER, _LOWER)
@@ -94,47 +102,85 @@ def _packed(docs: DataFrame, words: int, n_ranges: int) -> DataFrame:
             for part in shared_keys.slices(texts):
                 sets = [shingles(t, words) for t in texts[part]]
                 own = np.repeat(ids[part], [len(s) for s in sets])
-                yield shared_keys.pack(np.concatenate(sets), own, np.zeros(len(own), np.uint32), n_ranges)
+                yield shared_keys.pack(np.concatenate(sets), own, np.zeros(len(own), np.uint32), n_ranges, KEY_BYTES)
     return docs.select("doc_id", "text").filter("doc_id IS NOT NULL").mapInPandas(run, shared_keys.PACKED)
 
 
 def _shared_counts(packed: DataFrame) -> DataFrame:
     """doc_id and how many of its shingles some other document has."""
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        ids, counts = np.unique(shared_keys.shared_entries(rows)["doc"], return_counts=True)
+        ids, counts = np.unique(shared_keys.shared_entries(rows, KEY_BYTES)["doc"], return_counts=True)
         return pd.DataFrame({"doc_id": ids, "n": counts.astype(np.int64)})
     parts = packed.groupBy("range").applyInPandas(run, "doc_id long, n long")
     return parts.groupBy("doc_id").agg(F.sum("n").alias("n_shared"))
 
 
-def _sets(docs: DataFrame, chosen: DataFrame, words: int) -> DataFrame:
-    """doc_id, share, grams (sorted hashes as bytes) of the chosen documents, with their texts read again."""
+def _texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """doc_id, share, text of the chosen documents: a text is half the size of its set, which is quickly made again.
+
+    Most other texts are held back before the shuffle by a bitmap of FILTER_BITS hashed ids, 4 MB at any size.
+    """
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    bits = (chosen.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("_bucket"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("_bits")))
+    held = docs.select("doc_id", "text").withColumn("_slot", slot)
+    held = held.join(F.broadcast(materialize(bits)), F.bitmap_bucket_number("_slot") == F.col("_bucket"))
+    place = F.bitmap_bit_position("_slot").cast("int")
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), place % 8 + 1)
+    return (held.filter(byte.bitwiseAND(bit) > 0).select("doc_id", "text").join(chosen.select("doc_id", "share"), "doc_id")
+            .dropDuplicates(["doc_id"]).select("doc_id", "share", "text"))
+
+
+def _common_grams(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Up to MOST_COMMON shingles that recur in batches of documents, sorted, and their summed counts.
+
+    The prefix filter is exact under any fixed order of shingles; with these last, passages that many unlike
+    documents share do not tie them together.
+    """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "share": batch["share"],
-                                "grams": [shingles(t, words).tobytes() for t in batch["text"]]})
-    return (docs.select("doc_id", "text").join(chosen.select("doc_id", "share"), "doc_id").dropDuplicates(["doc_id"])
-            .mapInPandas(run, "doc_id long, share double, grams binary"))
-
-
-def _block_edges(sets: DataFrame, percent: int) -> DataFrame:
+            held = batch["text"].tolist()
+            for part in shared_keys.slices(held):
+                grams, n = np.unique(np.concatenate([shingles(t, words) for t in held[part]]), return_counts=True)
+                often = n >= OFTEN
+                yield pd.DataFrame({"gram": grams[often].view(np.int64), "n": n[often].astype(np.int64)})
+    found = (texts.select("text").mapInPandas(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+             .orderBy(F.desc("n"), "gram").limit(MOST_COMMON).collect())
+    grams = np.array([r.gram for r in found], np.int64).view(np.uint64)
+    order = np.argsort(grams)
+    return grams[order], np.array([r.n for r in found], np.int64)[order]
+
+
+def prefix(grams: np.ndarray, common: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    """The shingles of a set of which any partner has at least one: the first in order of count, then hash."""
+    length = len(grams) - least_overlap(len(grams), percent) + 1
+    if not len(common):
+        return grams[:length]
+    at = np.minimum(np.searchsorted(common, grams), len(common) - 1)
+    rank = np.where(common[at] == grams, counts[at], 0)
+    return grams[np.argsort(rank, kind="stable")[:length]]
+
+
+def _block_edges(texts: DataFrame, percent: int, words: int) -> DataFrame:
     """Edges (a, b) that connect all documents sharing a prefix shingle, through the smallest of them."""
+    order = texts.sparkSession.sparkContext.broadcast(_common_grams(texts, words))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            grams = [np.frombuffer(g, np.uint64) for g in batch["grams"]]
-            heads = [g[:len(g) - least_overlap(len(g), percent) + 1] for g in grams]
+            heads = [prefix(shingles(t, words), *order.value, percent) for t in batch["text"]]
             if not heads:
                 continue
             own = np.repeat(batch["doc_id"].to_numpy(np.int64), [len(h) for h in heads])
             keys = np.concatenate(heads)
-            order = np.lexsort((own, keys))
-            keys, own = keys[order], own[order]
+            by_key = np.lexsort((own, keys))
+            keys, own = keys[by_key], own[by_key]
             starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
             least = np.repeat(own[starts], np.diff(np.r_[starts, len(keys)]))
             edges = pd.DataFrame({"a": least, "b": own}).drop_duplicates()
             yield edges[edges["a"] != edges["b"]].assign(gram=None)
             yield pd.DataFrame({"a": own[starts], "b": own[starts], "gram": keys[starts].view(np.int64)})
-    rows = materialize(sets.mapInPandas(run, "a long, b long, gram long"))
+    rows = materialize(texts.select("doc_id", "text").mapInPandas(run, "a long, b long, gram long"))
     # One row per shingle and batch is left, so even a shingle of very many documents is a small group.
     heads = rows.filter("gram IS NOT NULL")
     least = heads.groupBy("gram").agg(F.min("a").alias("m"), F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -209,37 +255,40 @@ def divide_skip(sets: list[np.ndarray], percent: int = THRESHOLD, known: list |
     return links
 
 
-def _search(members: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) inside each (block, piece); typical and doubtful sets come first, known groups are kept."""
+def _search(members: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
+    """Links (a, b) inside each (block, piece); typical sets come first, documents of one component are connected."""
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["share", "doc_id"], ascending=[False, True]).drop_duplicates("doc_id")
         ids = rows["doc_id"].to_numpy(np.int64)
         known = [None if pd.isna(c) else int(c) for c in rows["component"]]
-        links = divide_skip([np.frombuffer(g, np.uint64) for g in rows["grams"]], percent, known)
+        links = divide_skip([shingles(t, words) for t in rows["text"]], percent, known)
         return pd.DataFrame({"a": [ids[i] for i, _ in links], "b": [ids[j] for _, j in links]}, dtype=np.int64)
-    return (members.select("block", "piece", "doc_id", "share", "component", "grams")
+    return (members.select("block", "piece", "doc_id", "component").join(texts, "doc_id")
             .groupBy("block", "piece").applyInPandas(run, "a long, b long"))
 
 
-def _links(sets: DataFrame, percent: int) -> DataFrame:
-    """Links that connect all similar sets, by searches inside blocks."""
-    blocks = materialize(components(_block_edges(sets, percent))
+def _links(texts: DataFrame, percent: int, words: int) -> DataFrame:
+    """Links that connect all similar sets, by searches inside blocks.
+
+    Who is searched where is settled in narrow tables; the texts themselves travel only to their searches.
+    """
+    blocks = materialize(components(_block_edges(texts, percent, words))
                          .select(F.col("node").alias("doc_id"), F.col("component").alias("block")))
     sizes = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
     large = materialize(sizes.filter(F.col("n") > PIECE).select("block", F.ceil(F.col("n") / PIECE).alias("pieces")))
     members = materialize(
-        sets.join(blocks, "doc_id").join(large, "block", "left")
+        blocks.join(texts.select("doc_id", "share"), "doc_id").join(large, "block", "left")
         .withColumn("pieces", F.coalesce("pieces", F.lit(1)))
         .withColumn("piece", F.pmod(F.xxhash64("doc_id"), F.col("pieces")))
         .withColumn("component", F.lit(None).cast("long")))
     in_large = members.filter("pieces > 1")
     rank = F.struct(-F.col("share"), F.col("doc_id"))
-    best = in_large.groupBy("block", "piece").agg(F.min(rank).alias("r")).select("block", "r.doc_id", "r")
+    best = in_large.groupBy("block", "piece").agg(F.min(rank).alias("r"))
     typical = best.groupBy("block").agg(F.slice(F.array_sort(F.collect_set("r")), 1, TYPICAL).alias("r"))
     typical = typical.select("block", F.explode("r.doc_id").alias("doc_id"))
-    beside = (in_large.join(typical, ["block", "doc_id"])
-              .withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))))
-    links = materialize(_search(members.unionByName(beside), percent))
+    every_piece = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))
+    beside = in_large.join(typical, ["block", "doc_id"]).withColumn("piece", every_piece)
+    links = materialize(_search(members.unionByName(beside), texts, percent, words))
 
     # Pairs in different pieces that are not connected yet have one end outside the block's largest component.
     found = components(links).withColumnRenamed("node", "doc_id")
@@ -247,11 +296,9 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
                          .withColumn("component", F.coalesce("component", "doc_id")))
     counts = placed.groupBy("block", "component").agg(F.count(F.lit(1)).alias("n"))
     main = counts.groupBy("block").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
-    outside = (placed.join(main, "block").filter("component <> main").drop("main")
-               .withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))))
-    open_pieces = outside.select("block").distinct()
-    again = placed.join(open_pieces, "block", "left_semi").unionByName(outside)
-    return links.unionByName(_search(again, percent))
+    outside = placed.join(main, "block").filter("component <> main").drop("main").withColumn("piece", every_piece)
+    again = materialize(placed.join(outside.select("block").distinct(), "block", "left_semi").unionByName(outside))
+    return links.unionByName(_search(again, texts, percent, words))
 
 
 def similar_documents(docs: DataFrame, percent: int = THRESHOLD, words: int = WORDS) -> DataFrame:
@@ -273,8 +320,8 @@ def similar_documents(docs: DataFrame, percent: int = THRESHOLD, words: int = WO
     share = F.col("n_shared") / F.col("n_shingles")
     chosen = materialize(classes.filter(100 * F.col("n_shared") >= percent * F.col("n_shingles"))
                          .select("doc_id", share.alias("share")))
-    sets = materialize(_sets(docs, chosen, words))
-    found = components(_links(sets, percent)).withColumnRenamed("node", "doc_id")
+    texts = materialize(_texts(docs, chosen))
+    found = components(_links(texts, percent, words)).withColumnRenamed("node", "doc_id")
     named = (classes.join(found, "doc_id", "left")
              .withColumn("component_id", F.coalesce("component", "doc_id"))
              .filter("n_rows > 1 OR component_id <> doc_id").select("signature", "component_id"))
@@ -284,6 +331,12 @@ def similar_documents(docs: DataFrame, percent: int = THRESHOLD, words: int = WO
 
 
 def keep_one_per_component(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component; doc_id must be unique and not null."""
-    kept = similar_documents(docs, **options).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(kept, docs["doc_id"] == kept["_kept_id"], "left_semi")
+    """The rows of ``docs`` whose doc_id is the smallest of its component, and those without a doc_id.
+
+    Rows that repeat a doc_id count as one document, of which one row stays.
+    """
+    kept = materialize(similar_documents(docs, **options).filter("doc_id = component_id")
+                       .select(F.col("doc_id").alias("_kept_id")).distinct())
+    found = docs.join(kept, docs["doc_id"] == kept["_kept_id"], "left_semi")
+    with_id = docs.filter(docs["doc_id"].isNotNull())
+    return one_of_each(found, with_id, ["doc_id"]).unionByName(docs.filter(docs["doc_id"].isNull()))
