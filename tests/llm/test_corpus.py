@@ -160,6 +160,31 @@ def test_language_model_equals_plain_counts(spark, docs, empty, rows):
     assert got[21].difference < got[9].difference + 10
 
 
+def test_language_model_counts_every_word(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"w{rng.randrange(6000)}" for _ in range(100))) for i in range(200)]
+    rows += [(200, "zeugma apart"), (201, "zeugma apart " * 3), (202, "quokka apart")]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 202, 3)], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(language_model, "BATCH_TOKENS", 700)
+    got = {r.doc_id: r for r in language_model.score(frame(spark, rows), labels).collect()}
+    from collections import Counter
+    models, size = [], len({w for _, t in rows for w in t.split()}) + 2
+    for chosen in ([t.split() for i, t in rows if i % 3 == 0 and i < 202], [t.split() for _, t in rows]):
+        models.append((Counter(w for t in chosen for w in t), Counter(p for t in chosen for p in zip([None, *t], t))))
+    total = sum(models[0][0].values())
+    for i, text in rows:
+        tokens, means = text.split(), []
+        for words, pairs in models:
+            scale, loss = total / sum(words.values()), 0.0
+            for before, w in zip([None, *tokens], tokens):
+                context = total if before is None else max(words[before] * scale, 1e-6)
+                loss -= np.log(0.7 * min(1, pairs[before, w] * scale / context)
+                               + 0.3 * (words[w] * scale + 0.1) / (total + 0.1 * size))
+            means.append(loss / len(tokens))
+        assert (got[i].target_loss, got[i].background_loss) == pytest.approx(means, rel=1e-9)
+    assert got[200].difference < got[202].difference
+
+
 def test_cover_has_every_difference():
     differences = {(a - b) % suffix_dedup.PERIOD for a in suffix_dedup.COVER for b in suffix_dedup.COVER}
     assert differences == set(range(suffix_dedup.PERIOD))
