@@ -1,24 +1,28 @@
 """Personal data and the terms that give it away.
 
 Fixed patterns find e-mail addresses, IP addresses, card and phone numbers: the protected entities.  The corpus then
-tells which terms near them disclose them: a term whose pointwise mutual information with an entity is most of the
-entity's information content, seen in several different contexts, all but names it.  Entities and such terms are
-generalised, the strongest terms removed.
+tells which terms of the documents that hold them disclose them: a term whose pointwise mutual information with an
+entity, at the lower bound of its confidence interval, is most of the entity's information content all but names it.
+Entities are generalised; such terms are generalised or, the strongest, removed wherever they stand.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.tables import materialize, text_or_empty
+from packetloom.llm.tables import hot_keys, materialize, text_or_empty
 
 # Share of an entity's information that a term must carry to be generalised, and to be removed.
 DISCLOSING, REMOVED = 0.8, 0.95
-# Different contexts of an entity a term must be seen in; copies of a text are one context.
-CONTEXTS = 3
-# Characters on either side of an entity that count as its context.
-REACH = 60
+# Normal quantile of the one-sided bound (95%) on how often the entity is in a document that has the term.
+SURE = 1.645
+# The filter of disclosing terms has 64 bits in each of this many numbers; a term sets as many bits as there are seeds.
+FILTER_NUMBERS = 1 << 19
+SEEDS = (1, 2, 3)
 
 TERM = r"\p{L}[\p{L}\p{N}]{2,}"
 KINDS = ("email", "ip", "card", "phone")
@@ -34,21 +38,26 @@ HINTS = {"email": r"@", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"[0-9]
 SMALL_NUMBER = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 
 
-def matches(text: Column, pattern: str) -> Column:
+def matches(text: Column, pattern: str, keep: Callable[[Column], Column] | None = None) -> Column:
     """Leftmost matches that do not overlap, as structs of start, end (code points, end exclusive) and value.
 
-    Splitting by the pattern gives what lies between the matches, so summed lengths give the places.
+    Splitting by the pattern gives what lies between the matches, so summed lengths give the places.  With ``keep``
+    only the matches whose value it holds for are listed.
     """
     both = F.arrays_zip(F.split(text, pattern, -1).alias("gap"),
                         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value"))
     kind = "struct<at:int,found:array<struct<start:int,end:int,value:string>>>"
     start = F.from_json(F.lit('{"at":0,"found":[]}'), kind)
-    return F.aggregate(both, start, lambda acc, m: F.when(m["value"].isNull(), acc).otherwise(F.struct(
-        (acc["at"] + F.char_length(m["gap"]) + F.char_length(m["value"])).alias("at"),
-        F.concat(acc["found"], F.array(F.struct(
-            (acc["at"] + F.char_length(m["gap"])).alias("start"),
-            (acc["at"] + F.char_length(m["gap"]) + F.char_length(m["value"])).alias("end"),
-            m["value"].alias("value")))).alias("found"))), lambda acc: acc["found"])
+
+    def step(acc: Column, m: Column) -> Column:
+        begin = acc["at"] + F.char_length(m["gap"])
+        end = begin + F.char_length(m["value"])
+        longer = F.concat(acc["found"], F.array(F.struct(begin.alias("start"), end.alias("end"),
+                                                         m["value"].alias("value"))))
+        if keep is not None:
+            longer = F.when(keep(m["value"]), longer).otherwise(acc["found"])
+        return F.when(m["value"].isNull(), acc).otherwise(F.struct(end.alias("at"), longer.alias("found")))
+    return F.aggregate(both, start, step, lambda acc: acc["found"])
 
 
 def _digits(value: Column) -> Column:
@@ -86,61 +95,105 @@ def entities(text: Column) -> Column:
     return F.array_sort(F.concat(*[of(i, k) for i, k in enumerate(KINDS)]))
 
 
-def _nearby(text: Column, span: Column) -> Column:
-    """Terms within REACH of a span, as structs of start, end, value; terms cut by the edge are whole words or left."""
-    low = F.greatest(span["start"] - REACH, F.lit(0))
-    before = F.substring(text, low + 1, span["start"] - low)
-    after = F.substring(text, span["end"] + 1, F.lit(REACH))
-
-    def shifted(part: Column, by: Column) -> Column:
-        inside = F.filter(matches(part, TERM), lambda m: ((m["start"] > 0) | (by == 0) | (by == span["end"])) & (
-            (m["end"] < F.char_length(part)) | (by != span["end"]) | (F.char_length(part) < REACH)))
-        return F.transform(inside, lambda m: F.struct((m["start"] + by).alias("start"), (m["end"] + by).alias("end"),
-                                                      F.lower(m["value"]).alias("term")))
-    return F.concat(shifted(before, low), shifted(after, span["end"]))
+def _content(text: Column) -> Column:
+    return F.xxhash64(text)
 
 
 def mentions(docs: DataFrame) -> DataFrame:
-    """doc_id, content (sha-256, only where there are entities) and spans of every row, as a written table.
+    """doc_id, content (a hash of the text) and spans (entities) of every row, as a written table."""
+    text = text_or_empty()
+    return materialize(docs.select("doc_id", _content(text).alias("content"), entities(text).alias("spans")))
 
-    Each span has start, place, end, kind, value, context (a hash of what surrounds it) and near (its terms).
-    """
-    found = docs.select("doc_id", text_or_empty().alias("_text")).withColumn("_spans", entities(F.col("_text")))
-    text = F.col("_text")
-    rich = F.transform("_spans", lambda s: F.struct(
-        s["start"], s["place"], s["end"], s["kind"], s["value"],
-        F.xxhash64(F.substring(text, F.greatest(s["start"] - REACH, F.lit(0)) + 1, F.least(s["start"], F.lit(REACH))),
-                   F.substring(text, s["end"] + 1, F.lit(REACH))).alias("context"),
-        _nearby(text, s).alias("near")))
-    return materialize(found.select(
-        "doc_id", F.when(F.size("_spans") > 0, F.sha2("_text", 256)).alias("content"), rich.alias("spans")))
-
-
-def disclosing_terms(docs: DataFrame, found: DataFrame, disclosing: float = DISCLOSING,
-                     contexts: int = CONTEXTS) -> DataFrame:
-    """(kind, value, term, share): terms that carry at least ``disclosing`` of an entity's information.
-
-    Probabilities are shares of documents, over the whole corpus.  Terms count if they appear near the entity in at
-    least ``contexts`` different contexts, so the words around a text's copies prove nothing.
+
+def _terms(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
+
+
+def _lower_bound(hits: Column, of: Column) -> Column:
+    """Wilson's lower bound on a share of which ``hits`` in ``of`` were seen."""
+    p, z = hits / of, SURE * SURE
+    return (p + z / (2 * of) - SURE * F.sqrt(p * (1 - p) / of + z / (4 * of * of))) / (1 + z / of)
+
+
+def disclosing_terms(docs: DataFrame, found: DataFrame, disclosing: float = DISCLOSING) -> DataFrame:
+    """(term, share): terms that carry at least ``disclosing`` of some entity's information, with the largest share.
+
+    Probabilities are shares of different whole texts over the whole corpus; copies count once on both sides.  A term
+    qualifies by the lower bound of its mutual information, so one shared text is weak evidence in a small corpus and
+    enough in a large one; ``share`` is the plain estimate.
     """
-    n_docs = found.count()
-    near = found.filter("content IS NOT NULL").select(F.monotonically_increasing_id().alias("row"),
-                                                      F.explode("spans").alias("s"))
-    entity_rows = (near.select("row", "s.kind", "s.value").distinct().groupBy("kind", "value")
-                   .agg(F.count(F.lit(1)).alias("n_entity")))
-    pairs = near.select("row", "s.kind", "s.value", "s.context", F.explode("s.near.term").alias("term"))
-    joint = (pairs.groupBy("kind", "value", "term")
-             .agg(F.count_distinct("context").alias("contexts"), F.count_distinct("row").alias("n_both"))
-             .filter(F.col("contexts") >= contexts))
-    joint = materialize(joint.join(entity_rows, ["kind", "value"]))
-    words = docs.select(F.explode(F.array_distinct(
-        F.regexp_extract_all(F.lower(text_or_empty()), F.lit(TERM), F.lit(0)))).alias("term"))
-    terms = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    information = F.log(F.lit(float(max(n_docs, 1)))) - F.log("n_entity")
-    mutual = information + F.log("n_both") - F.log("n_term")
-    share = F.when(information > 0, mutual / information).otherwise(0.0)
-    return materialize(joint.join(terms, "term").withColumn("share", share).filter(F.col("share") >= disclosing)
-                       .select("kind", "value", "term", "share"))
+    copies = hot_keys(found, "content", 1).withColumnRenamed("pieces", "copies")
+    n_texts = float(max(found.count() - (copies.agg(F.sum(F.col("copies") - 1)).first()[0] or 0), 1))
+    held = materialize(found.filter(F.size("spans") > 0).select("content", F.explode("spans").alias("s"))
+                       .select("content", "s.kind", "s.value").distinct())
+    # Entities of the same texts have the same counts with every term, and terms of the same texts with every entity:
+    # each set of texts counts once.
+    sets = held.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n_entity"), F.bit_xor(
+        F.xxhash64("content", F.lit("entity"))).alias("entity"))
+    holders = materialize(held.join(sets, ["kind", "value"]).select("content", "entity", "n_entity").distinct())
+    most = holders.agg(F.max("n_entity")).first()[0] or 0
+    # A share never exceeds n_entity / n_term, so more frequent terms cannot qualify.
+    limit = float(most) ** disclosing * n_texts ** (1 - disclosing) * (1 + 1e-9)
+
+    text = text_or_empty()
+    words = docs.select(_content(text).alias("content"), _terms(text).alias("terms"))
+    counted = (words.join(copies, "content", "left")
+               .select(F.explode("terms").alias("term"), (1 / F.coalesce("copies", F.lit(1))).alias("part"))
+               .groupBy("term").agg(F.round(F.sum("part")).alias("n_term")).filter(F.col("n_term") <= limit))
+    inside = (words.join(held.select("content").distinct(), "content", "left_semi")
+              .select("content", F.explode("terms").alias("term")).distinct())
+    places = materialize(inside.join(counted, "term"))
+    terms = materialize(places.groupBy("term", "n_term").agg(F.bit_xor(
+        F.xxhash64("content", F.lit("term"))).alias("texts")))
+    groups = places.join(terms.select("term", "texts"), "term").select("content", "texts", "n_term").distinct()
+    joint = groups.join(holders, "content").filter(
+        F.col("n_term") <= F.pow("n_entity", F.lit(disclosing)) * n_texts ** (1 - disclosing) * (1 + 1e-9)).groupBy(
+        "texts", "n_term", "entity", "n_entity").agg(F.count(F.lit(1)).alias("n_both"))
+    information = F.log(F.lit(n_texts)) - F.log("n_entity")
+
+    def share(hits: Column) -> Column:
+        return F.when(information > 0, 1 + F.log(hits) / information).otherwise(0.0)
+    sure = share(_lower_bound(F.col("n_both"), F.col("n_term"))) >= disclosing
+    best = joint.filter(sure).groupBy("texts", "n_term").agg(
+        F.max(share(F.col("n_both") / F.col("n_term"))).alias("share"))
+    return materialize(terms.join(best, ["texts", "n_term"]).select("term", "share"))
+
+
+def _filter(terms: DataFrame) -> Column:
+    """A filter of fixed size that passes every one of ``terms`` and few others, as one array of numbers."""
+    bits = terms.select(F.explode(F.array(*[_bit(F.col("term"), s) for s in SEEDS])).alias("bit"))
+    numbers = bits.groupBy(F.floor(F.col("bit") / 64).alias("id")).agg(F.bit_or(
+        F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bit") % 64).cast("int"))).alias("n"))
+    every = terms.sparkSession.range(FILTER_NUMBERS).join(numbers, "id", "left")
+    listed = F.array_sort(F.collect_list(F.struct("id", F.coalesce("n", F.lit(0).cast("long")).alias("n"))))
+    return every.agg(listed.alias("l")).select(F.col("l.n")).scalar()
+
+
+def _bit(term: Column, seed: int) -> Column:
+    return F.pmod(F.xxhash64(term, F.lit(seed)), F.lit(64 * FILTER_NUMBERS))
+
+
+def _passes_filter(term: Column, numbers: Column) -> Column:
+    def one(seed: int) -> Column:
+        bit = _bit(term, seed)
+        return F.call_function("shiftright", F.get(numbers, F.floor(bit / 64).cast("int")),
+                               (bit % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+    return reduce(lambda a, b: a & b, [one(s) for s in SEEDS])
+
+
+def occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(content, start, end, share) of every occurrence of ``terms`` in every text; copies of a text give one row."""
+    numbers, text = _filter(terms), text_or_empty()
+    rows = docs.select(_content(text).alias("content"), text.alias("text"))
+    listed = (rows.select("content", F.explode(_terms(F.col("text"))).alias("term"))
+              .filter(_passes_filter(F.col("term"), numbers)).distinct().join(terms, "term"))
+    wanted = materialize(listed.groupBy("content").agg(F.map_from_entries(F.collect_list(F.struct(
+        "term", "share"))).alias("shares")))
+    # Copies meet in their input splits first, so a text with many copies is no large group.
+    found = matches(F.col("text"), TERM, lambda value: F.map_contains_key("shares", F.lower(value)))
+    return (rows.dropDuplicates(["content"]).join(wanted, "content")
+            .select("content", "shares", F.explode(found).alias("m"))
+            .select("content", "m.start", "m.end", F.try_element_at("shares", F.lower("m.value")).alias("share")))
 
 
 def spans(docs: DataFrame, **options) -> DataFrame:
@@ -155,24 +208,16 @@ def spans(docs: DataFrame, **options) -> DataFrame:
 def _located(docs: DataFrame, **options) -> DataFrame:
     found = mentions(docs)
     terms = disclosing_terms(docs, found, **options)
-    near = (found.filter("content IS NOT NULL").dropDuplicates(["content"])
-            .select("content", F.explode("spans").alias("s"))
-            .select("content", "s.kind", "s.value", F.explode("s.near").alias("t"))
-            .select("content", "kind", "value", "t.start", "t.end", "t.term"))
-    strength = F.max("share")
-    added = (near.join(terms, ["kind", "value", "term"]).groupBy("content", "start", "end").agg(strength.alias("share"))
-             .withColumn("kind", F.when(F.col("share") >= REMOVED, "removed").otherwise("term"))
-             .groupBy("content").agg(F.collect_list(F.struct(
-                 "start", F.lit(len(KINDS)).alias("place"), "end", "kind")).alias("added")))
+    added = materialize(
+        occurrences(docs, terms).withColumn("kind", F.when(F.col("share") >= REMOVED, "removed").otherwise("term"))
+        .groupBy("content").agg(F.collect_list(F.struct(
+            "start", F.lit(len(KINDS)).alias("place"), "end", "kind")).alias("added")))
     base = F.transform("spans", lambda s: F.struct(s["start"], s["place"], s["end"], s["kind"]))
     apart = F.filter("added", lambda t: ~F.exists("spans", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
     none = F.array().cast("array<struct<start:int,place:int,end:int,kind:string>>")
-    marked = found.filter("content IS NOT NULL").join(added, "content", "left").select(
+    return found.join(added, "content", "left").select(
         "doc_id", "content", base.alias("base"),
         F.array_sort(F.concat(base, F.coalesce(apart, none))).alias("all_spans"))
-    # Most rows have no entity; they take no part in the join, where their null keys would meet in one task.
-    return marked.unionByName(found.filter("content IS NULL").select(
-        "doc_id", "content", none.alias("base"), none.alias("all_spans")))
 
 
 def sanitise(docs: DataFrame, **options) -> DataFrame:
@@ -180,7 +225,7 @@ def sanitise(docs: DataFrame, **options) -> DataFrame:
 
     Of overlapping spans the first counts.  Texts without spans, null ones too, stay as they are.
     """
-    marks = (_located(docs, **options).filter("content IS NOT NULL").dropDuplicates(["content"])
+    marks = (_located(docs, **options).filter(F.size("all_spans") > 0).dropDuplicates(["content"])
              .select(F.col("content").alias("_content"), F.col("all_spans").alias("_spans")))
     text = text_or_empty()
     begin = F.from_json(F.lit('{"at":0,"out":""}'), "struct<at:int,out:string>")
@@ -191,6 +236,6 @@ def sanitise(docs: DataFrame, **options) -> DataFrame:
             acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), label).alias("out")))
     whole = F.aggregate("_spans", begin, step, lambda acc: F.concat(
         acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
-    return (docs.withColumn("_key", F.sha2(text, 256)).join(marks, F.col("_key") == F.col("_content"), "left")
+    return (docs.withColumn("_key", _content(text)).join(marks, F.col("_key") == F.col("_content"), "left")
             .withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(whole))
             .select(*docs.columns))

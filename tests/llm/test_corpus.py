@@ -375,6 +375,28 @@ def test_disclosing_terms_are_removed_and_copies_prove_nothing(spark):
     assert got[10] == "rareword here near [EMAIL] only" and got[40] == rows[26][1] and got[99] is None
 
 
+def test_disclosing_terms_are_found_far_away_and_in_other_texts(spark):
+    far = " the plain words between" * 20
+    rows = [(k, f"Zorblax{far} {k} wrote to zed.q@mail.example.com{far}\n\nsigned ZORBLAX") for k in range(8)]
+    rows += [(8, f"no address but zorblax and zorblaxes{far}")]
+    rows += [(k, f"the plain words between wrote to signed no address but and zorblaxes {k}") for k in range(10, 300)]
+    got = {r.doc_id: r.text for r in pii.sanitise(frame(spark, rows)).collect()}
+    assert got[0] == f"{far} 0 wrote to [EMAIL]{far}\n\nsigned "
+    assert got[8] == f"no address but  and zorblaxes{far}" and got[10] == rows[9][1]
+
+
+def test_one_text_of_an_entity_can_have_disclosing_terms(spark):
+    rows = [(0, "Quibbleton lives near 10.1.2.3 now")] * 5
+    rows += [(k, f"who lives near here now {k}") for k in range(1, 1500)] + [(1500, "Quibbleton was seen here")]
+    once = [(k, t) for k, t in rows if k < 1500]
+    assert {r.text for r in pii.sanitise(frame(spark, once)).filter("doc_id = 0").collect()} == {
+        " lives near [IP] now"}
+    few = [(k, t) for k, t in once if k < 300]
+    assert pii.sanitise(frame(spark, few)).filter("doc_id = 0").first().text == "Quibbleton lives near [IP] now"
+    # A second text without the entity makes one text in two: too little to be sure of.
+    assert pii.sanitise(frame(spark, rows)).filter("doc_id = 0").first().text == "Quibbleton lives near [IP] now"
+
+
 def labelled(spark, n=400):
     rng = random.Random(12)
     rows, labels = [], []
