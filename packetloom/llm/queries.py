@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm import bpe, exact_dedup, fingerprints, jaccard_join, language_model, mixing, pii, quality, secrets, suffix_dedup
+from packetloom.llm import (
+    bpe, exact_dedup, fingerprints, jaccard_join, language_model, manifest, mixing, pii, quality, secrets, suffix_dedup)
 from packetloom.llm.tables import documents
 
 QUERIES, ORACLE = {}, {}
@@ -79,7 +80,7 @@ WITH t AS (
   SELECT doc_id, length(coalesce(text, '')) AS n,
          regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm
   FROM documents)
-SELECT doc_id, first_value(doc_id) OVER best AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
+SELECT doc_id, n AS n_chars, first_value(doc_id) OVER best AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
        row_number() OVER best = 1 AS kept, sha256(norm) AS text_sha256
 FROM t
 WINDOW best AS (PARTITION BY norm ORDER BY n DESC, doc_id)""")
@@ -140,3 +141,72 @@ def op4_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def op3_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
     return language_model.score(documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"))
+
+
+@query(r"""
+WITH RECURSIVE ids AS (
+  SELECT *, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(
+              string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::UBIGINT)),
+            lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]),
+              lambda x, step: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END)) AS crc
+  FROM documents),
+fields AS (
+  SELECT doc_id, lang, n_chars, xor(crc, 4294967295::UBIGINT) % 7 = 0 AS tampered,
+         coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-')
+           || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+         coalesce(strlen(text) || ':' || text, '-') AS tail
+  FROM ids),
+leaves AS (
+  SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS place,
+         count(*) OVER (PARTITION BY lang) AS n,
+         sha256(head || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || tail) AS leaf,
+         CASE WHEN tampered AND n_chars IS NOT NULL
+              THEN sha256(head || strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1) || tail) END AS bent
+  FROM fields),
+tree(level, lang, place, n, digest) AS (
+  SELECT 0, lang, place, n, leaf FROM leaves
+  UNION ALL
+  SELECT level + 1, lang, place // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY place))
+  FROM tree WHERE n > 1 GROUP BY level, lang, place // 2, n),
+subroots AS (
+  SELECT lang, digest AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place, count(*) OVER () AS n
+  FROM tree WHERE n = 1),
+top(level, place, n, digest) AS (
+  SELECT 0, place, n, subroot FROM subroots
+  UNION ALL
+  SELECT level + 1, place // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY place))
+  FROM top WHERE n > 1 GROUP BY level, place // 2, n),
+walk(doc_id, lang, top_place, level, place, n, node, proof, up) AS (
+  SELECT doc_id, l.lang, s.place, 0, l.place, l.n, coalesce(bent, leaf), '', false
+  FROM leaves l JOIN subroots s ON l.lang IS NOT DISTINCT FROM s.lang
+  UNION ALL
+  SELECT w.doc_id, w.lang, w.top_place,
+         CASE WHEN w.n = 1 AND NOT w.up THEN 0 ELSE w.level + 1 END,
+         CASE WHEN w.n = 1 AND NOT w.up THEN w.top_place ELSE w.place // 2 END,
+         CASE WHEN w.n = 1 AND NOT w.up THEN (SELECT count(*) FROM subroots) ELSE (w.n + 1) // 2 END,
+         CASE WHEN w.n = 1 AND NOT w.up THEN w.node
+              WHEN w.place % 2 = 1 THEN sha256(coalesce(t.digest, u.digest, '') || w.node)
+              ELSE sha256(w.node || coalesce(t.digest, u.digest, '')) END,
+         CASE WHEN w.n = 1 AND NOT w.up THEN w.proof ELSE w.proof || coalesce(t.digest, u.digest, '') END,
+         w.up OR w.n = 1
+  FROM walk w
+  LEFT JOIN tree t ON NOT w.up AND w.n > 1 AND t.lang IS NOT DISTINCT FROM w.lang AND t.level = w.level
+                  AND t.place = xor(w.place, 1)
+  LEFT JOIN top u ON w.up AND u.level = w.level AND u.place = xor(w.place, 1)
+  WHERE NOT w.up OR w.n > 1)
+SELECT l.doc_id, l.leaf, s.subroot, r.digest AS root, sha256(w.proof) AS proof_sha256, w.node AS folded_root,
+       w.node = r.digest AS verified
+FROM leaves l JOIN subroots s ON l.lang IS NOT DISTINCT FROM s.lang
+JOIN walk w ON w.doc_id = l.doc_id AND w.up AND w.n = 1
+JOIN top r ON r.n = 1""")
+def op13_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    docs = documents(spark, sf)
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    fields = [F.col(f) for f in manifest.FIELDS]
+    fields[manifest.FIELDS.index("n_chars")] = F.col("n_chars").cast("decimal(20,0)") + 1
+    bent = F.when(tampered & F.col("n_chars").isNotNull(), manifest.leaf_digest(fields))
+    rows = manifest.proofs(manifest.build(docs, keep=[bent.alias("bent")]))
+    return (rows.withColumn("folded_root", manifest.fold(F.coalesce("bent", "leaf"), F.col("path")))
+            .select(F.col("id").alias("doc_id"), "leaf", "subroot", "root",
+                    F.sha2(manifest.siblings(F.col("path")), 256).alias("proof_sha256"), "folded_root",
+                    (F.col("folded_root") == F.col("root")).alias("verified")))
