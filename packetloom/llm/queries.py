@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetloom.llm import (
-    bpe, exact_dedup, fingerprints, jaccard_join, language_model, manifest, mixing, pii, quality, secrets, suffix_dedup)
+    bpe, decontaminate, exact_dedup, fingerprints, jaccard_join, language_model, manifest, mixing, pii, quality, secrets,
+    suffix_dedup)
 from packetloom.llm.tables import documents
 
 QUERIES, ORACLE = {}, {}
@@ -210,3 +211,33 @@ def op13_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
             .select(F.col("id").alias("doc_id"), "leaf", "subroot", "root",
                     F.sha2(manifest.siblings(F.col("path")), 256).alias("proof_sha256"), "folded_root",
                     (F.col("folded_root") == F.col("root")).alias("verified")))
+
+
+@query(r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                   'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+asked AS (
+  SELECT DISTINCT item_id, least(len(words), 10) AS size, array_to_string(words[p:p + least(len(words), 10) - 1], ' ') AS phrase
+  FROM b, unnest(range(1, greatest(len(words) - 9, 1) + 1)) AS u(p) WHERE len(words) > 0),
+runs AS (
+  SELECT doc_id, s.size, p, array_to_string(words[p:p + s.size - 1], ' ') AS phrase
+  FROM d, (SELECT DISTINCT size FROM asked) AS s, unnest(range(1, len(words) - s.size + 2)) AS u(p)),
+found AS (
+  SELECT doc_id, p, r.size, item_id FROM runs r JOIN asked a ON r.size = a.size AND r.phrase = a.phrase),
+hit AS (
+  SELECT doc_id, count(DISTINCT w) AS n_hit FROM found, unnest(range(p, p + size)) AS u(w) GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found WHERE item_id IS NOT NULL) GROUP BY doc_id)
+SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)""")
+def op12_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    shards = decontaminate.index(documents(spark, sf), F.col("doc_id"))
+    return decontaminate.contamination(shards, spark.read.parquet(f"{sf}/benchmark.parquet")).select(
+        F.col("key").cast("long").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
