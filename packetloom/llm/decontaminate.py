@@ -136,10 +136,12 @@ def _blocks(asked: DataFrame, block_phrases: int) -> tuple[DataFrame, int]:
 def _search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for shard in batch.itertuples(index=False):
-            yield _search_shard(shard)
+            found = _search_shard(shard)
+            if found is not None:
+                yield found
 
 
-def _search_shard(shard) -> pd.DataFrame:
+def _search_shard(shard) -> pd.DataFrame | None:
     numbers = {w: i for i, w in enumerate(shard.vocabulary.split(b" "), 1)} if shard.vocabulary else {}
     listed = pd.DataFrame({"phrase": shard.phrases, "item": np.where(shard.named, shard.items, None)})
     distinct, which = np.unique(listed["phrase"].to_numpy(str), return_inverse=True)
@@ -160,7 +162,7 @@ def _search_shard(shard) -> pd.DataFrame:
         spans.append(merged(owners[piece], begin, begin + lengths[phrase]))
         hits.append(np.unique(np.stack([owners[piece], phrase]), axis=1))
     if not spans:
-        return pd.DataFrame({"row": [], "spans": [], "items": []})
+        return None
     owner, begin, end = merged(*[np.concatenate(x) for x in zip(*spans)])
     rows, phrase = np.unique(np.concatenate(hits, axis=1), axis=1)
     by_phrase = listed.groupby(which)["item"].agg(lambda s: [x for x in s if x is not None])

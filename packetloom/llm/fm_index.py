@@ -52,11 +52,11 @@ def suffix_order(symbols: np.ndarray) -> np.ndarray:
     """
     n = len(symbols)
     width = int(symbols.max(initial=0)).bit_length() or 1
-    depth = max(1, 63 // width)
+    depth = max(1, min(63 // width, n))
     key = np.zeros(n, np.int64)
     for k in range(depth):
         key <<= width
-        key[:n - k] |= symbols[k:] if k else symbols
+        key[:n - k] |= symbols[k:]
     order = np.argsort(key, kind="stable")
     heads = _heads(key[order])
     rank = np.empty(n, np.int64)
