@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetloom.llm import (
-    bpe, decontaminate, exact_dedup, fingerprints, jaccard_join, language_model, manifest, mixing, pii, quality, secrets,
-    suffix_dedup)
+    bpe, collocations, decontaminate, exact_dedup, fingerprints, jaccard_join, language_model, manifest, mixing, pii,
+    quality, secrets, suffix_dedup)
 from packetloom.llm.tables import documents
 
 QUERIES, ORACLE = {}, {}
@@ -241,3 +241,36 @@ def op12_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.contamination(shards, spark.read.parquet(f"{sf}/benchmark.parquet")).select(
         F.col("key").cast("long").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query(r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+split AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces),
+counts AS (
+  SELECT lang, words[p:p + k - 1] AS phrase, k, count(*) AS f
+  FROM split, unnest(range(1, len(words) + 1)) AS u(p), unnest(range(1, 5)) AS v(k)
+  WHERE p + k - 1 <= len(words) GROUP BY ALL),
+sizes AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counts WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT * FROM counts WHERE k > 1 AND f >= 30),
+cuts AS (
+  SELECT c.lang, c.phrase, c.f AS a, s AS cut, l.f AS l, r.f AS r, 2000000::HUGEINT * c.f // (l.f + r.f) AS score
+  FROM candidates c, unnest(range(1, c.k)) AS u(s)
+  JOIN counts l ON l.lang = c.lang AND l.phrase = c.phrase[1:s]
+  JOIN counts r ON r.lang = c.lang AND r.phrase = c.phrase[s + 1:]),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inner_parts AS (
+  SELECT lang, phrase[p:p + k2 - 1] AS phrase, f
+  FROM candidates c, unnest(range(1, k)) AS u(p), unnest(range(2, k)) AS v(k2) WHERE p + k2 - 1 <= k
+  UNION ALL SELECT lang, phrase[2:], f FROM candidates WHERE k > 2),
+covered AS (
+  SELECT DISTINCT c.lang, c.phrase FROM candidates c JOIN inner_parts i ON c.lang = i.lang AND c.phrase = i.phrase
+  WHERE 100::HUGEINT * i.f >= 80::HUGEINT * c.f)
+SELECT lang, rank, array_to_string(phrase, ' ') AS phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(phrase, ' ')) AS rank
+      FROM lowest ANTI JOIN covered USING (lang, phrase)) JOIN sizes USING (lang)
+WHERE rank <= 2000""")
+def op11_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf), top=2000).select(
+        "lang", "rank", "phrase", "a", "l", "r", "n", "score")
