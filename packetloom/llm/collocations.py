@@ -155,7 +155,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST) -> DataFrame:
     The row of no words has the number of all words of a language.  Overlapping occurrences count, none crosses a
     piece.  Null text is empty, null lang is ``und``.
     """
-    stream = materialize(window_counts(docs)).repartitionByRange("lang", "window").sortWithinPartitions("lang", "window")
+    stream = window_counts(docs).repartitionByRange("lang", "window").sortWithinPartitions("lang", "window")
     counted = materialize(stream.mapInArrow(lambda b: _counted(b, least), COUNTED))
     cut = (counted.filter("edge").groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
            .filter((F.col("n") >= least) | (F.col("words") == 0)))
