@@ -1,19 +1,23 @@
 """Packet captures: inventory, archives, and decoding to packet rows.
 
-Captures are listed by Spark, indexed into byte ranges in one job and decoded in the next, so one very
-large capture is read by many tasks.  Executors open files by local path: the capture folder must be
-mounted on every node.
+Loose captures are read through Spark's own reader in byte ranges (``sources.ranges``), so they may lie in any file
+system Spark knows.  An archive is handed to a task as one value; one above ``ARCHIVE_BYTES``, the most such a value can
+hold, is opened by its path, which must then be mounted on every node.  What cannot be read gives a fault row and the
+rest goes on.
 """
 
 from __future__ import annotations
 
+import hashlib
+import io
 import json
 import socket
 import struct
 import zipfile
+import zlib
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetloom.functions import paths as P
@@ -21,22 +25,45 @@ from packetloom.functions.paths import CAPTURE_SUFFIXES
 from packetloom.functions.tls import application_bytes
 from packetloom.operators.ordered import running
 from packetloom.schema import PACKETS
+from packetloom.sources.ranges import Walker, packet_records, stitched
 from packetloom.sources.tabular import content_hashes, list_files
 
 GB = 1 << 30
-SPLIT_BYTES = 128 << 20
+ARCHIVE_BYTES = (1 << 31) - 1
+CHUNK = 1 << 20
 ARCHIVE_SCHEMA = ("path string, member string, nested string, size_bytes long, packed_bytes long, "
-                  "nested_bytes long, nested_packed_bytes long")
+                  "nested_bytes long, nested_packed_bytes long, fault string")
+# What a damaged, encrypted or oddly packed archive raises.
+UNREADABLE = (zipfile.BadZipFile, zlib.error, RuntimeError, NotImplementedError, EOFError, OSError, ValueError)
 
 
 def capture_files(spark: SparkSession, root: str) -> DataFrame:
-    """Loose capture files and capture members of archives (one nested level) under ``root``."""
+    """Loose capture files and capture members of archives (one nested level) under ``root``.
+
+    An archive, nested archive or member that cannot be listed is a row with ``fault``; the others are listed.
+    """
+    empty = [F.lit(None).cast("long").alias(c) for c in ("packed_bytes", "nested_bytes", "nested_packed_bytes")]
     loose = list_files(spark, root, CAPTURE_SUFFIXES).select(
-        "path", F.lit(None).cast("string").alias("member"), F.lit(None).cast("string").alias("nested"),
-        "size_bytes", *[F.lit(None).cast("long").alias(c) for c in ("packed_bytes", "nested_bytes", "nested_packed_bytes")])
-    archives = list_files(spark, root, [".zip"]).select("path")
-    members = archives.repartition(F.col("path")).mapInPandas(_list_members, ARCHIVE_SCHEMA)
-    return loose.unionByName(members)
+        "path", "uri", F.lit(None).cast("string").alias("member"), F.lit(None).cast("string").alias("nested"),
+        "size_bytes", *empty, F.lit(None).cast("string").alias("fault"))
+    members = _archives(spark, root).mapInPandas(_list_members, ARCHIVE_SCHEMA)
+    return loose.unionByName(members.withColumn("uri", F.lit(None).cast("string")))
+
+
+def _archives(spark: SparkSession, root: str) -> DataFrame:
+    """(path, content) of archives; content is null above the size a value can hold."""
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+             .filter(F.lower("path").endswith(".zip")))
+    return files.filter(F.col("length") <= ARCHIVE_BYTES).select("path", "content").unionByName(
+        files.filter(F.col("length") > ARCHIVE_BYTES).select("path", F.lit(None).cast("binary").alias("content")))
+
+
+def _open_archive(path: str, content: bytes | None) -> zipfile.ZipFile:
+    return zipfile.ZipFile(local_path(path) if content is None else io.BytesIO(content))
+
+
+def local_path(path: str) -> str:
+    return "/" + path[5:].lstrip("/") if path.startswith("file:") else path
 
 
 def _is_capture(name: str) -> bool:
@@ -47,17 +74,33 @@ def _list_members(batches):
     """Capture members per archive; only directories of archives are read, nested ones by stream."""
     for batch in batches:
         rows = []
-        for path in batch["path"]:
-            with zipfile.ZipFile(local_path(path)) as outer:
-                for info in outer.infolist():
-                    if _is_capture(info.filename):
-                        rows.append((path, info.filename, None, info.file_size, info.compress_size, None, None))
-                    elif info.filename.lower().endswith(".zip"):
-                        with outer.open(info) as stream, zipfile.ZipFile(stream) as inner:
-                            rows += [(path, info.filename, i.filename, i.file_size, i.compress_size,
-                                      info.file_size, info.compress_size)
-                                     for i in inner.infolist() if _is_capture(i.filename)]
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in ARCHIVE_SCHEMA.split(", ")])
+        for path, content in zip(batch["path"], batch["content"]):
+            try:
+                with _open_archive(path, content) as outer:
+                    for info in outer.infolist():
+                        if _is_capture(info.filename):
+                            rows.append((path, info.filename, None, info.file_size, info.compress_size, None, None, None))
+                        elif info.filename.lower().endswith(".zip"):
+                            rows += _list_nested(path, outer, info)
+            except UNREADABLE as e:
+                rows.append((path, None, None, None, None, None, None, f"{type(e).__name__}: {e}"))
+        out = pd.DataFrame(rows, columns=[c.split()[0] for c in ARCHIVE_SCHEMA.split(", ")])
+        yield out.astype({c: "Int64" for c in out.columns if c.endswith("bytes")})
+
+
+def _list_nested(path: str, outer: zipfile.ZipFile, info: zipfile.ZipInfo) -> list[tuple]:
+    sizes = (info.file_size, info.compress_size)
+    try:
+        with outer.open(info) as stream, zipfile.ZipFile(stream) as inner:
+            return [(path, info.filename, i.filename, i.file_size, i.compress_size, *sizes, None)
+                    for i in inner.infolist() if _is_capture(i.filename)]
+    except UNREADABLE as e:
+        return [(path, info.filename, None, None, None, *sizes, f"{type(e).__name__}: {e}")]
+
+
+def unreadable_archives(spark: SparkSession, root: str) -> DataFrame:
+    """(path, member, fault) of the archives and nested archives that cannot be listed."""
+    return capture_files(spark, root).filter(F.col("fault").isNotNull()).select("path", "member", "fault")
 
 
 def captures(spark: SparkSession, root: str, max_members: int | None = None) -> DataFrame:
@@ -65,13 +108,13 @@ def captures(spark: SparkSession, root: str, max_members: int | None = None) ->
 
     Ordered by source id; ``max_members`` keeps the first ones.
     """
-    files = capture_files(spark, root)
+    files = capture_files(spark, root).filter(F.col("fault").isNull())
     sid = P.source_id(F.col("path"), root, F.col("member"), F.col("nested"))
     rows = files.withColumn("source_id", sid)
     # archive members take the rules on "archive/member/nested"
     rule_path = F.regexp_replace("source_id", ":", "/")
     rows = rows.withColumn("_m", P.path_metadata(rule_path)).select(
-        "source_id", "path", "member", "nested", "_m.*", P.session_id(rule_path).alias("session_id"),
+        "source_id", "path", "uri", "member", "nested", "_m.*", P.session_id(rule_path).alias("session_id"),
         "size_bytes", "packed_bytes", "nested_bytes", "nested_packed_bytes")
     return rows if max_members is None else rows.orderBy("source_id").limit(max_members)
 
@@ -99,106 +142,112 @@ def capture_faults(inventory: DataFrame, max_file: int = 20 * GB, max_member: in
     return single.unionByName(over).unionByName(twice)
 
 
-def capture_hashes(spark: SparkSession, root: str) -> DataFrame:
-    """SHA-256 of loose capture files."""
-    return content_hashes(spark, root, CAPTURE_SUFFIXES)
+def capture_hashes(spark: SparkSession, inventory: DataFrame) -> DataFrame:
+    """(source_id, sha256) of every capture of an inventory, archive members included, of any size."""
+    loose = inventory.filter(F.col("member").isNull()).select("source_id", "path")
+    hashed = content_hashes(spark, [r.path for r in loose.select("path").collect()])
+    inside = _members(spark, inventory, _member_hashes, "source_id string, sha256 string, fault string")
+    return loose.join(hashed, "path").select("source_id", "sha256").unionByName(
+        inside.filter(F.col("fault").isNull()).select("source_id", "sha256"))
 
 
 # --- reading ------------------------------------------------------------------------------------
 
-def local_path(path: str) -> str:
-    return "/" + path[5:].lstrip("/") if path.startswith("file:") else path
-
-
-def open_capture(path: str, member: str | None, nested: str | None):
-    """A seekable byte stream of a file, a member, or a member of a nested archive."""
-    if not member:
-        return open(local_path(path), "rb")
-    stream = zipfile.ZipFile(local_path(path)).open(member)
-    return zipfile.ZipFile(stream).open(nested) if nested else stream
-
-
-def walk_capture(stream, at: int = 0, end: int | None = None, state: dict | None = None, data: bool = True):
-    """Yield (offset, state, timestamp in us, link type, frame) per packet from byte ``at`` to ``end``.
+def _members(spark: SparkSession, inventory: DataFrame, read, schema: str) -> DataFrame:
+    """``read`` over the archive members of an inventory; each archive is handled by one task."""
+    wanted = inventory.filter(F.col("member").isNotNull()).groupBy("path").agg(
+        F.sort_array(F.collect_list(F.struct("source_id", "member", "nested"))).alias("members"))
+    paths = [r.path for r in wanted.select("path").collect()]
+    if not paths:
+        return spark.createDataFrame([], schema)
+    archives = spark.read.format("binaryFile").load(paths)
+    held = archives.filter(F.col("length") <= ARCHIVE_BYTES).select("path", "content").unionByName(
+        archives.filter(F.col("length") > ARCHIVE_BYTES).select("path", F.lit(None).cast("binary").alias("content")))
+    return held.join(wanted, "path").mapInPandas(read, schema)
+
+
+def _opened(batches):
+    """(source id, stream or the exception that opening it raised) of each wanted member."""
+    for batch in batches:
+        for row in batch.itertuples(index=False):
+            for m in row.members:
+                try:
+                    with _open_archive(row.path, row.content) as outer, outer.open(m["member"]) as stream:
+                        if m["nested"] is None:
+                            yield m["source_id"], stream, None
+                        else:
+                            with zipfile.ZipFile(stream) as inner, inner.open(m["nested"]) as deep:
+                                yield m["source_id"], deep, None
+                except UNREADABLE as e:
+                    yield m["source_id"], None, f"{type(e).__name__}: {e}"
+
+
+def _member_hashes(batches):
+    for source, stream, fault in _opened(batches):
+        digest = hashlib.sha256()
+        try:
+            while stream and (data := stream.read(CHUNK)):
+                digest.update(data)
+        except UNREADABLE as e:
+            fault = f"{type(e).__name__}: {e}"
+        yield pd.DataFrame({"source_id": [source], "sha256": [None if fault else digest.hexdigest()], "fault": [fault]})
+
+
+MEMBER_SCHEMA = "source_id string, packet_no long, ts_us long, link int, frame binary, fault string"
+
+
+def _member_records(batches):
+    names = [c.split()[0] for c in MEMBER_SCHEMA.split(", ")]
+    for source, stream, fault in _opened(batches):
+        walker, rows, no = Walker(), [], 0
+        try:
+            while stream and (data := stream.read(CHUNK)):
+                for high, low, interface, known, frame in walker.feed(data):
+                    kind, base, links = json.loads(known)
+                    link, ticks = ([*base, *links][interface:interface + 1] or [(None, None)])[0]
+                    ts = None if link is None else (high * 1_000_000 + low // ticks if kind == "classic"
+                                                    else ((high << 32) | low) * 1_000_000 // ticks)
+                    rows.append((source, no, ts, link, frame, None))
+                    no += 1
+                yield _typed(pd.DataFrame(rows, columns=names))
+                rows = []
+        except UNREADABLE as e:
+            fault = f"{type(e).__name__}: {e}"
+        rows += [(source, None, None, None, None, fault)] * bool(fault)
+        yield _typed(pd.DataFrame(rows, columns=names))
+
+
+def _typed(rows: pd.DataFrame) -> pd.DataFrame:
+    return rows.astype({c: "Int64" for c in ("packet_no", "ts_us", "link")})
+
+
+def capture_ranges(spark: SparkSession, inventory: DataFrame) -> DataFrame:
+    """(source_id, start, first_no): the byte ranges of loose captures and the packet each begins with."""
+    loose = inventory.filter(F.col("member").isNull()).select("source_id", "uri", "path")
+    found, _ = stitched(spark, [r.path for r in loose.select("path").collect()])
+    return found.filter("part = 'range'").join(loose.drop("path"), "uri").select("source_id", "start", "first_no")
+
+
+def read_packets(inventory: DataFrame) -> DataFrame:
+    """One row per raw packet of every capture, in the PACKETS schema; non-TCP frames have null ends.
 
-    ``state`` carries what the bytes before ``at`` said (byte order, interfaces), so a range can be read
-    on its own.  With ``data=False`` frames are skipped over, not read.
+    Only the files of ``inventory`` are opened: a filter on it (by source id, say) is a filter on files.  Payloads stay
+    in the reader: only their length and application bytes come out.  Write the result to a table before using it more
+    than once.  A member that breaks off gives the packets before that point (and a row in ``member_faults``).
     """
-    stream.seek(at)
-    if state is None:
-        magic = stream.read(4)
-        if magic == b"\x0a\x0d\x0d\x0a":
-            state, at = {"kind": "ng", "order": "<", "links": []}, 0
-            stream.seek(0)
-        else:
-            known = {b"\xd4\xc3\xb2\xa1": ("<", 1), b"\xa1\xb2\xc3\xd4": (">", 1),
-                     b"\x4d\x3c\xb2\xa1": ("<", 1000), b"\xa1\xb2\x3c\x4d": (">", 1000)}
-            if magic not in known:
-                return
-            order, nanos = known[magic]
-            link = struct.unpack(order + "I", (magic + stream.read(20))[20:24])[0] & 0xFFFF
-            state, at = {"kind": "classic", "order": order, "nanos": nanos, "link": link}, 24
-    step = _classic_record if state["kind"] == "classic" else _ng_block
-    while end is None or at < end:
-        found = step(stream, at, state, data)
-        if found is None:
-            return
-        size, packet = found
-        if packet is not None:
-            yield (at, state, *packet)
-        at += size
-
-
-def _classic_record(stream, at, state, data):
-    head = stream.read(16)
-    if len(head) < 16:
-        return None
-    seconds, part, kept, _ = struct.unpack(state["order"] + "IIII", head)
-    frame = stream.read(kept) if data else stream.seek(kept, 1)
-    if data and len(frame) < kept:
-        return None
-    return 16 + kept, (seconds * 1_000_000 + part // state["nanos"], state["link"], frame)
+    spark = inventory.sparkSession
+    members = _members(spark, inventory, _member_records, MEMBER_SCHEMA).filter(F.col("fault").isNull()).drop("fault")
+    loose = inventory.filter(F.col("member").isNull()).select("source_id", "uri", "path")
+    paths = [r.path for r in loose.select("path").collect()]
+    frames = members if not paths else members.unionByName(
+        packet_records(spark, paths).join(loose.drop("path"), "uri").drop("uri"))
+    return decode_frames(frames, link=F.col("link"))
 
 
-def _ng_block(stream, at, state, data):
-    head = stream.read(12)
-    if len(head) < 12:
-        return None
-    if head[:4] == b"\x0a\x0d\x0d\x0a":  # a new section sets the byte order and forgets interfaces
-        state["order"], state["links"] = ("<" if head[8:12] == b"\x4d\x3c\x2b\x1a" else ">"), []
-    order = state["order"]
-    kind, size = struct.unpack(order + "II", head[:8])
-    if size < 12:
-        return None
-    packet = None
-    if kind == 1:
-        body = head[8:12] + stream.read(size - 12)
-        state["links"] = state["links"] + [[struct.unpack(order + "H", body[:2])[0], _ticks(body[8:-4], order)]]
-    elif kind == 6:
-        iface = struct.unpack(order + "I", head[8:12])[0]
-        rest = stream.read(16)
-        if len(rest) < 16 or iface >= len(state["links"]):
-            return None
-        high, low, kept, _ = struct.unpack(order + "IIII", rest)
-        frame = stream.read(kept) if data else None
-        link, ticks = state["links"][iface]
-        packet = (((high << 32) | low) * 1_000_000 // ticks, link, frame)
-    stream.seek(at + size)
-    return size, packet
-
-
-def _ticks(options: bytes, order: str) -> int:
-    """Clock ticks per second of an interface: option 9, a power of ten or (top bit set) of two."""
-    at = 0
-    while at + 4 <= len(options):
-        code, size = struct.unpack(order + "HH", options[at:at + 4])
-        if code == 9 and size:
-            value = options[at + 4]
-            return 2 ** (value & 127) if value & 128 else 10 ** value
-        if code == 0:
-            break
-        at += 4 + (size + 3) // 4 * 4
-    return 1_000_000
+def member_faults(inventory: DataFrame) -> DataFrame:
+    """(source_id, fault) of the archive members that cannot be read to their end."""
+    return _members(inventory.sparkSession, inventory, _member_records, MEMBER_SCHEMA).filter(
+        F.col("fault").isNotNull()).select("source_id", "fault")
 
 
 def decode_frame(frame: bytes, link: int):
@@ -245,87 +294,26 @@ def _ip_offset(frame: bytes, link: int) -> int:
     return 0 if link != 1 else len(frame)
 
 
-INDEX_SCHEMA = "source_id string, path string, member string, nested string, at long, end long, first_no long, state string"
-
-
-def capture_splits(inventory: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """Byte ranges of about ``split_bytes`` per loose capture, with the packet number each starts at.
-
-    Finding packet starts reads record headers only.  An archive member cannot be entered in the middle,
-    so it is one range.
-    """
-    def index(batches):
-        for batch in batches:
-            rows = []
-            for r in batch.itertuples(index=False):
-                if r.member is not None:
-                    rows.append((r.source_id, r.path, r.member, r.nested, 0, None, 0, None))
-                    continue
-                with open_capture(r.path, None, None) as stream:
-                    start, first, no, state = 0, 0, 0, None
-                    for at, seen, *_ in walk_capture(stream, data=False):
-                        if at - start >= split_bytes:
-                            rows.append((r.source_id, r.path, None, None, start, at, first, state))
-                            start, first, state = at, no, json.dumps(seen)
-                        no += 1
-                    rows.append((r.source_id, r.path, None, None, start, None, first, state))
-            out = pd.DataFrame(rows, columns=[c.split()[0] for c in INDEX_SCHEMA.split(", ")])
-            yield out.astype({"at": "Int64", "end": "Int64", "first_no": "Int64"})
-    listed = inventory.select("source_id", "path", "member", "nested")
-    return listed.repartition(F.col("source_id")).mapInPandas(index, INDEX_SCHEMA)
-
-
-def read_packets(inventory: DataFrame, split_bytes: int = SPLIT_BYTES, batch_rows: int = 20_000,
-                 tasks: int | None = None) -> DataFrame:
-    """One row per raw packet of every capture, in the PACKETS schema; non-TCP frames have null ends.
-
-    Payloads stay in the reader: only their length and application bytes come out.  Write the result to
-    a table before using it more than once.
-    """
-    splits = capture_splits(inventory, split_bytes)
-    spread = splits.repartition(tasks, "source_id", "at") if tasks else splits.repartition("source_id", "at")
-    names = PACKETS.names
-
-    def decode(batches):
-        for batch in batches:
-            for r in batch.itertuples(index=False):
-                rows, no = [], int(r.first_no)
-                state = None if r.state is None else json.loads(r.state)
-                end = None if pd.isna(r.end) else int(r.end)
-                with open_capture(r.path, r.member, r.nested) as stream:
-                    for _, _, ts, link, frame in walk_capture(stream, int(r.at), end, state):
-                        found = decode_frame(frame, link)
-                        src, sport, dst, dport, flags, payload = found or (None, None, None, None, None, b"")
-                        rows.append((r.source_id, no, ts, src, sport, dst, dport, flags, len(frame), len(payload),
-                                     application_bytes(payload)))
-                        no += 1
-                        if len(rows) >= batch_rows:
-                            yield _frame_table(rows, names)
-                            rows = []
-                if rows:
-                    yield _frame_table(rows, names)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in PACKETS.fields)
-    return spread.mapInPandas(decode, schema)
-
-
 def _frame_table(rows: list, names: list[str]) -> pd.DataFrame:
     out = pd.DataFrame(rows, columns=names)
     numbers = [n for n in names if n not in ("source_id", "src_ip", "dst_ip")]
     return out.astype({n: "Int64" for n in numbers})
 
 
-def decode_frames(frames: DataFrame, frame: str = "frame", link: int = 1) -> DataFrame:
+def decode_frames(frames: DataFrame, frame: str = "frame", link: int | Column = 1) -> DataFrame:
     """Packet columns for frames that are already in a table (``source_id, packet_no, ts_us, frame``)."""
     names = PACKETS.names
 
     def decode(batches):
         for batch in batches:
             rows = []
-            for r in batch.itertuples(index=False):
-                data = bytes(getattr(r, frame))
-                src, sport, dst, dport, flags, payload = decode_frame(data, link) or (None,) * 5 + (b"",)
-                rows.append((r.source_id, r.packet_no, r.ts_us, src, sport, dst, dport, flags, len(data),
-                             len(payload), application_bytes(payload)))
+            for source, no, ts, data, kind in batch.itertuples(index=False):
+                found = None if pd.isna(kind) else decode_frame(data, int(kind))
+                src, sport, dst, dport, flags, payload = found or (None,) * 5 + (b"",)
+                rows.append((source, no, ts, src, sport, dst, dport, flags, len(data), len(payload),
+                             application_bytes(payload)))
             yield _frame_table(rows, names)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in PACKETS.fields)
-    return frames.select("source_id", "packet_no", "ts_us", frame).mapInPandas(decode, schema)
+    kind = link if isinstance(link, Column) else F.lit(link)
+    return frames.select("source_id", "packet_no", "ts_us", F.col(frame).alias("frame"), kind.alias("link")).mapInPandas(
+        decode, schema)

@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+import csv
+import hashlib
+import io
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from packetloom.functions.names import label_candidates
 from packetloom.operators.tabular import trim_names
 
-# binaryFile holds a file as one value; larger files are listed without a hash.
-HASH_LIMIT = 1 << 30
+# The most that one value can hold.
+VALUE_BYTES = (1 << 31) - 1
+HASHES = "path string, sha256 string"
+DESCRIBED = "uri string, columns array<string>, names array<string>, rows long"
 SUFFIXES = {".csv": "csv", ".parquet": "parquet"}
 
 
@@ -36,36 +46,111 @@ def list_files(spark: SparkSession, root: str, suffixes: list[str]) -> DataFrame
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     name = F.lower(file_name(F.col("path")))
     hit = reduce(lambda a, b: a | b, [name.endswith(s) for s in suffixes])
-    return files.filter(hit).select("path", F.col("length").alias("size_bytes"))
+    return files.filter(hit).select("path", F.col("_metadata.file_path").alias("uri"), F.col("length").alias("size_bytes"))
 
 
-def content_hashes(spark: SparkSession, root: str, suffixes: list[str], limit: int = HASH_LIMIT) -> DataFrame:
-    """SHA-256 of every file up to ``limit`` bytes; the size filter is applied before contents are read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    name = F.lower(file_name(F.col("path")))
-    hit = reduce(lambda a, b: a | b, [name.endswith(s) for s in suffixes])
-    return files.filter(hit & (F.col("length") <= limit)).select("path", F.sha2("content", 256).alias("sha256"))
+def content_hashes(spark: SparkSession, paths: list[str], value_bytes: int = VALUE_BYTES) -> DataFrame:
+    """(path, sha256) of files of any size.
+
+    A file that fits into a value is hashed as one.  A larger one is read in ranges, whose lines one task takes in the
+    order of the file, some at a time; whether the last line ends in a line feed shows in the size.
+    """
+    if not paths:
+        return spark.createDataFrame([], HASHES)
+    files = spark.read.format("binaryFile").load(paths)
+    small = files.filter(F.col("length") <= value_bytes).select("path", F.sha2("content", 256).alias("sha256"))
+    large = files.filter(F.col("length") > value_bytes).select("path", F.col("_metadata.file_path").alias("uri"))
+    listed = [r.path for r in large.select("path").collect()]
+    if not listed:
+        return small
+    lines = spark.read.option("lineSep", "\n").text(listed).select(
+        F.col("_metadata.file_path").alias("uri"), F.col("_metadata.file_size").alias("size"),
+        F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("nth"),
+        F.col("value").cast("binary").alias("line"))
+    hashed = (lines.repartition("uri").sortWithinPartitions("uri", "start", "nth")
+              .mapInArrow(_hash_lines, "uri string, sha256 string"))
+    return small.unionByName(hashed.join(large, "uri").select("path", "sha256"))
+
+
+def _hash_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    uri = digest = None
+    fed = size = 0
+
+    def done():
+        if fed > size:
+            raise ValueError(f"{uri} has grown while it was read")
+        digest.update(b"\n" * (size - fed))
+        return pa.RecordBatch.from_pydict({"uri": [uri], "sha256": [digest.hexdigest()]})
+    for batch in batches:
+        uris, sizes, lines = batch.column(0).to_pylist(), batch.column(1), batch.column(4).to_pylist()
+        cuts = [0, *[i for i in range(1, len(uris)) if uris[i] != uris[i - 1]], len(uris)]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            data = b"\n".join(lines[a:b])
+            if uris[a] != uri:
+                if uri is not None:
+                    yield done()
+                uri, digest, fed, size = uris[a], hashlib.sha256(), 0, sizes[a].as_py()
+            else:
+                data = b"\n" + data
+            digest.update(data)
+            fed += len(data)
+    if uri is not None:
+        yield done()
 
 
 def file_inventory(spark: SparkSession, root: str) -> DataFrame:
     """One row per table file: format, size, SHA-256, rows, columns with types, label candidates.
 
-    Row counts come from one scan per distinct file list; Parquet needs only its footers for them.
+    Parquet footers are read in tasks; rows of all CSV files are counted by one read, their headers by another.
+    A file that is no table has null rows.  An empty folder gives no rows.
     """
-    listed = list_files(spark, root, list(SUFFIXES))
-    hashed = listed.join(content_hashes(spark, root, list(SUFFIXES)), "path", "left")
-    described = []
-    for r in listed.select("path").collect():  # one entry per file: the inventory itself
-        df = read_table(spark, r.path)
-        columns = [f"{n}: {t}" for n, t in df.dtypes]
-        rows = df.select(F.count(F.lit(1)).alias("rows")).select(
-            F.lit(r.path).alias("path"), "rows", F.array(*[F.lit(c) for c in columns]).alias("columns"),
-            F.array(*[F.lit(c) for c in label_candidates(df.columns)]).cast("array<string>").alias("label_candidates"))
-        described.append(rows)
-    if not described:
-        return hashed.select("path", F.lit(None).cast("string").alias("format"), "size_bytes", "sha256")
-    described = reduce(DataFrame.unionByName, described)
-    kind = F.when(F.lower("path").endswith(".csv"), "csv").otherwise("parquet")
-    return (hashed.join(described, "path")
-            .select(file_name(F.col("path")).alias("name"), kind.alias("format"), "size_bytes", "sha256", "rows",
-                    "columns", "label_candidates").orderBy("name"))
+    listed = list_files(spark, root, list(SUFFIXES)).withColumn("format", F.when(
+        F.lower("path").endswith(".csv"), "csv").otherwise("parquet"))
+    files = listed.select("path", "format").collect()
+    paths = {kind: [r.path for r in files if r.format == kind] for kind in ("csv", "parquet")}
+    described = spark.createDataFrame([], DESCRIBED)
+    if paths["csv"]:
+        lines = spark.read.option("lineSep", "\n").text(paths["csv"]).filter(F.col("_metadata.file_block_start") == 0)
+        heads = lines.groupBy(F.col("_metadata.file_path").alias("uri")).agg(
+            F.min_by("value", F.monotonically_increasing_id()).alias("head")).mapInPandas(
+            _describe_heads, "uri string, columns array<string>, names array<string>")
+        rows = (spark.read.option("header", True).schema("first string").csv(paths["csv"])
+                .groupBy(F.col("_metadata.file_path").alias("uri")).agg(F.count(F.lit(1)).alias("rows")))
+        described = described.unionByName(heads.join(rows, "uri", "left").withColumn(
+            "rows", F.coalesce("rows", F.lit(0).cast("long"))))
+    if paths["parquet"]:
+        whole = spark.read.format("binaryFile").load(paths["parquet"]).filter(F.col("length") <= VALUE_BYTES)
+        described = described.unionByName(whole.select(F.col("_metadata.file_path").alias("uri"), "content").mapInPandas(
+            _describe_footers, DESCRIBED))
+        large = listed.filter((F.col("format") == "parquet") & (F.col("size_bytes") > VALUE_BYTES)).select("path", "uri")
+        for r in large.collect():  # files of more than 2 GB each
+            df = spark.read.parquet(r.path)
+            names = [n.strip() for n in df.columns]
+            described = described.unionByName(df.select(F.count(F.lit(1)).alias("rows")).select(
+                F.lit(r.uri).alias("uri"), F.array(*[F.lit(f"{n}: {t}") for n, (_, t) in zip(names, df.dtypes)]).alias("columns"),
+                F.array(*[F.lit(n) for n in names]).alias("names"), "rows"))
+    candidates = F.udf(label_candidates, "array<string>")  # one call per file
+    hashed = content_hashes(spark, [r.path for r in files])
+    return (listed.join(hashed, "path").join(described, "uri", "left")
+            .select(file_name(F.col("path")).alias("name"), "format", "size_bytes", "sha256", "rows", "columns",
+                    candidates("names").alias("label_candidates")).orderBy("name"))
+
+
+def _describe_heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        names = [[n.strip() for n in next(csv.reader([head.rstrip("\r").removeprefix("\ufeff")]), [])] for head in batch["head"]]
+        yield pd.DataFrame({"uri": batch["uri"], "columns": [[f"{n}: string" for n in own] for own in names],
+                            "names": names})
+
+
+def _describe_footers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for uri, content in zip(batch["uri"], batch["content"]):
+            try:
+                file = pq.ParquetFile(io.BytesIO(content))
+            except pa.ArrowInvalid:
+                continue
+            fields = from_arrow_schema(file.schema_arrow, prefer_timestamp_ntz=True).fields
+            names = [f.name.strip() for f in fields]
+            yield pd.DataFrame({"uri": [uri], "columns": [[f"{n}: {f.dataType.simpleString()}" for n, f in zip(names, fields)]],
+                                "names": [names], "rows": [file.metadata.num_rows]})

@@ -1,5 +1,7 @@
 """Capture bytes to packets, inventories, artifacts, and streams against batch results."""
 
+import contextlib
+import hashlib
 import json
 import os
 import random
@@ -8,6 +10,7 @@ import struct
 import tempfile
 import zipfile
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,7 +19,9 @@ from packetloom.operators import checks as V
 from packetloom.operators import clumps as C
 from packetloom.operators import flows as L
 from packetloom.sources import artifacts as A
+from packetloom.schema import PACKETS
 from packetloom.sources import captures as S
+from packetloom.sources import ranges as N
 from packetloom.sources import tabular as T
 from packetloom.streaming import flows as R
 
@@ -103,13 +108,41 @@ def test_inventory_and_limits(spark, root):
     assert ("NonDoH.zip:big.cap", "ratio_too_high") in faults
     assert [f for f in faults if f[1] == "expansion_over_budget"] == [("NonDoH.zip:nest.zip/deep/cap_nano.pcap", "expansion_over_budget")]
     assert S.capture_faults(inv.unionByName(inv), max_ratio=10**6).filter("fault = 'duplicate_source_id'").count() == 4
-    assert S.capture_hashes(spark, root).count() == 2
+    hashes = {r.source_id: r.sha256 for r in S.capture_hashes(spark, inv).collect()}
+    assert hashes["MaliciousDoH/iodine_run_one.pcap"] == sha(classic(sample_packets()))
+    assert hashes["NonDoH.zip:big.cap"] == sha(classic(sample_packets() * 200)) and len(hashes) == 4
 
 
-@pytest.mark.parametrize("split_bytes", [1 << 20, 150])
-def test_captures_become_flows(spark, root, split_bytes):
+def sha(data):
+    return hashlib.sha256(data).hexdigest()
+
+
+@pytest.mark.parametrize("data", [b"", b"\n", b"a", b"a\n", b"\n\n", b"a\nb\r\n\xff\x00" * 300, b"\n" * 999 + b"z"])
+def test_hashes_of_files_read_in_ranges(spark, data):
+    folder = tempfile.mkdtemp(prefix="hashes-")
+    for name in "xy":
+        open(f"{folder}/{name}.bin", "wb").write(data + b"tail" + data)
+    with files_of(spark, 97):
+        got = T.content_hashes(spark, [f"{folder}/x.bin", f"{folder}/y.bin"], value_bytes=0).collect()
+    assert [r.sha256 for r in got] == [sha(data + b"tail" + data)] * 2
+
+
+@contextlib.contextmanager
+def files_of(spark, size):
+    """Files are split at every ``size`` bytes."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for k in before:
+        spark.conf.set(k, str(size))
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("range_bytes", [1 << 20, 300])
+def test_captures_become_flows(spark, root, range_bytes):
     inv = S.captures(spark, root).filter("source_id <> 'NonDoH.zip:big.cap'")
-    raw = S.read_packets(inv, split_bytes)
+    with files_of(spark, range_bytes):
+        raw = spark.createDataFrame(S.read_packets(inv).collect(), PACKETS)
     assert raw.count() == 18
     numbers = raw.groupBy("source_id").agg(F.sort_array(F.collect_list("packet_no")).alias("n")).collect()
     assert all(r.n == list(range(6)) for r in numbers)
@@ -126,7 +159,90 @@ def test_broken_captures_end_quietly(spark):
     folder = tempfile.mkdtemp(prefix="captures-")
     open(f"{folder}/cut.pcap", "wb").write(classic(sample_packets())[:-7])
     open(f"{folder}/junk.pcap", "wb").write(b"not a capture")
-    assert S.read_packets(S.captures(spark, folder)).count() == 5
+    open(f"{folder}/broken.zip", "wb").write(b"PK not an archive")
+    with zipfile.ZipFile(f"{folder}/half.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("fine.pcap", classic(sample_packets()))
+        z.writestr("bad.pcap", classic(sample_packets() * 50))
+        z.writestr("odd.zip", b"no archive either")
+    raw = bytearray(open(f"{folder}/half.zip", "rb").read())
+    at = raw.index(b"bad.pcap") + 60
+    raw[at:at + 8] = b"\xff" * 8
+    open(f"{folder}/half.zip", "wb").write(raw)
+    inv = S.captures(spark, folder)
+    got = {r.source_id: r["count"] for r in S.read_packets(inv).groupBy("source_id").count().collect()}
+    assert got.pop("cut.pcap") == 5 and got.pop("half.zip:fine.pcap") == 6 and got.pop("half.zip:bad.pcap", 0) < 300 and not got
+    assert [r.source_id for r in S.member_faults(inv).collect()] == ["half.zip:bad.pcap"]
+    assert sorted(r.path.split("/")[-1] + ":" + str(r.member) for r in S.unreadable_archives(spark, folder).collect()) == [
+        "broken.zip:None", "half.zip:odd.zip"]
+
+
+def fake_records(rng):
+    """A payload that is itself a run of records."""
+    parts = [(10**9 + i * 1000, b"z" * rng.randrange(60, 90)) for i in range(30)]
+    return classic(parts)[24:] if rng.random() < 0.5 else next_gen(parts)
+
+
+def long_captures():
+    rng = random.Random(1)
+
+    def packets(n, fakes):
+        out = []
+        for i in range(n):
+            body = fake_records(rng) if i in fakes else rng.choice([b"\n" * rng.randrange(60), rng.randbytes(rng.randrange(1, 300))])
+            out.append((10**12 + i * 1000, frame(*CLIENT, *SERVER, body)))
+        return out
+    return {"plain.pcap": classic(packets(200, ())), "fakes.pcap": classic(packets(150, (30, 70)), ">", nanos=True),
+            "fakes.pcapng": next_gen(packets(150, (30, 70))), "cut.pcap": classic(packets(50, ()))[:-7],
+            "two.pcapng": next_gen(packets(80, ()), ">") + next_gen(packets(80, (9,)), "<"), "junk.pcap": b"no capture\n" * 900,
+            "feed.pcap": classic([*packets(20, ()), (10**12, b"\n" * 500)]), "empty.pcap": b""}
+
+
+def test_ranges_give_what_a_plain_walk_gives(spark):
+    folder, files = tempfile.mkdtemp(prefix="ranges-"), long_captures()
+    for name, data in files.items():
+        open(f"{folder}/{name}", "wb").write(data)
+    with files_of(spark, 4000):
+        found = N.packet_records(spark, [f"{folder}/{n}" for n in files]).collect()
+        inv = S.captures(spark, folder).filter("source_id IN ('plain.pcap', 'two.pcapng')")
+        assert S.capture_ranges(spark, inv).count() > 10
+        only = N.lines(spark, [f"{folder}/{n}" for n in files], F.col("_metadata.file_path").endswith("two.pcapng"))
+        assert only.select("uri").distinct().count() == 1
+    for name, data in files.items():
+        want = [bytes(r[4]) for r in N.Walker().feed(data)]
+        got = sorted((r.packet_no, bytes(r.frame)) for r in found if r.uri.endswith("/" + name))
+        assert got == list(enumerate(want)), name
+    assert {r.ts_us for r in found if r.uri.endswith("fakes.pcapng")} == {10**12 + i * 1000 for i in range(150)}
+
+
+@pytest.mark.parametrize("size", [2500, 700, 300])
+def test_wrong_guesses_are_read_again(size):
+    """The stitching alone, on ranges cut as the text reader cuts them."""
+    for name, data in long_captures().items():
+        want, carried = [bytes(r[4]) for r in N.Walker().feed(data)], {}
+        if not data:
+            continue
+        while True:
+            rows, records = [], {}
+            for start in range(0, len(data), size):
+                end = min(start + size, len(data))
+                a = 0 if not start else data.find(b"\n", start) + 1 or len(data)
+                b = len(data) if end == len(data) else data.find(b"\n", end) + 1 or len(data)
+                if a >= b:
+                    continue
+                own = N._Range(start, carried.get(start))
+                records[start] = [*own.feed(data[a:b].removesuffix(b"\n")), *own.finish(end == len(data))]
+                w = own.walker
+                rows.append((name, start, len(data), own.n_bytes, own.head, w.held if w else b"", w.seen if w else 0,
+                             json.dumps(own.opened), json.dumps(w.state if w else None), bool(w and w.dead), own.joined))
+            found = N._stitch(pd.DataFrame(rows, columns=[c.split()[0] for c in N.RANGES.split(", ")]))
+            again = found[found["part"] == "again"]
+            if not len(again):
+                break
+            carried[again["start"].iloc[0]] = (json.loads(again["known"].iloc[0]), bytes(again["carried"].iloc[0]))
+        got = [(int(r.first_no) + i, bytes(x[4])) for r in found.itertuples() if r.part == "range"
+               for i, x in enumerate(records[r.start])]
+        got += [(int(r.first_no), bytes(r.frame)) for r in found.itertuples() if r.part == "packet"]
+        assert sorted(got) == list(enumerate(want)), name
 
 
 def test_tables_and_artifacts(spark):
