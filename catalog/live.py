@@ -86,7 +86,7 @@ SELECT source_id, key, flow_no, count(*) AS packet_count, CAST(sum(length) AS BI
 FROM flows GROUP BY source_id, key, flow_no HAVING (max(ts_us) + {IDLE_US}) // 1000 * 1000 + 1000 <= {MARK}""")
 def stream_flows(spark, sf):
     _state_store(spark)
-    out = drain(spark, R.stream_flows(event_stream(spark, sf), idle_us=IDLE_US))
+    out = R.numbered(drain(spark, R.stream_flows(event_stream(spark, sf), idle_us=IDLE_US)), "start_us")
     return out.select("source_id", "key", "flow_no", "packet_count", "byte_count", "start_us", "end_us")
 
 

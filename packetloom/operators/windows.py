@@ -154,17 +154,20 @@ def segment_features(clumps: DataFrame, length: int, group: list[str] = FLOW, fi
     cut = cut.filter((F.col("_n") == length) | (F.col("clump_no") == 0))
     if first_only:
         cut = cut.filter(F.col("clump_no") == 0)
+    return cut.select(*group, F.col("clump_no").alias("window_index"), *segment_columns(
+        length, F.col("_n"), F.col("_size"), F.col("_square"), F.col("max_size"), F.col("_pkts"), F.col("_span"),
+        F.col("_gap"), F.col("_fwd")))
+
+
+def segment_columns(length: int, n: Column, size: Column, square: Column, largest: Column, packets: Column,
+                    span: Column, gap: Column, forward: Column) -> list[Column]:
+    """The eight segment features from sums over the ``n`` clumps of a window of ``length``."""
     m = float(length)
-    spread = F.greatest(F.lit(0.0), m * F.col("_square") - F.col("_size") * F.col("_size"))
-    return cut.select(
-        *group, F.col("clump_no").alias("window_index"),
-        (F.col("_size") / m).alias("mean_size"), "max_size",
-        (F.col("_pkts") / m).alias("mean_pkts"),
-        (F.col("_span") / 1e6 / m).alias("mean_duration"),
-        (F.col("_gap") / 1e6 / m).alias("mean_interarrival"),
-        (F.sqrt(spread) / m).alias("std_size"),
-        ((F.col("_fwd") + (m - F.col("_n"))) / m).alias("forward_share"),
-        ((F.col("_span") + F.col("_gap")) / 1e6).alias("total_span"))
+    spread = F.greatest(F.lit(0.0), m * square - size * size)
+    return [(size / m).alias("mean_size"), largest.alias("max_size"), (packets / m).alias("mean_pkts"),
+            (span / 1e6 / m).alias("mean_duration"), (gap / 1e6 / m).alias("mean_interarrival"),
+            (F.sqrt(spread) / m).alias("std_size"), ((forward + (m - n)) / m).alias("forward_share"),
+            ((span + gap) / 1e6).alias("total_span")]
 
 
 def collection_delay(clumps: DataFrame, length: int, group: list[str] = FLOW) -> DataFrame:

@@ -2,39 +2,52 @@
 
 Packets need an event-time column ``ts`` (timestamp) beside the batch columns.  A packet is used once
 the watermark has passed it, so packets may arrive out of order within the watermark's delay; later
-ones are dropped.  State per key is one open flow, one open clump and that short buffer.
+ones are dropped and counted (``late_rows``).  State per key is one open flow, one open clump, the last clumps of a
+window and that short buffer; it is gone when the flow's idle time has passed.  A flow is therefore known by its start,
+and ``numbered`` gives the numbers of the batch form to finished flows.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.streaming.query import StreamingQuery
 
 from packetloom.operators.clumps import TIMEOUT_US
 from packetloom.operators.flows import IDLE_US
+from packetloom.operators.prototypes import FILTERED, predict_centroids
+from packetloom.operators.windows import segment_columns
 
-CLUMP_OUT = ("source_id string, key string, flow_no long, clump_no long, size long, pkt_count long, direction int, "
+CLUMP_OUT = ("source_id string, key string, flow_start_us long, clump_no long, size long, pkt_count long, direction int, "
              "start_us long, end_us long, interarrival_us long, delay_us long")
-FLOW_OUT = ("source_id string, key string, flow_no long, client string, start_us long, end_us long, "
+FLOW_OUT = ("source_id string, key string, client string, start_us long, end_us long, "
             "packet_count long, byte_count long, clump_count long")
+WINDOW_OUT = "source_id string, key string, flow_start_us long, window_index long, steps array<array<bigint>>"
+OUTPUTS = {"clumps": CLUMP_OUT, "flows": FLOW_OUT, "windows": WINDOW_OUT}
+STEP = "size long, pkt_count long, direction long, duration_us long, interarrival_us long"
 PENDING = "ts_us long, packet_no long, length long, sender string"
-OPEN = ("flow_no long, client string, start_us long, last_us long, packets long, bytes long, clump_no long, size long, "
+OPEN = ("client string, start_us long, last_us long, packets long, bytes long, clump_no long, size long, "
         "pkt_count long, direction int, clump_start long, clump_end long, gap long")
 FIELDS = [c.split()[0] for c in OPEN.split(", ")]
 
 
 class FlowProcessor(StatefulProcessor):
-    """Feeds packets in time order to one open flow per key; emits closed clumps or closed flows."""
+    """Feeds packets in time order to one open flow per key; emits closed clumps, closed flows, or windows of clumps.
 
-    def __init__(self, emit: str, idle_us: int, timeout_us: int):
-        self.emit, self.idle_us, self.timeout_us = emit, idle_us, timeout_us
+    A window is emitted with each clump that closes once there are ``longest``; a flow that ends before gives one
+    window of the clumps it has.
+    """
+
+    def __init__(self, emit: str, idle_us: int, timeout_us: int, longest: int = 1):
+        self.emit, self.idle_us, self.timeout_us, self.longest = emit, idle_us, timeout_us, longest
 
     def init(self, handle):
         self.handle = handle
         self.pending = handle.getListState("pending", PENDING)
         self.open = handle.getValueState("open", OPEN)
+        self.ring = handle.getListState("ring", STEP)
 
     def handleInputRows(self, key, rows, timerValues):
         fresh = [tuple(r) for part in rows
@@ -53,16 +66,22 @@ class FlowProcessor(StatefulProcessor):
         ready = sorted(p for p in waiting if p[0] <= watermark_us)
         later = [p for p in waiting if p[0] > watermark_us]
         flow = dict(zip(FIELDS, self.open.get())) if self.open.exists() else None
+        self.steps = [tuple(s) for s in self.ring.get()] if self.emit == "windows" else []
         out = []
         for packet in ready:
             flow = self._feed(key, flow, packet, out)
-        if flow and flow["pkt_count"] and watermark_us - flow["last_us"] > self.idle_us:
+        if flow and watermark_us - flow["last_us"] > self.idle_us:
             self._close_flow(key, flow, out)
+            flow = None
         if flow:
             self.open.update(tuple(flow[f] for f in FIELDS))
+        else:
+            self.open.clear()
+        if self.emit == "windows":
+            self.ring.put(self.steps) if self.steps else self.ring.clear()
         self.pending.put(later) if later else self.pending.clear()
         self._wake(flow, later)
-        names = [c.split()[0] for c in (CLUMP_OUT if self.emit == "clumps" else FLOW_OUT).split(", ")]
+        names = [c.split()[0] for c in OUTPUTS[self.emit].split(", ")]
         return pd.DataFrame(out, columns=names)
 
     def _wake(self, flow, later):
@@ -70,16 +89,16 @@ class FlowProcessor(StatefulProcessor):
             self.handle.deleteTimer(timer)
         if later:
             self.handle.registerTimer(min(p[0] for p in later) // 1000 + 1)
-        if flow and flow["pkt_count"]:
+        if flow:
             self.handle.registerTimer((flow["last_us"] + self.idle_us) // 1000 + 1)
 
     def _feed(self, key, flow, packet, out):
         ts, _, length, sender = packet
-        if flow and flow["pkt_count"] and ts - flow["last_us"] > self.idle_us:
+        if flow and ts - flow["last_us"] > self.idle_us:
             self._close_flow(key, flow, out)
-        if flow is None or not flow["pkt_count"]:
-            no = 0 if flow is None else flow["flow_no"] + 1
-            return dict(flow_no=no, client=sender, start_us=ts, last_us=ts, packets=1, bytes=length, clump_no=0, size=length,
+            flow = None
+        if flow is None:
+            return dict(client=sender, start_us=ts, last_us=ts, packets=1, bytes=length, clump_no=0, size=length,
                         pkt_count=1, direction=0, clump_start=ts, clump_end=ts, gap=0)
         direction = 0 if sender == flow["client"] else 1
         if direction != flow["direction"] or ts - flow["clump_end"] > self.timeout_us:
@@ -92,15 +111,23 @@ class FlowProcessor(StatefulProcessor):
 
     def _close_clump(self, key, flow, out):
         if self.emit == "clumps":
-            out.append((*key, flow["flow_no"], flow["clump_no"], flow["size"], flow["pkt_count"], flow["direction"],
+            out.append((*key, flow["start_us"], flow["clump_no"], flow["size"], flow["pkt_count"], flow["direction"],
                         flow["clump_start"], flow["clump_end"], flow["gap"], flow["clump_end"] - flow["start_us"]))
+        elif self.emit == "windows":
+            self.steps.append((flow["size"], flow["pkt_count"], flow["direction"],
+                               flow["clump_end"] - flow["clump_start"], flow["gap"]))
+            if len(self.steps) == self.longest:
+                out.append((*key, flow["start_us"], flow["clump_no"] + 1 - self.longest, list(map(list, self.steps))))
+                self.steps.pop(0)
 
     def _close_flow(self, key, flow, out):
         self._close_clump(key, flow, out)
         if self.emit == "flows":
-            out.append((*key, flow["flow_no"], flow["client"], flow["start_us"], flow["last_us"], flow["packets"],
-                        flow["bytes"], flow["clump_no"] + 1))
-        flow["pkt_count"] = 0  # only the flow number is kept for the key
+            out.append((*key, flow["client"], flow["start_us"], flow["last_us"], flow["packets"], flow["bytes"],
+                        flow["clump_no"] + 1))
+        elif self.emit == "windows" and flow["clump_no"] + 1 < self.longest:
+            out.append((*key, flow["start_us"], 0, list(map(list, self.steps))))
+        self.steps = []
 
 
 def _keyed(packets: DataFrame, delay: str):
@@ -123,7 +150,66 @@ def stream_clumps(packets: DataFrame, delay: str = "10 seconds", idle_us: int =
 def early_decisions(clumps: DataFrame, length: int) -> DataFrame:
     """The moment a flow has its first ``length`` clumps: enough for a first verdict."""
     return clumps.filter(F.col("clump_no") == length - 1).select(
-        "source_id", "key", "flow_no", F.lit(length).alias("window_size"), "delay_us")
+        "source_id", "key", "flow_start_us", F.lit(length).alias("window_size"), "delay_us")
+
+
+def stream_windows(packets: DataFrame, longest: int, delay: str = "10 seconds", idle_us: int = IDLE_US,
+                   timeout_us: int = TIMEOUT_US) -> DataFrame:
+    """A row per window of ``longest`` clumps as soon as its last clump is closed.
+
+    ``steps`` are [size, packets, direction, duration, gap] of its clumps; fewer than ``longest`` only in window 0 of a
+    flow that ended before.
+    """
+    return _keyed(packets, delay).transformWithStateInPandas(
+        FlowProcessor("windows", idle_us, timeout_us, longest), WINDOW_OUT, "append", "EventTime")
+
+
+def window_segments(windows: DataFrame, length: int) -> DataFrame:
+    """``windows`` with the eight segment features of their first ``length`` steps."""
+    steps = F.slice("steps", 1, length)
+
+    def total(of):
+        return F.aggregate(steps, F.lit(0).cast("long"), lambda acc, s: acc + of(s))
+    size = lambda s: s[0]
+    return windows.select("*", *segment_columns(
+        length, n=F.size(steps), size=total(size), square=total(lambda s: s[0] * s[0]),
+        largest=F.array_max(F.transform(steps, size)).cast("double"), packets=total(lambda s: s[1]),
+        span=total(lambda s: s[3]), gap=total(lambda s: s[4]),
+        forward=total(lambda s: F.when(s[2] == 0, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long")))))
+
+
+def stream_verdicts(packets: DataFrame, stage1: DataFrame, stage2: DataFrame, lengths: tuple[int, int] = (6, 3),
+                    forward: str = "doh", **options) -> DataFrame:
+    """Verdicts on live flows: the cascade over each window as it fills.
+
+    ``stage1`` and ``stage2`` are centroid models for ``lengths`` clumps.  Windows that stage 1 does not ``forward`` are
+    filtered; the others get the verdict of stage 2 on their first clumps.
+    """
+    rows = stream_windows(packets, max(lengths), **options)
+    keys = ["source_id", "key", "flow_start_us", "window_index"]
+    one = predict_centroids(window_segments(rows, lengths[0]), stage1).select(
+        *keys, "steps", F.col("predicted").alias("l1_predicted"), F.col("total_span").alias("l1_delay_s"))
+    two = predict_centroids(window_segments(one, lengths[1]), stage2)
+    passed = F.col("l1_predicted") == forward
+    return two.select(*keys, "l1_predicted", "l1_delay_s",
+                      F.when(passed, F.col("predicted")).otherwise(FILTERED).alias("verdict"),
+                      F.when(passed, F.col("total_span")).otherwise(0.0).alias("l2_delay_s"))
+
+
+def numbered(rows: DataFrame, start: str = "flow_start_us") -> DataFrame:
+    """``flow_no`` of finished flows, or of their clumps: flows of a key counted by their start."""
+    order = Window.partitionBy("source_id", "key").orderBy(start)
+    return rows.withColumn("flow_no", F.dense_rank().over(order).cast("long") - 1)
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Packets that a query has dropped since the watermark had passed them, over the progress it still remembers."""
+    return sum(int(op["numRowsDroppedByWatermark"]) for p in query.recentProgress for op in p["stateOperators"])
+
+
+def state_rows(query: StreamingQuery) -> int:
+    """Rows of state after the last batch of a query."""
+    return sum(int(op["numRowsTotal"]) for op in query.lastProgress["stateOperators"])
 
 
 def stream_sessions(packets: DataFrame, delay: str = "10 seconds", idle: str = "40 seconds") -> DataFrame:

@@ -18,6 +18,9 @@ from packetloom.functions.tls import application_bytes
 from packetloom.operators import checks as V
 from packetloom.operators import clumps as C
 from packetloom.operators import flows as L
+from packetloom.operators import prototypes as Q
+from packetloom.operators import windows as W
+from packetloom.operators.ordered import materialize
 from packetloom.sources import artifacts as A
 from packetloom.schema import PACKETS
 from packetloom.sources import captures as S
@@ -311,12 +314,12 @@ def test_streams_match_batch(spark):
     flow_packets = L.split_flows(batch)
     want = sorted((r.key, r.flow_no, r.start_us, r.end_us, r.packet_count, r.byte_count)
                   for r in L.summarise_flows(flow_packets).collect())
-    got = run_stream(spark, R.stream_flows(stream_input(spark, rows)), "s_flows")
+    got = R.numbered(run_stream(spark, R.stream_flows(stream_input(spark, rows)), "s_flows"), "start_us")
     assert sorted((r.key, r.flow_no, r.start_us, r.end_us, r.packet_count, r.byte_count) for r in got.collect()) == want
     sessions = run_stream(spark, R.stream_sessions(stream_input(spark, rows)), "s_sessions")
     assert sorted((r.key, r.start_us, r.end_us, r.packet_count, r.byte_count) for r in sessions.collect()) == sorted(
         (w[0], *w[2:]) for w in want)
-    clumps = run_stream(spark, R.stream_clumps(stream_input(spark, rows)), "s_clumps")
+    clumps = R.numbered(run_stream(spark, R.stream_clumps(stream_input(spark, rows)), "s_clumps"))
     fields = ["key", "flow_no", "clump_no", "size", "pkt_count", "direction", "start_us", "end_us", "interarrival_us"]
     assert sorted(map(tuple, clumps.select(*fields).collect())) == sorted(
         map(tuple, C.clump(flow_packets).select(*fields).collect()))
@@ -325,3 +328,45 @@ def test_streams_match_batch(spark):
     rates = run_stream(spark, R.stream_rates(stream_input(spark, rows), "10 minutes"), "s_rates")
     assert rates.filter("packets > 1").agg(F.sum("packets")).first()[0] <= len(rows)
     spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+@pytest.mark.parametrize("files", [1, 4])
+def test_live_verdicts_equal_the_batch_cascade(spark, files):
+    rows = stream_rows()
+    batch = spark.createDataFrame(rows, "source_id string, key string, packet_no long, ts_us long, length long, sender string, receiver string")
+    clumps = C.clump(L.split_flows(batch))
+    models, stages = [], []
+    for length in (3, 2):
+        segments = W.segment_features(clumps, length).withColumn("truth", F.when(
+            F.col("mean_size") > 65, "doh").otherwise("non_doh"))
+        models.append(materialize(Q.fit_centroids(segments, "truth")))
+        stages.append(Q.predict_centroids(segments.filter("window_index = 0"), models[-1]).withColumn("delay_s", F.col("total_span")))
+    want = Q.cascade(*stages, ["source_id", "key", "flow_no"])
+    live = R.stream_verdicts(stream_input(spark, rows, files), *models, lengths=(3, 2))
+    got = R.numbered(run_stream(spark, live, f"s_verdicts_{files}"))
+    fields = ["key", "flow_no", "l1_predicted", "verdict", F.round("l1_delay_s", 6).alias("a"), F.round("l2_delay_s", 6).alias("b")]
+    assert sorted(map(tuple, got.filter("window_index = 0").select(*fields).collect())) == sorted(
+        map(tuple, want.select(*fields).collect()))
+    windows = W.segment_features(clumps, 3).select("key", "flow_no", "window_index").collect()
+    assert sorted(map(tuple, got.select("key", "flow_no", "window_index").collect())) == sorted(map(tuple, windows))
+
+
+def test_late_packets_are_counted_and_state_ends(spark):
+    schema = "source_id string, key string, packet_no long, ts_us long, length long, sender string, receiver string"
+    second = 10**6
+    batches = [[("s", "k", i, t * second, 10, "a", "b") for i, t in enumerate(times)]
+               for times in ([100, 101, 120], [95, 121, 400, 119], [50, 401, 3000])]
+    folder, log = tempfile.mkdtemp(prefix="stream-"), tempfile.mkdtemp(prefix="stream-")
+    dropped, out = 0, tempfile.mkdtemp(prefix="stream-")
+    for rows in [*batches, [("s", "end", 9, 10**13, 1, "a", "b")]]:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+        live = spark.readStream.schema(schema).parquet(folder).withColumn("ts", F.timestamp_micros("ts_us"))
+        q = R.stream_flows(live, "10 seconds").writeStream.format("parquet").option("path", out).option(
+            "checkpointLocation", log).trigger(availableNow=True).start()
+        q.awaitTermination()
+        dropped += R.late_rows(q)
+    flows = sorted((r.start_us // second, r.end_us // second, r.packet_count) for r in
+                   spark.read.parquet(out).filter("key = 'k'").collect())
+    # After the first batch the watermark is at 110 s, after the second at 390 s: 95 and 50 come too late.
+    assert flows == [(100, 121, 5), (400, 401, 2), (3000, 3000, 1)] and dropped == 2
+    assert R.state_rows(q) <= 3  # what is left belongs to the packet that has just come
