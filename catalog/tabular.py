@@ -7,6 +7,7 @@ from catalog.sequence import event_clumps
 from catalog.tables import IDLE_US, event_packets, load
 from packetloom.functions import names as N
 from packetloom.functions.scaling import step_mask
+from packetloom.operators import bayes as B
 from packetloom.operators import models as M
 from packetloom.operators import splits as S
 from packetloom.operators import tabular as T
@@ -134,3 +135,25 @@ def field_ablation(spark, sf):
 def training_history(spark, sf):
     model = M.fit_windows(materialize(window_samples(spark, sf)), 3, kind="logistic")
     return M.training_history(spark, model)
+
+
+BAYES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+_LOGS = " + ".join(f"(ln(2 * pi() * (v_{c} + 1e-9 * widest)) + (CAST({c} AS DOUBLE) - m_{c}) ** 2 / (v_{c} + 1e-9 * widest))" for c in BAYES)
+
+
+@query(f"""WITH train AS (SELECT * FROM lineitem WHERE l_orderkey % 5 < 4),
+whole AS (SELECT count(*) AS total, greatest({', '.join(f'var_pop(CAST({c} AS DOUBLE))' for c in BAYES)}) AS widest FROM train),
+classes AS (SELECT l_returnflag AS name, count(*) AS n, {', '.join(f'avg(CAST({c} AS DOUBLE)) AS m_{c}, var_pop(CAST({c} AS DOUBLE)) AS v_{c}' for c in BAYES)}
+  FROM train GROUP BY 1),
+others AS (SELECT *, row_number() OVER () AS spot FROM lineitem WHERE l_orderkey % 5 = 4),
+scored AS (SELECT spot, l_orderkey, l_linenumber, name, ln(n / total::DOUBLE) - ({_LOGS}) / 2 AS l FROM others, classes, whole),
+best AS (SELECT *, max(l) OVER (PARTITION BY spot) AS top FROM scored)
+SELECT any_value(l_orderkey) AS l_orderkey, any_value(l_linenumber) AS l_linenumber, arg_max(name, l) AS predicted,
+  round(1 / sum(exp(l - top)), 6) AS probability FROM best GROUP BY spot""")
+def gaussian_bayes(spark, sf):
+    """Gaussian naive Bayes fitted on four orders in five and applied to the others."""
+    rows = load(spark, sf, "lineitem")
+    model = materialize(B.fit_gaussian(rows.filter("l_orderkey % 5 < 4"), "l_returnflag", BAYES))
+    out = B.predict_gaussian(rows.filter("l_orderkey % 5 = 4"), model, BAYES)
+    return out.select("l_orderkey", "l_linenumber", "predicted",
+                      F.round(F.col("probabilities")[F.col("predicted")], 6).alias("probability"))

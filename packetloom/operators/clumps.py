@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetloom.operators.flows import IDLE_US, split_flows_busy, split_flows_ordinary
-from packetloom.operators.ordered import MAX_LISTED, ROWS_PER_PIECE, by_heat, materialize
+from packetloom.operators.ordered import MAX_LISTED, ROWS_PER_PIECE, by_heat, materialize, running
 from packetloom.schema import CLUMP, FLOW, STREAM
 
 TIMEOUT_US = 1_000
@@ -124,10 +124,48 @@ def packets_to_clumps(packets: DataFrame, idle_us: int = IDLE_US, timeout_us: in
 
 def timeout_sweep(flow_packets: DataFrame, timeouts_us: list[int],
                   rows_per_piece: int = ROWS_PER_PIECE) -> DataFrame:
-    """Clumps under several timeouts, keyed by ``timeout_us``; the packets are exploded, not re-read."""
-    options = F.array(*[F.lit(t).cast("long") for t in timeouts_us])
-    wide = flow_packets.withColumn("timeout_us", F.explode(options))
-    return clump(wide, F.col("timeout_us"), rows_per_piece=rows_per_piece, group=FLOW + ["timeout_us"])
+    """Clumps under several timeouts, keyed by ``timeout_us``.
+
+    Clumps of a longer timeout are runs of neighbouring clumps of a shorter one, so packets are read and dealt out
+    once, for the shortest; the others are merged from its clumps where those stand.
+    """
+    base = materialize(clump(flow_packets, min(timeouts_us), rows_per_piece=rows_per_piece))
+    return by_heat(base, FLOW, lambda c: _merge_ordinary(c, timeouts_us),
+                   lambda c: _merge_busy(c, timeouts_us, rows_per_piece), rows_per_piece)
+
+
+def _opens(timeout: int, end: str, direction: str) -> Column:
+    broken = (F.col("direction") != F.col(direction)) | (F.col("start_us") - F.col(end) > timeout)
+    return F.coalesce(broken, F.lit(True)).cast("long")
+
+
+def _merge_ordinary(clumps: DataFrame, timeouts_us: list[int]) -> DataFrame:
+    order = Window.partitionBy(*FLOW).orderBy("clump_no")
+    marked = clumps.withColumns({"_end": F.lag("end_us").over(order), "_dir": F.lag("direction").over(order)})
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    return _merge(marked.withColumns({f"_no_{i}": F.sum(_opens(t, "_end", "_dir")).over(so_far)
+                                      for i, t in enumerate(timeouts_us)}), timeouts_us)
+
+
+def _merge_busy(clumps: DataFrame, timeouts_us: list[int], rows_per_piece: int) -> DataFrame:
+    cut = materialize(clumps.withColumn("_piece", F.floor(F.col("clump_no") / rows_per_piece)))
+    marked = materialize(running(cut, FLOW, "_piece", ["clump_no"], {
+        "_end": ("last", F.col("end_us"), False), "_dir": ("last", F.col("direction"), False)}))
+    return _merge(running(marked, FLOW, "_piece", ["clump_no"], {
+        f"_no_{i}": ("sum", _opens(t, "_end", "_dir"), True) for i, t in enumerate(timeouts_us)}), timeouts_us)
+
+
+def _merge(numbered: DataFrame, timeouts_us: list[int]) -> DataFrame:
+    choices = F.array(*[F.struct(F.lit(t).cast("long").alias("timeout_us"), (F.col(f"_no_{i}") - 1).alias("no"))
+                        for i, t in enumerate(timeouts_us)])
+    wide = numbered.select(*FLOW, "clump_no", "size", "pkt_count", "direction", "start_us", "end_us", "interarrival_us",
+                           F.explode(choices).alias("_t"))
+    return (wide.groupBy(*FLOW, F.col("_t.timeout_us").alias("timeout_us"), F.col("_t.no").alias("no"))
+            .agg(F.sum("size").alias("size"), F.sum("pkt_count").alias("pkt_count"), F.max("direction").alias("direction"),
+                 F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"),
+                 F.min_by("interarrival_us", "clump_no").alias("interarrival_us"))
+            .select(*FLOW, "timeout_us", F.col("no").alias("clump_no"), "size", "pkt_count", "direction", "start_us",
+                    "end_us", (F.col("end_us") - F.col("start_us")).alias("duration_us"), "interarrival_us"))
 
 
 def add_clump_seconds(clumps: DataFrame) -> DataFrame:

@@ -6,13 +6,14 @@ from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression,
-                                       MultilayerPerceptronClassifier, NaiveBayes, RandomForestClassifier)
+                                       MultilayerPerceptronClassifier, RandomForestClassifier)
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetloom.functions.names import FEATURE_GROUPS, feature_group
 from packetloom.functions.scaling import PADDING
+from packetloom.operators.bayes import GaussianBayes
 from packetloom.operators.calibrate import logistic_apply, logistic_fit
 from packetloom.operators.metrics import (apply_threshold, averaged_metrics, binary_metrics, confusion,
                                           ranking_metrics, select_threshold)
@@ -30,26 +31,30 @@ SVM_C = 1.0
 
 
 def classifier(name: str, seed: int = 42, label: str = "target", **settings):
-    """An unfitted classifier by name."""
+    """An unfitted classifier of Spark ML by name."""
+    # The settings of the compared models.
     common = {"featuresCol": "features", "labelCol": label}
     makers = {
         "random_forest": lambda: RandomForestClassifier(
             **({"numTrees": 100, "impurity": "gini", "maxDepth": DEEPEST, "seed": seed} | settings), **common),
         "decision_tree": lambda: DecisionTreeClassifier(
             **({"impurity": "entropy", "maxDepth": DEEPEST, "seed": seed} | settings), **common),
-        "gaussian_nb": lambda: NaiveBayes(modelType="gaussian", **settings, **common),
         "linear_svm": lambda: LinearSVC(**({"maxIter": 2_000} | settings), **common),
         "hist_gradient_boosting": lambda: GBTClassifier(
             **({"maxIter": 100, "maxDepth": 5, "stepSize": 0.1, "seed": seed} | settings), **common),
     }
     if name not in makers:
-        raise ValueError(f"unknown model {name!r}; expected one of {MODELS}")
+        raise ValueError(f"unknown model {name!r}; expected one of {sorted(makers)}")
     return makers[name]()
 
 
 def fit_tabular(train: DataFrame, names: list[str], model: str, label: str = "target", seed: int = 42,
-                **settings) -> PipelineModel:
+                **settings) -> PipelineModel | GaussianBayes:
     """Vector assembly (scaled for the linear model) and the classifier, fitted on ``train``."""
+    if model not in MODELS:
+        raise ValueError(f"unknown model {model!r}; expected one of {MODELS}")
+    if model == "gaussian_nb":
+        return GaussianBayes.fit(train, names, label, **settings)
     stages = vector_stages(names, scaled=model == "linear_svm")
     typed = train.withColumn(label, F.col(label).cast("double"))
     if model == "linear_svm" and "regParam" not in settings:

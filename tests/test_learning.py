@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 from packetloom.functions import names as N
 from packetloom.functions import paths as P
+from packetloom.operators import bayes as B
 from packetloom.operators import calibrate as K
 from packetloom.operators import compare as T
 from packetloom.operators import labels as A
 from packetloom.operators import metrics as M
+from packetloom.operators import models as X
 from packetloom.operators import prototypes as Q
 from packetloom.operators import splits as S
 from packetloom.operators.ordered import first_n, hash_cut, running, score_bucket
@@ -316,3 +318,38 @@ def test_packets_to_sweep(spark):
     out = plan.sweep(clump(kept), flows, tasks=["l2"], lengths=[3], kinds=["logistic"], max_iter=15)
     got = {r.split_protocol: r for r in out.collect()}
     assert set(got) == {"paper_flow_random", "session_scenario_disjoint"} and got["paper_flow_random"].roc_auc > 0.8
+
+
+def test_gaussian_bayes_equals_plain_arithmetic(spark):
+    import numpy as np
+    rng = np.random.default_rng(4)
+    n = 300
+    label = rng.integers(0, 7, n)
+    values = np.c_[rng.normal(label, 1), rng.normal(0, 100, n), np.where(label == 3, 5.0, rng.normal(size=n))]
+    rows = [(int(y), *map(float, v)) for y, v in zip(label, values)]
+    df = spark.createDataFrame(rows + [(None, 1.0, 2.0, 3.0)], "y int, a double, b double, c double")
+    model = B.fit_gaussian(df, "y", ["a", "b", "c"])
+    got = {r.name: r for r in model.collect()}
+    extra = 1e-9 * values.var(axis=0).max()
+    logs = np.empty((n, 7))
+    for k in range(7):
+        own = values[label == k]
+        mean, var = own.mean(axis=0), own.var(axis=0) + extra
+        np.testing.assert_allclose(got[k].means, mean, rtol=1e-9)
+        np.testing.assert_allclose(got[k].variances, var, rtol=1e-9)
+        logs[:, k] = np.log(len(own) / n) - 0.5 * (np.log(2 * np.pi * var) + (values - mean) ** 2 / var).sum(axis=1)
+    out = B.predict_gaussian(df.filter("y IS NOT NULL").coalesce(1), model, ["a", "b", "c"]).collect()
+    share = np.exp(logs - logs.max(axis=1, keepdims=True))
+    share /= share.sum(axis=1, keepdims=True)
+    assert [r.predicted for r in out] == list(logs.argmax(axis=1))
+    np.testing.assert_allclose([[r.probabilities[k] for k in range(7)] for r in out], share, atol=1e-9)
+    unknown = B.predict_gaussian(df.select("y", "a", "b", F.lit(None).cast("double").alias("c")), model, ["a", "b", "c"])
+    assert unknown.filter("predicted IS NOT NULL").count() == 0
+    assert B.predict_gaussian(df, B.fit_gaussian(df.limit(0), "y", ["a"]), ["a"]).filter("predicted IS NOT NULL").count() == 0
+
+
+def test_gaussian_bayes_among_the_models(spark):
+    rows = [(i % 2, float(i % 2) + (i % 5) / 10, float(i % 3)) for i in range(60)]
+    df = spark.createDataFrame(rows, "target int, a double, b double")
+    scored = X.score_rows(X.fit_tabular(df, ["a", "b"], "gaussian_nb"), df)
+    assert scored.filter("prediction = target").count() == 60 and scored.filter("score > 0.5").count() == 30

@@ -245,3 +245,18 @@ def test_quantiles_of_busy_groups(spark):
     assert summary.p50_seconds == 6.5 and summary.p90_seconds == 8.5 and summary.std_ms == 2500.0
     empty = spark.createDataFrame([("z", None)], "g string, v long")
     assert D.summary_columns(empty, "v", ["g"]).first().p99_seconds == 0.0
+
+
+@pytest.mark.parametrize("rows_per_piece", [4_000_000, 3])
+def test_timeout_sweep_equals_clumps_of_each_timeout(spark, rows_per_piece):
+    rng, t, rows = random.Random(9), 0, []
+    for i in range(300):
+        t += rng.choice([0, 1, 10, 11, 100, 101, 5000])
+        rows.append(("s", str(rng.randrange(3)), rng.randrange(2), i, t, rng.randrange(40, 90), rng.randrange(2)))
+    packets = spark.createDataFrame(rows, "source_id string, key string, flow_no long, packet_no long, ts_us long, length long, direction int")
+    timeouts = [100, 10, 4999]
+    fields = ["source_id", "key", "flow_no", "clump_no", "size", "pkt_count", "direction", "start_us", "end_us", "duration_us", "interarrival_us"]
+    got = C.timeout_sweep(packets, timeouts, rows_per_piece)
+    for timeout in timeouts:
+        want = sorted(map(tuple, C.clump(packets, timeout).select(*fields).collect()))
+        assert sorted(map(tuple, got.filter(F.col("timeout_us") == timeout).select(*fields).collect())) == want
