@@ -7,8 +7,8 @@
    ones.  Linking each such shingle's documents to the smallest of them gives blocks that no link leaves.
 4. Inside a block, DivideSkip: each set asks the inverted lists of the sets before it; short lists are merged by a
    heap, long ones probed by binary search, and candidates that can reach the overlap are compared exactly.
-5. A large block is searched in pieces, each beside the block's most typical sets; whatever is then outside the
-   block's largest component is searched against every piece.
+5. A large block is searched in pieces, each beside the block's most typical sets.  A document of whose shingles other
+   components hold too few has then all its links; the others are put into blocks again, which are smaller.
 
 Components, not pairs, are the result, so candidates already connected are passed over.
 """
@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packetloom.llm import shared_keys
@@ -37,6 +37,9 @@ THRESHOLD = 75  # percent
 PIECE = 192
 TYPICAL = 4
 
+# Searches of what is undecided before the members left are compared with every piece of their block.
+ROUNDS = 4
+
 # Characters of text for one key range (about a shingle per 6 of them), and words a worker remembers.
 CHARS_PER_RANGE = 12_000_000
 REMEMBERED = 250_000
@@ -116,7 +119,7 @@ def _shared_counts(packed: DataFrame) -> DataFrame:
 
 
 def _texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """doc_id, share, text of the chosen documents: a text is half the size of its set, which is quickly made again.
+    """doc_id, share, n_shingles, text of the chosen documents: a text is half the size of its set, which is quickly made again.
 
     Most other texts are held back before the shuffle by a bitmap of FILTER_BITS hashed ids, 4 MB at any size.
     """
@@ -128,8 +131,8 @@ def _texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     place = F.bitmap_bit_position("_slot").cast("int")
     byte = F.conv(F.hex(F.substring("_bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     bit = F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), place % 8 + 1)
-    return (held.filter(byte.bitwiseAND(bit) > 0).select("doc_id", "text").join(chosen.select("doc_id", "share"), "doc_id")
-            .dropDuplicates(["doc_id"]).select("doc_id", "share", "text"))
+    return (held.filter(byte.bitwiseAND(bit) > 0).select("doc_id", "text")
+            .join(chosen, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "share", "n_shingles", "text"))
 
 
 def _common_grams(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -267,36 +270,103 @@ def _search(members: DataFrame, texts: DataFrame, percent: int, words: int) -> D
             .groupBy("block", "piece").applyInPandas(run, "a long, b long"))
 
 
-def _links(texts: DataFrame, percent: int, words: int) -> DataFrame:
-    """Links that connect all similar sets, by searches inside blocks.
+def _in_pieces(blocks: DataFrame, texts: DataFrame, percent: int, words: int, salt: int) -> tuple[DataFrame, DataFrame]:
+    """One search of ``blocks`` (doc_id, block, component): the links found, and the members of blocks over a piece.
 
-    Who is searched where is settled in narrow tables; the texts themselves travel only to their searches.
+    A block of up to PIECE documents is settled; a larger one is searched in pieces dealt by ``salt``, each beside the
+    block's most typical sets.
     """
-    blocks = materialize(components(_block_edges(texts, percent, words))
-                         .select(F.col("node").alias("doc_id"), F.col("component").alias("block")))
     sizes = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
     large = materialize(sizes.filter(F.col("n") > PIECE).select("block", F.ceil(F.col("n") / PIECE).alias("pieces")))
     members = materialize(
         blocks.join(texts.select("doc_id", "share"), "doc_id").join(large, "block", "left")
         .withColumn("pieces", F.coalesce("pieces", F.lit(1)))
-        .withColumn("piece", F.pmod(F.xxhash64("doc_id"), F.col("pieces")))
-        .withColumn("component", F.lit(None).cast("long")))
+        .withColumn("piece", F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.col("pieces"))))
     in_large = members.filter("pieces > 1")
     rank = F.struct(-F.col("share"), F.col("doc_id"))
     best = in_large.groupBy("block", "piece").agg(F.min(rank).alias("r"))
     typical = best.groupBy("block").agg(F.slice(F.array_sort(F.collect_set("r")), 1, TYPICAL).alias("r"))
     typical = typical.select("block", F.explode("r.doc_id").alias("doc_id"))
-    every_piece = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))
-    beside = in_large.join(typical, ["block", "doc_id"]).withColumn("piece", every_piece)
-    links = materialize(_search(members.unionByName(beside), texts, percent, words))
+    beside = in_large.join(typical, ["block", "doc_id"]).withColumn("piece", _every_piece())
+    return materialize(_search(members.unionByName(beside), texts, percent, words)), in_large
+
+
+def _every_piece() -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))
+
+
+def _undecided(placed: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
+    """The rows of ``placed`` (doc_id, block, component) that may still have a partner in another component.
+
+    Both ends of a link hold the overlap asked for, so a document of whose shingles too few are held by other components
+    of its block has no link left.  Without it others may fall below the mark too: repeated until none does.
+    """
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32))
 
-    # Pairs in different pieces that are not connected yet have one end outside the block's largest component.
+    def pack(batches: Iterator[pd.DataFrame], n_ranges: int) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            held = batch["text"].tolist()
+            for part in shared_keys.slices(held):
+                rows = batch[part]
+                sets = [shingles(t, words) for t in rows["text"]]
+                own = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+                mixed = np.concatenate(sets) ^ rows["mix"].to_numpy(np.int64).view(np.uint64)[own]
+                yield shared_keys.pack(mixed, rows["component"].to_numpy(np.int64)[own],
+                                       rows["slot"].to_numpy(np.int64).astype(np.uint32)[own], n_ranges, KEY_BYTES)
+
+    def count(rows: pd.DataFrame) -> pd.DataFrame:
+        found, n = np.unique(shared_keys.shared_entries(rows, KEY_BYTES), return_counts=True)
+        return pd.DataFrame({"component": found["doc"], "slot": found["place"].astype(np.int64), "n": n.astype(np.int64)})
+    sized = placed.join(texts.select("doc_id", "n_shingles"), "doc_id").withColumn("slot", slot)
+    while True:
+        sized = materialize(sized)
+        held = sized.agg(F.count(F.lit(1)).alias("rows"), F.sum("n_shingles").alias("n")).first()
+        if not held.rows:
+            break
+        n_ranges = shared_keys.ranges_for(6 * held.n, CHARS_PER_RANGE)
+        packed = (sized.select("doc_id", "component", "slot", F.xxhash64("block").alias("mix"))
+                  .join(texts.select("doc_id", "text"), "doc_id").select("component", "slot", "mix", "text")
+                  .mapInPandas(lambda batches: pack(batches, n_ranges), shared_keys.PACKED))
+        counts = (packed.groupBy("range").applyInPandas(count, "component long, slot long, n long")
+                  .groupBy("component", "slot").agg(F.sum("n").alias("n")))
+        kept = materialize(sized.join(counts, ["component", "slot"])
+                           .filter(100 * F.col("n") >= percent * F.col("n_shingles")).select(*sized.columns))
+        sized, before = kept, held.rows
+        if kept.count() == before:
+            break
+    return sized.select(*placed.columns)
+
+
+def _links(texts: DataFrame, percent: int, words: int) -> DataFrame:
+    """Links that connect all similar sets, by searches inside blocks.
+
+    Who is searched where is settled in narrow tables; the texts themselves travel only to their searches.  After each
+    search the members of large blocks that may still lack a link are put into blocks of their own.
+    """
+    blocks = materialize(components(_block_edges(texts, percent, words))
+                         .select(F.col("node").alias("doc_id"), F.col("component").alias("block"))
+                         .withColumn("component", F.lit(None).cast("long")))
+    links, in_large = _in_pieces(blocks, texts, percent, words, 0)
+    for salt in range(1, ROUNDS + 1):
+        found = components(links).withColumnRenamed("node", "doc_id")
+        placed = materialize(in_large.select("doc_id", "block").join(found, "doc_id", "left")
+                             .withColumn("component", F.coalesce("component", "doc_id")))
+        placed = _undecided(placed, texts, percent, words)
+        if placed.isEmpty():
+            return links
+        left = texts.join(placed.select("doc_id"), "doc_id", "left_semi")
+        within = components(_block_edges(left, percent, words)).select(
+            F.col("node").alias("doc_id"), F.col("component").alias("block"))
+        more, in_large = _in_pieces(materialize(within.join(placed.drop("block"), "doc_id")), texts, percent, words, salt)
+        links = materialize(links.unionByName(more))
+
+    # What is left after the rounds: one end of each link not found is outside its block's largest component.
     found = components(links).withColumnRenamed("node", "doc_id")
     placed = materialize(in_large.drop("component").join(found, "doc_id", "left")
                          .withColumn("component", F.coalesce("component", "doc_id")))
     counts = placed.groupBy("block", "component").agg(F.count(F.lit(1)).alias("n"))
     main = counts.groupBy("block").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
-    outside = placed.join(main, "block").filter("component <> main").drop("main").withColumn("piece", every_piece)
+    outside = placed.join(main, "block").filter("component <> main").drop("main").withColumn("piece", _every_piece())
     again = materialize(placed.join(outside.select("block").distinct(), "block", "left_semi").unionByName(outside))
     return links.unionByName(_search(again, texts, percent, words))
 
@@ -319,7 +389,7 @@ def similar_documents(docs: DataFrame, percent: int = THRESHOLD, words: int = WO
     classes = materialize(classes.join(shared, "doc_id", "left"))
     share = F.col("n_shared") / F.col("n_shingles")
     chosen = materialize(classes.filter(100 * F.col("n_shared") >= percent * F.col("n_shingles"))
-                         .select("doc_id", share.alias("share")))
+                         .select("doc_id", share.alias("share"), "n_shingles"))
     texts = materialize(_texts(docs, chosen))
     found = components(_links(texts, percent, words)).withColumnRenamed("node", "doc_id")
     named = (classes.join(found, "doc_id", "left")
