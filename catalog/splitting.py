@@ -143,6 +143,17 @@ def split_manifest(spark, sf):
     return out.withColumn("weight", F.round("weight", 9))
 
 
+@query(f"""WITH {EVENTS_SQL}, s AS ({stratified_sql('samples', 42, '(1.0 - 0.8)')}),
+ids AS (SELECT DISTINCT split, unnest([{{'kind': 'sample_id', 'id': CAST(sample_id AS VARCHAR)}}, {{'kind': 'session_id', 'id': CAST(session_id AS VARCHAR)}}]) AS i FROM s),
+summed AS (SELECT split, i.kind AS kind, substr(md5(i.id), 1, 3) AS prefix, count(*) AS n,
+    sum(CAST('0x' || substr(md5(i.id), 4, 15) AS BIGINT)) AS total FROM ids GROUP BY 1, 2, 3)
+SELECT split, kind, CAST(sum(n) AS BIGINT) AS ids, sha256(string_agg(prefix || ':' || n || ':' || total, ',' ORDER BY prefix)) AS digest
+FROM summed GROUP BY 1, 2""")
+def split_id_sets(spark, sf):
+    """Digests of the sample and session ids of each part."""
+    return S.split_digests(S.split_stratified(events_labelled(spark, sf)), ["sample_id", "session_id"])
+
+
 @query("""SELECT event_type AS label, count(*) AS rows,
   round((SELECT count(*) FROM events) / ((SELECT count(DISTINCT event_type) FROM events) * count(*)), 9) AS weight
 FROM events GROUP BY 1""")

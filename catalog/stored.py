@@ -177,3 +177,22 @@ def overflow_by_flow(spark, sf):
     """Clumps offered, kept and dropped per flow under a cap of two."""
     rows = event_clumps(spark, sf)
     return A.cap_overflow(rows, rows.filter("clump_no < 2"), FLOW)
+
+
+@query("""SELECT c_custkey, c_nationkey, n_name, 'sets' AS seen FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def published_set(spark, sf):
+    """Two tables published as one set; a second set that fails halfway leaves readers with the first."""
+    path = folder(spark)
+    customers, nations = load(spark, sf, "customer").select("c_custkey", "c_nationkey"), load(spark, sf, "nation").select("n_nationkey", "n_name")
+    W.publish({"customer": customers, "nation": nations}, path)
+    broken = nations.withColumn("n_name", F.raise_error(F.lit("this table cannot be written")).cast("string"))
+    try:
+        W.publish({"customer": customers.limit(0), "nation": broken}, path, force=True)
+        seen = "new"
+    except Exception as problem:
+        if "cannot be written" not in str(problem):
+            raise
+        seen = "sets"
+    found = W.read_published(spark, path)
+    return (found["customer"].join(found["nation"], F.col("c_nationkey") == F.col("n_nationkey"))
+            .select("c_custkey", "c_nationkey", "n_name", F.lit(seen).alias("seen")))

@@ -259,6 +259,28 @@ def split_manifest(df: DataFrame, label: str = "label", session: str = "session_
     return counts.join(named, ["split", label]).join(weights, label, "left")
 
 
+def split_ids(df: DataFrame, idents: list[str]) -> DataFrame:
+    """The ids of each part: (split, kind, id), each once; ``kind`` is the column of ``idents`` they come from."""
+    kinds = F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).cast("string").alias("id")) for c in idents])
+    return df.select("split", F.explode(kinds).alias("i")).select("split", "i.*").filter("id IS NOT NULL").distinct()
+
+
+def split_digests(df: DataFrame, idents: list[str]) -> DataFrame:
+    """One digest of the set of ids per part and kind, with its size: equal sets have equal digests in any order.
+
+    Hashes of ids are counted and summed by their first three digits, before the shuffle and in one task per digits and
+    part at most; the digest is that of the 4,096 sums.
+    """
+    hashed = F.md5("id")
+    summed = (split_ids(df, idents).withColumn("prefix", F.substring(hashed, 1, 3))
+              .groupBy("split", "kind", "prefix").agg(
+                  F.count(F.lit(1)).alias("n"),
+                  F.sum(F.conv(F.substring(hashed, 4, 15), 16, 10).cast("decimal(20,0)")).alias("total")))
+    line = F.concat_ws(":", "prefix", F.col("n").cast("string"), F.col("total").cast("string"))
+    return summed.groupBy("split", "kind").agg(
+        F.sum("n").alias("ids"), F.sha2(F.array_join(F.array_sort(F.collect_list(line)), ","), 256).alias("digest"))
+
+
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     """Balanced weights N / (K * N_c); 1.0 when there is one class."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("rows"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,6 +87,47 @@ def write_tables(tables: dict[str, DataFrame], folder: str, fmt: str = "parquet"
         write_table(df, f"{folder}/{name}", fmt, force)
 
 
+def publish(tables: dict[str, DataFrame], folder: str, fmt: str = "parquet", force: bool = False) -> str:
+    """Publish a set of tables as a whole; returns its version.
+
+    Tables go to a folder of their own, and a manifest that names them is written last, as one file that Spark puts in
+    place by a rename.  Readers follow the newest manifest (``read_published``), so they see the old set until all of
+    the new one is there, and keep seeing it if a write fails.  A set that was published before is an error unless
+    forced; sets that newer ones have replaced stay readable by their version.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    past = manifests(spark, folder)
+    number = 0 if past is None else past.agg(F.max("number")).first()[0] + 1
+    if number and not force:
+        raise FileExistsError(f"{folder} has a published set; pass force=True to replace it")
+    version = uuid.uuid4().hex
+    for name, df in tables.items():
+        write_table(df, f"{folder}/sets/{version}/{name}", fmt)
+    row = spark.createDataFrame([(number, version, fmt, sorted(tables))], MANIFEST)
+    row.coalesce(1).write.mode("append").json(f"{folder}/manifests")
+    return version
+
+
+MANIFEST = "number long, version string, format string, tables array<string>"
+
+
+def manifests(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The manifests of all sets published under ``folder``; None before the first."""
+    path = f"{folder}/manifests"
+    return spark.read.schema(MANIFEST).json(path) if _exists(spark, path) else None
+
+
+def read_published(spark: SparkSession, folder: str, version: str | None = None) -> dict[str, DataFrame]:
+    """The tables of the newest set, or of ``version``; of two sets published at once the one of higher version."""
+    past = manifests(spark, folder)
+    found = None if past is None else past.filter(F.lit(version is None) | (F.col("version") == F.lit(version))).orderBy(
+        F.desc("number"), F.desc("version")).first()
+    if found is None:
+        raise FileNotFoundError(f"no published set in {folder}")
+    reader = spark.read.option("header", True).format(found.format)
+    return {name: reader.load(f"{folder}/sets/{found.version}/{name}") for name in found.tables}
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     """Whether Spark's readers find anything at the path."""
     try:

@@ -353,3 +353,16 @@ def test_gaussian_bayes_among_the_models(spark):
     df = spark.createDataFrame(rows, "target int, a double, b double")
     scored = X.score_rows(X.fit_tabular(df, ["a", "b"], "gaussian_nb"), df)
     assert scored.filter("prediction = target").count() == 60 and scored.filter("score > 0.5").count() == 30
+
+
+def test_digests_of_id_sets(spark):
+    rows = [(f"s{i}", f"x{i % 7}", "train" if i % 3 else "test") for i in range(200)]
+    schema = "sample_id string, session_id string, split string"
+    digests = lambda r: {(d.split, d.kind): (d.ids, d.digest) for d in S.split_digests(
+        spark.createDataFrame(r, schema), ["sample_id", "session_id"]).collect()}
+    base = digests(rows)
+    assert base == digests(rows[::-1] + rows[:5]) and base["train", "session_id"][0] == 7
+    moved = digests([(*rows[0][:2], "train"), *rows[1:]])
+    assert {k for k in base if base[k] != moved[k]} == {("train", "sample_id"), ("test", "sample_id")}
+    named = S.split_ids(spark.createDataFrame(rows, schema), ["sample_id"])
+    assert sorted(map(tuple, named.collect())) == sorted((s, "sample_id", i) for i, _, s in rows)

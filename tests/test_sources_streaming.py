@@ -370,3 +370,19 @@ def test_late_packets_are_counted_and_state_ends(spark):
     # After the first batch the watermark is at 110 s, after the second at 390 s: 95 and 50 come too late.
     assert flows == [(100, 121, 5), (400, 401, 2), (3000, 3000, 1)] and dropped == 2
     assert R.state_rows(q) <= 3  # what is left belongs to the packet that has just come
+
+
+def test_sets_are_published_whole(spark):
+    folder = tempfile.mkdtemp(prefix="published-") + "/out"
+    one, two = spark.range(3), spark.range(5)
+    with pytest.raises(FileNotFoundError):
+        A.read_published(spark, folder)
+    first = A.publish({"a": one, "b": one}, folder)
+    with pytest.raises(FileExistsError):
+        A.publish({"a": two}, folder)
+    with pytest.raises(Exception, match="halfway"):
+        A.publish({"a": two, "b": two.select(F.raise_error(F.lit("halfway")).alias("id"))}, folder, force=True)
+    assert {n: t.count() for n, t in A.read_published(spark, folder).items()} == {"a": 3, "b": 3}
+    A.publish({"a": two, "c": two}, folder, force=True)
+    assert {n: t.count() for n, t in A.read_published(spark, folder).items()} == {"a": 5, "c": 5}
+    assert {n: t.count() for n, t in A.read_published(spark, folder, first).items()} == {"a": 3, "b": 3}
