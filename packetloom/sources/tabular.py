@@ -110,9 +110,9 @@ def file_inventory(spark: SparkSession, root: str) -> DataFrame:
     paths = {kind: [r.path for r in files if r.format == kind] for kind in ("csv", "parquet")}
     described = spark.createDataFrame([], DESCRIBED)
     if paths["csv"]:
-        lines = spark.read.option("lineSep", "\n").text(paths["csv"]).filter(F.col("_metadata.file_block_start") == 0)
-        heads = lines.groupBy(F.col("_metadata.file_path").alias("uri")).agg(
-            F.min_by("value", F.monotonically_increasing_id()).alias("head")).mapInPandas(
+        lines = spark.read.option("lineSep", "\n").text(paths["csv"]).filter(F.col("_metadata.file_block_start") == 0).select(
+            F.col("_metadata.file_path").alias("uri"), "value", F.monotonically_increasing_id().alias("nth"))
+        heads = lines.groupBy("uri").agg(F.min_by("value", "nth").alias("head")).mapInPandas(
             _describe_heads, "uri string, columns array<string>, names array<string>")
         rows = (spark.read.option("header", True).schema("first string").csv(paths["csv"])
                 .groupBy(F.col("_metadata.file_path").alias("uri")).agg(F.count(F.lit(1)).alias("rows")))
