@@ -81,8 +81,8 @@ WITH t AS (
   SELECT doc_id, length(coalesce(text, '')) AS n,
          regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm
   FROM documents)
-SELECT doc_id, n AS n_chars, first_value(doc_id) OVER best AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
-       row_number() OVER best = 1 AS kept, sha256(norm) AS text_sha256
+SELECT doc_id, first_value(doc_id) OVER best AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
+       row_number() OVER best = 1 AS kept, sha256(norm) AS text_sha256, n AS n_chars
 FROM t
 WINDOW best AS (PARTITION BY norm ORDER BY n DESC, doc_id)""")
 def op7_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
