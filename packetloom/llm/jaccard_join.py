@@ -8,7 +8,8 @@
 4. Inside a block, DivideSkip: each set asks the inverted lists of the sets before it; short lists are merged by a
    heap, long ones probed by binary search, and candidates that can reach the overlap are compared exactly.
 5. A large block is searched in pieces, each beside the block's most typical sets.  A document of whose shingles other
-   components hold too few has then all its links; the others are put into blocks again, which are smaller.
+   components hold too few has then all its links; the others are put into blocks again by prefixes in the order of
+   exact counts.  With the copies out of the way, these hold shingles of a few documents, and blocks are small.
 
 Components, not pairs, are the result, so candidates already connected are passed over.
 """
@@ -52,6 +53,9 @@ FILTER_BITS = 1 << 25
 OFTEN = 4
 MOST_COMMON = 1 << 18
 
+# Shingles of a batch of undecided documents that asks for exact counts.
+GRAMS_PER_BATCH = 1 << 18
+
 _UPPER, _LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 _FOLD = bytes.maketrans(_UPPER, _LOWER)
 
@@ -165,6 +169,31 @@ def prefix(grams: np.ndarray, common: np.ndarray, counts: np.ndarray, percent: i
     return grams[np.argsort(rank, kind="stable")[:length]]
 
 
+def _prefix_edges(ids: np.ndarray, heads: list[np.ndarray]) -> pd.DataFrame:
+    """Rows (a, b, gram) of some documents with their prefixes: each to the smallest that shares a shingle, and that one."""
+    own = np.repeat(ids, [len(h) for h in heads])
+    keys = np.concatenate([np.zeros(0, np.uint64), *heads])
+    by_key = np.lexsort((own, keys))
+    keys, own = keys[by_key], own[by_key]
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    least = np.repeat(own[starts], np.diff(np.r_[starts, len(keys)]))
+    edges = pd.DataFrame({"a": least, "b": own}).drop_duplicates().query("a != b")
+    firsts = pd.DataFrame({"a": own[starts], "b": own[starts],
+                           "gram": pd.array(keys[starts].view(np.int64), "Int64")})
+    return pd.concat([edges, firsts])
+
+
+def _across(rows: DataFrame) -> DataFrame:
+    """Edges of all documents from those inside batches and one row per shingle and batch.
+
+    So even a shingle of very many documents is a small group.
+    """
+    heads = rows.filter("gram IS NOT NULL")
+    least = heads.groupBy("gram").agg(F.min("a").alias("m"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    across = heads.join(least, "gram").select(F.col("m").alias("a"), "b")
+    return rows.filter("gram IS NULL").select("a", "b").unionByName(across).filter("a <> b").distinct()
+
+
 def _block_edges(texts: DataFrame, percent: int, words: int) -> DataFrame:
     """Edges (a, b) that connect all documents sharing a prefix shingle, through the smallest of them."""
     order = texts.sparkSession.sparkContext.broadcast(_common_grams(texts, words))
@@ -172,23 +201,65 @@ def _block_edges(texts: DataFrame, percent: int, words: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             heads = [prefix(shingles(t, words), *order.value, percent) for t in batch["text"]]
-            if not heads:
-                continue
-            own = np.repeat(batch["doc_id"].to_numpy(np.int64), [len(h) for h in heads])
-            keys = np.concatenate(heads)
-            by_key = np.lexsort((own, keys))
-            keys, own = keys[by_key], own[by_key]
-            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-            least = np.repeat(own[starts], np.diff(np.r_[starts, len(keys)]))
-            edges = pd.DataFrame({"a": least, "b": own}).drop_duplicates()
-            yield edges[edges["a"] != edges["b"]].assign(gram=None)
-            yield pd.DataFrame({"a": own[starts], "b": own[starts], "gram": keys[starts].view(np.int64)})
-    rows = materialize(texts.select("doc_id", "text").mapInPandas(run, "a long, b long, gram long"))
-    # One row per shingle and batch is left, so even a shingle of very many documents is a small group.
-    heads = rows.filter("gram IS NOT NULL")
-    least = heads.groupBy("gram").agg(F.min("a").alias("m"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    across = heads.join(least, "gram").select(F.col("m").alias("a"), "b")
-    return rows.filter("gram IS NULL").select("a", "b").unionByName(across).filter("a <> b").distinct()
+            yield _prefix_edges(batch["doc_id"].to_numpy(np.int64), heads)
+    return _across(materialize(texts.select("doc_id", "text").mapInPandas(run, "a long, b long, gram long")))
+
+
+def _component_counts(rows: pd.DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles of a batch, sorted, and how many of its components hold each."""
+    sets = [shingles(t, words) for t in rows["text"]]
+    grams = np.concatenate(sets)
+    own = np.repeat(rows["component"].to_numpy(np.int64), [len(s) for s in sets])
+    order = np.lexsort((own, grams))
+    grams, own = grams[order], own[order]
+    first = np.r_[True, grams[1:] != grams[:-1]]
+    new = first | np.r_[True, own[1:] != own[:-1]]
+    starts = np.flatnonzero(first)
+    return grams[starts], np.add.reduceat(new, starts, dtype=np.uint32)
+
+
+def _rarest_edges(left: DataFrame, percent: int, words: int) -> DataFrame:
+    """``_block_edges`` of (doc_id, component, n_shingles, text), with prefixes in order of exact counts.
+
+    Batches ask for the counts of their distinct shingles by key range, so that a shingle of any number of documents is
+    one entry per batch, and are answered in the order asked.  A shingle's count is the sum over batches of the components
+    that hold it; one that counts once cannot connect two components and makes no edge.
+    """
+    n = left.agg(F.sum("n_shingles").alias("n")).first().n
+    n_ranges, n_batches = shared_keys.ranges_for(6 * n, CHARS_PER_RANGE), -(-n // GRAMS_PER_BATCH)
+    dealt = materialize(left.select(F.pmod(F.xxhash64("doc_id"), F.lit(n_batches)).alias("batch"),
+                                    "doc_id", "component", "text"))
+
+    def ask(rows: pd.DataFrame) -> pd.DataFrame:
+        grams, counts = _component_counts(rows, words)
+        which = shared_keys.range_of(grams, n_ranges)
+        cuts = np.flatnonzero(np.r_[True, which[1:] != which[:-1], True])
+        parts = [slice(i, j) for i, j in zip(cuts[:-1], cuts[1:])]
+        return pd.DataFrame({
+            "range": which[cuts[:-1]], "batch": rows["batch"].iloc[0],
+            "keys": [shared_keys.low_bytes(grams[p], KEY_BYTES) for p in parts],
+            "counts": [shared_keys.planes(counts[p]) for p in parts]})
+
+    def answer(rows: pd.DataFrame) -> pd.DataFrame:
+        keys = shared_keys.keys_of(b"".join(rows["keys"]), KEY_BYTES)
+        counts = [shared_keys.from_planes(c, "<u4") for c in rows["counts"]]
+        _, at = np.unique(keys, return_inverse=True)
+        totals = np.bincount(at, np.concatenate(counts))[at].astype(np.uint32)
+        parts = np.split(totals, np.cumsum([len(c) for c in counts])[:-1])
+        return rows[["batch", "range"]].assign(totals=[shared_keys.planes(p) for p in parts])
+
+    def edges(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        sets = [shingles(t, words) for t in rows["text"]]
+        grams = np.unique(np.concatenate(sets))
+        totals = np.concatenate([shared_keys.from_planes(t, "<u4") for t in answers.sort_values("range")["totals"]])
+        heads = [prefix(s, grams, totals, percent) for s in sets]
+        heads = [h[totals[np.searchsorted(grams, h)] > 1] for h in heads]
+        return _prefix_edges(rows["doc_id"].to_numpy(np.int64), heads)
+    asked = dealt.select("batch", "component", "text").groupBy("batch").applyInPandas(
+        ask, "range int, batch long, keys binary, counts binary")
+    answered = asked.groupBy("range").applyInPandas(answer, "batch long, range int, totals binary")
+    return _across(materialize(dealt.groupBy("batch").cogroup(answered.groupBy("batch"))
+                               .applyInPandas(edges, "a long, b long, gram long")))
 
 
 class _Groups:
@@ -299,7 +370,7 @@ def _undecided(placed: DataFrame, texts: DataFrame, percent: int, words: int) ->
     """The rows of ``placed`` (doc_id, block, component) that may still have a partner in another component.
 
     Both ends of a link hold the overlap asked for, so a document of whose shingles too few are held by other components
-    of its block has no link left.  Without it others may fall below the mark too: repeated until none does.
+    of its block has no link left.  Without it others may fall below the mark too: repeated while it pays.
     """
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32))
 
@@ -332,7 +403,7 @@ def _undecided(placed: DataFrame, texts: DataFrame, percent: int, words: int) ->
         kept = materialize(sized.join(counts, ["component", "slot"])
                            .filter(100 * F.col("n") >= percent * F.col("n_shingles")).select(*sized.columns))
         sized, before = kept, held.rows
-        if kept.count() == before:
+        if 10 * kept.count() > 8 * before:
             break
     return sized.select(*placed.columns)
 
@@ -354,8 +425,8 @@ def _links(texts: DataFrame, percent: int, words: int) -> DataFrame:
         placed = _undecided(placed, texts, percent, words)
         if placed.isEmpty():
             return links
-        left = texts.join(placed.select("doc_id"), "doc_id", "left_semi")
-        within = components(_block_edges(left, percent, words)).select(
+        left = texts.join(placed.select("doc_id", "component"), "doc_id")
+        within = components(_rarest_edges(left, percent, words)).select(
             F.col("node").alias("doc_id"), F.col("component").alias("block"))
         more, in_large = _in_pieces(materialize(within.join(placed.drop("block"), "doc_id")), texts, percent, words, salt)
         links = materialize(links.unionByName(more))

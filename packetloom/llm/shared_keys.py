@@ -85,14 +85,14 @@ def pack(keys: np.ndarray, docs: np.ndarray, places: np.ndarray, n_ranges: int,
         known[order] = np.repeat(several, sizes)
         once = order[starts[several]]
         for r, own in _dealt(keys, once, n_ranges):
-            rows.setdefault(r, _row(r))["known"] = _low_bytes(keys[own], width)
+            rows.setdefault(r, _row(r))["known"] = low_bytes(keys[own], width)
         if len(once):
             rows[-1] = _row(-1 - int(keys[once[0]] >> np.uint64(34))) | {
                 "found": entries(docs[known], places[known]).tobytes()}
     for r, own in _dealt(keys, np.flatnonzero(~known), n_ranges):
         heads = np.flatnonzero(np.r_[True, docs[own][1:] != docs[own][:-1]])
         rows.setdefault(r, _row(r)).update({
-            "keys": _low_bytes(keys[own], width), "docs": planes(_steps(docs[own][heads])),
+            "keys": low_bytes(keys[own], width), "docs": planes(_steps(docs[own][heads])),
             "counts": planes(np.diff(np.r_[heads, len(own)]).astype(np.uint32)),
             "places": planes(_steps(places[own]))})
     return pd.DataFrame(list(rows.values()), columns=COLUMNS)
@@ -102,20 +102,25 @@ def _row(name: int) -> dict:
     return dict.fromkeys(COLUMNS, b"") | {"range": name}
 
 
-def _low_bytes(keys: np.ndarray, width: int) -> bytes:
+def low_bytes(keys: np.ndarray, width: int) -> bytes:
     return keys.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
+def range_of(keys: np.ndarray, n_ranges: int) -> np.ndarray:
+    """The range of each key; ranges ascend with keys."""
+    return ((keys >> np.uint64(32)) * np.uint64(n_ranges) >> np.uint64(32)).astype(np.int32)
+
+
 def _dealt(keys: np.ndarray, picked: np.ndarray, n_ranges: int) -> Iterator[tuple[int, np.ndarray]]:
     """The picked entries of each key range, in their order."""
-    which = ((keys[picked] >> np.uint64(32)) * np.uint64(n_ranges) >> np.uint64(32)).astype(np.int32)
+    which = range_of(keys[picked], n_ranges)
     order = np.argsort(which, kind="stable")
     cuts = np.searchsorted(which[order], np.arange(n_ranges + 1))
     for r in np.flatnonzero(np.diff(cuts)):
         yield int(r), picked[order[cuts[r]:cuts[r + 1]]]
 
 
-def _keys_of(raw: bytes, width: int) -> np.ndarray:
+def keys_of(raw: bytes, width: int) -> np.ndarray:
     out = np.zeros((len(raw) // width, 8), np.uint8)
     out[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
     return out.view("<u8").ravel()
@@ -123,7 +128,7 @@ def _keys_of(raw: bytes, width: int) -> np.ndarray:
 
 def unpack(rows: pd.DataFrame, width: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Keys, documents and places of all rows of one range, and the keys known to be shared."""
-    keys = _keys_of(b"".join(rows["keys"]), width)
+    keys = keys_of(b"".join(rows["keys"]), width)
     docs, places = np.empty(len(keys), np.int64), np.empty(len(keys), np.uint32)
     at = 0
     for row in rows.itertuples(index=False):
@@ -132,7 +137,7 @@ def unpack(rows: pd.DataFrame, width: int = 8) -> tuple[np.ndarray, np.ndarray,
             docs[at:at + len(own)] = own
             places[at:at + len(own)] = np.cumsum(from_planes(row.places, "<u4"), dtype=np.uint32)
             at += len(own)
-    return keys, docs, places, _keys_of(b"".join(rows["known"]), width)
+    return keys, docs, places, keys_of(b"".join(rows["known"]), width)
 
 
 def shared_entries(rows: pd.DataFrame, width: int = 8) -> np.ndarray:
