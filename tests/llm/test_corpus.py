@@ -337,9 +337,10 @@ def test_divide_skip_connects_what_brute_force_does():
         assert [root(i) for i in range(len(sets))] == want
 
 
-@pytest.mark.parametrize("piece", [192, 4])
-def test_jaccard_join_equals_brute_force(spark, docs, empty, rows, piece, monkeypatch):
+@pytest.mark.parametrize("piece, grams", [(192, 1 << 18), (4, 2000)])
+def test_jaccard_join_equals_brute_force(spark, docs, empty, rows, piece, grams, monkeypatch):
     monkeypatch.setattr(jaccard_join, "PIECE", piece)
+    monkeypatch.setattr(jaccard_join, "GRAMS_PER_BATCH", grams)
     got = jaccard_join.similar_documents(docs).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.similar(rows)
     if piece == 4:
