@@ -27,11 +27,12 @@ ACCEPTED = 0.3
 FOLDS = 5
 BLOCK = 512
 REMEMBERED = 300_000
+LONGEST_REMEMBERED = 64
 
 
 def _shape(word: str) -> str:
     """Case, digit and symbol runs of a word; runs of letters and digits count once, of symbols up to three times."""
-    kinds = ("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word[:64])
+    kinds = ("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word)
     return "".join(k if k in "Aa0" else k * min(3, len(list(run))) for k, run in groupby(kinds))
 
 
@@ -39,7 +40,9 @@ class _ShapeHash(dict):
     def __missing__(self, word: str) -> int:
         if len(self) >= REMEMBERED:
             self.clear()
-        value = self[word] = xxhash.xxh32_intdigest(_shape(word))
+        value = xxhash.xxh32_intdigest(_shape(word))
+        if len(word) <= LONGEST_REMEMBERED:
+            self[word] = value
         return value
 
 

@@ -452,3 +452,8 @@ def test_membership_of_close_and_scattered_ids(spark, step):
     rows = spark.createDataFrame([(k * step,) for k in range(-600, 1700)] + [(None,)], "doc_id long")
     got = {r.doc_id: r.held for r in with_membership(rows, "doc_id", ids, "held").collect()}
     assert got == {**{k * step: k in wanted for k in range(-600, 1700)}, None: False}
+
+
+def test_classifier_reads_whole_words():
+    head = "a" * 64
+    assert not np.array_equal(quality.term_counts(head + "7$B"), quality.term_counts(head))
