@@ -9,10 +9,12 @@ that any two positions have a shift below PERIOD that takes both to cover positi
    document has too; all other suffixes drop out.
 3. The suffixes left are dealt into buckets by the smallest name inside their first LENGTH bytes.  Neighbouring
    suffixes mostly share it, so they travel as one stretch of text; equal stretches of a group travel once, for
-   their smallest doc_id.  Each bucket is sorted by itself, and in a run of equal suffixes those of all but the
-   smallest doc_id are removed.
+   their smallest doc_id.  Each bucket is sorted by itself, by the bytes of its suffixes: eight bytes first, then
+   eight more at a time for those that still tie and are not all alike.  Neighbours are compared, and in a run of
+   equal suffixes those of all but the smallest doc_id are removed.
 
-Order beyond LENGTH bytes is never needed, so names take the place of ranks and no task holds more than one bucket.
+Order beyond LENGTH bytes is never needed, so ties end there, the cover sample takes no ranks, and no task holds more
+than one bucket.  Names choose candidates and buckets; what is removed rests on bytes alone.
 """
 
 from __future__ import annotations
@@ -56,6 +58,31 @@ def names(raw: bytes, at: np.ndarray, length: int) -> np.ndarray:
     return out ^ (out >> np.uint64(31))
 
 
+def byte_order(raw: bytes, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the LENGTH-byte strings that start at each of ``at`` in ``raw``, and where a new string begins in it.
+
+    ``raw`` ends in eight bytes of padding.
+    """
+    words = np.ndarray((len(raw) - 7,), ">u8", raw, strides=(1,))
+    key = words[at].astype(np.uint64)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    new = np.r_[True, key[1:] != key[:-1]][:len(at)]
+    for step in [*range(8, LENGTH - 8, 8), LENGTH - 8]:
+        key = words[at[order] + step].astype(np.uint64)
+        differs = np.r_[False, ~new[1:] & (key[1:] != key[:-1])][:len(at)]
+        if not differs.any():
+            continue
+        group = np.cumsum(new) - 1
+        mixed = np.zeros(group[-1] + 1, bool)
+        mixed[group[differs]] = True
+        some = np.flatnonzero(mixed[group])
+        inside = np.lexsort((key[some], group[some]))
+        order[some], key[some] = order[some[inside]], key[some[inside]]
+        new[1:] |= key[1:] != key[:-1]
+    return order, new
+
+
 def _joined(texts: list) -> tuple[bytes, np.ndarray, np.ndarray]:
     """All bytes, and start and size of each text."""
     raw = [t if isinstance(t, bytes) else (t or "").encode() for t in texts]
@@ -153,86 +180,94 @@ def _runs(docs: np.ndarray, places: np.ndarray, counts: np.ndarray) -> np.ndarra
     return out
 
 
+def _stretches_of(texts: pd.DataFrame, found: pd.DataFrame, n_ranges: int) -> pd.DataFrame:
+    """Stretches of one group of documents."""
+    columns = ["range", "docs", "places", "counts", "texts", "g", "runs"]
+    places = _per_document(found)
+    group = texts["g"].iloc[0] if len(texts) else 0
+    texts = texts[texts["first"] & texts["doc"].isin(places)].sort_values("doc", kind="stable")
+    out = []
+    for part in shared_keys.slices(texts["size"].tolist()):
+        held = texts.iloc[part]
+        raw, starts, sizes = _joined([zlib.decompress(t) for t in held["packed"]])
+        ids = held["doc"].to_numpy(np.int64)
+        own = [candidate_starts(places[int(i)][places[int(i)] < n], n) for i, n in zip(ids, sizes)]
+        doc = np.repeat(np.arange(len(ids)), [len(o) for o in own])
+        if not len(doc):
+            continue
+        place = np.concatenate(own)
+        first, count, name = stretches(raw, starts[doc] + place, doc)
+        doc, place = ids[doc[first]], place[first]
+        begin = starts[np.searchsorted(ids, doc, side="left")] + place if len(set(ids)) == len(ids) else None
+        if begin is None:  # versions of one doc_id: find each stretch by its row
+            begin = (starts[np.repeat(np.arange(len(ids)), [len(o) for o in own])] + np.concatenate(own))[first]
+        pieces = [raw[p:p + c + LENGTH - 1] for p, c in zip(begin.tolist(), count.tolist())]
+        seen: dict[bytes, int] = {}
+        for piece, d in zip(pieces, doc.tolist()):  # documents ascend, so the first is the smallest
+            seen.setdefault(piece, d)
+        later = np.fromiter((seen[p] < d for p, d in zip(pieces, doc.tolist())), bool, len(pieces))
+        if later.any():
+            out.append((-1 - int(ids[0]) % 1_000_003, b"", b"", b"", b"", group,
+                        _runs(doc[later], place[later], count[later]).tobytes()))
+        stay = np.flatnonzero(~later)
+        which = ((name[stay] * _MIX[1] >> np.uint64(32)) * np.uint64(n_ranges) >> np.uint64(32)).astype(np.int64)
+        order = np.argsort(which, kind="stable")
+        cuts = np.searchsorted(which[order], np.arange(n_ranges + 1))
+        for r in np.flatnonzero(np.diff(cuts)):
+            mine = stay[order[cuts[r]:cuts[r + 1]]]
+            out.append((int(r), shared_keys.planes(np.diff(doc[mine], prepend=0)),
+                        shared_keys.planes(place[mine].astype(np.uint32)),
+                        count[mine].astype(np.uint8).tobytes(), b"".join([pieces[i] for i in mine]), -1, b""))
+    return pd.DataFrame(out, columns=columns)
+
+
 def _suffixes(rows: DataFrame, shared: DataFrame, n_ranges: int) -> DataFrame:
     """Stretches of the suffixes left, from first rows of equal texts only.
 
     A row holds those of one bucket, or, with ``g``, runs of suffixes already known to start earlier as well.
     """
     def run(texts: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        columns = ["range", "docs", "places", "counts", "texts", "g", "runs"]
-        places = _per_document(found)
-        group = texts["g"].iloc[0] if len(texts) else 0
-        texts = texts[texts["first"] & texts["doc"].isin(places)].sort_values("doc", kind="stable")
-        out = []
-        for part in shared_keys.slices(texts["size"].tolist()):
-            held = texts.iloc[part]
-            raw, starts, sizes = _joined([zlib.decompress(t) for t in held["packed"]])
-            ids = held["doc"].to_numpy(np.int64)
-            own = [candidate_starts(places[int(i)][places[int(i)] < n], n) for i, n in zip(ids, sizes)]
-            doc = np.repeat(np.arange(len(ids)), [len(o) for o in own])
-            if not len(doc):
-                continue
-            place = np.concatenate(own)
-            first, count, name = stretches(raw, starts[doc] + place, doc)
-            doc, place = ids[doc[first]], place[first]
-            begin = starts[np.searchsorted(ids, doc, side="left")] + place if len(set(ids)) == len(ids) else None
-            if begin is None:  # versions of one doc_id: find each stretch by its row
-                begin = (starts[np.repeat(np.arange(len(ids)), [len(o) for o in own])] + np.concatenate(own))[first]
-            pieces = [raw[p:p + c + LENGTH - 1] for p, c in zip(begin.tolist(), count.tolist())]
-            seen: dict[bytes, int] = {}
-            for piece, d in zip(pieces, doc.tolist()):  # documents ascend, so the first is the smallest
-                seen.setdefault(piece, d)
-            later = np.fromiter((seen[p] < d for p, d in zip(pieces, doc.tolist())), bool, len(pieces))
-            if later.any():
-                out.append((-1 - int(ids[0]) % 1_000_003, b"", b"", b"", b"", group,
-                            _runs(doc[later], place[later], count[later]).tobytes()))
-            stay = np.flatnonzero(~later)
-            which = ((name[stay] * _MIX[1] >> np.uint64(32)) * np.uint64(n_ranges) >> np.uint64(32)).astype(np.int64)
-            order = np.argsort(which, kind="stable")
-            cuts = np.searchsorted(which[order], np.arange(n_ranges + 1))
-            for r in np.flatnonzero(np.diff(cuts)):
-                mine = stay[order[cuts[r]:cuts[r + 1]]]
-                out.append((int(r), shared_keys.planes(np.diff(doc[mine], prepend=0)),
-                            shared_keys.planes(place[mine].astype(np.uint32)),
-                            count[mine].astype(np.uint8).tobytes(), b"".join([pieces[i] for i in mine]), -1, b""))
-        return pd.DataFrame(out, columns=columns)
+        return _stretches_of(texts, found, n_ranges)
     return (rows.select("g", "doc", "first", "size", "packed").groupBy("g").cogroup(shared.groupBy("g"))
             .applyInPandas(run, STRETCHES))
 
 
+def _later_in_bucket(rows: pd.DataFrame, n_groups: int) -> pd.DataFrame:
+    """Later starts of one bucket."""
+    known = rows[rows["g"] >= 0]
+    out = [known[["g", "runs"]]]
+    rows = rows[rows["g"] < 0]
+    if len(rows):
+        docs = np.concatenate([np.cumsum(shared_keys.from_planes(x, "<i8")) for x in rows["docs"]])
+        places = np.concatenate([shared_keys.from_planes(x, "<u4") for x in rows["places"]]).astype(np.int64)
+        counts = np.frombuffer(b"".join(rows["counts"]), np.uint8).astype(np.int64)
+        raw = b"".join(rows["texts"]) + bytes(8)
+        sizes = counts + LENGTH - 1
+        of = np.repeat(np.arange(len(counts)), counts)
+        inside = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
+        order, new = byte_order(raw, np.repeat(np.cumsum(sizes) - sizes, counts) + inside)
+        owners, starts = docs[of[order]], np.flatnonzero(new)
+        least = np.repeat(np.minimum.reduceat(owners, starts), np.diff(np.r_[starts, len(order)]))
+        later = np.zeros(len(of), bool)
+        later[order] = owners > least
+        at = np.flatnonzero(later)
+        if len(at):
+            heads = np.flatnonzero(np.r_[True, (at[1:] != at[:-1] + 1) | (of[at[1:]] != of[at[:-1]])])
+            lengths, at = np.diff(np.r_[heads, len(at)]), at[heads]
+            found = _runs(docs[of[at]], places[of[at]] + inside[at], lengths)
+            group = group_of(found["doc"], n_groups)
+            order = np.lexsort((found["place"], found["doc"], group))
+            found, cuts = found[order], np.searchsorted(group[order], np.arange(n_groups + 1))
+            held = np.flatnonzero(np.diff(cuts))
+            out.append(pd.DataFrame({"g": held.astype(np.int32),
+                                     "runs": [found[cuts[g]:cuts[g + 1]].tobytes() for g in held]}))
+    return pd.concat(out)
+
+
 def _later_starts(packed: DataFrame, n_groups: int) -> DataFrame:
     """Of each bucket's equal suffixes, those whose document is not the smallest, as runs by group of documents."""
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        known = rows[rows["g"] >= 0]
-        out = [known[["g", "runs"]]]
-        rows = rows[rows["g"] < 0]
-        if len(rows):
-            docs = np.concatenate([np.cumsum(shared_keys.from_planes(x, "<i8")) for x in rows["docs"]])
-            places = np.concatenate([shared_keys.from_planes(x, "<u4") for x in rows["places"]]).astype(np.int64)
-            counts = np.frombuffer(b"".join(rows["counts"]), np.uint8).astype(np.int64)
-            raw = b"".join(rows["texts"]) + bytes(8)
-            sizes = counts + LENGTH - 1
-            of = np.repeat(np.arange(len(counts)), counts)
-            inside = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
-            keys = names(raw, np.repeat(np.cumsum(sizes) - sizes, counts) + inside, LENGTH)
-            order = np.argsort(keys)
-            ordered, owners = keys[order], docs[of[order]]
-            starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-            least = np.repeat(np.minimum.reduceat(owners, starts), np.diff(np.r_[starts, len(ordered)]))
-            later = np.zeros(len(of), bool)
-            later[order] = owners > least
-            at = np.flatnonzero(later)
-            if len(at):
-                heads = np.flatnonzero(np.r_[True, (at[1:] != at[:-1] + 1) | (of[at[1:]] != of[at[:-1]])])
-                lengths, at = np.diff(np.r_[heads, len(at)]), at[heads]
-                found = _runs(docs[of[at]], places[of[at]] + inside[at], lengths)
-                group = group_of(found["doc"], n_groups)
-                order = np.lexsort((found["place"], found["doc"], group))
-                found, cuts = found[order], np.searchsorted(group[order], np.arange(n_groups + 1))
-                held = np.flatnonzero(np.diff(cuts))
-                out.append(pd.DataFrame({"g": held.astype(np.int32),
-                                         "runs": [found[cuts[g]:cuts[g + 1]].tobytes() for g in held]}))
-        return pd.concat(out)
+        return _later_in_bucket(rows, n_groups)
     return packed.groupBy("range").applyInPandas(run, "g int, runs binary")
 
 
