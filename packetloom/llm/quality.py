@@ -1,9 +1,11 @@
 """Quality classifier: nearest-neighbour voting in a latent-semantic space.
 
-Terms are the shapes of words (case, digits, symbols), pairs of neighbouring shapes, and repeats of the word before,
-hashed to a fixed number of columns.  Document frequencies come from all documents.  A bounded, balanced sample of
-labelled rows gives the latent space (truncated SVD) and the voters; their vectors are broadcast.  Every document is
-compared with every voter by blocked exact cosine products, and its nearest voters vote by similarity.
+Terms are of two kinds, each hashed to a fixed number of columns: the words themselves (their letters and digits in
+lower case), and their layout (shapes of words by case, digits and symbols, pairs of neighbouring shapes, repeats of
+the word before).  Document frequencies come from all documents.  A bounded, balanced sample of labelled rows gives a
+latent space of each kind (truncated SVD) and the voters; a vector is both latent vectors side by side, words
+WORD_LENGTH as long as layout, so likeness is a weighted mean of two cosines.  Voters are broadcast, every document is compared with every voter by
+blocked exact products, and its nearest voters vote by similarity.
 """
 
 from __future__ import annotations
@@ -18,11 +20,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-COLUMNS = 1024
-FACTORS = 48
+SHAPES = 1024
+WORDS = 2048
+COLUMNS = SHAPES + WORDS
+FACTORS = 48  # of each kind
+WORD_LENGTH = 0.5
 NEIGHBOURS = 15
-# Bound on labelled rows of each class that the model is fitted on: 4 KB a row go to the driver, 200 bytes back.
+# Bound on labelled rows of each class that the model is fitted on: at most 12 KB a row go to the driver, 400 bytes back.
 SAMPLE_PER_CLASS = 1500
+KINDS = (slice(0, SHAPES), slice(SHAPES, COLUMNS))
+LENGTHS = (np.float32(1), np.float32(WORD_LENGTH))
 ACCEPTED = 0.3
 FOLDS = 5
 BLOCK = 512
@@ -36,31 +43,36 @@ def _shape(word: str) -> str:
     return "".join(k if k in "Aa0" else k * min(3, len(list(run))) for k, run in groupby(kinds))
 
 
-class _ShapeHash(dict):
+class _WordHash(dict):
+    """Hash of a word's shape (low 32 bits) and of its letters and digits (high 32 bits)."""
+
     def __missing__(self, word: str) -> int:
         if len(self) >= REMEMBERED:
             self.clear()
-        value = xxhash.xxh32_intdigest(_shape(word))
+        plain = "".join(filter(str.isalnum, word)).lower()
+        value = xxhash.xxh32_intdigest(_shape(word)) | xxhash.xxh32_intdigest(plain) << 32
         if len(word) <= LONGEST_REMEMBERED:
             self[word] = value
         return value
 
 
-_shape_of = _ShapeHash()
+_hash_of = _WordHash()
 
 
 def term_counts(text: str | None) -> np.ndarray:
-    """Damped term counts of one text over COLUMNS hashed terms; zeros if it has no words."""
+    """Damped term counts of one text over SHAPES columns of layout, then WORDS of words; zeros if it has no words."""
     words = (text or "").split()
     if not words:
         return np.zeros(COLUMNS, np.float32)
-    shapes = np.fromiter(map(_shape_of.__getitem__, words), np.uint64, len(words))
+    hashes = np.fromiter(map(_hash_of.__getitem__, words), np.uint64, len(words))
+    shapes, plain = hashes & np.uint64(0xFFFFFFFF), hashes >> np.uint64(32)
     names = np.fromiter(map(hash, words), np.int64, len(words))  # compared within one text only
     repeats = int((names[1:] == names[:-1]).sum())
     pairs = (shapes[:-1] * np.uint64(31) + shapes[1:]) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
-    columns = np.concatenate([shapes, pairs]) % np.uint64(COLUMNS - 1)
+    layout = np.concatenate([shapes, pairs]) % np.uint64(SHAPES - 1)
+    columns = np.concatenate([layout, plain % np.uint64(WORDS) + np.uint64(SHAPES)])
     counts = np.bincount(columns.astype(np.int64), minlength=COLUMNS).astype(np.float32)
-    counts[COLUMNS - 1] = 2 * repeats
+    counts[SHAPES - 1] = 2 * repeats
     return np.sqrt(counts / len(words))
 
 
@@ -102,8 +114,9 @@ def _training_terms(docs: DataFrame, labels: DataFrame) -> list:
     # The list is at most 2 * SAMPLE_PER_CLASS rows.
     listed = F.broadcast(picked.select("doc_id", F.col("quality").alias("label"), order.alias("place")))
     texts = docs.select("doc_id", "text").join(listed, "doc_id").select("text", "label", "place")
-    rows = texts.mapInPandas(run, "terms binary, label int, place string").limit(4 * SAMPLE_PER_CLASS).collect()
-    return sorted(rows, key=lambda r: (r.place, r.label, r.terms))
+    rows = texts.mapInPandas(run, "terms binary, label int, place string")
+    bounded = rows.orderBy("place", "label", "terms").limit(4 * SAMPLE_PER_CLASS).collect()
+    return sorted(bounded, key=lambda r: (r.place, r.label, r.terms))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> dict:
@@ -112,15 +125,26 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     weights = np.log((1 + total) / (1 + seen)).astype(np.float32) + np.float32(1)
     rows = _training_terms(docs, labels)
     if not rows:
-        return {"weights": weights, "axes": np.zeros((COLUMNS, 1), np.float32), "mean": 0.5,
-                "voters": np.zeros((0, 1), np.float32), "labels": np.zeros(0, np.float32)}
-    terms = np.stack([np.frombuffer(r.terms, np.float32) for r in rows]) * weights
-    terms /= np.maximum(np.linalg.norm(terms, axis=1, keepdims=True), 1e-9)
-    values, vectors = np.linalg.eigh((terms.T @ terms).astype(np.float64))
-    axes = vectors[:, np.argsort(-values)[:FACTORS]].astype(np.float32)
+        return {"weights": weights, "axes": [], "mean": 0.5, "voters": np.zeros((0, 1), np.float32),
+                "labels": np.zeros(0, np.float32)}
+    terms = np.stack([np.frombuffer(r.terms, np.float32) for r in rows])
     labels_ = np.array([r.label for r in rows], np.float32)
-    return {"weights": weights, "axes": axes, "voters": _unit(terms @ axes), "labels": labels_,
-            "mean": float(labels_.mean())}
+    model = {"weights": weights, "labels": labels_, "mean": float(labels_.mean()),
+             "axes": [_axes(_unit((terms * weights)[:, kind])) for kind in KINDS]}
+    return model | {"voters": latent(terms, model)}
+
+
+def _axes(terms: np.ndarray) -> np.ndarray:
+    """The FACTORS strongest right singular vectors of the sample's terms."""
+    values, vectors = np.linalg.eigh((terms.T @ terms).astype(np.float64))
+    return vectors[:, np.argsort(-values)[:FACTORS]].astype(np.float32)
+
+
+def latent(terms: np.ndarray, model: dict) -> np.ndarray:
+    """Unit vectors of a block of documents: their latent layout and their latent words side by side."""
+    weighted = terms * model["weights"]
+    parts = zip(KINDS, model["axes"], LENGTHS)
+    return _unit(np.hstack([_unit(weighted[:, kind] @ axes) * length for kind, axes, length in parts]))
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -131,8 +155,7 @@ def votes(terms: np.ndarray, model: dict) -> np.ndarray:
     """Scores of a block of documents: similarity-weighted mean label of the nearest voters."""
     if not len(model["labels"]):
         return np.full(len(terms), model["mean"])
-    latent = _unit((terms * model["weights"]) @ model["axes"])
-    cosine = latent @ model["voters"].T
+    cosine = latent(terms, model) @ model["voters"].T
     k = min(NEIGHBOURS, cosine.shape[1])
     near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
     pull = np.maximum(np.take_along_axis(cosine, near, 1), 0).astype(np.float64)

@@ -214,6 +214,42 @@ def test_suffix_dedup_on_random_overlaps_and_null_ids(spark):
         (r.n_bytes, r.n_removed, r.n_spans, brute.sha(bytes(r.kept))) == want[r.doc_id] for r in own)
 
 
+def test_suffix_order_is_byte_order():
+    rng = random.Random(17)
+    raw = bytes(rng.choice(b"ab\x00\xff") for _ in range(300)) * 4 + bytes(8)
+    at = np.array(rng.sample(range(1150), 700))
+    order, new = suffix_dedup.byte_order(raw, at)
+    strings = [raw[p:p + suffix_dedup.LENGTH] for p in at[order]]
+    assert strings == sorted(strings)
+    assert new.tolist() == [True] + [a != b for a, b in zip(strings, strings[1:])]
+    order, new = suffix_dedup.byte_order(raw, at[:0])
+    assert len(order) == len(new) == 0
+
+
+def test_suffix_dedup_does_not_rest_on_hashes(spark, monkeypatch, rows):
+    # Everything meets in one bucket with one name; only bytes tell strings apart.
+    monkeypatch.setattr(suffix_dedup, "names", lambda raw, at, length: np.zeros(len(at), np.uint64))
+    suffix_dedup_rows = [(i, t) for i, t in rows if len(t or "") < 5000][:40]
+    texts = frame(spark, suffix_dedup_rows).selectExpr("doc_id AS doc", "coalesce(text, '') AS text")
+    packed = suffix_dedup._packed_texts(texts.selectExpr("doc", "text", "false AS no_id"), 1).toPandas()
+    packed["first"] = True
+    places = [(d, range(max(0, n - suffix_dedup.NAMED + 1))) for d, n in zip(packed["doc"], packed["size"])]
+    found = shared_keys.entries(np.concatenate([np.full(len(p), d) for d, p in places]).astype(np.int64),
+                                np.concatenate([np.array(p, np.uint32) for _, p in places]))
+    shared = suffix_dedup._by_group(found, 1)
+    dealt = suffix_dedup._stretches_of(packed, shared, 1)
+    later = suffix_dedup._later_in_bucket(dealt[dealt["range"] >= 0], 1)
+    runs = np.frombuffer(b"".join(later["runs"]) + b"".join(dealt["runs"]), suffix_dedup.RUN)
+    got = {(int(d), int(p) + k) for d, p, n in runs.tolist() for k in range(n)}
+    raws = {i: (t or "").encode() for i, t in suffix_dedup_rows}
+    first = {}
+    for i in sorted(raws):
+        for p in range(len(raws[i]) - suffix_dedup.LENGTH + 1):
+            first.setdefault(raws[i][p:p + suffix_dedup.LENGTH], i)
+    assert got == {(i, p) for i, raw in raws.items() for p in range(len(raw) - suffix_dedup.LENGTH + 1)
+                   if first[raw[p:p + suffix_dedup.LENGTH]] < i}
+
+
 def test_shared_keys_survive_packing():
     rng = np.random.default_rng(1)
     docs = np.sort(rng.integers(-5, 40, 4000))
@@ -426,6 +462,32 @@ def test_quality_separates_held_out_rows(spark, empty):
     assert quality.accepted(frame(spark, rows), table).columns == frame(spark, rows).columns
 
 
+def test_quality_reads_words_and_whole_ones(spark):
+    rng = random.Random(21)
+    kinds = [[f"{stem}{c}" for c in "abcdefghij"] for stem in ("harbo", "gravi")]
+    rows = [(i, " ".join(rng.choice(kinds[i % 2]) for _ in range(40))) for i in range(300)]
+    table = spark.createDataFrame([(i, i % 2, 0) for i, _ in rows], "doc_id long, quality int, toxic int")
+    shapes = {tuple(quality.term_counts(t)[quality.KINDS[0]] > 0) for _, t in rows}
+    assert len(shapes) < 4  # layout says nothing here
+    got = quality.score(frame(spark, rows), table).filter("held_out").collect()
+    assert len(got) > 30 and all(r.predicted == r.doc_id % 2 for r in got)
+    run = "x" * 90
+    assert (quality.term_counts(run + "a") != quality.term_counts(run + "b")).any()
+
+
+def test_quality_votes_equal_a_full_sort(spark):
+    rows, labels, table = labelled(spark, 200)
+    model = quality.fit(frame(spark, rows), table)
+    vectors = quality.latent(np.stack([quality.term_counts(t) for _, t in rows]), model).astype(np.float64)
+    got = {r.doc_id: r.score for r in quality.score(frame(spark, rows), table).collect()}
+    for (i, _), vector in zip(rows, vectors):
+        likeness = model["voters"].astype(np.float64) @ vector
+        nearest = sorted(range(len(likeness)), key=lambda j: -likeness[j])[:quality.NEIGHBOURS]
+        pull = [max(0, likeness[j]) for j in nearest]
+        plain = sum(p * model["labels"][j] for p, j in zip(pull, nearest)) / sum(pull)
+        assert got[i] == pytest.approx(plain, abs=1e-4)
+
+
 def test_pipeline_stages(spark, tmp_path, coder):
     rows, _, table = labelled(spark, 160)
     good = [t for _, t in rows if "!!" not in t]
