@@ -98,6 +98,35 @@ def split_session_hash(spark, sf):
     return out.select("sample_id", "session_id", "label", "split")
 
 
+def repair_round(source):
+    """One gap of each class filled, for sessions of one class: its first free session goes to its first missing part."""
+    return f"""SELECT session_id, label, moved OR r = 1 AS moved, CASE WHEN r = 1 THEN gap ELSE split END AS split
+  FROM (SELECT *, CASE WHEN gap IS NOT NULL AND free THEN row_number() OVER (
+          PARTITION BY label, free ORDER BY md5('42|' || session_id), session_id) ELSE 0 END AS r
+    FROM (SELECT *, NOT moved AND count(*) OVER (PARTITION BY label, split) > 1 AS free,
+            CASE WHEN count(*) FILTER (split = 'train') OVER (PARTITION BY label) = 0 THEN 'train'
+                 WHEN count(*) FILTER (split = 'val') OVER (PARTITION BY label) = 0 THEN 'val'
+                 WHEN count(*) FILTER (split = 'test') OVER (PARTITION BY label) = 0 THEN 'test' END AS gap
+          FROM {source}))"""
+
+
+@query(f"""WITH held AS (SELECT CAST(o_orderkey AS VARCHAR) AS session_id, o_custkey AS label FROM orders
+  QUALIFY count(*) OVER (PARTITION BY o_custkey) >= 3),
+r0 AS (SELECT session_id, label, false AS moved, {HASH_PART} AS split FROM held),
+r1 AS ({repair_round("r0")}),
+r2 AS ({repair_round("r1")})
+SELECT session_id, label, split, moved FROM r2""")
+def split_rare_classes(spark, sf):
+    """Customers as classes, their orders as sessions: many classes that hashing alone leaves out of a part."""
+    orders = load(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("session_id"),
+                                              F.col("o_custkey").alias("label"))
+    enough = S.class_reach(orders).filter("enough").select("label")
+    kept = orders.join(enough, "label")
+    spot = F.conv(F.substring(F.md5(F.concat(F.lit("42|"), "session_id")), 1, 8), 16, 10).cast("long") % 10_000
+    before = F.when(spot < 7000, "train").when(spot < 8500, "val").otherwise("test")
+    return S.split_session_hash(kept).select("session_id", "label", "split", (F.col("split") != before).alias("moved"))
+
+
 @query(f"""WITH {EVENTS_SQL}, starts AS (SELECT session_id, epoch_us(min(ts)) AS s FROM samples GROUP BY 1),
 cut AS (SELECT quantile_cont(s, 0.8) AS q FROM starts)
 SELECT sample_id, session_id, CASE WHEN s > q THEN 'test' ELSE 'train' END AS split

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetloom.functions.scaling import PADDING, vector_of
 from packetloom.operators.labels import require_classes
-from packetloom.operators.ordered import (
-    class_counts, first_n, hash_cut, materialize, one_row, running, seeded_hash)
+from packetloom.operators.ordered import hash_cut, materialize, one_row, running, seeded_hash
 
 PARTS = ["train", "val", "test"]
 
@@ -141,53 +140,54 @@ def split_session_hash(df: DataFrame, label: str = "label", session: str = "sess
                        seed: int = 42) -> DataFrame:
     """Session-disjoint split for any number of sessions: a pure function of the session name.
 
-    Classes that a part would lack are repaired with the first sessions of that class in hash order;
-    those few names are the only thing that reaches every executor.
+    Where a part lacks a class, sessions of that class move there by ``_repair_moves``; without such gaps no row is
+    joined or shuffled.
     """
     table = session_table(df, label, session)
     _check_sessions(df, table, label, session)
-    classes = sorted(class_counts(table, label))
     cut = [round(10_000 * train), round(10_000 * (train + val))]
-
-    def part(name: Column) -> Column:
-        spot = F.conv(F.substring(seeded_hash(seed, name.cast("string")), 1, 8), 16, 10).cast("long") % 10_000
-        return F.when(spot < cut[0], "train").when(spot < cut[1], "val").otherwise("test")
-
-    moves = _repair_moves(table.withColumn("split", part(F.col(session))), label, session, classes, seed)
-    chosen = part(F.col(session))
-    for name, target in moves.items():
-        chosen = F.when(F.col(session) == F.lit(name), F.lit(target)).otherwise(chosen)
-    return df.withColumn("split", chosen)
-
-
-def _repair_moves(table: DataFrame, label: str, session: str, classes: list, seed: int) -> dict:
-    """Sessions to move so that each class is in each part: at most one per missing (class, part).
-
-    Decided on two short lists: sessions per (class, part), and the first few sessions of each class.
+    spot = F.conv(F.substring(seeded_hash(seed, F.col(session).cast("string")), 1, 8), 16, 10).cast("long") % 10_000
+    part = F.when(spot < cut[0], "train").when(spot < cut[1], "val").otherwise("test")
+    moves = _repair_moves(table.withColumn("split", part), label, session, seed)
+    if moves is None:
+        return df.withColumn("split", part)
+    return df.join(moves, session, "left").withColumn("split", F.coalesce("_to", part)).drop("_to")
+
+
+def _repair_moves(table: DataFrame, label: str, session: str, seed: int) -> DataFrame | None:
+    """(session, _to): sessions that move so that each class is in each part; None if none has to.
+
+    Rounds of offers and choices on the table of (session, class), over all sessions.  A session is free if it has not
+    moved and its part keeps all its classes without it.  Each gap (class, part) asks for the first free session of its
+    class in seeded hash order; a session asked by several gaps serves the first.  Of the sessions about to leave a
+    part, at most all but one of each class go, first ones first; the others wait for the next round.  Each round fills
+    a gap, so there are at most two a class; usually a few fill all.
     """
-    count = dict.fromkeys([(c, p) for c in classes for p in PARTS], 0)
-    for r in table.groupBy(label, "split").agg(F.count(F.lit(1)).alias("n")).collect():
-        count[r[label], r["split"]] = r["n"]
-    missing = [pair for pair, n in count.items() if n == 0]
-    if not missing:
-        return {}
-    firsts = first_n(table, [label], [seeded_hash(seed, F.col(session).cast("string"))], 4 * len(classes) + 8, few_groups=True)
-    names = F.broadcast(firsts.select(session).distinct())
-    pool = (table.join(names, session).groupBy(session, "split")
-            .agg(F.collect_set(label).alias("holds")).orderBy(session).collect())
-    moves = {}
-    for cls, target in missing:
-        if count[cls, target]:
-            continue
-        spare = [r for r in pool if cls in r["holds"] and r[session] not in moves and r["split"] != target
-                 and all(count[c, r["split"]] > 1 for c in r["holds"])]
-        if not spare:
-            raise ImpossibleSplit(f"no free session left to put class {cls} into part {target}")
-        moves[spare[0][session]] = target
-        for c in spare[0]["holds"]:
-            count[c, spare[0]["split"]] -= 1
-            count[c, target] += 1
-    return moves
+    order = F.struct(seeded_hash(seed, F.col(session).cast("string")).alias("h"), F.col(session).alias("s"))
+    held = materialize(table.select(session, label, "split", F.lit(None).cast("string").alias("_to")))
+    while True:
+        gaps = materialize(held.groupBy(label).agg(F.collect_set("split").alias("_in")).select(
+            label, F.explode(F.array_except(F.array(*map(F.lit, PARTS)), "_in")).alias("_gap")))
+        if gaps.isEmpty():
+            moved = held.filter("_to IS NOT NULL").select(session, "_to").distinct()
+            return None if moved.isEmpty() else moved
+        spare = held.groupBy(label, "split").agg((F.count(F.lit(1)) - 1).alias("_spare"))
+        able = held.join(spare, [label, "split"])
+        free = (able.groupBy(session).agg(F.min("_spare").alias("_least"), F.max("_to").alias("_moved"))
+                .filter("_least > 0 AND _moved IS NULL").select(session))
+        asked = (held.join(free, session, "left_semi").join(gaps, label).groupBy(label, "_gap")
+                 .agg(F.min(order)["s"].alias(session)))
+        place = F.array_position(F.array(*map(F.lit, PARTS)), F.col("_gap"))
+        served = asked.groupBy(session).agg(F.min(F.struct(label, place.alias("_place"), "_gap"))["_gap"].alias("_new"))
+        rank = F.row_number().over(Window.partitionBy(label, "split").orderBy(order))
+        leaving = able.join(served, session).withColumn("_rank", rank)
+        going = materialize(leaving.groupBy(session, "_new").agg(F.every(F.col("_rank") <= F.col("_spare")).alias("_fits"))
+                            .filter("_fits").select(session, "_new"))
+        if going.isEmpty():
+            some = [f"{r[0]} into {r[1]}" for r in gaps.orderBy(label, "_gap").limit(20).collect()]
+            raise ImpossibleSplit(f"no free session left to put classes {some}")
+        held = materialize(held.join(going, session, "left").select(
+            session, label, F.coalesce("_new", "split").alias("split"), F.coalesce("_new", "_to").alias("_to")))
 
 
 def split_scenarios(df: DataFrame, test_scenarios: DataFrame, scenario: str = "scenario_id") -> DataFrame:

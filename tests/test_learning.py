@@ -207,6 +207,48 @@ def test_both_quotas_fill_in_reading_order(spark):
         assert {r.flow_id for r in A.cap_flows(full, cap, quota, order).collect()} == want
 
 
+def hash_part(name, seed):
+    import hashlib
+    spot = int(hashlib.md5(f"{seed}|{name}".encode()).hexdigest()[:8], 16) % 10_000
+    return "train" if spot < 7000 else "val" if spot < 8500 else "test"
+
+
+def placed(spark, held, seed=42):
+    rows = spark.createDataFrame([(f"{s}/{c}", s, c) for s, cs in held.items() for c in cs],
+                                 "sample_id string, session_id string, label int")
+    got = S.split_session_hash(rows, seed=seed).collect()
+    parts = {r.session_id: r.split for r in got}
+    assert len(got) == rows.count() and all(parts[r.session_id] == r.split for r in got)
+    return parts
+
+
+def test_repair_of_hash_splits_over_all_sessions(spark):
+    # Class 1 has no session in val; all of its sessions but the last in hash order are needed where they are.
+    import hashlib
+    train = sorted((f"s{i}" for i in range(400) if hash_part(f"s{i}", 42) == "train"),
+                   key=lambda s: hashlib.md5(f"42|{s}".encode()).hexdigest())[:32]
+    others = {p: [f"s{i}" for i in range(400) if hash_part(f"s{i}", 42) == p][:2] for p in ("val", "test")}
+    held = {s: [1, 10 + k] for k, s in enumerate(train[:-1])}  # each is the only one in train with its own class
+    held |= {s: list(range(10, 10 + len(train) - 1)) for s in others["val"] + others["test"]}
+    held[others["test"][0]].append(1)
+    held[train[-1]] = [1]
+    parts = placed(spark, held)
+    assert {s for s in held if parts[s] != hash_part(s, 42)} == {train[-1]} and parts[train[-1]] == "val"
+    del held[train[-1]]
+    with pytest.raises(S.ImpossibleSplit, match="1 into val"):
+        placed(spark, held)
+
+
+def test_repair_of_hash_splits_on_random_sessions(spark):
+    rng = random.Random(6)
+    for seed in (1, 2):
+        held = {f"s{i}": [0, *rng.sample(range(1, 13), rng.randint(0, 2))] for i in range(70)}
+        parts = placed(spark, held, seed)
+        assert {(parts[s], c) for s, cs in held.items() for c in cs} == {(p, c) for p in S.PARTS for c in range(13)}
+        gaps = {(p, c) for p in S.PARTS for c in range(13)} - {(hash_part(s, seed), c) for s, cs in held.items() for c in cs}
+        assert sum(parts[s] != hash_part(s, seed) for s in held) <= len(gaps)
+
+
 def test_impossible_splits(spark):
     schema = "sample_id string, session_id string, label int"
     two = spark.createDataFrame([("1", "s", 0), ("2", "t", 1), ("3", "s", 1), ("4", "t", 0)], schema)
