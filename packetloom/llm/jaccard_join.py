@@ -42,7 +42,7 @@ TYPICAL = 4
 ROUNDS = 4
 
 # Characters of text for one key range (about a shingle per 6 of them), and words a worker remembers.
-CHARS_PER_RANGE = 12_000_000
+CHARS_PER_RANGE = 6_000_000
 REMEMBERED = 250_000
 
 # Bytes of a shingle sent beside its range when counting shared ones: a chance match can only keep a document in.
