@@ -10,10 +10,12 @@ import struct
 import tempfile
 import zipfile
 
+import duckdb
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as spec
 from packetloom.functions.tls import application_bytes
 from packetloom.operators import checks as V
 from packetloom.operators import clumps as C
@@ -248,6 +250,19 @@ def test_wrong_guesses_are_read_again(size):
         assert sorted(got) == list(enumerate(want)), name
 
 
+def test_frames_of_any_value(spark):
+    """Events whose frame is longer than an IPv4 or a TLS length can say give the rows of the query's SQL."""
+    sizes = [0, 1, 39, 40, 65_489, 65_490, 65_491, 65_535, 65_536, 65_537, 131_070, 131_071, 400_003]
+    folder = tempfile.mkdtemp(prefix="frames-")
+    pd.DataFrame({"event_id": range(len(sizes)), "ts": pd.Timestamp("2024-01-01 00:00:01.000007").as_unit("us"), "user_id": 7,
+                  "event_type": "view", "value": [n / 100 for n in sizes], "props": '{"k": 76}'}).to_parquet(f"{folder}/events.parquet")
+    got = spec.queries()["decode_frames"](spark, folder).orderBy("packet_no")
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet'")
+        want = db.execute(f"SELECT {', '.join(got.columns)} FROM ({spec.oracle_sql()['decode_frames']}) ORDER BY packet_no").fetchall()
+    assert [tuple(r) for r in got.collect()] == want
+
+
 def test_tables_and_artifacts(spark):
     folder = tempfile.mkdtemp(prefix="artifacts-")
     open(f"{folder}/t.csv", "w").write(" a , Label\n1,x\n2,y\n")
@@ -270,6 +285,20 @@ def test_tables_and_artifacts(spark):
     A.write_tables({"runs": runs}, f"{folder}/out", "csv", force=True)
 
 
+def test_inventory_of_files_above_a_value(spark):
+    folder = tempfile.mkdtemp(prefix="inventory-")
+    pd.DataFrame({" a ": range(4000), "Label": [f"{i}\n" for i in range(4000)]}).to_parquet(f"{folder}/t.parquet")
+    open(f"{folder}/t.csv", "w").write(" a , Label\n" + "1,x\n" * 3000)
+    open(f"{folder}/no.parquet", "wb").write(b"\nno table\n" * 900 + b"PAR")
+    whole = [tuple(r) for r in T.file_inventory(spark, folder).collect()]
+    with files_of(spark, 997):
+        assert [tuple(r) for r in T.file_inventory(spark, folder, value_bytes=5000).collect()] == whole
+    assert [(r[0], r[4]) for r in whole] == [("no.parquet", None), ("t.csv", 3000), ("t.parquet", 4000)]
+    assert T.VALUE_BYTES <= 64 << 20  # a task may hold a few copies of a value
+    data = open(f"{folder}/t.parquet", "rb").read()
+    assert T._footer(data[len(data) // 2:]) == T._footer(data) and T._footer(data[-20:]) is None
+
+
 def test_experiment_manifest(spark):
     counters = spark.createDataFrame([(10, 4)], "raw_packets long, flows_kept long")
     classes = spark.createDataFrame([("train", 1, 3), ("test", 0, 1)], "split string, label int, rows long")
