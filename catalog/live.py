@@ -20,18 +20,33 @@ REGISTRY = Registry()
 query = REGISTRY.query
 
 
+# The largest 16-bit length.
+MOST = (1 << 16) - 1
+
+
 def event_frames(spark, sf):
-    """Each event as an Ethernet/IPv4/TCP frame with one TLS record, built byte by byte in Spark."""
+    """Each event as an Ethernet/IPv4/TCP frame with its TLS records, built byte by byte in Spark.
+
+    What has no room in 16 bits is told as on a host that leaves cutting to its network card: the IPv4 length is 0, and
+    the data are announced in equal records, of which the last breaks off so that the frame keeps its size.
+    """
     e = load(spark, sf, "events")
     k = F.get_json_object("props", "$.k").cast("long")
     size = F.round(F.col("value") * 100).cast("long")
     hexed = lambda x, digits: F.lpad(F.hex(x.cast("long")), digits, "0")
     flags = F.when(F.col("event_type") == "error", F.lit("04")).otherwise(F.lit("18"))
+    n_records = F.greatest(F.ceil(size / MOST), F.lit(1)).cast("long")
+    each = F.floor(size / n_records).cast("long")
+    last = size - each * (n_records - 1)
+    body = lambda n: F.repeat(F.lit("AB"), n.cast("int"))
+    record = lambda n, held: F.concat(F.lit("170303"), hexed(n, 4), body(held))
+    records = F.concat(F.repeat(record(each, each), (n_records - 1).cast("int")), record(last, last - 5 * (n_records - 1)))
+    total = F.when(size + 45 <= MOST, size + 45).otherwise(0)
     text = F.concat(
-        F.lit("020000000001020000000002" + "0800" + "4500"), hexed(size + 45, 4), F.lit("00010000" + "4006" + "0000" + "0A0000"),
+        F.lit("020000000001020000000002" + "0800" + "4500"), hexed(total, 4), F.lit("00010000" + "4006" + "0000" + "0A0000"),
         hexed(F.col("user_id") % 50, 2), F.lit("0A0000"), hexed(k % 50, 2), hexed(F.col("user_id") % 3 + 1000, 4),
         hexed(k % 3 + 1000, 4), F.lit("00000001" + "00000001" + "50"), flags, F.lit("0400" + "0000" + "0000"),
-        F.lit("170303"), hexed(size, 4), F.expr("repeat('AB', cast(round(value * 100) as int))"))
+        records)
     return e.select(F.lit("events").alias("source_id"), F.col("event_id").alias("packet_no"), micros("ts").alias("ts_us"),
                     F.unhex(text).alias("frame"))
 
