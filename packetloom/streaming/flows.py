@@ -5,10 +5,16 @@ the watermark has passed it, so packets may arrive out of order within the water
 ones are dropped and counted (``late_rows``).  State per key is one open flow, one open clump, the last clumps of a
 window and that short buffer; it is gone when the flow's idle time has passed.  A flow is therefore known by its start,
 and ``numbered`` gives the numbers of the batch form to finished flows.
+
+Keys are handled by the bucket: its keys share one value of state and one timer, so a batch costs a call to the state
+store for each bucket and not several for each key.  A restarted query must keep its number of buckets.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,17 +33,29 @@ FLOW_OUT = ("source_id string, key string, client string, start_us long, end_us
 WINDOW_OUT = "source_id string, key string, flow_start_us long, window_index long, steps array<array<bigint>>"
 OUTPUTS = {"clumps": CLUMP_OUT, "flows": FLOW_OUT, "windows": WINDOW_OUT}
 STEP = "size long, pkt_count long, direction long, duration_us long, interarrival_us long"
-PENDING = "ts_us long, packet_no long, length long, sender string"
-OPEN = ("client string, start_us long, last_us long, packets long, bytes long, clump_no long, size long, "
-        "pkt_count long, direction int, clump_start long, clump_end long, gap long")
-FIELDS = [c.split()[0] for c in OPEN.split(", ")]
+OPEN = ("client", "start_us", "last_us", "packets", "bytes", "clump_no", "size", "pkt_count", "direction", "clump_start",
+        "clump_end", "gap")
+# Rows of 64-bit numbers, in which texts are places in ``names``: packets (source, key, ts_us, packet_no, length, sender),
+# open flows (source, key, OPEN), clumps of a window (source, key, STEP).
+STATE = "names array<string>, waiting binary, flows binary, steps binary, wake long"
+COLUMNS = ["source_id", "key", "ts_us", "packet_no", "length", "sender"]
+
+BUCKETS = 4_096
+
+
+def _rows(raw: bytes, width: int) -> list[list[int]]:
+    return np.frombuffer(raw, np.int64).reshape(-1, width).tolist()
+
+
+def _raw(rows: list[tuple]) -> bytes:
+    return np.array(rows, np.int64).tobytes()
 
 
 class FlowProcessor(StatefulProcessor):
     """Feeds packets in time order to one open flow per key; emits closed clumps, closed flows, or windows of clumps.
 
     A window is emitted with each clump that closes once there are ``longest``; a flow that ends before gives one
-    window of the clumps it has.
+    window of the clumps it has.  Groups are buckets of keys.
     """
 
     def __init__(self, emit: str, idle_us: int, timeout_us: int, longest: int = 1):
@@ -45,52 +63,76 @@ class FlowProcessor(StatefulProcessor):
 
     def init(self, handle):
         self.handle = handle
-        self.pending = handle.getListState("pending", PENDING)
-        self.open = handle.getValueState("open", OPEN)
-        self.ring = handle.getListState("ring", STEP)
+        self.state = handle.getValueState("keys", STATE)
 
     def handleInputRows(self, key, rows, timerValues):
-        fresh = [tuple(r) for part in rows
-                 for r in part[["ts_us", "packet_no", "length", "sender"]].itertuples(index=False)]
-        yield self._advance(key, fresh, timerValues.getCurrentWatermarkInMs() * 1000)
+        fresh = []
+        for part in rows:
+            fresh += zip(*[part[c].tolist() for c in COLUMNS])
+        yield from self._advance(fresh, timerValues.getCurrentWatermarkInMs() * 1000, None)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        yield self._advance(key, [], timerValues.getCurrentWatermarkInMs() * 1000)
+        yield from self._advance([], timerValues.getCurrentWatermarkInMs() * 1000, expiredTimerInfo.getExpiryTimeInMs())
 
     def close(self):
         pass
 
-    def _advance(self, key, fresh, watermark_us):
-        waiting = [tuple(r) for r in self.pending.get()] + [
-            (int(t), int(n), int(size), str(who)) for t, n, size, who in fresh]
-        ready = sorted(p for p in waiting if p[0] <= watermark_us)
-        later = [p for p in waiting if p[0] > watermark_us]
-        flow = dict(zip(FIELDS, self.open.get())) if self.open.exists() else None
-        self.steps = [tuple(s) for s in self.ring.get()] if self.emit == "windows" else []
-        out = []
-        for packet in ready:
-            flow = self._feed(key, flow, packet, out)
-        if flow and watermark_us - flow["last_us"] > self.idle_us:
-            self._close_flow(key, flow, out)
-            flow = None
-        if flow:
-            self.open.update(tuple(flow[f] for f in FIELDS))
-        else:
-            self.open.clear()
-        if self.emit == "windows":
-            self.ring.put(self.steps) if self.steps else self.ring.clear()
-        self.pending.put(later) if later else self.pending.clear()
-        self._wake(flow, later)
-        names = [c.split()[0] for c in OUTPUTS[self.emit].split(", ")]
-        return pd.DataFrame(out, columns=names)
-
-    def _wake(self, flow, later):
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if later:
-            self.handle.registerTimer(min(p[0] for p in later) // 1000 + 1)
-        if flow:
-            self.handle.registerTimer((flow["last_us"] + self.idle_us) // 1000 + 1)
+    def _advance(self, fresh, watermark_us, expired):
+        """Output of all keys of a bucket up to the watermark; ``expired`` is a timer that Spark deletes by itself."""
+        packets, flows, rings, set_to = self._held()
+        ready, later = defaultdict(list), []
+        for packet in [*packets, *fresh]:
+            if packet[2] <= watermark_us:
+                ready[packet[:2]].append(packet[2:])
+            else:
+                later.append(packet)
+        out, still = [], {}
+        for key in {**flows, **ready}:
+            flow, self.steps = flows.get(key), rings.get(key, [])
+            for packet in sorted(ready.get(key, ())):
+                flow = self._feed(key, flow, packet, out)
+            if flow and watermark_us - flow["last_us"] > self.idle_us:
+                self._close_flow(key, flow, out)
+                flow = None
+            if flow:
+                still[key], rings[key] = flow, self.steps
+        self._hold(later, still, rings, set_to, expired)
+        if out:
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUTS[self.emit].split(", ")])
+
+    def _held(self):
+        held = self.state.get()
+        if held is None:
+            return [], {}, {}, None
+        names, waiting, flows, steps, wake = held
+        packets = [(names[s], names[k], ts, no, length, names[who])
+                   for s, k, ts, no, length, who in _rows(waiting, len(COLUMNS))]
+        found, rings = {}, defaultdict(list)
+        for s, k, client, *rest in _rows(flows, 2 + len(OPEN)):
+            found[names[s], names[k]] = dict(zip(OPEN, (names[client], *rest)))
+        for s, k, *step in _rows(steps, 2 + len(STEP.split(", "))):
+            rings[names[s], names[k]].append(tuple(step))
+        return packets, found, rings, wake
+
+    def _hold(self, later, flows, rings, set_to, expired):
+        due = [p[2] // 1000 + 1 for p in later] + [(f["last_us"] + self.idle_us) // 1000 + 1 for f in flows.values()]
+        wake = min(due, default=None)
+        if wake != set_to:
+            if set_to is not None and set_to != expired:
+                self.handle.deleteTimer(set_to)
+            if wake is not None:
+                self.handle.registerTimer(wake)
+        if wake is None:
+            self.state.clear()
+            return
+        names = {}
+
+        def at(name):
+            return names.setdefault(name, len(names))
+        waiting = [(at(s), at(k), ts, no, length, at(who)) for s, k, ts, no, length, who in later]
+        held = [(at(s), at(k), at(f["client"]), *[f[c] for c in OPEN[1:]]) for (s, k), f in flows.items()]
+        steps = [(at(key[0]), at(key[1]), *step) for key in flows for step in rings[key]]
+        self.state.update((list(names), _raw(waiting), _raw(held), _raw(steps), wake))
 
     def _feed(self, key, flow, packet, out):
         ts, _, length, sender = packet
@@ -131,7 +173,10 @@ class FlowProcessor(StatefulProcessor):
 
 
 def _keyed(packets: DataFrame, delay: str):
-    return packets.withWatermark("ts", delay).groupBy("source_id", "key")
+    rows = packets.withWatermark("ts", delay).select(
+        "source_id", "key", "packet_no", F.col("ts_us").cast("long").alias("ts_us"), F.col("length").cast("long").alias("length"),
+        "sender", "ts", F.pmod(F.xxhash64("source_id", "key"), F.lit(BUCKETS)).alias("bucket"))
+    return rows.groupBy("bucket")
 
 
 def stream_flows(packets: DataFrame, delay: str = "10 seconds", idle_us: int = IDLE_US) -> DataFrame:

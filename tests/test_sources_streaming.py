@@ -415,3 +415,25 @@ def test_sets_are_published_whole(spark):
     A.publish({"a": two, "c": two}, folder, force=True)
     assert {n: t.count() for n, t in A.read_published(spark, folder).items()} == {"a": 5, "c": 5}
     assert {n: t.count() for n, t in A.read_published(spark, folder, first).items()} == {"a": 3, "b": 3}
+
+
+@pytest.mark.parametrize("emit", ["flows", "clumps", "windows"])
+def test_keys_of_a_bucket_share_state(spark, monkeypatch, emit):
+    """One bucket of many keys, null ones too, gives what a bucket for each gives, with one value and timer."""
+    schema = "source_id string, key string, packet_no long, ts_us long, length long, sender string, receiver string"
+    rows = [(s, k, n, t, size, a, b) for i in range(13) for s, _, n, t, size, a, b in stream_rows() for k in [None if i == 12 else f"{n % 3}-{i}"]]
+    rows = [(*r[:2], i, *r[3:]) for i, r in enumerate(sorted(rows, key=lambda r: r[3]))]
+    found = {}
+    for buckets in (1, 4096):
+        monkeypatch.setattr(R, "BUCKETS", buckets)
+        folder, name = tempfile.mkdtemp(prefix="stream-"), f"s_shared_{emit}_{buckets}"
+        for part in (rows[:700], rows[700:]):
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
+        live = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder).withColumn("ts", F.timestamp_micros("ts_us"))
+        live = {"flows": R.stream_flows, "clumps": R.stream_clumps, "windows": lambda x: R.stream_windows(x, 3)}[emit](live)
+        q = live.writeStream.format("memory").queryName(name).option("checkpointLocation", tempfile.mkdtemp(prefix="stream-")).start()
+        q.processAllAvailable()
+        q.stop()
+        found[buckets] = sorted(map(str, spark.table(name).collect())), R.state_rows(q)
+    assert found[1][0] == found[4096][0] and len(found[1][0]) > 100
+    assert 0 < found[1][1] <= 3 < found[4096][1]
