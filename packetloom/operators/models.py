@@ -28,6 +28,8 @@ MODELS = ["random_forest", "decision_tree", "gaussian_nb", "linear_svm", "hist_g
 DEEPEST = 30
 # Penalty of the linear model, as the weight of the summed loss.
 SVM_C = 1.0
+# Rows of a task while the linear model is fitted: a step over fewer costs less than starting another task for it.
+SVM_ROWS_PER_TASK = 400_000
 
 
 def classifier(name: str, seed: int = 42, label: str = "target", **settings):
@@ -50,15 +52,20 @@ def classifier(name: str, seed: int = 42, label: str = "target", **settings):
 
 def fit_tabular(train: DataFrame, names: list[str], model: str, label: str = "target", seed: int = 42,
                 **settings) -> PipelineModel | GaussianBayes:
-    """Vector assembly (scaled for the linear model) and the classifier, fitted on ``train``."""
+    """Vector assembly (scaled for the linear model) and the classifier, fitted on ``train``.
+
+    The linear model takes hundreds of short passes; rows are put into few partitions for them.
+    """
     if model not in MODELS:
         raise ValueError(f"unknown model {model!r}; expected one of {MODELS}")
     if model == "gaussian_nb":
         return GaussianBayes.fit(train, names, label, **settings)
     stages = vector_stages(names, scaled=model == "linear_svm")
     typed = train.withColumn(label, F.col(label).cast("double"))
-    if model == "linear_svm" and "regParam" not in settings:
-        settings["regParam"] = 1.0 / (SVM_C * max(1, train.count()))
+    if model == "linear_svm":
+        n = max(1, train.count())
+        settings = {"regParam": 1.0 / (SVM_C * n)} | settings
+        typed = typed.coalesce(-(-n // SVM_ROWS_PER_TASK))
     return Pipeline(stages=[*stages, classifier(model, seed, label, **settings)]).fit(typed)
 
 
@@ -76,9 +83,9 @@ def score_rows(model, df: DataFrame) -> DataFrame:
     return out.withColumns({"score": score, "prediction": F.col("prediction").cast("int")}).drop(*extra)
 
 
-def settle(metrics: DataFrame) -> DataFrame:
-    """Metric rows as a written table, so that what follows does not score again."""
-    return materialize(metrics)
+def settle(rows: DataFrame) -> DataFrame:
+    """Scores or metric rows as a written table, so that what follows does not score again."""
+    return materialize(rows)
 
 
 def evaluate(scored: DataFrame, label: str = "target", by: list[str] = ()) -> DataFrame:
@@ -109,7 +116,7 @@ def compare_models(train: DataFrame, test: DataFrame, names: list[str], models:
         scored = score_rows(fitted, test).select(label, "prediction", "score").persist()
         row = evaluate(scored, label).withColumn("model", F.lit(model))
         if val is not None:
-            on_val = score_rows(fitted, val).select(label, "prediction", "score")
+            on_val = settle(score_rows(fitted, val).select(label, "prediction", "score"))
             threshold, tuned = calibrated_rows(on_val, scored, label, target_fpr)
             after = evaluate(tuned.select(label, "prediction", F.col("calibrated").alias("score")), label)
             row = row.join(F.broadcast(settle(threshold).select(

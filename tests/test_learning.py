@@ -408,3 +408,16 @@ def test_digests_of_id_sets(spark):
     assert {k for k in base if base[k] != moved[k]} == {("train", "sample_id"), ("test", "sample_id")}
     named = S.split_ids(spark.createDataFrame(rows, schema), ["sample_id"])
     assert sorted(map(tuple, named.collect())) == sorted((s, "sample_id", i) for i, _, s in rows)
+
+
+def test_passes_of_the_compared_models(spark):
+    """The linear model steps over few partitions."""
+    rows = spark.range(0, 400, 1, 8).select(
+        (F.col("id") % 37).cast("double").alias("a"), (F.col("id") * 7 % 11).cast("double").alias("b"),
+        ((F.col("id") % 37 + F.col("id") * 7 % 11) % 5 < 2).cast("int").alias("target"))
+    spark.sparkContext.setJobGroup("svm passes", "")
+    X.fit_tabular(rows, ["a", "b"], "linear_svm", maxIter=5)
+    spark.sparkContext.setJobGroup("", "")
+    tracker = spark.sparkContext.statusTracker()
+    last = tracker.getJobInfo(max(tracker.getJobIdsForGroup("svm passes")))
+    assert [tracker.getStageInfo(i).numTasks for i in last.stageIds] == [1]
