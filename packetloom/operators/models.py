@@ -19,6 +19,7 @@ from packetloom.operators.metrics import (apply_threshold, averaged_metrics, bin
                                           ranking_metrics, select_threshold)
 from packetloom.operators.ordered import materialize
 from packetloom.operators.tabular import vector_stages
+from packetloom.session import ensure_checkpoint_dir
 
 # The names of the compared models.
 MODELS = ["random_forest", "decision_tree", "gaussian_nb", "linear_svm", "hist_gradient_boosting"]
@@ -38,7 +39,7 @@ def classifier(name: str, seed: int = 42, label: str = "target", **settings):
     common = {"featuresCol": "features", "labelCol": label}
     makers = {
         "random_forest": lambda: RandomForestClassifier(
-            **({"numTrees": 100, "impurity": "gini", "maxDepth": DEEPEST, "seed": seed} | settings), **common),
+            **({"numTrees": 100, "impurity": "gini", "maxDepth": DEEPEST, "seed": seed, "cacheNodeIds": True} | settings), **common),
         "decision_tree": lambda: DecisionTreeClassifier(
             **({"impurity": "entropy", "maxDepth": DEEPEST, "seed": seed} | settings), **common),
         "linear_svm": lambda: LinearSVC(**({"maxIter": 2_000} | settings), **common),
@@ -54,7 +55,9 @@ def fit_tabular(train: DataFrame, names: list[str], model: str, label: str = "ta
                 **settings) -> PipelineModel | GaussianBayes:
     """Vector assembly (scaled for the linear model) and the classifier, fitted on ``train``.
 
-    The linear model takes hundreds of short passes; rows are put into few partitions for them.
+    A forest keeps the node each row has reached in every tree, so that a pass does not walk down from the roots; what
+    is kept is cut from its lineage in ``spark.checkpoint.dir``.  The linear model takes hundreds of short passes; rows
+    are put into few partitions for them.
     """
     if model not in MODELS:
         raise ValueError(f"unknown model {model!r}; expected one of {MODELS}")
@@ -62,6 +65,7 @@ def fit_tabular(train: DataFrame, names: list[str], model: str, label: str = "ta
         return GaussianBayes.fit(train, names, label, **settings)
     stages = vector_stages(names, scaled=model == "linear_svm")
     typed = train.withColumn(label, F.col(label).cast("double"))
+    ensure_checkpoint_dir(train.sparkSession)
     if model == "linear_svm":
         n = max(1, train.count())
         settings = {"regParam": 1.0 / (SVM_C * n)} | settings

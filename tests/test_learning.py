@@ -411,7 +411,7 @@ def test_digests_of_id_sets(spark):
 
 
 def test_passes_of_the_compared_models(spark):
-    """The linear model steps over few partitions."""
+    """The linear model steps over few partitions; a forest that keeps nodes is the forest that does not."""
     rows = spark.range(0, 400, 1, 8).select(
         (F.col("id") % 37).cast("double").alias("a"), (F.col("id") * 7 % 11).cast("double").alias("b"),
         ((F.col("id") % 37 + F.col("id") * 7 % 11) % 5 < 2).cast("int").alias("target"))
@@ -421,3 +421,6 @@ def test_passes_of_the_compared_models(spark):
     tracker = spark.sparkContext.statusTracker()
     last = tracker.getJobInfo(max(tracker.getJobIdsForGroup("svm passes")))
     assert [tracker.getStageInfo(i).numTasks for i in last.stageIds] == [1]
+    kept, walked = [X.fit_tabular(rows, ["a", "b"], "random_forest", numTrees=5, **more).stages[-1]
+                    for more in ({}, {"cacheNodeIds": False})]
+    assert kept.getCacheNodeIds() and kept.toDebugString.split("\n")[1:] == walked.toDebugString.split("\n")[1:]
