@@ -153,7 +153,7 @@ def group_ablation(train: DataFrame, test: DataFrame, names: list[str], model: s
 
     def run(kept: list[str], removed: str) -> DataFrame:
         fitted = fit_tabular(train, kept, model, label, seed, **settings)
-        scored = score_rows(fitted, test).select(label, "prediction", "score")
+        scored = settle(score_rows(fitted, test).select(label, "prediction", "score"))  # metrics read it several times
         return settle(evaluate(scored, label)).withColumns(
             {"removed_group": F.lit(removed), "features_left": F.lit(len(kept))})
 
@@ -218,6 +218,6 @@ def field_ablation(train: DataFrame, test: DataFrame, length: int, label: str =
     rows = []
     for i, name in [(None, "none"), *enumerate(VECTOR_FIELDS)]:
         fitted = fit_windows(train, length, label=label, drop_field=i, **options)
-        scored = score_windows(fitted, test, i).select(label, "prediction", "score")
+        scored = settle(score_windows(fitted, test, i).select(label, "prediction", "score"))
         rows.append(settle(evaluate(scored, label)).withColumn("removed_field", F.lit(name)))
     return reduce(DataFrame.unionByName, rows)

@@ -424,3 +424,13 @@ def test_passes_of_the_compared_models(spark):
     kept, walked = [X.fit_tabular(rows, ["a", "b"], "random_forest", numTrees=5, **more).stages[-1]
                     for more in ({}, {"cacheNodeIds": False})]
     assert kept.getCacheNodeIds() and kept.toDebugString.split("\n")[1:] == walked.toDebugString.split("\n")[1:]
+
+
+def test_ablation_scores_once(spark, monkeypatch):
+    """Metrics, which read scores several times, get them from a written table."""
+    rows = spark.range(200).select((F.col("id") % 37).cast("double").alias("Duration"), (F.col("id") % 3).cast("double").alias("PacketTimeMean"),
+                                   (F.col("id") % 5 < 2).cast("int").alias("target"))
+    seen, plain = [], X.evaluate
+    monkeypatch.setattr(X, "evaluate", lambda scored, *more: seen.append(scored.inputFiles()) or plain(scored, *more))
+    out = X.group_ablation(rows, rows, ["Duration", "PacketTimeMean"], "decision_tree")
+    assert out.count() == 5 and len(seen) == 3 and all(seen)
