@@ -18,6 +18,9 @@ COLUMNS = ["range", "keys", "docs", "counts", "places", "known", "found"]
 
 ENTRY = np.dtype([("doc", "<i8"), ("place", "<u4")])
 
+COUNTED = "bucket int, docs binary, places binary, counts binary"
+DOCS_PER_BUCKET = 4096
+
 # Text that a worker packs at a time.
 BATCH_CHARS = 4 << 20
 
@@ -155,3 +158,33 @@ def shared_entries(rows: pd.DataFrame, width: int = 8) -> np.ndarray:
         several |= known[at] == ordered[starts]
     hit = np.repeat(several, sizes)
     return np.concatenate([found, entries(docs[hit], places[hit])])
+
+
+def _tally(docs: np.ndarray, places: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (document, place) with their summed n."""
+    order = np.lexsort((places, docs))
+    docs, places = docs[order], places[order]
+    starts = np.flatnonzero(np.r_[True, (docs[1:] != docs[:-1]) | (places[1:] != places[:-1])])
+    return docs[starts], places[starts], np.add.reduceat(n[order], starts)
+
+
+def counted(found: np.ndarray, n_buckets: int) -> pd.DataFrame:
+    """Rows of COUNTED: how often each entry is in ``found``, one row per bucket of entries and not one per entry.
+
+    A document has entries in very many ranges; there are never more rows than entries, and mostly thousands of times fewer.
+    """
+    columns = ["bucket", "docs", "places", "counts"]
+    if not len(found):
+        return pd.DataFrame(columns=columns)
+    docs, places, n = _tally(found["doc"], found["place"], np.ones(len(found), np.uint32))
+    spread = (docs.view(np.uint64) ^ (places.astype(np.uint64) << np.uint64(17))) * np.uint64(0x9E3779B97F4A7C15)
+    return pd.DataFrame([
+        (r, planes(docs[own]), planes(places[own]), planes(n[own].astype(np.uint32)))
+        for r, own in _dealt(spread, np.arange(len(docs)), n_buckets)], columns=columns)
+
+
+def summed(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents, places and summed counts of all COUNTED rows of one bucket."""
+    parts = [np.concatenate([from_planes(raw, kind) for raw in rows[name]])
+             for name, kind in (("docs", "<i8"), ("places", "<u4"), ("counts", "<u4"))]
+    return _tally(parts[0], parts[1], parts[2].astype(np.int64))

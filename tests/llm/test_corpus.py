@@ -1,5 +1,7 @@
 import random
+import re
 import sys
+from collections import Counter
 from pathlib import Path
 
 import duckdb
@@ -342,6 +344,20 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_many_chunks_and_of_one(spark, monkeypatch):
+    rng = random.Random(14)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)] + [(k, k + 1) for k in range(500, 560)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(3)
+    few = graph.stars(*map(list, zip(*edges)))
+    want = dict(zip(few["a"], few["b"]))
+    jobs = []
+    monkeypatch.setattr(graph, "_are_stars", lambda e, f=graph._are_stars: jobs.append(1) or f(e))
+    for chunk in (1 << 17, 16):
+        monkeypatch.setattr(graph, "CHUNK", chunk)
+        got = {r.node: r.component for r in graph.components(df).collect()}
+        assert {i: c for i, c in got.items() if i != c} == want and bool(jobs) == (chunk == 16)
+
+
 def test_divide_skip_connects_what_brute_force_does():
     rng = random.Random(9)
     for _ in range(60):
@@ -383,6 +399,67 @@ def test_jaccard_join_equals_brute_force(spark, docs, empty, rows, piece, grams,
         assert jaccard_join.similar_documents(empty).count() == 0
 
 
+def test_shared_counts_travel_packed(spark, docs, rows, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "CHARS_PER_RANGE", 100)
+    assert jaccard_join.similar_documents(docs).filter("doc_id = 7").first().n_shingles > 300
+    survey = jaccard_join._survey(docs, 5, 900, 2)
+    assert survey.filter("bucket >= 0").count() <= 900 * 2 and survey.filter("bucket < 0").count() == len(rows)
+    got = {r.doc_id: r.n_shared for r in jaccard_join._shared_counts(survey.filter("bucket >= 0")).collect()}
+    sets = {i: set(s.tolist()) for (i, _), s in zip(rows, jaccard_join.shingle_sets([t for _, t in rows]))}
+    held = Counter(g for s in sets.values() for g in s)
+    want = {i: sum(held[g] > 1 for g in s) for i, s in sets.items()}
+    assert got == {i: n for i, n in want.items() if n}
+
+
+def test_shingles_part_words_at_six_signs_only():
+    rng = random.Random(12)
+    words = ["".join(rng.choice("aAb\x00\x85é漢") for _ in range(n)) for n in (1, 7, 8, 9, 16, 255, 256, 257, 900) for _ in "ab"]
+    texts = [None, "", " \t"] + ["".join(rng.choice(words) + rng.choice(" \t\n\v\f\r") for _ in range(rng.randint(0, 20)))
+                                for _ in range(300)]
+    named = {}
+    for text, got in zip(texts, jaccard_join.shingle_sets(texts)):
+        found = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+        n = min(5, len(found))
+        want = {tuple(found[i:i + n]) for i in range(len(found) - n + 1)} if n else set()
+        assert len(got) == len(want) and (np.diff(got.astype(object)) > 0).all()
+        for shingle in want:
+            named.setdefault(shingle, set(got.tolist())).intersection_update(got.tolist())
+    assert all(named.values())
+
+
+def test_near_copies_are_settled_at_once_and_pieces_stay_small(spark, monkeypatch):
+    rng = random.Random(13)
+    base = prose(rng, 80).split()
+    texts = []
+    for k in range(160):
+        words = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2])):
+            words[rng.randrange(80)] = f"edit{k}"
+        texts.append((k, " ".join(words)))
+    texts += [(k, " ".join(base[:66] + [f"x{k}y{j}" for j in range(9)])) for k in range(160, 170)]
+    sizes, calls = [], []
+    search, rarest = jaccard_join._search, jaccard_join._rarest_edges
+
+    def counted_search(members, *rest):
+        found = members.groupBy("block", "piece").agg(F.count_distinct("doc_id").alias("n"))
+        sizes.append(found.agg(F.max("n").alias("n")).first().n)
+        return search(members, *rest)
+
+    def counted_rarest(*rest):
+        calls.append(1)
+        return rarest(*rest)
+    monkeypatch.setattr(jaccard_join, "_search", counted_search)
+    monkeypatch.setattr(jaccard_join, "_rarest_edges", counted_rarest)
+    monkeypatch.setattr(jaccard_join, "PIECE", 32)
+    df = frame(spark, texts)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.similar_documents(df).collect()} == brute.similar(texts)
+    assert not calls and max(sizes) <= 64 + jaccard_join.TYPICAL
+    monkeypatch.setattr(jaccard_join, "ROUNDS", 0)
+    monkeypatch.setattr(jaccard_join, "PIECE", 8)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.similar_documents(df).collect()} == brute.similar(texts)
+    assert max(sizes[2:], default=0) <= 32
+
+
 def test_one_of_each_component_stays(spark):
     text = " ".join(f"w{k}" for k in range(60))
     df = frame(spark, [(4, text), (4, text), (2, text + " more"), (None, text), (None, None), (9, ""), (8, "")])
