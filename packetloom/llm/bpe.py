@@ -8,6 +8,7 @@ down.  A merge updates three leaves, so a piece of n bytes takes O(n log n) what
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -17,6 +18,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from packetloom.llm.tables import small_batches
+
 NO_PAIR = 1 << 60
 
 # Pieces whose ids a worker remembers; at the bound it starts anew.
@@ -128,7 +131,15 @@ def _coder(shared, pattern: str) -> Coder:
     return _CODERS[key]
 
 
-def _slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+def _with_text(docs: DataFrame, keep: Sequence[str]) -> tuple[DataFrame, int]:
+    """The ``keep`` columns with the text, which travels once, and the place of the text among them."""
+    docs = small_batches(docs)
+    if "text" in keep:
+        return docs.select(*keep), list(keep).index("text")
+    return docs.select(*keep, docs["text"].alias("_text")), len(keep)
+
+
+def _slices(batch: pa.RecordBatch, column: str | int) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows of about BATCH_BYTES, so that what is made of them stays small."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
     start = 0
@@ -146,20 +157,21 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: Sequence[str] =
     table gives none.  The vocabulary (under 1 MB, fixed) is read once and broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
-    kept = docs.select(*keep)
-    schema = T.StructType([*kept.schema.fields, T.StructField("n_tokens", T.LongType()),
+    sent, text = _with_text(docs, keep)
+    n_kept = len(keep)
+    schema = T.StructType([*sent.schema.fields[:n_kept], T.StructField("n_tokens", T.LongType()),
                            T.StructField("ids", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(shared, pattern)
         for whole in batches:
-            for batch in _slices(whole, "_text"):
-                ids = [coder.encode(t or "") for t in batch.column("_text").to_pylist()]
+            for batch in _slices(whole, text):
+                ids = [coder.encode(t or "") for t in batch.column(text).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[:-1], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
-                    names=schema.names)
+                    [*batch.columns[:n_kept], pa.array([len(x) // 4 for x in ids], pa.int64()),
+                     pa.array(ids, pa.binary())], names=schema.names)
 
-    return docs.select(*keep, docs["text"].alias("_text")).mapInArrow(run, schema)
+    return sent.mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -174,4 +186,33 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                 raw = [coder.decode(x or b"") for x in batch.column("ids").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw, pa.binary())], names=schema.names)
 
-    return encoded.mapInArrow(run, schema)
+    return small_batches(encoded).mapInArrow(run, schema)
+
+
+def round_trips(docs: DataFrame, ranks_path: str, pattern: str, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The ``keep`` columns of each row with n_tokens, ids_sha256 (of ids as in ``encode``) and round_trip (boolean).
+
+    round_trip says whether the ids, decoded, are the bytes of the text.  A worker encodes a text, decodes its ids
+    and lets both go, so a task has one worker with one vocabulary and neither ids nor decoded bytes are written.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
+    sent, text = _with_text(docs, keep)
+    n_kept = len(keep)
+    schema = T.StructType([*sent.schema.fields[:n_kept], T.StructField("n_tokens", T.LongType()),
+                           T.StructField("ids_sha256", T.StringType()), T.StructField("round_trip", T.BooleanType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = _coder(shared, pattern)
+        for whole in batches:
+            for batch in _slices(whole, text):
+                found = []
+                for value in batch.column(text):
+                    one = value.as_py() or ""
+                    ids = coder.encode(one)
+                    found.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), coder.decode(ids) == one.encode()))
+                columns = zip(zip(*found), (pa.int64(), pa.string(), pa.bool_()))
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns[:n_kept], *[pa.array(values, kind) for values, kind in columns]],
+                    names=schema.names)
+
+    return sent.mapInArrow(run, schema)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from packetloom.llm import shared_keys
 from packetloom.llm.graph import components
-from packetloom.llm.tables import materialize, one_of_each
+from packetloom.llm.tables import materialize, one_of_each, small_batches
 
 WORDS = 5
 THRESHOLD = 75  # percent
@@ -554,6 +554,7 @@ def similar_documents(docs: DataFrame, percent: int = THRESHOLD, words: int = WO
     the smallest doc_id reachable by links; rows of equal text (repeated rows too) are linked.  Rows with a null
     doc_id are counted but linked with nothing.  Other columns are ignored; an empty table gives no rows.
     """
+    docs = small_batches(docs)
     held = docs.agg(F.sum(F.char_length("text")).alias("chars"), F.count(F.lit(1)).alias("rows")).first()
     survey = materialize(_survey(docs, words, shared_keys.ranges_for(held.chars or 0, CHARS_PER_RANGE),
                                  shared_keys.ranges_for(held.rows, shared_keys.DOCS_PER_BUCKET)))

@@ -20,6 +20,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from packetloom.llm.tables import small_batches
+
 SHAPES = 1024
 WORDS = 2048
 COLUMNS = SHAPES + WORDS
@@ -173,20 +175,24 @@ def score(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",
     (0.5 then).  Null or other labels are passed over, a document labelled twice counts twice.  Repeated rows get
     equal scores, other columns are ignored, an empty table gives no rows.
     """
+    docs = small_batches(docs)
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
     kept = docs.select(*keep)
     names = [f"_{i}" for i in range(len(keep))]
     fields = [f"{n} {f.dataType.simpleString()}" for n, f in zip(names, kept.schema.fields)]
 
+    # A text that is kept travels once.
+    text = keep.index("text") if "text" in keep else len(keep)
+    sent = [docs[c].alias(n) for c, n in zip(keep, names)] + [docs["text"].alias("_text")] * ("text" not in keep)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(start, BLOCK)
-                found = votes(np.stack([term_counts(t) for t in part.column("_text").to_pylist()]), model.value)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(found, pa.float64())],
+                found = votes(np.stack([term_counts(t) for t in part.column(text).to_pylist()]), model.value)
+                yield pa.RecordBatch.from_arrays([*part.columns[:len(names)], pa.array(found, pa.float64())],
                                                  names=[*names, "score"])
-    rows = (docs.select(*[docs[c].alias(n) for c, n in zip(keep, names)], docs["text"].alias("_text"))
-            .mapInArrow(run, ", ".join([*fields, "score double"])))
+    rows = docs.select(*sent).mapInArrow(run, ", ".join([*fields, "score double"]))
     doc_id = F.col(names[keep.index("doc_id")])
     return rows.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], (fold(doc_id) == 0).alias(f"{prefix}held_out"),
                        F.col("score").alias(f"{prefix}score"),

@@ -12,6 +12,10 @@ from packetloom.operators.ordered import materialize
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
+# Bytes of rows that a task hands to its Python worker at a time.
+ARROW_BYTES = 8 << 20
+_ARROW_BOUND = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
@@ -21,6 +25,16 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``; its session hands rows to Python workers ARROW_BYTES at a time from now on, unless it has a bound of its own.
+
+    Spark's bound is 64 MB, of which a task holds several copies: two while its buffers grow, and the worker's.
+    """
+    if df.sparkSession.conf.get(_ARROW_BOUND, None) is None:
+        df.sparkSession.conf.set(_ARROW_BOUND, str(ARROW_BYTES))
+    return df
+
+
 def hot_keys(df: DataFrame, key: str, rows_per_piece: int) -> DataFrame:
     """(key, pieces) of the keys above ``rows_per_piece`` rows, as a written table.
 

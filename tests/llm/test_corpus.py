@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 import sys
@@ -7,8 +8,10 @@ from pathlib import Path
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
@@ -324,6 +327,39 @@ def test_bpe_columns(spark, docs, empty, coder):
     assert bpe.encode(empty, queries.RANKS, queries.PATTERN).count() == 0
 
 
+def test_tokenize_writes_nothing(spark, rows, docs, coder, monkeypatch):
+    def written(*_, **__):
+        raise AssertionError("a table was written")
+    monkeypatch.setattr(DataFrameWriter, "parquet", written)
+    plain = frame(spark, rows, clashing=False)
+    out = corpus_pipeline.tokenize(spark, plain, "")
+    assert out.columns == [*plain.columns, "n_tokens", "ids_sha256", "round_trip"]
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert Counter(out.select(*plain.columns).collect()) == Counter(plain.collect())
+    for r in out.collect():
+        ids = coder.encode(r.text or "")
+        assert (r.n_tokens, r.ids_sha256, r.round_trip) == (len(ids) // 4, hashlib.sha256(ids).hexdigest(), True)
+    again = corpus_pipeline.tokenize(spark, out, "")
+    assert again.columns == out.columns and Counter(again.collect()) == Counter(out.collect())
+    assert corpus_pipeline.tokenize(spark, docs, "").columns[-3:] == out.columns[-3:]
+    letters = bpe.round_trips(plain, queries.RANKS, "[a-z]+", ("doc_id",)).collect()
+    assert {r.doc_id: r.round_trip for r in letters} == {i: not re.search("[^a-z]", t or "") for i, t in rows}
+
+
+def test_texts_reach_workers_in_small_batches(spark):
+    own = spark.newSession()
+    large = own.range(0, 40, 1, 1).selectExpr("id AS doc_id", "repeat('word ', 200000) AS text")
+    sizes = lambda df: [r.n for r in df.mapInArrow(
+        lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect()]
+    assert max(sizes(large)) > 24 << 20
+    plan = quality.score(large, own.createDataFrame([], "doc_id long, quality int"), keep=("doc_id", "text"))
+    assert "_text" not in plan._jdf.queryExecution().analyzed().toString()
+    assert len(got := sizes(large)) >= 4 and max(got) <= 10 << 20
+    own.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    bpe.encode(large, queries.RANKS, queries.PATTERN)
+    assert own.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(4 << 20)
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000, 1000 + k) for k in range(1, 80)]
