@@ -601,6 +601,16 @@ def test_quality_votes_equal_a_full_sort(spark):
         assert got[i] == pytest.approx(plain, abs=1e-4)
 
 
+def test_the_sample_reaches_the_driver_packed(spark):
+    rows, _, table = labelled(spark, 160)
+    picked = quality._training_terms(frame(spark, rows), table)
+    assert picked and all(len(r.terms) == 6 * n for r, n in zip(picked, (quality.unpacked(
+        [r.terms for r in picked]) > 0).sum(1)))
+    own = {quality.term_counts(t).tobytes() for _, t in rows}
+    assert {t.tobytes() for t in quality.unpacked([r.terms for r in picked])} <= own
+    assert not quality.unpacked([quality.packed(quality.term_counts(None))]).any()
+
+
 def test_pipeline_stages(spark, tmp_path, coder):
     rows, _, table = labelled(spark, 160)
     good = [t for _, t in rows if "!!" not in t]
