@@ -14,14 +14,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.tables import hot_keys, materialize, text_or_empty
+from packetloom.llm.tables import bit_is_set, hot_keys, materialize, text_or_empty
 
 # Share of an entity's information that a term must carry to be generalised, and to be removed.
 DISCLOSING, REMOVED = 0.8, 0.95
 # Normal quantile of the one-sided bound (95%) on how often the entity is in a document that has the term.
 SURE = 1.645
-# The filter of disclosing terms has 64 bits in each of this many numbers; a term sets as many bits as there are seeds.
-FILTER_NUMBERS = 1 << 19
+# The filter of disclosing terms is this many bitmaps of as many bits; a term has one bitmap, and a bit in it for each seed.
+BITMAPS, BITS = 1 << 10, 1 << 15
 SEEDS = (1, 2, 3)
 
 TERM = r"\p{L}[\p{L}\p{N}]{2,}"
@@ -159,34 +159,37 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, disclosing: float = DISC
     return materialize(terms.join(best, ["texts", "n_term"]).select("term", "share"))
 
 
-def _filter(terms: DataFrame) -> Column:
-    """A filter of fixed size that passes every one of ``terms`` and few others, as one array of numbers."""
-    bits = terms.select(F.explode(F.array(*[_bit(F.col("term"), s) for s in SEEDS])).alias("bit"))
-    numbers = bits.groupBy(F.floor(F.col("bit") / 64).alias("id")).agg(F.bit_or(
-        F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bit") % 64).cast("int"))).alias("n"))
-    every = terms.sparkSession.range(FILTER_NUMBERS).join(numbers, "id", "left")
-    listed = F.array_sort(F.collect_list(F.struct("id", F.coalesce("n", F.lit(0).cast("long")).alias("n"))))
-    return every.agg(listed.alias("l")).select(F.col("l.n")).scalar()
+def _filter(terms: DataFrame) -> DataFrame:
+    """(bitmap, bits): a filter of bounded size that passes every one of ``terms`` and few others, as a written table.
+
+    It is broadcast as a table.  As a value inside an expression it would be part of every task's code, copy by copy,
+    all of which the driver holds.
+    """
+    places = terms.select(_bitmap(F.col("term")), F.explode(F.array(*[_bit(F.col("term"), s) for s in SEEDS])).alias("bit"))
+    return materialize(places.groupBy("bitmap").agg(F.bitmap_construct_agg("bit").alias("bits")))
+
+
+def _bitmap(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BITMAPS)).alias("bitmap")
 
 
 def _bit(term: Column, seed: int) -> Column:
-    return F.pmod(F.xxhash64(term, F.lit(seed)), F.lit(64 * FILTER_NUMBERS))
+    return F.pmod(F.xxhash64(term, F.lit(seed)), F.lit(BITS))
 
 
-def _passes_filter(term: Column, numbers: Column) -> Column:
-    def one(seed: int) -> Column:
-        bit = _bit(term, seed)
-        return F.call_function("shiftright", F.get(numbers, F.floor(bit / 64).cast("int")),
-                               (bit % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
-    return reduce(lambda a, b: a & b, [one(s) for s in SEEDS])
+def _passing(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose ``term`` is not among ``terms``."""
+    held = reduce(lambda a, b: a & b, [bit_is_set(F.col("bits"), _bit(F.col("term"), s)) for s in SEEDS])
+    return (rows.withColumn("bitmap", _bitmap(F.col("term"))).join(F.broadcast(_filter(terms)), "bitmap")
+            .filter(held).select(*rows.columns))
 
 
 def occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(content, start, end, share) of every occurrence of ``terms`` in every text; copies of a text give one row."""
-    numbers, text = _filter(terms), text_or_empty()
+    text = text_or_empty()
     rows = docs.select(_content(text).alias("content"), text.alias("text"))
-    listed = (rows.select("content", F.explode(_terms(F.col("text"))).alias("term"))
-              .filter(_passes_filter(F.col("term"), numbers)).distinct().join(terms, "term"))
+    listed = (_passing(rows.select("content", F.explode(_terms(F.col("text"))).alias("term")), terms)
+              .distinct().join(terms, "term"))
     wanted = materialize(listed.groupBy("content").agg(F.map_from_entries(F.collect_list(F.struct(
         "term", "share"))).alias("shares")))
     # Copies meet in their input splits first, so a text with many copies is no large group.

@@ -71,6 +71,13 @@ def one_of_each(rows: DataFrame, source: DataFrame, key: Sequence[str]) -> DataF
     return rows if repeated.isEmpty() else rows.dropDuplicates(list(key))
 
 
+def bit_is_set(bits: Column, place: Column) -> Column:
+    """Whether a bitmap of Spark's bitmap functions has the bit at ``place``."""
+    place = place.cast("int")
+    byte = F.conv(F.hex(F.substring(bits, F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), place % 8 + 1)) > 0
+
+
 def with_membership(rows: DataFrame, key: str, ids: DataFrame, name: str) -> DataFrame:
     """``rows`` with the boolean ``name``: whether the integer ``key`` (false for null) is among the one column of ``ids``.
 
@@ -87,8 +94,6 @@ def with_membership(rows: DataFrame, key: str, ids: DataFrame, name: str) -> Dat
         listed = ids.distinct().withColumn(name, F.lit(True))
         return rows.join(listed, rows[key] == listed["_id"], "left").drop("_id").withColumn(
             name, F.coalesce(name, F.lit(False)))
-    place = F.bitmap_bit_position(F.col(key)).cast("int")
-    byte = F.conv(F.hex(F.substring("_bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    bit = F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), place % 8 + 1)
+    place = F.bitmap_bit_position(F.col(key))
     return (rows.join(bits.drop("_n"), F.bitmap_bucket_number(F.col(key)) == F.col("_bucket"), "left")
-            .withColumn(name, F.coalesce(byte.bitwiseAND(bit) > 0, F.lit(False))).drop("_bucket", "_bits"))
+            .withColumn(name, F.coalesce(bit_is_set(F.col("_bits"), place), F.lit(False))).drop("_bucket", "_bits"))

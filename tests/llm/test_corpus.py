@@ -21,7 +21,7 @@ import corpus_pipeline  # noqa: E402
 from packetloom.llm import (  # noqa: E402
     bpe, exact_dedup, fingerprints, graph, jaccard_join, language_model, mixing, pii, quality, queries, secrets,
     shared_keys, suffix_dedup)
-from packetloom.llm.tables import with_membership  # noqa: E402
+from packetloom.llm.tables import materialize, with_membership  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 # Extra columns whose names the operators use inside.
@@ -547,6 +547,22 @@ def test_one_text_of_an_entity_can_have_disclosing_terms(spark):
     assert pii.sanitise(frame(spark, rows)).filter("doc_id = 0").first().text == "Quibbleton lives near [IP] now"
 
 
+def test_filter_of_terms_is_no_part_of_expressions(spark, monkeypatch):
+    plans = []
+
+    def written(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return materialize(df)
+    monkeypatch.setattr(pii, "materialize", written)
+    words = [f"word{k:04}" for k in range(1200)]
+    docs = frame(spark, [(k, " ".join(words[k * 50:k * 50 + 50] + ["word0007"])) for k in range(24)] + [(50, None)])
+    for wanted in (words[:400], []):
+        terms = spark.createDataFrame([(w, 0.9) for w in wanted], "term string, share double")
+        got = sorted((r.start, r.end, r.share) for r in pii.occurrences(docs, terms).collect())
+        assert len(got) == (len(wanted) + 24 if wanted else 0) and {(e - s, x) for s, e, x in got} <= {(8, 0.9)}
+    assert plans and not any("scalar-subquery" in p for p in plans)
+
+
 def labelled(spark, n=400):
     rng = random.Random(12)
     rows, labels = [], []
