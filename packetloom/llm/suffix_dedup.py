@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packetloom.llm import shared_keys
-from packetloom.llm.tables import materialize, text_or_empty
+from packetloom.llm.tables import materialize, small_batches, text_or_empty
 
 LENGTH = 50
 PERIOD = 31
@@ -41,6 +41,10 @@ BYTES_PER_GROUP = 16_000_000
 
 LONGEST = 240  # suffixes in one stretch; their number is sent as a byte
 
+# Bytes of text and suffixes that arrays of numbers are made for at a time; a document or a run of ties may be longer.
+BYTES_AT_ONCE = 1 << 19
+SUFFIXES_AT_ONCE = 1 << 18
+
 LAST = (1 << 63) - 1  # stands for a null doc_id
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -68,9 +72,19 @@ def byte_order(raw: bytes, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(key, kind="stable")
     key = key[order]
     new = np.r_[True, key[1:] != key[:-1]][:len(at)]
+    del key
+    heads = np.flatnonzero(new)
+    cuts = heads[np.unique(np.searchsorted(heads, np.arange(0, len(at), SUFFIXES_AT_ONCE)).clip(max=len(heads) - 1))]
+    for a, b in zip(cuts, np.r_[cuts[1:], len(at)]):  # ties of eight bytes stay together
+        _settle_ties(words, at, order[a:b], new[a:b])
+    return order, new
+
+
+def _settle_ties(words: np.ndarray, at: np.ndarray, order: np.ndarray, new: np.ndarray) -> None:
+    """Sorts, in place, what ties by its first eight bytes by the bytes after them."""
     for step in [*range(8, LENGTH - 8, 8), LENGTH - 8]:
         key = words[at[order] + step].astype(np.uint64)
-        differs = np.r_[False, ~new[1:] & (key[1:] != key[:-1])][:len(at)]
+        differs = np.r_[False, ~new[1:] & (key[1:] != key[:-1])]
         if not differs.any():
             continue
         group = np.cumsum(new) - 1
@@ -80,7 +94,6 @@ def byte_order(raw: bytes, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         inside = np.lexsort((key[some], group[some]))
         order[some], key[some] = order[some[inside]], key[some[inside]]
         new[1:] |= key[1:] != key[:-1]
-    return order, new
 
 
 def _joined(texts: list) -> tuple[bytes, np.ndarray, np.ndarray]:
@@ -93,11 +106,11 @@ def _joined(texts: list) -> tuple[bytes, np.ndarray, np.ndarray]:
 def cover_positions(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Document number and place of every cover position that a name fits at, for documents of LENGTH bytes or more."""
     wanted = np.where(sizes >= LENGTH, np.maximum(sizes - NAMED + 1, 0), 0)
-    doc = np.repeat(np.arange(len(sizes)), wanted)
-    place = np.arange(len(doc)) - np.repeat(np.cumsum(wanted) - wanted, wanted)
-    chosen = np.zeros(PERIOD, bool)
-    chosen[list(COVER)] = True
-    keep = chosen[place % PERIOD]
+    most = -(-wanted // PERIOD) * len(COVER)
+    doc = np.repeat(np.arange(len(sizes)), most)
+    nth = np.arange(len(doc)) - np.repeat(np.cumsum(most) - most, most)
+    place = nth // len(COVER) * PERIOD + np.array(COVER)[nth % len(COVER)]
+    keep = place < wanted[doc]
     return doc[keep], place[keep]
 
 
@@ -150,9 +163,9 @@ def candidate_starts(places: np.ndarray, size: int) -> np.ndarray:
 
 def _per_document(found: pd.DataFrame) -> dict[int, np.ndarray]:
     all_ = np.frombuffer(b"".join(found["found"]), shared_keys.ENTRY)
-    all_ = all_[np.argsort(all_["doc"], kind="stable")]
-    ids, first = np.unique(all_["doc"], return_index=True)
-    return {int(i): part["place"] for i, part in zip(ids, np.split(all_, first[1:]))}
+    order = np.argsort(all_["doc"], kind="stable")
+    ids, first = np.unique(all_["doc"][order], return_index=True)
+    return {int(i): part for i, part in zip(ids, np.split(all_["place"][order], first[1:]))}
 
 
 def stretches(raw: bytes, at: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -180,6 +193,21 @@ def _runs(docs: np.ndarray, places: np.ndarray, counts: np.ndarray) -> np.ndarra
     return out
 
 
+def _cut_out(texts: pd.DataFrame, places: dict[int, np.ndarray]) -> tuple:
+    """Stretches of some documents: doc, place, count and name as arrays, and their texts."""
+    raw, starts, sizes = _joined([zlib.decompress(t) for t in texts["packed"]])
+    ids = texts["doc"].to_numpy(np.int64)
+    own = [candidate_starts(places[int(i)][places[int(i)] < n], n) for i, n in zip(ids, sizes)]
+    row = np.repeat(np.arange(len(ids)), [len(o) for o in own])
+    place = np.concatenate(own)
+    if not len(row):
+        return ids[row], place, place, np.zeros(0, np.uint64), []
+    first, count, name = stretches(raw, starts[row] + place, row)
+    row, place = row[first], place[first]
+    pieces = [raw[p:p + c + LENGTH - 1] for p, c in zip((starts[row] + place).tolist(), count.tolist())]
+    return ids[row], place, count, name, pieces
+
+
 def _stretches_of(texts: pd.DataFrame, found: pd.DataFrame, n_ranges: int) -> pd.DataFrame:
     """Stretches of one group of documents."""
     columns = ["range", "docs", "places", "counts", "texts", "g", "runs"]
@@ -189,25 +217,17 @@ def _stretches_of(texts: pd.DataFrame, found: pd.DataFrame, n_ranges: int) -> pd
     out = []
     for part in shared_keys.slices(texts["size"].tolist()):
         held = texts.iloc[part]
-        raw, starts, sizes = _joined([zlib.decompress(t) for t in held["packed"]])
-        ids = held["doc"].to_numpy(np.int64)
-        own = [candidate_starts(places[int(i)][places[int(i)] < n], n) for i, n in zip(ids, sizes)]
-        doc = np.repeat(np.arange(len(ids)), [len(o) for o in own])
+        dealt = [_cut_out(held.iloc[some], places) for some in shared_keys.slices(held["size"].tolist(), BYTES_AT_ONCE)]
+        doc, place, count, name = (np.concatenate(x) for x in list(zip(*dealt))[:4])
+        pieces = [p for x in dealt for p in x[4]]
         if not len(doc):
             continue
-        place = np.concatenate(own)
-        first, count, name = stretches(raw, starts[doc] + place, doc)
-        doc, place = ids[doc[first]], place[first]
-        begin = starts[np.searchsorted(ids, doc, side="left")] + place if len(set(ids)) == len(ids) else None
-        if begin is None:  # versions of one doc_id: find each stretch by its row
-            begin = (starts[np.repeat(np.arange(len(ids)), [len(o) for o in own])] + np.concatenate(own))[first]
-        pieces = [raw[p:p + c + LENGTH - 1] for p, c in zip(begin.tolist(), count.tolist())]
         seen: dict[bytes, int] = {}
         for piece, d in zip(pieces, doc.tolist()):  # documents ascend, so the first is the smallest
             seen.setdefault(piece, d)
         later = np.fromiter((seen[p] < d for p, d in zip(pieces, doc.tolist())), bool, len(pieces))
         if later.any():
-            out.append((-1 - int(ids[0]) % 1_000_003, b"", b"", b"", b"", group,
+            out.append((-1 - int(held["doc"].iloc[0]) % 1_000_003, b"", b"", b"", b"", group,
                         _runs(doc[later], place[later], count[later]).tobytes()))
         stay = np.flatnonzero(~later)
         which = ((name[stay] * _MIX[1] >> np.uint64(32)) * np.uint64(n_ranges) >> np.uint64(32)).astype(np.int64)
@@ -243,18 +263,24 @@ def _later_in_bucket(rows: pd.DataFrame, n_groups: int) -> pd.DataFrame:
         counts = np.frombuffer(b"".join(rows["counts"]), np.uint8).astype(np.int64)
         raw = b"".join(rows["texts"]) + bytes(8)
         sizes = counts + LENGTH - 1
-        of = np.repeat(np.arange(len(counts)), counts)
-        inside = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
-        order, new = byte_order(raw, np.repeat(np.cumsum(sizes) - sizes, counts) + inside)
-        owners, starts = docs[of[order]], np.flatnonzero(new)
-        least = np.repeat(np.minimum.reduceat(owners, starts), np.diff(np.r_[starts, len(order)]))
+        firsts, begins = np.cumsum(counts) - counts, np.cumsum(sizes) - sizes
+        small = np.int32 if len(raw) < 1 << 31 else np.int64  # of the numbers that hold a position
+        of = np.repeat(np.arange(len(counts), dtype=small), counts)
+        at = np.repeat((begins - firsts).astype(small), counts)
+        at += np.arange(len(of), dtype=small)
+        order, new = byte_order(raw, at)
+        del at
+        rank = np.unique(docs, return_inverse=True)[1]
+        owners, starts = rank.astype(small)[of[order]], np.flatnonzero(new)
+        lowest = np.repeat(np.minimum.reduceat(owners, starts), np.diff(np.r_[starts, len(order)]))
         later = np.zeros(len(of), bool)
-        later[order] = owners > least
+        later[order[owners > lowest]] = True
+        del order, new, owners, lowest, starts
         at = np.flatnonzero(later)
         if len(at):
             heads = np.flatnonzero(np.r_[True, (at[1:] != at[:-1] + 1) | (of[at[1:]] != of[at[:-1]])])
             lengths, at = np.diff(np.r_[heads, len(at)]), at[heads]
-            found = _runs(docs[of[at]], places[of[at]] + inside[at], lengths)
+            found = _runs(docs[of[at]], places[of[at]] + at - firsts[of[at]], lengths)
             group = group_of(found["doc"], n_groups)
             order = np.lexsort((found["place"], found["doc"], group))
             found, cuts = found[order], np.searchsorted(group[order], np.arange(n_groups + 1))
@@ -305,7 +331,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     n_groups = shared_keys.ranges_for(total, BYTES_PER_GROUP)
     key = F.coalesce(F.col("doc_id"), F.lit(LAST))
     content = F.sha2("text", 256)
-    texts = docs.select(key.alias("doc"), F.col("doc_id").isNull().alias("no_id"), text_or_empty().alias("text"))
+    texts = small_batches(docs).select(
+        key.alias("doc"), F.col("doc_id").isNull().alias("no_id"), text_or_empty().alias("text"))
     # Of equal texts only the smallest doc_id can matter to others; the rest is removed as a whole.
     equal = materialize(texts.select("doc", content.alias("content")).groupBy("content")
                         .agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1"))

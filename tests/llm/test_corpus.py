@@ -2,11 +2,14 @@ import hashlib
 import random
 import re
 import sys
+import tracemalloc
+import zlib
 from collections import Counter
 from pathlib import Path
 
 import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -231,6 +234,48 @@ def test_suffix_order_is_byte_order():
     assert len(order) == len(new) == 0
 
 
+def _suffix_steps(texts, n_ranges=1):
+    packed = pd.DataFrame({"g": 0, "doc": range(len(texts)), "no_id": False, "first": True,
+                           "size": [len(t) for t in texts], "packed": [zlib.compress(t, 1) for t in texts]})
+    doc, place = suffix_dedup.cover_positions(packed["size"].to_numpy(np.int64))
+    shared = suffix_dedup._by_group(shared_keys.entries(doc, place.astype(np.uint32)), 1)
+    return (lambda: suffix_dedup._stretches_of(packed, shared, n_ranges)), suffix_dedup._later_in_bucket
+
+
+def test_suffix_dedup_in_pieces_of_any_size(monkeypatch):
+    rng = random.Random(21)
+    words = [bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 30))) for _ in range(12)]
+    texts = [b" ".join(rng.choice(words) for _ in range(rng.randint(0, 40))) for _ in range(60)] + [b"", b"a" * 700, b"a" * 300]
+    wanted = {(d, p) for d, t in enumerate(texts) for p in range(len(t) - suffix_dedup.LENGTH + 1)
+              if any(t[p:p + suffix_dedup.LENGTH] in e for e in texts[:d])}
+    for size in (1, 100, 1 << 20):
+        monkeypatch.setattr(suffix_dedup, "BYTES_AT_ONCE", size)
+        monkeypatch.setattr(suffix_dedup, "SUFFIXES_AT_ONCE", size)
+        dealt, later = _suffix_steps(texts)
+        dealt = dealt()
+        runs = b"".join(later(dealt[dealt["range"] >= 0], 1)["runs"]) + b"".join(dealt["runs"])
+        runs = np.frombuffer(runs, suffix_dedup.RUN)
+        assert {(r["doc"], p) for r in runs for p in range(r["place"], r["place"] + r["count"])} == wanted
+
+
+def test_suffix_dedup_holds_little_beside_its_texts():
+    rng = np.random.default_rng(22)
+    texts = [rng.integers(97, 123, 20_000, np.uint8).tobytes() for _ in range(200)]  # 4 MB, all of it named as shared
+    stretches, later = _suffix_steps(texts)
+
+    def most(step, *args):
+        tracemalloc.start()
+        try:
+            return step(*args), tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+    dealt, peak = most(stretches)
+    assert peak < 120e6, peak
+    n = 3_980_000
+    _, peak = most(suffix_dedup.byte_order, b"".join(texts) + bytes(8), np.arange(n, dtype=np.int32))
+    assert peak < 50 * n, peak
+
+
 def test_suffix_dedup_does_not_rest_on_hashes(spark, monkeypatch, rows):
     # Everything meets in one bucket with one name; only bytes tell strings apart.
     monkeypatch.setattr(suffix_dedup, "names", lambda raw, at, length: np.zeros(len(at), np.uint64))
