@@ -24,6 +24,8 @@ DOCS_PER_BUCKET = 4096
 # Text that a worker packs at a time.
 BATCH_CHARS = 4 << 20
 
+RECURRING = 1 << 22  # marks for keys that recur, by their low bits
+
 
 def ranges_for(units: int, per_range: int) -> int:
     """Number of key ranges for about ``per_range`` units of input in each."""
@@ -47,17 +49,48 @@ def planes(values: np.ndarray) -> bytes:
     return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
 
 
+def cut_planes(values: np.ndarray, cuts: np.ndarray) -> list[bytes]:
+    """``planes`` of the values between each two neighbouring cuts."""
+    turned = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T)
+    cuts = cuts.tolist()
+    return [turned[:, a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+
+
 def from_planes(raw: bytes, kind: str) -> np.ndarray:
     size = np.dtype(kind).itemsize
     return np.frombuffer(raw, np.uint8).reshape(size, -1).T.copy().view(kind).ravel()
 
 
-def _steps(values: np.ndarray) -> np.ndarray:
-    return np.diff(values, prepend=values.dtype.type(0))
+def cut_steps(values: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Differences of neighbours; after each cut the value itself."""
+    steps = np.diff(values, prepend=values.dtype.type(0))
+    starts = cuts[:-1][np.diff(cuts) > 0]
+    steps[starts] = values[starts]
+    return steps
+
+
+def recurring(keys: np.ndarray, known: np.ndarray | None = None) -> np.ndarray:
+    """Entries whose key occurs again, or among ``known``, and a few more; values are sorted, which takes a fraction of a
+    sort of places."""
+    ordered = np.sort(keys if known is None or not len(known) else np.concatenate([keys, known]))
+    twice = ordered[1:][ordered[1:] == ordered[:-1]]
+    if not len(twice):
+        return np.zeros(0, np.int64)
+    mask = keys.dtype.type(RECURRING - 1)
+    held = np.zeros(RECURRING, bool)
+    held[twice & mask] = True
+    return np.flatnonzero(held[keys & mask])
+
+
+def dealing(which: np.ndarray, n: int) -> np.ndarray:
+    """Stable order by a number below ``n``; sixteen bits are sorted by counting."""
+    return np.argsort(which.astype(np.uint16) if n <= 1 << 16 else which, kind="stable")
 
 
 def _groups(keys: np.ndarray, docs: np.ndarray):
     """Of sorted keys: start of each group, its size, and whether it spans two documents."""
+    if not len(keys):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     sizes = np.diff(np.r_[starts, len(keys)])
     several = np.minimum.reduceat(docs, starts) != np.maximum.reduceat(docs, starts)
@@ -80,25 +113,32 @@ def pack(keys: np.ndarray, docs: np.ndarray, places: np.ndarray, n_ranges: int,
     """
     if not len(keys):
         return pd.DataFrame(columns=COLUMNS)
-    rows: dict[int, dict] = {}
-    known = np.zeros(len(keys), bool)
+    known, once = np.zeros(len(keys), bool), np.zeros(0, np.int64)
     if collapse:
-        order = np.argsort(keys)
+        some = recurring(keys)
+        order = some[np.argsort(keys[some])]
         starts, sizes, several = _groups(keys[order], docs[order])
         known[order] = np.repeat(several, sizes)
         once = order[starts[several]]
-        for r, own in _dealt(keys, once, n_ranges):
-            rows.setdefault(r, _row(r))["known"] = low_bytes(keys[own], width)
-        if len(once):
-            rows[-1] = _row(-1 - int(keys[once[0]] >> np.uint64(34))) | {
-                "found": entries(docs[known], places[known]).tobytes()}
-    for r, own in _dealt(keys, np.flatnonzero(~known), n_ranges):
-        heads = np.flatnonzero(np.r_[True, docs[own][1:] != docs[own][:-1]])
-        rows.setdefault(r, _row(r)).update({
-            "keys": low_bytes(keys[own], width), "docs": planes(_steps(docs[own][heads])),
-            "counts": planes(np.diff(np.r_[heads, len(own)]).astype(np.uint32)),
-            "places": planes(_steps(places[own]))})
-    return pd.DataFrame(list(rows.values()), columns=COLUMNS)
+    own, cuts = _in_ranges(keys, np.flatnonzero(~known), n_ranges)
+    once, known_cuts = _in_ranges(keys, once, n_ranges)
+    held, at = docs[own], places[own]
+    new = np.r_[True, held[1:] != held[:-1]][:len(own)]
+    new[cuts[:-1][np.diff(cuts) > 0]] = True
+    heads = np.flatnonzero(new)
+    head_cuts = np.searchsorted(heads, cuts)
+    rows = pd.DataFrame({
+        "range": np.arange(n_ranges, dtype=np.int32),
+        "keys": _cut_bytes(low_bytes(keys[own], width), cuts * width),
+        "docs": cut_planes(cut_steps(held[heads], head_cuts), head_cuts),
+        "counts": cut_planes(np.diff(np.r_[heads, len(own)]).astype(np.uint32), head_cuts),
+        "places": cut_planes(cut_steps(at, cuts), cuts),
+        "known": _cut_bytes(low_bytes(keys[once], width), known_cuts * width), "found": b""}, columns=COLUMNS)
+    rows = rows[(np.diff(cuts) > 0) | (np.diff(known_cuts) > 0)]
+    if not len(once):
+        return rows
+    found = _row(-1 - int(keys[once[0]] >> np.uint64(34))) | {"found": entries(docs[known], places[known]).tobytes()}
+    return pd.concat([rows, pd.DataFrame([found], columns=COLUMNS).astype({"range": np.int32})], ignore_index=True)
 
 
 def _row(name: int) -> dict:
@@ -106,6 +146,8 @@ def _row(name: int) -> dict:
 
 
 def low_bytes(keys: np.ndarray, width: int) -> bytes:
+    if width == 4:
+        return keys.astype("<u4").tobytes()
     return keys.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
@@ -114,16 +156,28 @@ def range_of(keys: np.ndarray, n_ranges: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(n_ranges) >> np.uint64(32)).astype(np.int32)
 
 
+def _cut_bytes(raw: bytes, cuts: np.ndarray) -> list[bytes]:
+    cuts = cuts.tolist()
+    return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
+def _in_ranges(keys: np.ndarray, picked: np.ndarray, n_ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """The picked entries by key range, in their order, and where each range is cut."""
+    which = range_of(keys[picked], n_ranges)
+    order = dealing(which, n_ranges)
+    return picked[order], np.searchsorted(which[order], np.arange(n_ranges + 1))
+
+
 def _dealt(keys: np.ndarray, picked: np.ndarray, n_ranges: int) -> Iterator[tuple[int, np.ndarray]]:
     """The picked entries of each key range, in their order."""
-    which = range_of(keys[picked], n_ranges)
-    order = np.argsort(which, kind="stable")
-    cuts = np.searchsorted(which[order], np.arange(n_ranges + 1))
+    picked, cuts = _in_ranges(keys, picked, n_ranges)
     for r in np.flatnonzero(np.diff(cuts)):
-        yield int(r), picked[order[cuts[r]:cuts[r + 1]]]
+        yield int(r), picked[cuts[r]:cuts[r + 1]]
 
 
 def keys_of(raw: bytes, width: int) -> np.ndarray:
+    if width == 4:
+        return np.frombuffer(raw, "<u4")
     out = np.zeros((len(raw) // width, 8), np.uint8)
     out[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
     return out.view("<u8").ravel()
@@ -149,14 +203,16 @@ def shared_entries(rows: pd.DataFrame, width: int = 8) -> np.ndarray:
     keys, docs, places, known = unpack(rows, width)
     if not len(keys):
         return found
-    order = np.argsort(keys)
-    ordered, docs, places = keys[order], docs[order], places[order]
-    starts, sizes, several = _groups(ordered, docs)
-    if len(known):
+    some = recurring(keys, known)
+    order = some[np.argsort(keys[some])]
+    ordered = keys[order]
+    starts, sizes, several = _groups(ordered, docs[order])
+    if len(known) and len(order):
         known = np.sort(known)
         at = np.minimum(np.searchsorted(known, ordered[starts]), len(known) - 1)
         several |= known[at] == ordered[starts]
-    hit = np.repeat(several, sizes)
+    hit = np.zeros(len(keys), bool)  # in the order of documents again, which shrinks better
+    hit[order] = np.repeat(several, sizes)
     return np.concatenate([found, entries(docs[hit], places[hit])])
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packetloom.llm import shared_keys
-from packetloom.llm.tables import materialize, small_batches, text_or_empty
+from packetloom.llm.tables import bit_is_set, materialize, small_batches, text_or_empty
 
 LENGTH = 50
 PERIOD = 31
@@ -45,23 +45,42 @@ LONGEST = 240  # suffixes in one stretch; their number is sent as a byte
 BYTES_AT_ONCE = 1 << 19
 SUFFIXES_AT_ONCE = 1 << 18
 
+BITMAPS = 4096  # of 32,768 doc_ids each (4 KB), broadcast so that copies are not named
+
 LAST = (1 << 63) - 1  # stands for a null doc_id
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
-def names(raw: bytes, at: np.ndarray, length: int) -> np.ndarray:
-    """64-bit names of the ``length`` bytes (at least 8) that start at each position."""
+def names(raw: bytes, at: np.ndarray | range, length: int) -> np.ndarray:
+    """64-bit names of the ``length`` bytes (at least 8) that start at each position; a range has steps of one."""
     words = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
     out = np.full(len(at), length, np.uint64)
     for step in [*range(0, length - 8, 8), length - 8]:
-        out = (out ^ words[at + step]) * _MIX[0]
+        out = (out ^ (words[at.start + step:at.stop + step] if isinstance(at, range) else words[at + step])) * _MIX[0]
         out ^= out >> np.uint64(29)
     out = (out ^ (out >> np.uint64(32))) * _MIX[1]
     out = (out ^ (out >> np.uint64(27))) * _MIX[2]
     return out ^ (out >> np.uint64(31))
 
 
+def _order(key: np.ndarray) -> np.ndarray:
+    """Stable order of 64-bit keys by two sorts of values, each of half a key and a place: faster than a sort of places."""
+    half, places = np.uint64(32), np.arange(len(key), dtype=np.uint64)
+    low = key << half
+    low |= places
+    low.sort()
+    order = low.astype(np.uint32)  # the places
+    del low
+    high = key[order]
+    high >>= half
+    high <<= half
+    high |= places
+    del places
+    high.sort()
+    return order[high.astype(np.uint32)]
+
+
 def byte_order(raw: bytes, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of the LENGTH-byte strings that start at each of ``at`` in ``raw``, and where a new string begins in it.
 
@@ -69,7 +88,7 @@ def byte_order(raw: bytes, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """
     words = np.ndarray((len(raw) - 7,), ">u8", raw, strides=(1,))
     key = words[at].astype(np.uint64)
-    order = np.argsort(key, kind="stable")
+    order = _order(key)
     key = key[order]
     new = np.r_[True, key[1:] != key[:-1]][:len(at)]
     del key
@@ -141,7 +160,7 @@ def _group_column(n_groups: int) -> Column:
 def _by_group(found: np.ndarray, n_groups: int) -> pd.DataFrame:
     """Entries packed by group of documents."""
     group = group_of(found["doc"], n_groups)
-    order = np.lexsort((found["place"], found["doc"], group))
+    order = shared_keys.dealing(group, n_groups)
     found, cuts = found[order], np.searchsorted(group[order], np.arange(n_groups + 1))
     held = np.flatnonzero(np.diff(cuts))
     return pd.DataFrame({"g": held.astype(np.int32), "found": [found[cuts[g]:cuts[g + 1]].tobytes() for g in held]})
@@ -153,34 +172,43 @@ def _shared_places(packed: DataFrame, n_groups: int) -> DataFrame:
     return packed.groupBy("range").applyInPandas(run, "g int, found binary")
 
 
-def candidate_starts(places: np.ndarray, size: int) -> np.ndarray:
-    """Suffixes that can tie for LENGTH bytes: those within PERIOD before a shared cover place."""
-    mark = np.zeros(size + 2, np.int32)
-    np.add.at(mark, np.maximum(places.astype(np.int64) - PERIOD + 1, 0), 1)
-    np.add.at(mark, places.astype(np.int64) + 1, -1)
-    return np.flatnonzero(np.cumsum(mark)[:max(0, size - LENGTH + 1)] > 0)
+def candidate_runs(row: np.ndarray, place: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of suffixes that can tie for LENGTH bytes, those within PERIOD before a shared cover place: row, first, count.
 
+    ``row`` and ``place`` are in order; ``sizes`` are those of the rows' texts.
+    """
+    place = place.astype(np.int64)
+    first, last = np.maximum(place - PERIOD + 1, 0), np.minimum(place, sizes[row] - LENGTH)
+    fits = (first <= last) & (place < sizes[row])
+    row, first, last = row[fits], first[fits], last[fits]
+    heads = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (first[1:] > last[:-1] + 1)][:len(row)])
+    ends = np.r_[heads[1:], len(row)][:len(heads)] - 1
+    return row[heads], first[heads], last[ends] - first[heads] + 1
 
-def _per_document(found: pd.DataFrame) -> dict[int, np.ndarray]:
-    all_ = np.frombuffer(b"".join(found["found"]), shared_keys.ENTRY)
-    order = np.argsort(all_["doc"], kind="stable")
-    ids, first = np.unique(all_["doc"][order], return_index=True)
-    return {int(i): part for i, part in zip(ids, np.split(all_["place"][order], first[1:]))}
 
+def least_within(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of each ``width`` neighbours, by doubling."""
+    have = 1
+    while 2 * have <= width:
+        values, have = np.minimum(values[:-have], values[have:]), 2 * have
+    rest = width - have
+    return np.minimum(values[:-rest], values[rest:]) if rest else values
 
-def stretches(raw: bytes, at: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of neighbouring suffixes whose first LENGTH bytes have the same smallest name: first, count, that name.
 
-    ``at`` are positions in ``raw``, in order; a run stays inside one document.
+def stretches(raw: bytes, begins: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of suffixes cut where the smallest name in their first LENGTH bytes changes: run, offset in it, count, name.
+
+    ``raw`` holds the runs one after the other, each of ``counts`` suffixes and its last one whole.
     """
-    inner = names(raw, np.arange(len(raw) - 7 - (NAMED - 8)), NAMED)
-    least = inner[at]
-    for step in range(1, LENGTH - NAMED + 1):
-        np.minimum(least, inner[at + step], out=least)
-    new = np.r_[True, (at[1:] != at[:-1] + 1) | (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])]
-    since = np.arange(len(at)) - np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
+    inner = names(raw, range(len(raw) - 7 - (NAMED - 8)), NAMED)
+    firsts = np.cumsum(counts) - counts
+    run = np.repeat(np.arange(len(counts)), counts)
+    least = least_within(inner, LENGTH - NAMED + 1)[np.arange(len(run)) + (begins - firsts)[run]]
+    new = np.r_[True, least[1:] != least[:-1]]
+    new[firsts] = True
+    since = np.arange(len(new)) - np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
     first = np.flatnonzero(new | (since % LONGEST == 0))  # repeated text keeps its name for long
-    return first, np.diff(np.r_[first, len(at)]), least[first]
+    return run[first], first - firsts[run[first]], np.diff(np.r_[first, len(new)]), least[first]
 
 
 STRETCHES = "range int, docs binary, places binary, counts binary, texts binary, g int, runs binary"
@@ -193,27 +221,34 @@ def _runs(docs: np.ndarray, places: np.ndarray, counts: np.ndarray) -> np.ndarra
     return out
 
 
-def _cut_out(texts: pd.DataFrame, places: dict[int, np.ndarray]) -> tuple:
+def _cut_out(texts: pd.DataFrame, places: np.ndarray) -> tuple:
     """Stretches of some documents: doc, place, count and name as arrays, and their texts."""
     raw, starts, sizes = _joined([zlib.decompress(t) for t in texts["packed"]])
     ids = texts["doc"].to_numpy(np.int64)
-    own = [candidate_starts(places[int(i)][places[int(i)] < n], n) for i, n in zip(ids, sizes)]
-    row = np.repeat(np.arange(len(ids)), [len(o) for o in own])
-    place = np.concatenate(own)
+    own = [places[a:b] for a, b in zip(texts["from"].tolist(), texts["to"].tolist())]
+    row, first, count = candidate_runs(np.repeat(np.arange(len(ids)), [len(o) for o in own]), np.concatenate(own), sizes)
     if not len(row):
-        return ids[row], place, place, np.zeros(0, np.uint64), []
-    first, count, name = stretches(raw, starts[row] + place, row)
-    row, place = row[first], place[first]
-    pieces = [raw[p:p + c + LENGTH - 1] for p, c in zip((starts[row] + place).tolist(), count.tolist())]
-    return ids[row], place, count, name, pieces
+        return ids[row], first, count, np.zeros(0, np.uint64), []
+    only = b"".join([raw[p:p + c + LENGTH - 1] for p, c in zip((starts[row] + first).tolist(), count.tolist())]) + bytes(8)
+    begins = np.cumsum(count + LENGTH - 1) - (count + LENGTH - 1)
+    run, offset, count, name = stretches(only, begins, count)
+    pieces = [only[p:p + c + LENGTH - 1] for p, c in zip((begins[run] + offset).tolist(), count.tolist())]
+    return ids[row[run]], first[run] + offset, count, name, pieces
 
 
 def _stretches_of(texts: pd.DataFrame, found: pd.DataFrame, n_ranges: int) -> pd.DataFrame:
     """Stretches of one group of documents."""
     columns = ["range", "docs", "places", "counts", "texts", "g", "runs"]
-    places = _per_document(found)
     group = texts["g"].iloc[0] if len(texts) else 0
-    texts = texts[texts["first"] & texts["doc"].isin(places)].sort_values("doc", kind="stable")
+    all_ = np.frombuffer(b"".join(found["found"]), shared_keys.ENTRY)
+    ids = np.unique(all_["doc"])
+    places = np.searchsorted(ids, all_["doc"]).astype(np.uint64) << np.uint64(32) | all_["place"]
+    places.sort()
+    cuts = np.searchsorted(places, np.arange(len(ids) + 1, dtype=np.uint64) << np.uint64(32))
+    places = places.astype(np.uint32)
+    texts = texts[texts["first"] & texts["doc"].isin(ids)].sort_values("doc", kind="stable")
+    at = np.searchsorted(ids, texts["doc"].to_numpy(np.int64))
+    texts = texts.assign(**{"from": cuts[at], "to": cuts[at + 1]})
     out = []
     for part in shared_keys.slices(texts["size"].tolist()):
         held = texts.iloc[part]
@@ -231,27 +266,56 @@ def _stretches_of(texts: pd.DataFrame, found: pd.DataFrame, n_ranges: int) -> pd
                         _runs(doc[later], place[later], count[later]).tobytes()))
         stay = np.flatnonzero(~later)
         which = ((name[stay] * _MIX[1] >> np.uint64(32)) * np.uint64(n_ranges) >> np.uint64(32)).astype(np.int64)
-        order = np.argsort(which, kind="stable")
-        cuts = np.searchsorted(which[order], np.arange(n_ranges + 1))
-        for r in np.flatnonzero(np.diff(cuts)):
-            mine = stay[order[cuts[r]:cuts[r + 1]]]
-            out.append((int(r), shared_keys.planes(np.diff(doc[mine], prepend=0)),
-                        shared_keys.planes(place[mine].astype(np.uint32)),
-                        count[mine].astype(np.uint8).tobytes(), b"".join([pieces[i] for i in mine]), -1, b""))
+        order = shared_keys.dealing(which, n_ranges)
+        cuts, stay = np.searchsorted(which[order], np.arange(n_ranges + 1)), stay[order]
+        docs = shared_keys.cut_planes(shared_keys.cut_steps(doc[stay], cuts), cuts)
+        at = shared_keys.cut_planes(place[stay].astype(np.uint32), cuts)
+        counts, ordered = count[stay].astype(np.uint8).tobytes(), [pieces[i] for i in stay.tolist()]
+        ends = cuts.tolist()
+        out += [(r, docs[r], at[r], counts[a:b], b"".join(ordered[a:b]), -1, b"")
+                for r, (a, b) in enumerate(zip(ends, ends[1:])) if a < b]
     return pd.DataFrame(out, columns=columns)
 
 
+def _is_first(texts: pd.DataFrame, side: pd.DataFrame) -> list[bool]:
+    """Whether each text of a group is no later copy; ``side`` holds the copies in rows of their own."""
+    copies = {(d, v) for docs, versions in zip(side["copies"], side["versions"]) if docs is not None
+              for d, v in zip(docs.tolist(), versions.tolist())}
+    return [key not in copies for key in zip(texts["doc"].tolist(), texts["version"].tolist())]
+
+
 def _suffixes(rows: DataFrame, shared: DataFrame, n_ranges: int) -> DataFrame:
     """Stretches of the suffixes left, from first rows of equal texts only.
 
-    A row holds those of one bucket, or, with ``g``, runs of suffixes already known to start earlier as well.
+    A row holds those of one bucket, or, with ``g``, runs of suffixes already known to start earlier as well.  ``shared``
+    is ``_with_copies``.
     """
     def run(texts: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        return _stretches_of(texts, found, n_ranges)
-    return (rows.select("g", "doc", "first", "size", "packed").groupBy("g").cogroup(shared.groupBy("g"))
+        return _stretches_of(texts.assign(first=_is_first(texts, found)), found, n_ranges)
+    return (rows.select("g", "doc", "version", "size", "packed").groupBy("g").cogroup(shared.groupBy("g"))
             .applyInPandas(run, STRETCHES))
 
 
+def _whole_later(raw: bytes, begins: np.ndarray, sizes: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Stretches that are, byte for byte, a stretch of an earlier document: all their suffixes start there as well."""
+    pieces = [raw[a:b] for a, b in zip(begins.tolist(), (begins + sizes).tolist())]
+    least: dict[bytes, int] = {}
+    for piece, doc in zip(pieces, docs.tolist()):
+        if least.setdefault(piece, doc) > doc:
+            least[piece] = doc
+    return np.fromiter((least[p] < d for p, d in zip(pieces, docs.tolist())), bool, len(pieces))
+
+
+def _ends_named(raw: bytes, at: np.ndarray) -> np.ndarray:
+    """64-bit names of the first and last eight of LENGTH bytes, equal where all of them are."""
+    words = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
+    out = words[at] * _MIX[0]
+    out ^= out >> np.uint64(29)
+    out ^= words[at + (LENGTH - 8)]
+    out *= _MIX[1]
+    return out ^ (out >> np.uint64(32))
+
+
 def _later_in_bucket(rows: pd.DataFrame, n_groups: int) -> pd.DataFrame:
     """Later starts of one bucket."""
     known = rows[rows["g"] >= 0]
@@ -263,24 +327,33 @@ def _later_in_bucket(rows: pd.DataFrame, n_groups: int) -> pd.DataFrame:
         counts = np.frombuffer(b"".join(rows["counts"]), np.uint8).astype(np.int64)
         raw = b"".join(rows["texts"]) + bytes(8)
         sizes = counts + LENGTH - 1
-        firsts, begins = np.cumsum(counts) - counts, np.cumsum(sizes) - sizes
+        begins = np.cumsum(sizes) - sizes
+        whole = _whole_later(raw, begins, sizes, docs)
+        stay = np.flatnonzero(~whole)
+        found = [_runs(docs[whole], places[whole], counts[whole])]
         small = np.int32 if len(raw) < 1 << 31 else np.int64  # of the numbers that hold a position
-        of = np.repeat(np.arange(len(counts), dtype=small), counts)
-        at = np.repeat((begins - firsts).astype(small), counts)
-        at += np.arange(len(of), dtype=small)
+        counts, firsts = counts[stay], np.cumsum(counts[stay]) - counts[stay]
+        of = np.repeat(stay.astype(small), counts)
+        at = np.repeat((begins[stay] - firsts).astype(small), counts)
+        at += np.arange(len(at), dtype=small)
+        some = shared_keys.recurring(_ends_named(raw, at))
+        of, at = of[some], at[some]
         order, new = byte_order(raw, at)
-        del at
         rank = np.unique(docs, return_inverse=True)[1]
         owners, starts = rank.astype(small)[of[order]], np.flatnonzero(new)
-        lowest = np.repeat(np.minimum.reduceat(owners, starts), np.diff(np.r_[starts, len(order)]))
         later = np.zeros(len(of), bool)
-        later[order[owners > lowest]] = True
-        del order, new, owners, lowest, starts
-        at = np.flatnonzero(later)
+        if len(of):
+            lowest = np.repeat(np.minimum.reduceat(owners, starts), np.diff(np.r_[starts, len(order)]))
+            later[order[owners > lowest]] = True
+            del lowest
+        del order, new, owners, starts
+        of, at = of[later], at[later]
         if len(at):
-            heads = np.flatnonzero(np.r_[True, (at[1:] != at[:-1] + 1) | (of[at[1:]] != of[at[:-1]])])
-            lengths, at = np.diff(np.r_[heads, len(at)]), at[heads]
-            found = _runs(docs[of[at]], places[of[at]] + at - firsts[of[at]], lengths)
+            heads = np.flatnonzero(np.r_[True, (at[1:] != at[:-1] + 1) | (of[1:] != of[:-1])])
+            lengths, of, at = np.diff(np.r_[heads, len(at)]), of[heads], at[heads]
+            found.append(_runs(docs[of], places[of] + at - begins[of], lengths))
+        found = np.concatenate(found)
+        if len(found):
             group = group_of(found["doc"], n_groups)
             order = np.lexsort((found["place"], found["doc"], group))
             found, cuts = found[order], np.searchsorted(group[order], np.arange(n_groups + 1))
@@ -299,10 +372,11 @@ def _later_starts(packed: DataFrame, n_groups: int) -> DataFrame:
 
 def cut(raw: bytes, places: np.ndarray, counts: np.ndarray) -> tuple[bytes, int]:
     """What is left of ``raw`` without the LENGTH bytes of each of ``counts`` starts from each place; runs removed."""
-    mark = np.zeros(len(raw) + 1, np.int32)
-    np.add.at(mark, places, 1)
-    np.add.at(mark, places + counts + LENGTH - 1, -1)
-    gone = np.cumsum(mark)[:-1] > 0
+    if not len(places):
+        return raw, 0
+    gone = np.zeros(len(raw), bool)
+    for place, count in zip(places.tolist(), counts.tolist()):
+        gone[place:place + count + LENGTH - 1] = True
     runs = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
     return np.frombuffer(raw, np.uint8)[~gone].tobytes(), runs
 
@@ -318,6 +392,30 @@ def _packed_texts(texts: DataFrame, n_groups: int) -> DataFrame:
             .mapInPandas(run, "g int, doc long, no_id boolean, version long, size int, packed binary"))
 
 
+def _with_copies(side: DataFrame, column: str, copies: DataFrame, n_groups: int) -> DataFrame:
+    """``side``, some ``column`` by group, and the copies of each group, so that texts are not joined with them."""
+    ids = copies.groupBy(_group_column(n_groups).alias("g")).agg(
+        F.collect_list("doc").alias("copies"), F.collect_list("version").alias("versions"))
+    return (side.select("g", column, *[F.lit(None).cast("array<long>").alias(c) for c in ("copies", "versions")])
+            .unionByName(ids.withColumn(column, F.expr("X''"))))
+
+
+def _without_copies(texts: DataFrame, copies: DataFrame, ids: DataFrame) -> DataFrame:
+    """``texts`` without most copies: those whose doc_id no other row has, as far as bitmaps of them can be broadcast.
+
+    Copies that stay cost time, not results.
+    """
+    several = ids.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    bits = copies.select("doc").join(several, "doc", "left_anti")
+    bits = materialize(bits.groupBy(F.bitmap_bucket_number("doc").alias("_bucket"))
+                       .agg(F.bitmap_construct_agg(F.bitmap_bit_position("doc")).alias("_bits")))
+    if not 0 < bits.count() <= BITMAPS:
+        return texts
+    is_copy = F.coalesce(bit_is_set(F.col("_bits"), F.bitmap_bit_position("doc")), F.lit(False))
+    return (texts.join(F.broadcast(bits), F.bitmap_bucket_number("doc") == F.col("_bucket"), "left")
+            .filter(~is_copy).drop("_bucket", "_bits"))
+
+
 def without_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (binary: the bytes left) of every row of ``docs``.
 
@@ -330,24 +428,26 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     n_ranges = shared_keys.ranges_for(total, BYTES_PER_RANGE)
     n_groups = shared_keys.ranges_for(total, BYTES_PER_GROUP)
     key = F.coalesce(F.col("doc_id"), F.lit(LAST))
-    content = F.sha2("text", 256)
     texts = small_batches(docs).select(
         key.alias("doc"), F.col("doc_id").isNull().alias("no_id"), text_or_empty().alias("text"))
     # Of equal texts only the smallest doc_id can matter to others; the rest is removed as a whole.
-    equal = materialize(texts.select("doc", content.alias("content")).groupBy("content")
-                        .agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    copies = texts.select("doc", content.alias("content")).join(equal, "content").filter("doc > least")
-    copies = materialize(copies.select("doc", F.xxhash64("content").alias("version")).distinct())
-    shared = materialize(_shared_places(_cover_names(texts, n_ranges), n_groups))
-    rows = _packed_texts(texts, n_groups).join(copies.withColumn("copy", F.lit(True)), ["doc", "version"], "left")
-    rows = rows.select("g", "doc", "no_id", F.col("copy").isNull().alias("first"), "size", "packed")
+    ids = materialize(texts.select("doc", F.unhex(F.sha2("text", 256)).alias("content")))
+    equal = ids.groupBy("content").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    copies = ids.join(equal, "content").filter("doc > least")
+    version = F.xxhash64(F.lower(F.hex("content")))  # as in _packed_texts
+    copies = materialize(copies.select("doc", version.alias("version")).distinct())
+    named = _cover_names(_without_copies(texts, copies, ids), n_ranges)
+    shared = materialize(_shared_places(named, n_groups))
+    rows = _packed_texts(texts, n_groups)
+    shared = _with_copies(shared, "found", copies, n_groups)
     later = materialize(_later_starts(_suffixes(rows, shared, n_ranges), n_groups))
+    later = _with_copies(later, "runs", copies, n_groups)
 
     def run(texts: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         all_ = np.frombuffer(b"".join(found["runs"]), RUN)
         all_ = all_[np.argsort(all_["doc"], kind="stable")]
         out = []
-        for doc, no_id, first, packed in zip(texts["doc"], texts["no_id"], texts["first"], texts["packed"]):
+        for doc, no_id, first, packed in zip(texts["doc"], texts["no_id"], _is_first(texts, found), texts["packed"]):
             raw = zlib.decompress(packed)
             own = all_[np.searchsorted(all_["doc"], doc):np.searchsorted(all_["doc"], doc, side="right")]
             places, counts = own["place"].astype(np.int64), own["count"].astype(np.int64)

@@ -276,6 +276,36 @@ def test_suffix_dedup_holds_little_beside_its_texts():
     assert peak < 50 * n, peak
 
 
+def test_suffix_dedup_sorts_equal_stretches_once(monkeypatch):
+    rng = random.Random(23)
+    passage = bytes(rng.choice(b"abcdefgh") for _ in range(2000))
+    alone = [bytes(rng.choice(b"abcdefgh") for _ in range(300)) for _ in range(40)]
+    packed = pd.concat([_suffix_steps([passage + a])[0]().assign(g=-1) for a in alone])  # as from 40 groups
+    packed["docs"] = [shared_keys.planes(np.diff(shared_keys.from_planes(d, "<i8").cumsum() + i, prepend=0))
+                      for i, d in enumerate(packed["docs"])]
+    sizes, order = [], suffix_dedup.byte_order
+    monkeypatch.setattr(suffix_dedup, "byte_order", lambda raw, at: (sizes.append(len(at)), order(raw, at))[1])
+    runs = np.frombuffer(b"".join(suffix_dedup._later_in_bucket(packed, 1)["runs"]), suffix_dedup.RUN)
+    got = {(int(d), int(p) + k) for d, p, n in runs.tolist() for k in range(n)}
+    assert got >= {(d, p) for d in range(1, 40) for p in range(1951)} and all(d > 0 and p < 2000 for d, p in got)
+    assert sum(sizes) < 40 * 60, sizes  # of 90,000 suffixes: those of stretches that are not alike
+
+
+def test_suffix_dedup_does_not_name_copies(spark):
+    rows = [(1, "a" * 60), (2, "a" * 60), (2_000_000, "a" * 60), (3, "b" * 60), (3, "a" * 60), (None, "a" * 60)]
+    texts = frame(spark, rows, clashing=False).selectExpr(
+        f"coalesce(doc_id, {suffix_dedup.LAST}) AS doc", "text", "unhex(sha2(text, 256)) AS content")
+    copies = texts.filter("doc > 1 AND text LIKE 'a%'").select("doc")
+    ids = texts.select("doc", "content")
+    kept = suffix_dedup._without_copies(texts.select("doc", "text"), copies, ids).collect()
+    # a doc_id with two rows keeps both: one of them is no copy
+    assert sorted((r.doc, r.text[0]) for r in kept) == [(1, "a"), (3, "a"), (3, "b")]
+    side = suffix_dedup._with_copies(spark.createDataFrame([(0, b"x")], "g int, found binary"), "found",
+                                     copies.withColumn("version", F.lit(7).cast("long")), 1).toPandas()
+    some = pd.DataFrame({"doc": [1, 2, 2, 3], "version": [7, 7, 8, 7]})
+    assert suffix_dedup._is_first(some, side) == [True, False, True, False]
+
+
 def test_suffix_dedup_does_not_rest_on_hashes(spark, monkeypatch, rows):
     # Everything meets in one bucket with one name; only bytes tell strings apart.
     monkeypatch.setattr(suffix_dedup, "names", lambda raw, at, length: np.zeros(len(at), np.uint64))
