@@ -15,6 +15,7 @@ from packetloom.functions.names import FEATURE_GROUPS, feature_group
 from packetloom.functions.scaling import PADDING
 from packetloom.operators.bayes import GaussianBayes
 from packetloom.operators.calibrate import logistic_apply, logistic_fit
+from packetloom.operators.forest import Forest, rules_for
 from packetloom.operators.metrics import (apply_threshold, averaged_metrics, binary_metrics, confusion,
                                           ranking_metrics, select_threshold)
 from packetloom.operators.ordered import materialize
@@ -31,17 +32,23 @@ DEEPEST = 30
 SVM_C = 1.0
 # Rows of a task while the linear model is fitted: a step over fewer costs less than starting another task for it.
 SVM_ROWS_PER_TASK = 400_000
+# Rows times trees up to which Spark ML grows trees, all of whose nodes the driver holds; of more it holds the tops only.
+TREE_ROWS = 2_000_000
+
+
+def tree_settings(name: str, seed: int, settings: dict) -> dict:
+    # The settings of the compared models.
+    fixed = {"random_forest": {"numTrees": 100, "impurity": "gini", "maxDepth": DEEPEST, "seed": seed, "cacheNodeIds": True},
+             "decision_tree": {"impurity": "entropy", "maxDepth": DEEPEST, "seed": seed}}
+    return fixed[name] | settings
 
 
 def classifier(name: str, seed: int = 42, label: str = "target", **settings):
     """An unfitted classifier of Spark ML by name."""
-    # The settings of the compared models.
     common = {"featuresCol": "features", "labelCol": label}
     makers = {
-        "random_forest": lambda: RandomForestClassifier(
-            **({"numTrees": 100, "impurity": "gini", "maxDepth": DEEPEST, "seed": seed, "cacheNodeIds": True} | settings), **common),
-        "decision_tree": lambda: DecisionTreeClassifier(
-            **({"impurity": "entropy", "maxDepth": DEEPEST, "seed": seed} | settings), **common),
+        "random_forest": lambda: RandomForestClassifier(**tree_settings(name, seed, settings), **common),
+        "decision_tree": lambda: DecisionTreeClassifier(**tree_settings(name, seed, settings), **common),
         "linear_svm": lambda: LinearSVC(**({"maxIter": 2_000} | settings), **common),
         "hist_gradient_boosting": lambda: GBTClassifier(
             **({"maxIter": 100, "maxDepth": 5, "stepSize": 0.1, "seed": seed} | settings), **common),
@@ -52,11 +59,12 @@ def classifier(name: str, seed: int = 42, label: str = "target", **settings):
 
 
 def fit_tabular(train: DataFrame, names: list[str], model: str, label: str = "target", seed: int = 42,
-                **settings) -> PipelineModel | GaussianBayes:
+                **settings) -> PipelineModel | GaussianBayes | Forest:
     """Vector assembly (scaled for the linear model) and the classifier, fitted on ``train``.
 
     A forest keeps the node each row has reached in every tree, so that a pass does not walk down from the roots; what
-    is kept is cut from its lineage in ``spark.checkpoint.dir``.  The linear model takes hundreds of short passes; rows
+    is kept is cut from its lineage in ``spark.checkpoint.dir``.  Trees of two classes 0 and 1 over more than TREE_ROWS rows
+    (times trees) are a ``Forest``, most of which is a written table.  The linear model takes hundreds of short passes; rows
     are put into few partitions for them.
     """
     if model not in MODELS:
@@ -66,6 +74,12 @@ def fit_tabular(train: DataFrame, names: list[str], model: str, label: str = "ta
     stages = vector_stages(names, scaled=model == "linear_svm")
     typed = train.withColumn(label, F.col(label).cast("double"))
     ensure_checkpoint_dir(train.sparkSession)
+    if model in ("random_forest", "decision_tree"):
+        rules = rules_for(model, len(names), seed, tree_settings(model, seed, settings))
+        two = F.coalesce(F.col(label).cast("double").isin(0.0, 1.0), F.lit(False))
+        seen = train.agg(F.count(F.lit(1)).alias("n"), F.count_if(two).alias("two")).first()
+        if rules and seen.n * rules.trees > TREE_ROWS and seen.n == seen.two:
+            return Forest.fit(train, names, label, rules)
     if model == "linear_svm":
         n = max(1, train.count())
         settings = {"regParam": 1.0 / (SVM_C * n)} | settings
@@ -133,9 +147,9 @@ def compare_models(train: DataFrame, test: DataFrame, names: list[str], models:
     return reduce(DataFrame.unionByName, rows)
 
 
-def feature_importance(spark: SparkSession, model: PipelineModel, names: list[str]) -> DataFrame:
+def feature_importance(spark: SparkSession, model: PipelineModel | Forest, names: list[str]) -> DataFrame:
     """Importance per feature of a fitted tree model, most important first."""
-    values = model.stages[-1].featureImportances.toArray()
+    values = model.importances() if isinstance(model, Forest) else model.stages[-1].featureImportances.toArray()
     rows = [(n, float(v)) for n, v in zip(names, values)]  # one row per column
     return (spark.createDataFrame(rows, "feature string, importance double")
             .orderBy(F.desc("importance"), "feature"))

@@ -4,6 +4,8 @@ import math
 import random
 
 import pytest
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from packetloom.functions import names as N
@@ -11,6 +13,7 @@ from packetloom.functions import paths as P
 from packetloom.operators import bayes as B
 from packetloom.operators import calibrate as K
 from packetloom.operators import compare as T
+from packetloom.operators import forest as X_forest
 from packetloom.operators import labels as A
 from packetloom.operators import metrics as M
 from packetloom.operators import models as X
@@ -426,6 +429,48 @@ def test_passes_of_the_compared_models(spark):
     assert kept.getCacheNodeIds() and kept.toDebugString.split("\n")[1:] == walked.toDebugString.split("\n")[1:]
 
 
+def _mixed_rows(spark, n=3000):
+    rows = spark.range(0, n, 1, 5).select(
+        "id", (F.col("id") % 29).cast("double").alias("a"), (F.col("id") * 7 % 11).cast("double").alias("b"),
+        (F.xxhash64("id") % 17).cast("double").alias("c"))
+    return rows.withColumn("target", ((F.col("a") + F.col("b") + (F.xxhash64("id", F.lit(3)) % 9 == 0).cast("int") * 9) % 13 < 6).cast("int"))
+
+
+def test_forest_in_parts_is_the_whole_one(spark, monkeypatch):
+    """A tree split in passes and finished in tasks is the tree grown in one task, with the gains of Spark ML's."""
+    rows, names = _mixed_rows(spark), ["a", "b", "c"]
+    gains = []
+    for tops, size in ((False, 1 << 16), (True, 150)):
+        monkeypatch.setattr(X_forest, "ROWS_PER_NODE", size)
+        monkeypatch.setattr(X_forest, "NODES_AT_ONCE", 7)
+        monkeypatch.setattr(X, "TREE_ROWS", 100)
+        tree = X.fit_tabular(rows, names, "decision_tree")
+        assert isinstance(tree, X_forest.Forest) and (len(tree.tops[0]) > 10) == tops
+        assert tree.subtrees.agg(F.max(F.length("nodes"))).first()[0] < (1 << 16 if not tops else 300 * 40)
+        gains.append(tree.importances())
+    monkeypatch.setattr(X, "TREE_ROWS", 1 << 40)
+    gains.append(X.fit_tabular(rows, names, "decision_tree").stages[-1].featureImportances.toArray())
+    assert gains[1] == pytest.approx(gains[0], abs=1e-9) and gains[2] == pytest.approx(gains[0], abs=0.03)
+    listed = X.feature_importance(spark, tree, names).collect()
+    assert [r.importance for r in listed] == sorted(gains[1], reverse=True)
+
+
+def test_driver_holds_no_deep_forest(spark, monkeypatch):
+    """Nodes grow with the rows; those on the driver are far fewer, and a run repeats."""
+    monkeypatch.setattr(X, "TREE_ROWS", 100)
+    monkeypatch.setattr(X_forest, "ROWS_PER_NODE", 400)
+    monkeypatch.setattr(X_forest, "ROWS_PER_ROUND", 20_000)
+    rows = _mixed_rows(spark).localCheckpoint()
+    first, again = [X.fit_tabular(rows, ["a", "b", "c"], "random_forest", numTrees=12) for _ in range(2)]
+    deep = first.subtrees.agg(F.sum("n_nodes")).first()[0]
+    assert deep > 10 * sum(map(len, first.tops)) and len({t.tobytes() for t in first.tops}) == 12
+    assert first.importances() == pytest.approx(again.importances(), abs=1e-12)
+    assert first.importances().sum() == pytest.approx(1) and first.importances()[2] < 0.3
+    sparks = RandomForestClassifier(numTrees=12, maxDepth=30, labelCol="target", seed=1).fit(
+        VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(rows))
+    assert first.importances() == pytest.approx(sparks.featureImportances.toArray(), abs=0.08)
+
+
 def test_ablation_scores_once(spark, monkeypatch):
     """Metrics, which read scores several times, get them from a written table."""
     rows = spark.range(200).select((F.col("id") % 37).cast("double").alias("Duration"), (F.col("id") % 3).cast("double").alias("PacketTimeMean"),
