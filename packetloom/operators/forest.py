@@ -355,7 +355,7 @@ class Forest:
 
     def transform(self, df: DataFrame) -> DataFrame:
         """``df`` with ``prediction`` and ``probability`` of both classes."""
-        features, tops, key = len(self.names), self.tops, "_row"
+        features, tops, key = len(self.names), self.tops, "_forest_row"
         rows = materialize(df.withColumn(key, F.monotonically_increasing_id()))
         table = blocks(rows, self.names, self.edges, key, "int64")
         n = table.agg(F.sum("size").alias("n")).first().n or 0

@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -471,6 +472,32 @@ def test_driver_holds_no_deep_forest(spark, monkeypatch):
     assert first.importances() == pytest.approx(sparks.featureImportances.toArray(), abs=0.08)
 
 
+def test_forest_scores_where_its_trees_are(spark, monkeypatch):
+    """Scores summed over tasks are those of whole trees, for every row: repeated ones and ones without values too."""
+    monkeypatch.setattr(X, "TREE_ROWS", 100)
+    for name, size in (("ROWS_PER_NODE", 300), ("ROWS_PER_ROUND", 9_000), ("ROWS_PER_BLOCK", 200)):
+        monkeypatch.setattr(X_forest, name, size)
+    rows, names = _mixed_rows(spark).localCheckpoint(), ["a", "b", "c"]
+    model = X.fit_tabular(rows, names, "random_forest", numTrees=10)
+    odd = rows.limit(40).withColumns({"a": F.lit(float("nan")), "b": F.lit(None).cast("double")})
+    some = rows.filter("id % 3 = 0").unionByName(rows.filter("id < 50")).unionByName(odd)
+    got = X.score_rows(model, some).collect()
+    assert len(got) == 1000 + 50 + 40 and set(got[0].asDict()) == {"id", *names, "target", "prediction", "score"}
+    nodes = {(r.tree, r.node): np.frombuffer(r.nodes, X_forest.NODE) for r in model.subtrees.collect()}
+    bins = np.array([[np.searchsorted(e, np.nan if r[c] is None else r[c]) for c, e in zip(names, model.edges)] for r in got], np.uint8)
+    wanted = np.zeros(len(got))
+    for tree, top in enumerate(model.tops):
+        for i, at in enumerate(X_forest.walk(top, bins).tolist()):
+            below = top[at:at + 1] if top["feature"][at] == X_forest.LEAF else nodes[tree, at]
+            wanted[i] += X_forest.share(below["n"])[X_forest.walk(below, bins[i:i + 1])[0]] / 10
+    assert [r.score for r in got] == pytest.approx(wanted.tolist(), abs=1e-12)
+    assert [r.prediction for r in got] == [int(w > 0.5 + 1e-12) for w in wanted]
+    assert sum(r.prediction == r.target for r in got) > 850
+    assert X.score_rows(model, rows.limit(0)).count() == 0
+    metrics = X.compare_models(rows, rows, names, ["random_forest", "decision_tree"], val=rows, settings={"random_forest": {"numTrees": 4}})
+    assert {r.model: r.total for r in metrics.collect() if r.roc_auc > 0.9} == {"random_forest": 3000, "decision_tree": 3000}
+
+
 def test_ablation_scores_once(spark, monkeypatch):
     """Metrics, which read scores several times, get them from a written table."""
     rows = spark.range(200).select((F.col("id") % 37).cast("double").alias("Duration"), (F.col("id") % 3).cast("double").alias("PacketTimeMean"),
